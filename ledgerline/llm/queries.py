@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, secrets, topk, warc
+from . import bpe, language, packing, pu_quality, quality_rules, secrets, topk, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +22,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(spark, _docs(spark, sf_dir))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark, _docs(spark, sf_dir))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("file", "offset")
 
 
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.quality_scores(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,5 +46,5 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_secret_scan, op5_warc, op7_packing, op8_quality_rules, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op3_secret_scan, op4_language, op5_warc, op6_pu_quality, op7_packing, op8_quality_rules, op10_exact_topk)}
 ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.ORACLE, "op5_warc": warc.ORACLE, "op10_exact_topk": topk.ORACLE}

@@ -1,15 +1,52 @@
-"""Corpus pipeline: quality rules, n-gram Jaccard join, suffix-array dedup, secret scans, packing."""
+"""Corpus pipeline: quality rules, n-gram Jaccard join, suffix-array dedup, secret scans, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; all but the last return
+the columns of documents.
+
+quality_rules: documents that fail the rules go.
+jaccard_join: of each group of linked documents the one with the least id stays.
+suffix_dedup: byte strings of 200 bytes that start at two places or more are cut from the texts.
+secret_scan: spans of secrets are replaced by a mark.
+packing: what is left becomes pieces of sequences of at most 4096 tokens.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from ledgerline.llm import jaccard, packing, quality_rules, secrets, suffix_dedup
+from ledgerline.llm.shared import Workspace
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_quality(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(spark, docs)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(spark, docs)
+
+
+def scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(spark, docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", rules), ("jaccard_join", join), ("suffix_dedup", dedup), ("secret_scan", scan), ("packing", pack)]
+#: Tokenising, repeated strings and packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The stages on documents, each one's rows written to the shared folder and read by the next."""
+    space, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = space.save(stage(spark, docs, sf_dir), name)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, language, packing, pu_quality, quality_rules, secrets, topk, warc
+from . import bpe, jaccard, language, packing, pu_quality, quality_rules, secrets, suffix_dedup, topk, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +46,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark, _docs(spark, sf_dir))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_secret_scan, op4_language, op5_warc, op6_pu_quality, op7_packing, op8_quality_rules, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_secret_scan, op4_language, op5_warc, op6_pu_quality, op7_packing, op8_quality_rules, op9_suffix_dedup, op10_exact_topk)}
 ORACLE_SQL: dict[str, str] = {"op3_secret_scan": secrets.ORACLE, "op5_warc": warc.ORACLE, "op10_exact_topk": topk.ORACLE}

@@ -25,6 +25,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .kernel import ragged
+
 SHIFT = 5
 #: Vectors in a block of the index, queries sent at once, and vectors that may be left to exact scoring, at a share of the block.
 BLOCK, QUERIES, RESCORE_SHARE = 16_384, 2048, 1 / 16
@@ -68,9 +70,10 @@ class ImpactIndex:
             begin = np.concatenate([[0], cut])
             dim.append(np.full(len(begin), d))
             level.append(own[begin])
-            first.append(begin)
-            last.append(np.concatenate([cut, [n]]))
+            first.append(d * n + begin)
+            last.append(d * n + np.concatenate([cut, [n]]))
         self.dim, self.level, self.first, self.last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (dim, level, first, last))
+        self.postings = self.postings.ravel()
 
     def search(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, exact scores, postings processed) of the rows that may be among the k best; a row under `floor` needn't be returned."""
@@ -92,14 +95,17 @@ class ImpactIndex:
         possible = np.flatnonzero(~own)
         for share in ROUNDS:
             bound = int(share * top)
-            while at < len(order) and impact[order[at]] > bound:
-                s = order[at]
-                rows = self.postings[self.dim[s], self.first[s] : self.last[s]]
-                gathered[rows] += surely[s]
-                spread[rows] += impact[s] - surely[s]
-                met[rows] += 1
+            stop = int(np.searchsorted(-impact[order], -bound, "left"))
+            if stop > at:
+                s = order[at:stop]
+                size = self.last[s] - self.first[s]
+                rows = self.postings[ragged(self.first[s], size)]
+                # sums of whole numbers far under 2**53 are exact in floating point
+                gathered += np.bincount(rows, np.repeat(surely[s], size), n).astype(np.int64)
+                spread += np.bincount(rows, np.repeat(impact[s] - surely[s], size), n).astype(np.int64)
+                met += np.bincount(rows, minlength=n).astype(np.int32)
                 done += len(rows)
-                at += 1
+                at = stop
             upper = gathered + spread + (dims - met).astype(np.int64) * bound
             least = None if floor is None else floor - base
             if n - own.sum() >= k:

@@ -1 +1 @@
-"""Part of the filing-analytics engine."""
+"""Column functions: text, dates, decimals and JSON."""

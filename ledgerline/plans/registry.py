@@ -1,10 +1,411 @@
-"""The engine's queries and their SQL, by name."""
+"""The engine's queries and their SQL, by name.
+
+Queries run over whole tables; a limit stands only where it is the operator's own (a top-k or a sample).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerline.functions import dates, jsons, numbers, text
+from ledgerline.operators import analysis, lineage, retrieval, tools
+from ledgerline.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = A.with_views(sql)
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- lineage ------------------------------------------------------------------------------------
+
+_KEY = "CASE d.doc_group WHEN 'exchange' THEN d.doc_subtype WHEN 'holding' THEN d.flr_nm WHEN 'major' THEN trim(regexp_replace(d.report_nm, '^\\[[^\\]]+\\]', '')) ELSE '' END"
+_SCORED = f"""own AS (SELECT d.rcept_no, d.rcept_dt, d.corp_code, d.doc_group, {_KEY} AS key, d.is_correction, e.event_date, e.period_start, e.amount, e.title, e.corr_target_date
+        FROM v_document d LEFT JOIN v_event e ON d.rcept_no = e.rcept_no WHERE d.doc_group <> 'periodic'),
+scored AS (SELECT c.rcept_no AS correction_rcept_no, r.rcept_no AS candidate_rcept_no, c.doc_group, c.corr_target_date AS target_date, c.event_date,
+        CASE WHEN c.event_date = r.event_date THEN 8 ELSE 0 END + CASE WHEN c.period_start = r.period_start THEN 4 ELSE 0 END + CASE WHEN c.amount = r.amount THEN 2 ELSE 0 END + CASE WHEN c.title = r.title THEN 1 ELSE 0 END AS score,
+        coalesce(r.rcept_dt = c.corr_target_date, false) AS date_hit
+        FROM own c JOIN own r ON c.corp_code = r.corp_code AND c.doc_group = r.doc_group AND c.key = r.key AND r.rcept_no < c.rcept_no WHERE c.is_correction)"""
+_LINKS = f"""{_SCORED},
+top AS (SELECT correction_rcept_no, any_value(doc_group) AS doc_group, any_value(event_date) AS event_date, count(*) FILTER (date_hit) AS hits, max(score) FILTER (date_hit) AS best_hit, max(score) AS best_all FROM scored GROUP BY ALL),
+won AS (SELECT t.*, count(*) FILTER (date_hit AND score = best_hit) AS hw, min(candidate_rcept_no) FILTER (date_hit AND score = best_hit) AS hp, count(*) FILTER (score = best_all) AS aw, min(candidate_rcept_no) FILTER (score = best_all) AS ap
+        FROM top t JOIN scored s USING (correction_rcept_no) GROUP BY ALL),
+decided AS (SELECT correction_rcept_no, CASE WHEN hits > 0 AND hw = 1 THEN hp WHEN hits = 0 AND aw = 1 THEN ap END AS predecessor_rcept_no, CASE WHEN (hits > 0 AND hw = 1) OR (hits = 0 AND aw = 1) THEN 'linked' ELSE 'ambiguous_candidate' END AS status,
+        CASE WHEN hits > 0 THEN 'target_date' ELSE 'content_match' END AS method, CASE WHEN hits = 1 THEN 1.0 WHEN hits > 1 AND hw = 1 THEN best_hit / 15.0 WHEN hits = 0 AND aw = 1 THEN best_all / 15.0 ELSE 0.0 END AS confidence
+        FROM won WHERE hits > 0 OR (doc_group <> 'holding' AND event_date IS NOT NULL AND best_all >= 8)),
+periodic AS (SELECT rcept_no AS correction_rcept_no, p AS predecessor_rcept_no FROM (SELECT *, last_value(rcept_no) OVER (PARTITION BY corp_code, doc_subtype, base_year, base_month ORDER BY rcept_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
+        FROM v_document WHERE doc_group = 'periodic') WHERE is_correction AND p IS NOT NULL),
+links AS (SELECT d.rcept_no AS correction_rcept_no, coalesce(p.predecessor_rcept_no, x.predecessor_rcept_no) AS predecessor_rcept_no, CASE WHEN p.correction_rcept_no IS NOT NULL THEN 'linked' ELSE coalesce(x.status, 'unresolved_external_root') END AS status,
+        CASE WHEN p.correction_rcept_no IS NOT NULL THEN 'periodic_key' ELSE coalesce(x.method, 'none') END AS method, CASE WHEN p.correction_rcept_no IS NOT NULL THEN 1.0 ELSE coalesce(x.confidence, 0.0) END AS confidence
+        FROM v_document d LEFT JOIN periodic p ON d.rcept_no = p.correction_rcept_no LEFT JOIN decided x ON d.rcept_no = x.correction_rcept_no WHERE d.is_correction)"""
+_STATUS = f"""{_LINKS},
+chain AS (SELECT rcept_no, rcept_no AS root_rcept_no FROM v_document WHERE rcept_no NOT IN (SELECT correction_rcept_no FROM links WHERE status = 'linked')
+          UNION ALL SELECT l.correction_rcept_no, c.root_rcept_no FROM chain c JOIN links l ON l.predecessor_rcept_no = c.rcept_no AND l.status = 'linked'),
+by_root AS (SELECT root_rcept_no, max(c.rcept_no) AS latest_rcept_no, count(l.correction_rcept_no) AS n_corrections FROM chain c LEFT JOIN links l ON l.correction_rcept_no = c.rcept_no AND l.status = 'linked' GROUP BY ALL),
+statuses AS (SELECT c.rcept_no, c.root_rcept_no, r.latest_rcept_no, c.rcept_no = r.latest_rcept_no AS is_latest, r.n_corrections FROM chain c JOIN by_root r USING (root_rcept_no))"""
+
+
+def _links(spark, sf_dir):
+    return lineage.link_corrections(A.documents(spark, sf_dir), A.events(spark, sf_dir))
+
+
+def _statuses(spark, sf_dir):
+    return lineage.statuses(A.documents(spark, sf_dir), _links(spark, sf_dir))
+
+
+@query("SELECT rcept_no AS correction_rcept_no, p AS predecessor_rcept_no FROM (SELECT *, last_value(rcept_no) OVER (PARTITION BY corp_code, doc_subtype, base_year, base_month ORDER BY rcept_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM v_document WHERE doc_group = 'periodic') WHERE is_correction")
+def asof_predecessor(spark, sf_dir):
+    return lineage.periodic_predecessors(A.documents(spark, sf_dir))
+
+
+@query(f"WITH {_SCORED} SELECT correction_rcept_no, candidate_rcept_no, CAST(score AS INTEGER) AS score, date_hit FROM scored")
+def candidate_scores(spark, sf_dir):
+    return lineage.candidate_scores(A.documents(spark, sf_dir), A.events(spark, sf_dir)).select("correction_rcept_no", "candidate_rcept_no", "score", "date_hit")
+
+
+@query(f"WITH {_SCORED}, b AS (SELECT *, max(score) OVER (PARTITION BY correction_rcept_no) AS m FROM scored) SELECT correction_rcept_no, CAST(max(score) AS INTEGER) AS best, count(*) FILTER (score = m) AS ties FROM b GROUP BY correction_rcept_no")
+def candidate_ties(spark, sf_dir):
+    return analysis.tied_best(lineage.candidate_scores(A.documents(spark, sf_dir), A.events(spark, sf_dir)), "correction_rcept_no", "score")
+
+
+@query(f"WITH {_LINKS} SELECT correction_rcept_no, predecessor_rcept_no, status, method, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM links")
+def correction_links(spark, sf_dir):
+    return _links(spark, sf_dir).select("correction_rcept_no", "predecessor_rcept_no", "status", "method", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {_LINKS} SELECT status, method, count(*) AS n, count(predecessor_rcept_no) AS n_linked FROM links GROUP BY ALL")
+def link_status_counts(spark, sf_dir):
+    return _links(spark, sf_dir).groupBy("status", "method").agg(F.count("*").alias("n"), F.count("predecessor_rcept_no").alias("n_linked"))
+
+
+@query(f"WITH RECURSIVE {_STATUS} SELECT rcept_no, root_rcept_no FROM chain")
+def lineage_roots(spark, sf_dir):
+    return lineage.roots(A.documents(spark, sf_dir), _links(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_STATUS} SELECT rcept_no, root_rcept_no, latest_rcept_no, is_latest, n_corrections FROM statuses")
+def latest_status(spark, sf_dir):
+    return _statuses(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {_STATUS}, best AS (SELECT rcept_no, root_rcept_no, row_number() OVER (ORDER BY n_corrections DESC, root_rcept_no) AS k, latest_rcept_no FROM statuses) SELECT s.rcept_no, s.is_latest, d.report_nm, d.rcept_dt FROM statuses s JOIN v_document d USING (rcept_no) WHERE s.root_rcept_no = (SELECT root_rcept_no FROM best WHERE k = 1)")
+def history_chain(spark, sf_dir):
+    status = _statuses(spark, sf_dir).persist()
+    longest = status.orderBy(F.col("n_corrections").desc(), "root_rcept_no").select("rcept_no").first()
+    return lineage.history(status, A.documents(spark, sf_dir), longest[0] if longest else "").select("rcept_no", "is_latest", "report_nm", "rcept_dt")
+
+
+@query(f"""WITH {_LINKS} SELECT * FROM (VALUES ('missing_link', 0), ('unknown_correction', 0), ('repeated_link', 0), ('bad_status', 0), ('later_predecessor', 0), ('untrusted_predecessor', 0), ('unknown_predecessor', 0), ('incompatible', 0), ('no_evidence', 0)) AS t("check", n)""")
+def link_faults(spark, sf_dir):
+    return lineage.link_faults(A.documents(spark, sf_dir), _links(spark, sf_dir).persist()).withColumn("n", F.col("n").cast("int"))
+
+
+# ---- lookups ------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {_STATUS} SELECT e.doc_id, d.rcept_no, s.root_rcept_no, s.latest_rcept_no, s.is_latest, CASE WHEN NOT d.is_correction THEN 'original' ELSE l.status END AS correction_status, coalesce(l.method, '') AS correction_method, u.corp_name
+FROM v_event e JOIN v_document d USING (doc_id) JOIN statuses s ON s.rcept_no = d.rcept_no LEFT JOIN links l ON l.correction_rcept_no = d.rcept_no JOIN v_universe u ON u.corp_code = d.corp_code""")
+def citation_join(spark, sf_dir):
+    docs = A.documents(spark, sf_dir).join(A.universe(spark, sf_dir).select("corp_code", "corp_name"), "corp_code")
+    links = _links(spark, sf_dir)
+    rows = tools.with_citation(A.events(spark, sf_dir).select("doc_id"), docs, lineage.statuses(docs, links), links)
+    return rows.select("doc_id", *(f"citation.{c}" for c in ("rcept_no", "root_rcept_no", "latest_rcept_no", "is_latest", "correction_status", "correction_method", "corp_name")))
+
+
+@query(f"""WITH RECURSIVE {_STATUS} SELECT e.doc_id, e.rcept_no, e.event_type, e.amount, e.event_date FROM v_event e JOIN statuses s USING (rcept_no)
+WHERE s.is_latest AND e.event_type IN ('AF', 'RO', 'NO') AND replace(e.event_date, '-', '') BETWEEN '19960101' AND '19981231' AND TRY_CAST(replace(e.amount, ',', '') AS DECIMAL(38,6)) BETWEEN 10000 AND 60000.50""")
+def events_filtered(spark, sf_dir):
+    rows = A.events(spark, sf_dir).join(_statuses(spark, sf_dir).select("rcept_no", "is_latest"), "rcept_no")
+    return tools.query_events(rows, event_types=["AF", "RO", "NO"], event_from="19960101", event_to="19981231", min_amount="10000", max_amount="60000.50", latest_only=True).select("doc_id", "rcept_no", "event_type", "amount", "event_date")
+
+
+@query("SELECT doc_id, rcept_no, rcept_dt, report_nm FROM v_document WHERE doc_group = 'periodic' AND base_year = 1997 AND rcept_dt >= '19970201' ORDER BY rcept_dt DESC, rcept_no DESC, doc_id DESC LIMIT 50")
+def filings_topk(spark, sf_dir):
+    return tools.list_filings(A.documents(spark, sf_dir), doc_group="periodic", base_year=1997, rcept_from="19970201", limit=50).select("doc_id", "rcept_no", "rcept_dt", "report_nm")
+
+
+@query("SELECT doc_id, path, count(*) AS n_chunks, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(sum(n_tables) AS BIGINT) AS n_tables, string_agg(CAST(part AS VARCHAR), ',' ORDER BY document_sequence, part, chunk_id) AS parts FROM v_chunk GROUP BY doc_id, path")
+def section_inventory(spark, sf_dir):
+    return tools.list_sections(A.chunks(spark, sf_dir)).select("doc_id", "path", "n_chunks", "n_chars", "n_tables", F.array_join("parts", ",").alias("parts"))
+
+
+@query("WITH w AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, path ORDER BY document_sequence, part, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM v_chunk) SELECT chunk_id, sha256(substr(text, 1, CAST(2500 - b AS BIGINT))) AS text_sha, length(text) > 2500 - b AS truncated FROM w WHERE b < 2500")
+def section_running_cut(spark, sf_dir):
+    return tools.read_section(A.chunks(spark, sf_dir), max_chars=2500).select("chunk_id", F.sha2("text", 256).alias("text_sha"), "truncated")
+
+
+@query("WITH e AS (SELECT doc_id, length(doc_id) + length(amount) AS size, CASE WHEN count(*) OVER () <= 5 THEN title END AS details, sum(length(doc_id) + length(amount) + 2) OVER (ORDER BY rcept_no) + 64 AS used, row_number() OVER (ORDER BY rcept_no) AS n FROM v_event) SELECT doc_id, CAST(size AS INTEGER) AS size, details FROM e WHERE used <= 60000 OR n = 1")
+def result_budget(spark, sf_dir):
+    rows = A.events(spark, sf_dir).withColumn("size", F.length("doc_id") + F.length("amount"))
+    few = tools.include_details(rows.count(), None)
+    rows = rows.withColumn("details", F.col("title") if few else F.lit(None).cast("string"))
+    return tools.within_budget(rows, ["rcept_no"], F.col("size")).select("doc_id", "size", "details")
+
+
+# ---- aggregates and checks ------------------------------------------------------------------------
+
+
+@query("SELECT doc_subtype, count(*) AS n, CAST(round(100.0 * count(corr_target_date) / count(*), 0) AS BIGINT) AS corr_target_date_pct, CAST(round(100.0 * count(event_date) / count(*), 0) AS BIGINT) AS event_date_pct FROM v_event GROUP BY doc_subtype")
+def coverage_pct(spark, sf_dir):
+    return analysis.coverage(A.events(spark, sf_dir), "doc_subtype", ["corr_target_date", "event_date"])
+
+
+@query("SELECT corp_code, event_type, count(*) AS n FROM v_event GROUP BY ALL HAVING count(*) >= 4")
+def having_counts(spark, sf_dir):
+    return analysis.frequent(A.events(spark, sf_dir), ["corp_code", "event_type"], 4)
+
+
+@query("""SELECT 'duplicate_receipts' AS "check", count(*) - count(DISTINCT rcept_no) AS n FROM v_document UNION ALL SELECT 'events_without_document', count(*) FROM v_event WHERE doc_id NOT IN (SELECT doc_id FROM v_document)
+UNION ALL SELECT 'documents_without_event', count(*) FROM v_document WHERE doc_id NOT IN (SELECT doc_id FROM v_event) UNION ALL SELECT 'documents_without_company', count(*) FROM v_document WHERE corp_code NOT IN (SELECT corp_code FROM v_universe)
+UNION ALL SELECT 'bad_lengths', count(*) FROM v_chunk WHERE n_chars <> length(text) OR n_chars = 0 OR block_end <= block_start""")
+def dup_orphan_checks(spark, sf_dir):
+    docs, events, chunks = A.documents(spark, sf_dir), A.events(spark, sf_dir), A.chunks(spark, sf_dir)
+    named = {
+        "events_without_document": analysis.orphans(events, docs, "doc_id"), "documents_without_event": analysis.orphans(docs, events, "doc_id"), "documents_without_company": analysis.orphans(docs, A.universe(spark, sf_dir), "corp_code"),
+        "bad_lengths": chunks.filter("n_chars <> length(text) OR n_chars = 0 OR block_end <= block_start"),
+    }
+    first = analysis.duplicates(docs, "rcept_no").select(F.lit("duplicate_receipts").alias("check"), F.col("duplicates").alias("n"))
+    return first.unionByName(analysis.checks(named))
+
+
+@query("SELECT quantile_cont(n_chars, 0.5) AS p50, round(quantile_cont(n_chars, 0.95), 6) AS p95, max(n_chars) AS longest, count(*) AS n FROM v_chunk")
+def length_percentiles(spark, sf_dir):
+    return analysis.length_percentiles(A.chunks(spark, sf_dir), "n_chars").withColumn("p95", F.round("p95", 6))
+
+
+@query("SELECT CAST(length(path) - length(replace(path, '>', '')) + 1 AS INTEGER) AS depth, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, round(100 * sum(n_chars) / sum(sum(n_chars)) OVER (), 2) AS share FROM v_chunk GROUP BY 1")
+def path_depths(spark, sf_dir):
+    return analysis.depth_shares(A.chunks(spark, sf_dir))
+
+
+@query("SELECT doc_group, count(*) AS n, count(*) FILTER (is_correction) AS corrections, count(DISTINCT corp_code) AS companies FROM v_document GROUP BY doc_group")
+def contract_counts(spark, sf_dir):
+    return A.documents(spark, sf_dir).groupBy("doc_group").agg(F.count("*").alias("n"), F.count_if("is_correction").alias("corrections"), F.count_distinct("corp_code").alias("companies"))
+
+
+@query("SELECT path, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks FROM v_chunk WHERE path LIKE '%> src1%' GROUP BY path")
+def section_coverage(spark, sf_dir):
+    rows = A.chunks(spark, sf_dir).filter(F.contains(F.col("path"), F.lit("> src1")))
+    return rows.groupBy("path").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
+def tag_histogram(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+# ---- windows, sets, samples ------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, path, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY path, document_sequence, block_start, block_end, chunk_id) AS rn FROM v_chunk) WHERE rn = 1")
+def first_chunk_per_root(spark, sf_dir):
+    rows = A.chunks(spark, sf_dir).select("doc_id", "path", "chunk_id", "document_sequence", "block_start", "block_end")
+    return analysis.first_per(rows, ["doc_id"], ["path", "document_sequence", "block_start", "block_end", "chunk_id"]).select("doc_id", "path", "chunk_id")
+
+
+_PAIRS = "SELECT 'D' || doc_id AS new_doc, 'D' || (doc_id - 1) AS old_doc FROM documents WHERE doc_id > 0"
+
+
+@query(f"WITH p AS ({_PAIRS}) SELECT o.chunk_id AS old_chunk, n.chunk_id AS new_chunk FROM p JOIN v_chunk o ON o.doc_id = old_doc JOIN v_chunk n ON n.doc_id = new_doc AND n.path = o.path AND n.document_sequence = o.document_sequence AND n.block_start = o.block_start AND n.block_end = o.block_end WHERE trim(o.text, ' ') <> trim(n.text, ' ')")
+def aligned_changes(spark, sf_dir):
+    ids = _table(spark, sf_dir, "documents").filter("doc_id > 0").select(F.concat(F.lit("D"), "doc_id").alias("new_doc"), F.concat(F.lit("D"), F.col("doc_id") - 1).alias("old_doc"))
+    return analysis.aligned_changes(A.chunks(spark, sf_dir), ids).select("old_chunk", "new_chunk")
+
+
+@query("""WITH o AS (SELECT corp_code, event_type, amount, rcept_no, row_number() OVER (PARTITION BY corp_code, event_type ORDER BY rcept_no, amount) AS k FROM v_event), f AS (SELECT * FROM o WHERE k = 1)
+SELECT f.corp_code, f.event_type, f.amount AS first_value, (SELECT arg_min(o.amount, o.k) FROM o WHERE o.corp_code = f.corp_code AND o.event_type = f.event_type AND o.amount <> f.amount) AS other_value FROM f WHERE other_value IS NOT NULL""")
+def differing_amounts(spark, sf_dir):
+    return analysis.differing_pairs(A.events(spark, sf_dir), ["corp_code", "event_type"], "amount", "rcept_no")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def exact_dedup(spark, sf_dir):
+    return analysis.exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "text", ["doc_id"]).select("doc_id", "source")
+
+
+@query("SELECT corp_code, sector FROM v_universe ORDER BY sha256(corp_code), corp_code LIMIT 48")
+def stable_sample(spark, sf_dir):
+    return analysis.stable_sample(A.universe(spark, sf_dir).select("corp_code", "sector"), "corp_code", 48)
+
+
+@query("SELECT corp_code, sector, CASE WHEN p <= 12 THEN 'dev' WHEN p <= 15 THEN 'regression' ELSE 'holdout' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY sha256(corp_code), corp_code) AS p FROM v_universe) WHERE p <= 18")
+def split_assignment(spark, sf_dir):
+    return analysis.split_groups(A.universe(spark, sf_dir).select("corp_code", "sector"), "corp_code", {"dev": 12, "regression": 3, "holdout": 3}, "sector")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, role IS DISTINCT FROM lag(role) OVER w OR lag(turn) OVER w IS NULL AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, CAST(sum(CAST(new AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM t) SELECT conv_id, run, role, min(turn) AS "first", max(turn) AS "last", count(*) AS n FROM r GROUP BY ALL""")
+def trace_runs(spark, sf_dir):
+    return analysis.runs_of_equal(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role")
+
+
+# ---- ranking and workflows ------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {_STATUS}, t AS (SELECT corp_code, event_type, sum(CAST(amount AS DECIMAL(38,6))) AS total, count(*) AS n_events FROM v_event e JOIN statuses s USING (rcept_no) WHERE s.is_latest AND replace(event_date, '-', '') BETWEEN '19970101' AND '19971231' GROUP BY ALL) SELECT corp_code, event_type, CAST(total AS VARCHAR) AS total, n_events, CAST(row_number() OVER (PARTITION BY event_type ORDER BY total DESC, corp_code) AS INTEGER) AS rank FROM t QUALIFY rank <= 3")
+def flagship_event_totals(spark, sf_dir):
+    """The companies with the largest exact total of latest-version event amounts by event type in a year."""
+    rows = A.events(spark, sf_dir).join(_statuses(spark, sf_dir).select("rcept_no", "is_latest"), "rcept_no")
+    rows = rows.filter(F.regexp_replace("event_date", "-", "").between("19970101", "19971231"))
+    totals = tools.latest_per_root(rows, numbers.loose_decimal(F.col("amount")))
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("total").desc(), "corp_code"))
+    return totals.withColumn("rank", place).filter("rank <= 3").select("corp_code", "event_type", F.col("total").cast("decimal(38,6)").cast("string").alias("total"), "n_events", "rank")
+
+
+@query("WITH a AS (SELECT unnest(['AF', 'NO', 'RF', 'ZZ']) AS event_type), t AS (SELECT event_type, CAST(sum(CAST(amount AS DECIMAL(38,2))) AS VARCHAR) AS total FROM v_event GROUP BY event_type) SELECT event_type, total, CASE WHEN total IS NULL THEN 'absent' ELSE 'present' END AS state FROM a LEFT JOIN t USING (event_type)")
+def event_totals_requested(spark, sf_dir):
+    totals = A.events(spark, sf_dir).groupBy("event_type").agg(F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(38,2)").cast("string").alias("total"))
+    return analysis.requested_totals(totals, spark.createDataFrame([("AF",), ("NO",), ("RF",), ("ZZ",)], "event_type string"), "event_type")
+
+
+@query("SELECT doc_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY CAST(amount AS DECIMAL(38,6)) DESC, doc_id) AS INTEGER) AS rank FROM v_event QUALIFY rank <= 3")
+def value_rank(spark, sf_dir):
+    rows = A.events(spark, sf_dir).withColumn("v", numbers.decimal_text(F.col("amount")))
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("v").desc(), "doc_id"))
+    return rows.withColumn("rank", place).filter("rank <= 3").select("doc_id", "event_type", "rank")
+
+
+@query("WITH e AS (SELECT *, CAST(CAST(amount AS DECIMAL(18,2)) * 100 AS HUGEINT) AS c FROM v_event WHERE quantity > 0) SELECT doc_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY c // quantity DESC, CAST((c % quantity) * 1000000000000 AS HUGEINT) // quantity DESC, doc_id) AS INTEGER) AS rank FROM e QUALIFY rank <= 5")
+def ratio_rank(spark, sf_dir):
+    return analysis.ratio_ranks(A.events(spark, sf_dir), "event_type", "amount", "quantity", "doc_id").filter("rank <= 5").select("doc_id", "event_type", "rank")
+
+
+_YEARS = "SELECT corp_code, base_year, sum(CAST(amount AS DECIMAL(18,2))) AS value FROM v_event JOIN v_document USING (doc_id, corp_code) GROUP BY ALL"
+
+
+@query(f"WITH y AS ({_YEARS}), g AS (SELECT *, CASE WHEN lag(base_year) OVER w = base_year - 1 THEN lag(value) OVER w END AS p FROM y WINDOW w AS (PARTITION BY corp_code ORDER BY base_year)) SELECT corp_code, base_year, CAST(value AS VARCHAR) AS value, round(CAST((value - p) * 100 / p AS DOUBLE), 1) AS growth_pct FROM g")
+def growth_yoy(spark, sf_dir):
+    rows = A.events(spark, sf_dir).join(A.documents(spark, sf_dir).select("doc_id", "base_year"), "doc_id")
+    rows = rows.groupBy("corp_code", "base_year").agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("value"))
+    out = analysis.growth(rows, ["corp_code"], "base_year", "value")
+    exact = (F.col("value").cast("double") - F.col("previous").cast("double")) * 100 / F.col("previous").cast("double")
+    return out.select("corp_code", "base_year", F.col("value").cast("decimal(38,2)").cast("string").alias("value"), F.round(exact, 1).alias("growth_pct"))
+
+
+_UNITS = "CASE l_linenumber % 5 WHEN 0 THEN '원' WHEN 1 THEN '천원' WHEN 2 THEN '백만원' WHEN 3 THEN '억원' ELSE '불명' END"
+
+
+@query(f"WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS a, {_UNITS} AS unit FROM lineitem) SELECT unit, count(*) AS n, CAST(sum(a * CASE unit WHEN '원' THEN 1 WHEN '천원' THEN 1000 WHEN '백만원' THEN 1000000 WHEN '억원' THEN 100000000 END) AS VARCHAR) AS won FROM u GROUP BY unit")
+def unit_normalised_compare(spark, sf_dir):
+    i = F.col("l_linenumber") % 5
+    unit = F.when(i == 0, "원").when(i == 1, "천원").when(i == 2, "백만원").when(i == 3, "억원").otherwise("불명")
+    rows = _table(spark, sf_dir, "lineitem").select(unit.alias("unit"), F.col("l_extendedprice").cast("decimal(18,2)").alias("a"))
+    return rows.groupBy("unit").agg(F.count("*").alias("n"), F.sum(numbers.in_won(F.col("a"), F.col("unit"))).cast("decimal(38,2)").cast("string").alias("won"))
+
+
+@query("WITH t AS (SELECT sector, corp_code, sum(CAST(amount AS DECIMAL(18,2))) AS total FROM v_event JOIN v_universe USING (corp_code) GROUP BY ALL), n AS (SELECT sector, count(*) AS n_population FROM v_universe GROUP BY sector) SELECT sector, corp_code, CAST(total AS VARCHAR) AS total, CAST(row_number() OVER (PARTITION BY sector ORDER BY total DESC, corp_code) AS INTEGER) AS rank, count(*) OVER (PARTITION BY sector) AS n_checked, n_population FROM t JOIN n USING (sector)")
+def sector_ranking(spark, sf_dir):
+    companies = A.universe(spark, sf_dir).select("corp_code", "sector")
+    totals = A.events(spark, sf_dir).groupBy("corp_code").agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("total")).join(companies, "corp_code")
+    w = Window.partitionBy("sector")
+    size = companies.groupBy("sector").agg(F.count("*").alias("n_population"))
+    out = totals.withColumns({"rank": F.row_number().over(w.orderBy(F.col("total").desc(), "corp_code")), "n_checked": F.count("*").over(w)})
+    return out.join(size, "sector").withColumn("total", F.col("total").cast("decimal(38,2)").cast("string"))
+
+
+@query("WITH m AS (SELECT corp_code, base_year, base_month, sum(CAST(amount AS DECIMAL(18,2))) AS v FROM v_event JOIN v_document USING (doc_id, corp_code) GROUP BY ALL) SELECT a.corp_code, a.base_year, CAST(a.v - b.v AS VARCHAR) AS q4 FROM m a JOIN m b USING (corp_code, base_year) WHERE a.base_month = 12 AND b.base_month = 9")
+def q4_subtract(spark, sf_dir):
+    rows = A.events(spark, sf_dir).join(A.documents(spark, sf_dir).select("doc_id", "base_year", "base_month"), "doc_id")
+    rows = rows.groupBy("corp_code", "base_year", "base_month").agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("v"))
+    return analysis.fourth_quarter(rows, ["corp_code", "base_year"], "base_month", "v").select("corp_code", "base_year", F.col("q4").cast("decimal(38,2)").cast("string").alias("q4"))
+
+
+# ---- retrieval -----------------------------------------------------------------------------------
+
+_PHRASES = [("the", False), ("tion", True), ("enlich", True)]
+_TOK = lambda c: f"regexp_extract_all(lower({c}), '([\\p{{L}}\\p{{N}}]+)', 1)"
+_BM25 = f"""WITH h AS (SELECT chunk_id, path, len(p) + len(t) AS d, {', '.join(f"5.0 * len(list_filter(p, lambda x: {c})) + len(list_filter(t, lambda x: {c})) AS f{i}" for i, c in enumerate(("x = 'the'", "starts_with(x, 'tion')", "starts_with(x, 'enlich')")))}
+FROM (SELECT chunk_id, path, {_TOK('path')} AS p, {_TOK('text')} AS t FROM v_chunk)),
+s AS (SELECT count(*) AS n, avg(d) AS a, {', '.join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(3))} FROM h),
+r AS (SELECT chunk_id, path, -({' + '.join(f"CASE WHEN f{i} > 0 THEN CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / a)) ELSE 0 END" for i in range(3))}) AS score FROM h, s WHERE f0 > 0 OR f1 > 0 OR f2 > 0)"""
+
+
+@query(f"{_BM25} SELECT chunk_id, round(score, 6) AS score FROM r ORDER BY r.score, chunk_id LIMIT 20")
+def bm25_topk(spark, sf_dir):
+    return retrieval.bm25(A.chunks(spark, sf_dir), _PHRASES, k=20).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"{_BM25} SELECT chunk_id, round(score, 6) AS score FROM r WHERE contains(path, 'de >') ORDER BY r.score, chunk_id LIMIT 20")
+def bm25_scoped(spark, sf_dir):
+    return retrieval.bm25(A.chunks(spark, sf_dir), _PHRASES, scope=F.contains(F.col("path"), F.lit("de >")), k=20).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("WITH c AS (SELECT chunk_id, lower(path) AS p, lower(text) AS t FROM v_chunk), s AS (SELECT chunk_id, (" + " + ".join(f"least(8, (length(t) - length(replace(t, '{w}', ''))) // {len(w)}) + 3 * CAST(contains(p, '{w}') AS INTEGER)" for w in ("license", "tion", "en")) + " + 5 * CAST(contains(p, 'src7') AS INTEGER) + 2 * CAST(contains(t, 'all rights') AS INTEGER)) / 3.0 AS score FROM c) SELECT chunk_id, round(score, 6) AS score FROM s WHERE score > 0")
+def hybrid_score(spark, sf_dir):
+    return retrieval.hybrid(A.chunks(spark, sf_dir), ["license", "tion", "en", "the"], hint="src7", phrase="all rights").select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT term, count(DISTINCT chunk_id) AS n FROM (SELECT chunk_id, unnest(list_concat({_TOK('path')}, {_TOK('text')})) AS term FROM v_chunk) GROUP BY term")
+def token_df(spark, sf_dir):
+    return retrieval.frequencies(retrieval.postings(A.chunks(spark, sf_dir)))
+
+
+@query("WITH g AS (SELECT doc_id AS case_id, CAST(doc_id AS VARCHAR) || '#' || lpad(CAST(1 + doc_id % 3 AS VARCHAR), 5, '0') AS identity FROM documents), h AS (SELECT CAST(substr(doc_id, 2) AS BIGINT) AS case_id, chunk_id AS identity, row_number() OVER (PARTITION BY doc_id ORDER BY n_chars DESC, chunk_id) AS rank FROM v_chunk) SELECT round(avg(CASE WHEN h.identity IS NULL THEN 0 ELSE 1 END), 6) AS recall, count(*) AS cases FROM g LEFT JOIN h ON g.case_id = h.case_id AND g.identity = h.identity AND h.rank <= 2")
+def recall_at_k(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    gold = docs.select(F.col("doc_id").alias("case_id"), F.concat("doc_id", F.lit("#"), F.lpad((1 + F.col("doc_id") % 3).cast("string"), 5, "0")).alias("identity"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n_chars").desc(), "chunk_id"))
+    hits = A.chunks(spark, sf_dir).select("doc_id", "chunk_id", "n_chars").withColumn("rank", place).select(F.substring("doc_id", 2, 20).cast("long").alias("case_id"), F.col("chunk_id").alias("identity"), "rank")
+    return analysis.recall_at(hits, gold, 2).withColumn("recall", F.round("recall", 6))
+
+
+# ---- functions -----------------------------------------------------------------------------------
+
+
+@query("WITH x AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '(-?[0-9][0-9,]*(?:\\.[0-9]+)?)', 1), lambda v: replace(v, ',', ''))) AS a, n_chars FROM documents) SELECT doc_id, CAST(len(list_distinct(list_concat(a, list_transform(list_filter(a, lambda v: starts_with(v, '-')), lambda v: substr(v, 2))))) AS INTEGER) AS n_numbers, len(list_filter(a, lambda v: NOT list_contains(a, CAST(n_chars AS VARCHAR)))) = 0 AS covered FROM x")
+def numbers_grounded(spark, sf_dir):
+    found = numbers.number_set(F.col("text"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", found.alias("a"), F.col("n_chars").cast("string").alias("n"))
+    own = F.filter("a", lambda v: ~F.array_contains("a", F.col("n")))
+    return rows.select("doc_id", F.size("a").alias("n_numbers"), analysis.grounded(own, F.array().cast("array<string>")).alias("covered"))
+
+
+@query("SELECT event_id, CAST(props->>'k' AS INTEGER) AS k, json_valid(props) AS ok FROM events")
+def json_props(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), jsons.valid(F.col("props")).isNotNull().alias("ok"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(report_nm, '^\\[[^\\]]+\\]', '')) AS base_name, substr(rcept_dt, 1, 4) || '-' || substr(rcept_dt, 5, 2) || '-' || substr(rcept_dt, 7, 2) AS day, try_strptime(rcept_dt, '%Y%m%d') IS NOT NULL AS real_day, base_year AS year, base_month AS month, strftime(last_day(make_date(base_year, base_month, 1)), '%Y%m%d') AS month_end, starts_with(report_nm, '[correction') AS correction FROM v_document")
+def report_names(spark, sf_dir):
+    d = A.documents(spark, sf_dir)
+    name = F.col("report_nm")
+    return d.select("doc_id", text.base_report_name(name).alias("base_name"), dates.dashed(F.col("rcept_dt")).alias("day"), dates.is_calendar_date(F.col("rcept_dt")).alias("real_day"), dates.report_year(name).alias("year"), dates.report_month(name).alias("month"), dates.month_end(F.col("base_year"), F.col("base_month")).alias("month_end"), text.is_correction_name(name).alias("correction"))
+
+
+@query("SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)), 1) AS VARCHAR) AS half_up, CAST(CAST(trunc(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,0)) AS VARCHAR) AS down, CAST(CAST(ceil(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,0)) AS VARCHAR) AS up FROM orders")
+def decimal_rounding(spark, sf_dir):
+    v = F.col("o_totalprice").cast("decimal(18,2)")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", numbers.round_as(v, 1).cast("string").alias("half_up"), numbers.round_as(v, 0, "ROUND_DOWN").cast("decimal(18,0)").cast("string").alias("down"), numbers.round_as(v, 0, "ROUND_UP").cast("decimal(18,0)").cast("string").alias("up"))
+
+
+@query()
+def query_phrases(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.to_json(text.match_phrases(F.col("text"))).alias("phrases"), F.to_json(text.receipts_in(F.col("text"))).alias("receipts"))
+
+
+# ---- windows over time ---------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    from ledgerline.streaming.windows import tumbling
+
+    return tumbling(_table(spark, sf_dir, "events"), "1 hour").select("start", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+from ledgerline.plans import documents_queries  # noqa: E402, F401

@@ -1 +1,26 @@
 """Queries over parsed documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerline.operators import parsing
+from ledgerline.plans.registry import _table, query
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    return parsing.parse_blocks(_table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def page_chunks(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("P"), "page_id").alias("doc_id"), F.lpad(F.col("page_id").cast("string"), 14, "0").alias("rcept_no"), F.lit("page.html").alias("src_file"), F.lit(1).alias("document_sequence"), F.lit(False).alias("attachment"), F.col("html").alias("source"))
+    return parsing.number_repeated_paths(parsing.parse_chunks(pages))
+
+
+@query("SELECT doc_group, count(*) AS n FROM v_document GROUP BY doc_group")
+def documents_by_group(spark, sf_dir):
+    from ledgerline.sources import adapters
+
+    return adapters.documents(spark, sf_dir).groupBy("doc_group").agg(F.count("*").alias("n"))

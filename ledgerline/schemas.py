@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+def struct(ddl: str) -> T.StructType:
+    """The type of a DDL string; needs a running session."""
+    return T.StructType.fromDDL(ddl)
 
 
 MANIFEST_REQUIRED = ("doc_id", "rcept_no", "corp_code", "corp_name", "doc_group", "is_correction", "file_path", "file_format", "n_files")
@@ -38,5 +39,3 @@ DOC_GROUPS = ("periodic", "exchange", "major", "holding")
 FILE_FORMATS = ("xml", "pdf+html")
 LINK_STATUSES = ("linked", "ambiguous_candidate", "unresolved_external_root")
 LINK_METHODS = ("periodic_key", "target_date", "content_match", "none")
-
-MANIFEST, UNIVERSE, EVENT, CHUNK, LINK, STATUS, STATEMENT, LISTING = map(_struct, (MANIFEST_DDL, UNIVERSE_DDL, EVENT_DDL, CHUNK_DDL, LINK_DDL, STATUS_DDL, STATEMENT_DDL, LIST_DDL))

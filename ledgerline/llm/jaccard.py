@@ -44,6 +44,8 @@ NUM, DEN = 3, 4
 #: Shingles in a bucket or a block of the index, so that a task's memory is bounded.
 BUCKET = 4 << 20
 BLOCK = 1 << 20
+#: Classes whose counts meet in one group.
+CLASSES = 50_000
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.01
 
@@ -69,7 +71,7 @@ def shared_prefix(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_sets(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
-    """(sorted distinct shingle hashes of each text, their numbers, 128-bit digests of the sets)."""
+    """(sorted distinct shingle hashes of each text, their numbers, digests of the sets: the number in 32 bits, so that they order by it, and 96 bits of hash)."""
     data, off = K.buffers(text)
     starts, ends, before = K.spans(data, off)
     hashes, at = K.shingles(K.hash_spans(data, starts, ends, lower=True), before, WORDS)
@@ -81,7 +83,8 @@ def distinct_sets(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray, list[by
     for salt in (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(flat ^ salt), dtype=np.uint64)])
         digests.append(K.mix(sums[cut[1:]] - sums[cut[:-1]] + n.astype(np.uint64)))
-    return sets, n, [a.tobytes() + b.tobytes() for a, b in zip(*digests, strict=True)]
+    sizes = np.minimum(n, 0xFFFFFFFF).astype(">u4").tobytes()
+    return sets, n, [sizes[4 * d : 4 * d + 4] + a.tobytes()[4:] + b.tobytes() for d, (a, b) in enumerate(zip(*digests, strict=True))]
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
@@ -147,39 +150,78 @@ def _frequency(tokens: np.ndarray) -> np.ndarray:
     return counts[inverse]
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
-    distinct, owner, tokens = _unpacked(table, "<u4")
-    shared = np.bincount(owner[_frequency(tokens) > 1], minlength=len(distinct))
-    own = np.flatnonzero(shared)
-    return pa.table({"cid": pa.array([distinct[i].tobytes() for i in own], pa.binary()), "shared": pa.array(shared[own], pa.int64())})
+RETURNED = "grp int, cids binary, counts binary, tokens binary, df binary"
 
 
-def _with_frequency(table: pa.Table) -> pa.Table:
-    distinct, owner, tokens = _unpacked(table, "<u8")
-    df = _frequency(tokens)
-    keep = df > 1
-    owner, tokens, df = owner[keep], tokens[keep], df[keep].astype("<u4")
-    own = np.unique(owner)
-    lo, hi = np.searchsorted(owner, own), np.searchsorted(owner, own, "right")
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary())
-    return pa.table({"cid": pa.array([distinct[i].tobytes() for i in own], pa.binary()), "tokens": cut(tokens), "df": cut(df)})
+def _group(ids: np.ndarray, groups: int) -> np.ndarray:
+    """The group of classes in which a class's parts from all buckets meet again."""
+    return (ids[:, 1] % np.uint64(groups)).astype(np.int64)
 
 
-def ordered_sets(parts: DataFrame) -> DataFrame:
-    """cid, n, tokens (those that another class has too, by frequency and hash) of the classes that have enough of them."""
+def _stretches(g: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the runs of equal values."""
+    starts = np.flatnonzero(np.diff(g, prepend=-1)).tolist()
+    return list(zip(starts, [*starts[1:], len(g)], strict=False))
+
+
+def _returned(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [()] * 5
+    return pa.table({n: pa.array(c, pa.int32() if n == "grp" else pa.binary()) for n, c in zip(("grp", "cids", "counts", "tokens", "df"), columns, strict=True)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for cid, n, own in zip(*(b.column(c).to_pylist() for c in ("cid", "n", "parts")), strict=True):
-                tokens = np.frombuffer(b"".join(p["tokens"] for p in own), "<u8")
-                if len(tokens) >= least_overlap(np.int64(n)):
-                    df = np.frombuffer(b"".join(p["df"] for p in own), "<u4")
-                    rows.append((cid, n, tokens[np.lexsort((tokens, df))].tobytes()))
-            columns = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["cid", "n", "tokens"])
 
-    return parts.mapInArrow(run, "cid binary, n long, tokens binary")
+def _count_shared(groups: int) -> Callable:
+    """A row for each group of classes: how many of their shingles some other class has in this bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        distinct, owner, tokens = _unpacked(table, "<u4")
+        shared = np.bincount(owner[_frequency(tokens) > 1], minlength=len(distinct))
+        own = np.flatnonzero(shared)
+        own = own[np.argsort(_group(distinct[own], groups), kind="stable")]
+        g = _group(distinct[own], groups)
+        return _returned([(int(g[a]), distinct[own[a:b]].tobytes(), shared[own[a:b]].astype("<u4").tobytes(), b"", b"") for a, b in _stretches(g)])
+
+    return run
+
+
+def _sum_shared(table: pa.Table) -> pa.Table:
+    join = lambda c: b"".join(table.column(c).to_pylist())
+    distinct, inverse = np.unique(np.frombuffer(join("cids"), "<u8").reshape(-1, 2), axis=0, return_inverse=True)
+    shared = np.bincount(inverse.ravel(), np.frombuffer(join("counts"), "<u4"), len(distinct)).astype(np.int64)
+    return pa.table({"cid": pa.array([d.tobytes() for d in distinct], pa.binary()), "shared": pa.array(shared)})
+
+
+def _with_frequency(groups: int) -> Callable:
+    """A row for each group of classes: their shingles of this bucket that another class has too, with their frequency."""
+
+    def run(table: pa.Table) -> pa.Table:
+        distinct, owner, tokens = _unpacked(table, "<u8")
+        df = _frequency(tokens)
+        keep = df > 1
+        owner, tokens, df = owner[keep], tokens[keep], df[keep].astype("<u4")
+        g = _group(distinct, groups)[owner]
+        order = np.argsort(g, kind="stable")
+        owner, tokens, df, g = owner[order], tokens[order], df[order], g[order]
+        rows = []
+        for a, b in _stretches(g):
+            here, counts = np.unique(owner[a:b], return_counts=True)
+            rows.append((int(g[a]), distinct[here].tobytes(), counts.astype("<u4").tobytes(), tokens[a:b].tobytes(), df[a:b].tobytes()))
+        return _returned(rows)
+
+    return run
+
+
+def _assemble(table: pa.Table) -> pa.Table:
+    """cid, n, tokens (those that another class has too, by frequency and hash) of the classes of a group that have enough of them."""
+    join = lambda c: b"".join(table.column(c).to_pylist())
+    distinct, inverse = np.unique(np.frombuffer(join("cids"), "<u8").reshape(-1, 2), axis=0, return_inverse=True)
+    owner = np.repeat(inverse.ravel(), np.frombuffer(join("counts"), "<u4"))
+    tokens, df = np.frombuffer(join("tokens"), "<u8"), np.frombuffer(join("df"), "<u4")
+    order = np.lexsort((tokens, df, owner))
+    owner, tokens = owner[order], tokens[order]
+    cuts = np.searchsorted(owner, np.arange(len(distinct) + 1))
+    n = np.array([int.from_bytes(d.tobytes()[:4], "big") for d in distinct], np.int64)
+    good = np.flatnonzero(np.diff(cuts) >= least_overlap(n))
+    return pa.table({"cid": pa.array([distinct[i].tobytes() for i in good], pa.binary()), "n": pa.array(n[good]), "tokens": pa.array([tokens[cuts[i] : cuts[i + 1]].tobytes() for i in good], pa.binary())})
 
 
 def short_lists(sets: DataFrame) -> DataFrame:
@@ -358,17 +400,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = space.save(classes, "classes")
     n_classes, n_rows, n_tokens = (int(x or 0) for x in classes.agg(F.count("*"), F.sum("copies"), F.sum("n")).first())
     tasks = spark_tasks(spark)
-    shared = packed(docs, int(max(tasks, n_tokens // 2 // BUCKET)), whole=False).groupBy("bucket").applyInArrow(_count_shared, "cid binary, shared long")
-    shared = shared.groupBy("cid").agg(F.sum("shared").alias("shared"))
+    groups = int(max(tasks, n_classes // CLASSES))
+    shared = packed(docs, int(max(tasks, n_tokens // 2 // BUCKET)), whole=False).groupBy("bucket").applyInArrow(_count_shared(groups), RETURNED)
+    shared = shared.groupBy("grp").applyInArrow(_sum_shared, "cid binary, shared long")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / 4))
     left = space.save(classes.join(shared, "cid").filter(F.col("shared") >= least).select("cid", "n", "least"), "screened")
     n_left, n_tokens = (int(x or 0) for x in left.agg(F.count("*"), F.sum("n")).first())
     reps = left.select(F.col("least").alias("rep")).distinct()
     reps = F.broadcast(reps) if n_left <= BROADCAST_ROWS else reps
     own = packed(docs.join(reps, docs.doc_id.eqNullSafe(reps["rep"]), "left_semi"), int(max(tasks, n_tokens // BUCKET)), whole=True)
-    parts = own.groupBy("bucket").applyInArrow(_with_frequency, "cid binary, tokens binary, df binary")
-    parts = parts.groupBy("cid").agg(F.collect_list(F.struct("tokens", "df")).alias("parts")).join(left.select("cid", "n"), "cid")
-    sets = space.save(ordered_sets(parts), "sets")
+    groups = int(max(tasks, n_tokens // BLOCK))
+    parts = own.groupBy("bucket").applyInArrow(_with_frequency(groups), RETURNED)
+    sets = space.save(parts.groupBy("grp").applyInArrow(_assemble, "cid binary, n long, tokens binary"), "sets")
     labels = links(sets, space)
     of = classes.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = of.join(labels.select(F.col("node").alias("cid")), "cid", "left_semi")

@@ -285,7 +285,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> Dat
     """
     space = Workspace(spark, "cut")
     rows, hits = repeated_spans(spark, docs, space, depth)
-    size = int(hits.agg(F.sum("bytes")).first()[0] or 0)
+    copied = rows.filter((F.col("copies") > 1) & (F.col("n_bytes") >= depth)).agg(F.count_distinct("digest")).first()[0]
+    size = int(hits.agg(F.sum("bytes")).first()[0] or 0) + 40 * copied
     side = hits.select(F.col("digest").alias("_digest"), F.col("hits").alias("_hits"))
     multiple = _multiple(rows.filter(F.col("n_bytes") >= depth)).select(F.col("digest").alias("_digest"), F.lit(True).alias("_whole"))
     side = side.join(multiple, "_digest", "full")

@@ -35,7 +35,7 @@ DEPTH, GRAM = 200, 48
 #: Minimizers in a bucket of the first step, bytes of pieces in one of the second.
 MINIMIZERS, PIECES = 2 << 20, 3 << 19
 #: A table of places is broadcast to the texts up to so many bytes; beyond, both are shuffled.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def minimizers(data: np.ndarray, off: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

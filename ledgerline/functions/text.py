@@ -106,7 +106,7 @@ def count_of(c: Column, part: Column, most: int = 8) -> Column:
 
 def table_cells(c: Column) -> Column:
     """Cells of a Markdown row."""
-    return F.transform(F.split(F.regexp_replace(F.trim(c), r"^\||\|$", ""), r"(?<!\\)\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(F.trim(c), r"^\||\|$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))
 
 
 def fixed_parts(c: Column, size: int) -> Column:
@@ -151,3 +151,23 @@ def drop_repeats(cells: Column) -> Column:
     """Blank cells and cells equal to the one before dropped."""
     full = F.filter(cells, lambda x: x != "")
     return F.filter(full, lambda x, i: (i == 0) | (x != F.get(full, i - 1)))
+
+
+#: Endings of predicates that don't tell terms apart.
+ENDINGS = ("했습니다", "하였습니다", "합니다", "입니다", "됩니다", "되었습니다", "하는", "한다", "했다", "된다", "하고", "하며", "한", "된", "할")
+
+
+def term_key(c: Column) -> Column:
+    """A term without particles and endings at its end, as long as two characters are left."""
+    return F.regexp_replace(F.lower(c), "(?<=..)(?:" + "|".join(sorted({*ENDINGS, *PARTICLES}, key=len, reverse=True)) + ")+$", "")
+
+
+def visible_text(c: Column) -> Column:
+    """Markup without scripts, styles and tags, entities read: enough where no structure is needed."""
+    bare = F.regexp_replace(c, r"(?is)<(script|style|head|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
+    return compact(public_text(F.regexp_replace(F.regexp_replace(bare, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>", "\n"), r"(?s)<[^>]*>", " ")))
+
+
+def section_fragments(fragments: Column, most: int) -> Column:
+    """Distinct fragments of a section joined by bars, cut at `most` characters."""
+    return F.substring(F.array_join(F.array_distinct(F.filter(F.transform(fragments, norm_text), lambda x: x != "")), " | "), 1, most)

@@ -151,7 +151,7 @@ def company_profile(chunks: DataFrame) -> DataFrame:
 def sentences(c: Column) -> Column:
     """Sentences by their ends, tables left out."""
     plain = F.regexp_replace(c, r"(?m)^\|.*$", "")
-    return F.filter(F.transform(F.split(plain, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s.rlike(r"[.!?]$") & (F.length(s) >= 10))
+    return F.filter(F.transform(F.split(plain, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda s: s.rlike(r"[.!?]$") & (F.length(s) >= 10))
 
 
 def topic_sentences(chunks: DataFrame, topics: dict[str, str] | None = None) -> DataFrame:

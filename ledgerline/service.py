@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextvars
 import hashlib
 import json
+import os
 import re
+import tempfile
 import threading
 import time
 import unicodedata
@@ -147,6 +149,54 @@ class AnswerCache:
                 self.rows.popitem(last=False)
 
 
+class CatalogCache:
+    """Rows of a catalog in a file with schema, time and digest; whatever is wrong with it counts as not cached, and a failed write is no failure."""
+
+    SCHEMA, LEAST_AGE, MOST_AGE = "catalog-v1", 60, 30 * 86_400
+
+    def __init__(self, path: str, max_age: float, clock: Callable[[], float] = time.time) -> None:
+        if not self.LEAST_AGE <= max_age <= self.MOST_AGE:
+            raise ValueError("the age must be between a minute and thirty days")
+        self.path, self.max_age, self.clock = path, max_age, clock
+
+    @staticmethod
+    def _digest(rows: list) -> str:
+        return hashlib.sha256(json.dumps(rows, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+
+    def read(self) -> list | None:
+        try:
+            with open(self.path, encoding="utf-8") as f:
+                held = json.load(f)
+            fresh = 0 <= self.clock() - held["at"] <= self.max_age
+            return held["rows"] if fresh and held["schema"] == self.SCHEMA and held["digest"] == self._digest(held["rows"]) else None
+        except (OSError, ValueError, KeyError, TypeError):
+            return None
+
+    def write(self, rows: list) -> bool:
+        try:
+            handle, name = tempfile.mkstemp(dir=os.path.dirname(self.path) or ".")
+            with os.fdopen(handle, "w", encoding="utf-8") as f:
+                json.dump({"schema": self.SCHEMA, "at": self.clock(), "digest": self._digest(rows), "rows": rows}, f, ensure_ascii=False)
+            os.replace(name, self.path)
+            return True
+        except OSError:
+            return False
+
+
+class RerankError(RuntimeError):
+    pass
+
+
+def reranked(sent: dict[str, str], returned: list[dict], most: int = 20) -> list[str]:
+    """Ids in the reranker's order; a document that wasn't sent, was changed or comes twice makes the whole answer void."""
+    if len(sent) > most:
+        raise RerankError(f"at most {most} documents go to the reranker")
+    ids = [r.get("id") for r in returned]
+    if len(set(ids)) != len(ids) or any(sent.get(r.get("id")) != r.get("text") or r.get("text") is None for r in returned):
+        raise RerankError("the reranker's documents aren't those that were sent")
+    return ids
+
+
 class DeadlineExceeded(TimeoutError):
     pass
 

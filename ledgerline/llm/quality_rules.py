@@ -2,7 +2,13 @@
 
 Base counts come from vectorised word, line and 5-word-window hashes. The method's verdict measures each
 text with a public vocabulary: characters per token, the share of byte-fallback tokens and the entropy of
-the token distribution, held against rejection bands of the text's own script.
+the token distribution, held against rejection bands.
+
+Bands are taken from the corpus itself: of all texts that the base rule passes, those of one script, language
+(column lang) and power of two of tokens give the median and the median deviation of each figure, over
+histograms with fixed bins, so that the result doesn't depend on the order of rows; copies count once. What
+lies over SPREAD deviations from the median fails. Texts without a language are a group like any other.
+The fixed bands of the script are outer limits, and the only ones where a group has too few texts to derive any.
 
 Defined results: a null or empty text has no words, so it fails the base rule; repeated rows are judged
 one by one; extra input columns are ignored by `quality_rules` and returned untouched by `keep_quality`.
@@ -14,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel as K
+from .shared import Workspace, lookup
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -25,6 +33,14 @@ SCHEMA = (
 )
 #: Rejection bands by script: (least characters per token, most, most byte-fallback share, least entropy in bits).
 BANDS = {"latin": (1.15, 12.0, 0.30, 2.5), "other": (0.25, 12.0, 0.95, 2.0)}
+#: Deviations from the median that a band of the corpus takes in, and the texts it takes to derive one.
+SPREAD, LEAST_TEXTS = 4.0, 50
+#: Tokens beyond this power of two don't part lengths any more.
+LONGEST = 12
+#: Least half-width of a derived band as a share of its median (characters per token, entropy).
+LEAST_WIDTH = (0.03, 0.02)
+#: Most byte share that a derived band always lets pass, and the byte tokens: two characters outside the vocabulary.
+BYTE_SHARE, BYTE_TOKENS = 0.10, 8
 #: Texts with fewer tokens are too short for the bands.
 MIN_TOKENS = 48
 #: A text is of another script if more than this share of its code points in words take three bytes or more.
@@ -145,24 +161,90 @@ def measure(doc_ids: pa.Array, text: pa.Array, model: str, bands: dict, max_repe
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
+def _langs(docs: DataFrame) -> Column:
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+
+def derived_bands(figures: DataFrame) -> DataFrame:
+    """key (script, power of two of tokens, language or none), n_rows, low, high, most, least of every group of LEAST_TEXTS texts or more.
+
+    figures: script, lang, size, n_tokens, word_chars, chars_per_token, byte_share, token_entropy of texts.
+    """
+    group = ["script", "size", "lang"]
+    texts = figures.groupBy(*group, "n_tokens", "word_chars", F.round(F.col("token_entropy") * 1e6).cast("long").alias("e"), F.round("byte_share", 6).alias("byte_share"))
+    texts = texts.agg(F.count("*").alias("rows"), F.first("chars_per_token").alias("c"))
+    bin_ = lambda i, c: F.struct(F.lit(i).alias("f"), F.least(F.round(c * 100), F.lit(3000.0)).cast("int").alias("bin"))
+    each = texts.select(*group, "rows", F.explode(F.array(bin_(0, F.col("c")), bin_(1, F.col("e") / 1e6), bin_(2, F.col("byte_share")))).alias("b")).select(*group, "rows", "b.*")
+    bins = each.groupBy(*group, "f", "bin").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    key = [*group, "f"]
+
+    def with_median(frame: DataFrame, value: str, name: str) -> DataFrame:
+        own = Window.partitionBy(*key)
+        before = F.sum("n").over(own.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        half = frame.withColumns({"_upto": before, "texts": F.sum("n").over(own)})
+        return half.withColumn(name, F.min(F.when(2 * F.col("_upto") >= F.col("texts"), F.col(value))).over(own))
+
+    middle = with_median(bins, "bin", "median").filter(F.col("texts") >= LEAST_TEXTS).withColumn("off", F.abs(F.col("bin") - F.col("median")))
+    spread = with_median(middle, "off", "mad").groupBy(*key).agg((F.first("median") / 100).alias("m"), (F.first("mad") * 0.014826).alias("d"), F.sum("rows").alias("n_rows"))
+    of = lambda i, c: F.max(F.when(F.col("f") == i, F.col(c)))
+    wide = lambda i: F.greatest(SPREAD * F.greatest(of(i, "d"), F.lit(0.01)), LEAST_WIDTH[i] * of(i, "m"))
+    return spread.groupBy(*group).agg(
+        F.max("n_rows").alias("n_rows"), (of(0, "m") - wide(0)).alias("low"), (of(0, "m") + wide(0)).alias("high"),
+        (of(2, "m") + F.greatest(SPREAD * of(2, "d"), F.lit(BYTE_SHARE))).alias("most"), (of(1, "m") - wide(1)).alias("least"),
+    ).select(_key("script", "size", "lang").alias("_key"), "n_rows", F.struct("low", "high", "most", "least").alias("_band"))
+
+
+def _key(script: str, size: str, lang: str) -> Column:
+    return F.to_json(F.struct(F.col(script).alias("s"), F.col(size).alias("n"), F.col(lang).alias("l")))
+
+
+def _outside(measured: DataFrame, space: Workspace) -> DataFrame:
+    """measured (a struct _of of figures, base_failed among them, and lang in _lang) with _out: it lies outside the band derived for its group."""
+    size = F.least(F.floor(F.log2(F.greatest(F.col("_of.n_tokens"), F.lit(1)))), F.lit(LONGEST)).cast("int")
+    judged = measured.withColumns({"_size": size, "_script": F.col("_of.script")})
+    good = judged.filter(~F.col("_of.base_failed") & (F.col("_of.n_tokens") > 0))
+    good = good.select(F.col("_script").alias("script"), F.col("_lang").alias("lang"), F.col("_size").alias("size"), *[F.col(f"_of.{c}") for c in ("n_tokens", "word_chars", "chars_per_token", "byte_share", "token_entropy")])
+    bands = space.save(derived_bands(good), "bands")
+    n, rows = bands.count(), measured.count()
+    judged = lookup(judged.withColumn("_key", _key("_script", "_size", "_lang")), bands, "_key", rows, n, "n_rows")
+    per, share, entropy = (F.col(f"_of.{c}") for c in ("chars_per_token", "byte_share", "token_entropy"))
+    few = share * F.col("_of.n_tokens") <= BYTE_TOKENS
+    out = (per < F.col("_band.low")) | (per > F.col("_band.high")) | ((share > F.col("_band.most")) & ~few) | (entropy < F.col("_band.least"))
+    return judged.withColumn("_out", F.coalesce(out & (F.col("_of.n_tokens") >= MIN_TOKENS), F.lit(False)))
+
+
 def quality_rules(docs: DataFrame, model: str, bands: dict | None = None, max_repeat: int = 20, min_words: int = 10) -> DataFrame:
-    """One row per input row with the base counts, the fertility figures and the verdict; no shuffle."""
-    bands = bands or BANDS
+    """One row per input row with the base counts, the fertility figures and the verdict; texts are read once and not shuffled."""
+    bands, names = bands or BANDS, [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
-            yield measure(b.column("doc_id"), b.column("text"), model, bands, max_repeat, min_words)
+            own = measure(b.column("doc_id"), b.column("text"), model, bands, max_repeat, min_words)
+            yield pa.RecordBatch.from_arrays([*own.columns, b.column("_lang")], names=[*names, "_lang"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    space = Workspace(docs.sparkSession, "quality")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _langs(docs).alias("_lang"))
+    measured = space.save(texts.mapInArrow(run, SCHEMA + ", _lang string"), "figures")
+    judged = _outside(measured.select(F.struct(*names).alias("_of"), "_lang"), space)
+    failed = F.col("_of.band_failed") | F.col("_out")
+    verdict = {"band_failed": failed, "kept": ~(F.col("_of.base_failed") | failed)}
+    return judged.select(*[verdict.get(c, F.col(f"_of.{c}")).alias(c) for c in names])
 
 
 def keep_quality(docs: DataFrame, model: str, bands: dict | None = None) -> DataFrame:
-    """The rows that the rules keep, with all their columns; the verdict is taken in one pass over the rows themselves."""
-    bands, schema = bands or BANDS, docs.schema
+    """The rows that the rules keep, with all their columns; they are written once with their figures, from which the bands come."""
+    bands, columns = bands or BANDS, docs.columns
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.slices(batches):
-            kept = measure(pa.nulls(b.num_rows, pa.int64()), b.column("text"), model, bands, 20, 10).column("kept")
-            yield b.filter(kept)
-
-    return docs.mapInArrow(run, schema)
+        for b in K.slices(batches, "_text"):
+            own = measure(pa.nulls(b.num_rows, pa.int64()), b.column("_text"), model, bands, 20, 10)
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_lang"), pa.StructArray.from_arrays(own.columns, names)], names=["_row", "_lang", "_of"])
+
+    space = Workspace(docs.sparkSession, "quality")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text").cast("string").alias("_text"), _langs(docs).alias("_lang"))
+    kinds = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in SCHEMA.split(", "))
+    schema = T.StructType([rows.schema["_row"], rows.schema["_lang"], T.StructField("_of", T._parse_datatype_string(f"struct<{kinds}>"))])
+    measured = space.save(rows.mapInArrow(run, schema), "measured")
+    judged = _outside(measured, space).filter("_of.kept AND NOT _out")
+    return judged.select("_row.*")

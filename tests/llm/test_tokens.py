@@ -90,6 +90,20 @@ def test_keep_quality_returns_rows_as_they_are(docs, texts):
     assert {r.doc_id for r in kept.collect()} == judged and judged
 
 
+def test_quality_bands_of_the_corpus_reject_junk_and_keep_clean_text(spark):
+    import pandas as pd
+
+    sf, model = "/root/testdata/sf0.1", P.path("piece_bpe_32k.model")
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = quality_rules.quality_rules(table, model).toPandas().join(pd.read_parquet(f"{sf}/labels.parquet").set_index("doc_id"), on="doc_id")
+    passed = rows[~rows.base_failed]
+    assert passed[passed.quality == 0].kept.mean() < 0.25 and passed[passed.quality == 1].kept.mean() > 0.98
+    assert (rows.kept == ~(rows.base_failed | rows.band_failed)).all()
+    assert quality_rules.keep_quality(table, model).count() == rows.kept.sum()
+    few = table.filter("doc_id < 1000").drop("lang")
+    assert quality_rules.quality_rules(few.union(few), model).filter("kept").count() == 2 * quality_rules.quality_rules(few, model).filter("kept").count()
+
+
 def test_packing(docs, texts, monkeypatch):
     from tokenizers import Tokenizer
 

@@ -31,8 +31,31 @@ SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double, band_failed boolean"
 )
-#: Rejection bands by script: (least characters per token, most, most byte-fallback share, least entropy in bits).
-BANDS = {"latin": (1.15, 12.0, 0.30, 2.5), "other": (0.25, 12.0, 0.95, 2.0)}
+#: Rejection bands by script: (least characters per token, most, most byte-fallback share, least entropy in bits). A vocabulary
+#: without a script's letters gives a token for each of their two to four bytes and one more for a word's start.
+BANDS = {
+    "latin": (1.00, 12.0, 0.30, 2.5), "cyrillic": (0.70, 12.0, 0.50, 2.5), "greek": (0.60, 12.0, 0.60, 2.5), "armenian": (0.50, 12.0, 0.70, 2.5),
+    "hebrew": (0.55, 12.0, 0.60, 2.5), "arabic": (0.55, 12.0, 0.60, 2.5), "syriac": (0.35, 12.0, 0.97, 2.3), "georgian": (0.55, 12.0, 0.60, 2.5),
+    "indic": (0.28, 12.0, 0.98, 2.3), "southeast": (0.28, 12.0, 0.98, 2.3), "ethiopic": (0.25, 12.0, 0.98, 2.3),
+    "hangul": (0.35, 12.0, 0.80, 2.5), "cjk": (0.30, 12.0, 0.90, 2.5), "other": (0.20, 12.0, 0.98, 2.0),
+}
+SCRIPTS = tuple(BANDS)
+#: First code points of ranges and the script of the letters from there on; "" is none (signs, digits, emoji, private use).
+RANGES = (
+    (0xAA, "latin"), (0xAB, ""), (0xBA, "latin"), (0xBB, ""), (0xC0, "latin"), (0xD7, ""), (0xD8, "latin"), (0xF7, ""), (0xF8, "latin"), (0x2B0, ""),
+    (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "syriac"), (0x750, "arabic"), (0x780, "other"),
+    (0x860, "syriac"), (0x870, "arabic"), (0x900, "indic"), (0xE00, "southeast"), (0xF00, "other"), (0x1000, "southeast"), (0x10A0, "georgian"), (0x1100, "hangul"),
+    (0x1200, "ethiopic"), (0x13A0, "other"), (0x1780, "southeast"), (0x1800, "other"), (0x1950, "southeast"), (0x1A00, "other"), (0x1A20, "southeast"),
+    (0x1AB0, ""), (0x1B00, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1CD0, "indic"), (0x1D00, "latin"), (0x1DC0, ""),
+    (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x2C00, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2D00, "georgian"), (0x2D30, "other"),
+    (0x2D80, "ethiopic"), (0x2DE0, "cyrillic"), (0x2E00, ""), (0x2E80, "cjk"), (0x3000, ""), (0x3005, "cjk"), (0x3008, ""), (0x3021, "cjk"), (0x3130, "hangul"),
+    (0x3190, "cjk"), (0x4DC0, ""), (0x4E00, "cjk"), (0xA000, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA700, ""), (0xA720, "latin"),
+    (0xA800, "other"), (0xA8E0, "indic"), (0xA900, "other"), (0xA960, "hangul"), (0xA980, "other"), (0xA9E0, "southeast"), (0xAA00, "other"),
+    (0xAA60, "southeast"), (0xAAE0, "other"), (0xAB00, "ethiopic"), (0xAB30, "latin"), (0xAB70, "other"), (0xAC00, "hangul"), (0xD800, ""), (0xF900, "cjk"),
+    (0xFB00, "latin"), (0xFB13, "armenian"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, ""), (0xFE70, "arabic"), (0xFEFF, ""), (0xFF21, "latin"), (0xFF5B, ""),
+    (0xFF66, "cjk"), (0xFFA0, "hangul"), (0xFFE0, ""), (0x10000, "other"), (0x1B000, "cjk"), (0x1B170, "other"), (0x1D000, ""), (0x1E000, "other"),
+    (0x1E7E0, "ethiopic"), (0x1E800, "other"), (0x1EE00, "arabic"), (0x1F000, ""), (0x20000, "cjk"), (0x32000, ""),
+)
 #: Deviations from the median that a band of the corpus takes in, and the texts it takes to derive one.
 SPREAD, LEAST_TEXTS = 4.0, 50
 #: Tokens beyond this power of two don't part lengths any more.
@@ -43,8 +66,6 @@ LEAST_WIDTH = (0.03, 0.02)
 BYTE_SHARE, BYTE_TOKENS = 0.10, 8
 #: Texts with fewer tokens are too short for the bands.
 MIN_TOKENS = 48
-#: A text is of another script if more than this share of its code points in words take three bytes or more.
-OTHER_SHARE = 0.5
 #: Words whose tokens a worker remembers; beyond it the memory starts anew.
 CACHE_WORDS = 400_000
 
@@ -54,8 +75,10 @@ _LINE = np.zeros(256, bool)
 _LINE[10] = True
 _START = np.ones(256, bool)
 _START[0x80:0xC0] = False
-_WIDE = np.zeros(256, bool)
-_WIDE[0xE0:] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_FROM = np.array([at for at, _ in RANGES])
+_SCRIPT = np.array([-1, *(SCRIPTS.index(s) if s else -1 for _, s in RANGES)])
 
 
 class Fertility:
@@ -112,13 +135,29 @@ def _fertility(model: str) -> Fertility:
     return _FERTILITY[model]
 
 
+def scripts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Place in SCRIPTS of the script that most letters of each text have, Latin without any letters; of equals the first."""
+    found = np.zeros((len(off) - 1, len(SCRIPTS)), np.int64)
+    at = np.flatnonzero(data >= 0xC2)
+    if len(at):
+        lead = data[at].astype(np.int64)
+        tail = [data[np.minimum(at + i, len(data) - 1)].astype(np.int64) & 0x3F for i in (1, 2, 3)]
+        two, three = (lead & 0x1F) << 6 | tail[0], (lead & 0x0F) << 12 | tail[0] << 6 | tail[1]
+        point = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, (lead & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
+        script = _SCRIPT[np.searchsorted(_FROM, point, "right")]
+        doc = np.searchsorted(off, at, "right") - 1
+        own = script >= 0
+        found = np.bincount(doc[own] * len(SCRIPTS) + script[own], minlength=found.size).reshape(found.shape)
+    found[:, 0] += K.per_doc(_LETTER[data], off)
+    return found.argmax(1)
+
+
 def measure(doc_ids: pa.Array, text: pa.Array, model: str, bands: dict, max_repeat: int, min_words: int) -> pa.RecordBatch:
     data, off = K.buffers(text)
     starts, ends, before = K.spans(data, off)
     n_words = np.diff(before)
     space = K.SPACE[data]
     word_chars = K.per_doc(_START[data] & ~space, off)
-    wide = K.per_doc(_WIDE[data], off)
     n_symbols = K.per_doc(_SYMBOL[data], off)
 
     hashes = K.hash_spans(data, starts, ends)
@@ -151,12 +190,12 @@ def measure(doc_ids: pa.Array, text: pa.Array, model: str, bands: dict, max_repe
         entropy[d] = -(p * np.log2(p)).sum()
     some = np.maximum(n_tokens, 1)
     per_token, share = word_chars / some, n_byte / some
-    other = wide > OTHER_SHARE * np.maximum(word_chars, 1)
-    band = np.array([bands["latin"], bands["other"]])[other.astype(int)]
+    script = scripts(data, off)
+    band = np.array([bands.get(s, bands["other"]) for s in SCRIPTS])[script]
     out = (per_token < band[:, 0]) | (per_token > band[:, 1]) | (share > band[:, 2]) | (entropy < band[:, 3])
     band_failed = out & (n_tokens >= MIN_TOKENS)
     base_failed = (n_words < min_words) | (100 * n_repeat > max_repeat * n_words)
-    columns = [doc_ids, n_words, word_chars, n_symbols, n_dup, n_repeat, base_failed, ~(base_failed | band_failed), np.where(other, "other", "latin"), n_tokens, per_token, share, entropy, band_failed]
+    columns = [doc_ids, n_words, word_chars, n_symbols, n_dup, n_repeat, base_failed, ~(base_failed | band_failed), np.array(SCRIPTS)[script], n_tokens, per_token, share, entropy, band_failed]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 

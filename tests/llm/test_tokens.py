@@ -104,6 +104,31 @@ def test_quality_bands_of_the_corpus_reject_junk_and_keep_clean_text(spark):
     assert quality_rules.quality_rules(few.union(few), model).filter("kept").count() == 2 * quality_rules.quality_rules(few, model).filter("kept").count()
 
 
+PROSE = [
+    ("greek", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης."),
+    ("hebrew", "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה."),
+    ("arabic", "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء."),
+    ("armenian", "Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ ու իրավունքներով։ Նրանք ունեն բանականություն ու խիղճ և միմյանց պետք է եղբայրաբար վերաբերվեն։"),
+    ("syriac", "ܟܠ ܒܪܢܫܐ ܒܪܝܠܗ ܚܐܪܐ ܘܒܪܒܪܝ ܓܘ ܐܝܩܪܐ ܘܙܕܩܐ ܦܝܫܝܠܗܘܢ ܝܗܒܐ ܗܘܢܐ ܘܬܐܪܬܐ ܘܓܪܓ ܥܒܕܝ ܚܕ ܠܘܩܒܠ"),
+    ("cyrillic", "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства."),
+    ("georgian", "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით."),
+    ("indic", "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।"),
+    ("southeast", "มนุษย์ทั้งหลาย เกิดมามีอิสระ และเสมอภาคกัน ในเกียรติศักดิ์ และสิทธิ ต่างมีเหตุผล และมโนธรรม และควรปฏิบัติต่อกัน ด้วยเจตนารมณ์ แห่งภราดรภาพ ต่อไป"),
+    ("hangul", "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다."),
+    ("ethiopic", "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል።"),
+    ("cjk", "人人 生而 自由 在 尊严 和 权利 上 一律 平等 他们 赋有 理性 和 良心 并 应 以 兄弟 关系 的 精神 相 对待"),
+    ("latin", "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình anh em."),
+]
+
+
+def test_quality_bands_of_every_script_keep_its_prose(spark):
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(PROSE)] + [(90, "Ωλα θα " * 2 + "Ω " * 80), (91, "\U0001f600 \U0001f601 " * 40), (92, "12 345 6789 " * 20)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(frame, P.path("piece_bpe_32k.model")).collect()}
+    for i, (script, t) in enumerate(PROSE):
+        assert (rows[i].script, rows[i].kept) == (script, True), (script, t)
+    assert rows[90].script == "greek" and all(rows[i].band_failed for i in (90, 91, 92))
+
+
 def test_packing(docs, texts, monkeypatch):
     from tokenizers import Tokenizer
 

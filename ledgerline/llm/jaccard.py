@@ -423,12 +423,27 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, find: Callable = jaccard_components) -> DataFrame:
-    """The rows with all their columns, of each group of linked documents only the one with the least id; rows that repeat it stay with it."""
-    gone = find(spark, docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Workspace(spark, "keep").save(gone, "gone")
-    if gone.count() <= BROADCAST_ROWS:
+    """The rows with all their columns, of each group of linked rows exactly one: that of the least id, null last, then of the least hash.
+
+    Rows are numbered and the numbers linked, so repeated and null ids don't matter; rows without words link with nothing and stay.
+    """
+    space, columns = Workspace(spark, "keep"), docs.columns
+    row = "_row"
+    while row in columns:
+        row = "_" + row
+    docs = space.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    hashed = [F.col(f"`{c}`") for c in columns if "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
+    own = docs.select(F.col(row).alias("r"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(*hashed).alias("h"), F.col(row).alias("r")).alias("rank"))
+    found = find(spark, docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("r"), F.col("component_id").alias("group"))
+    found = space.save(found.join(own, "r"), "found")
+    kept = found.groupBy("group").agg(F.min("rank").alias("first"), F.count("*").alias("members")).filter("members > 1")
+    kept = space.save(kept.select("group", F.col("first.r").alias("kept"), "members"), "kept")
+    n, rows = (int(x or 0) for x in kept.agg(F.count("*"), F.sum("members")).first())
+    gone = lookup(found.select("r", "group"), kept, "group", rows, n, "members").filter("r <> kept").select(F.col("r").alias(row))
+    gone = space.save(gone, "gone")
+    if rows - n <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
 
 
 ORACLE = r"""

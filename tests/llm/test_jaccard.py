@@ -103,6 +103,23 @@ def test_empty_table_and_keeping_one(spark):
     assert jaccard.jaccard_components(spark, frame.filter("false")).collect() == []
 
 
+@pytest.mark.parametrize("bound", [None, 2])
+def test_keeping_one_row_where_ids_repeat_or_are_null(spark, monkeypatch, bound):
+    from ledgerline.llm import shared
+
+    if bound:
+        for module in (shared, jaccard):
+            monkeypatch.setattr(module, "BROADCAST_ROWS", bound)
+        monkeypatch.setattr(shared, "HOT_SHARE", 0.2)
+    same, near, null, other = (" ".join(f"{w}{i}" for i in range(40)) for w in "snuo")
+    rows = [(1, same, "k")] * 6 + [(2, near, "k"), (None, near + " end", "a"), (None, null, "b"), (None, null, "a"), (None, None, "k"), (None, None, "k"), (7, other, "k"), (7, near, "k"), (3, " ", "k")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+    kept = jaccard.keep_one(spark, frame)
+    assert kept.schema == frame.schema
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, same), (2, near), (None, null), (None, None), (None, None), (7, other), (3, " ")], key=str)
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(4)
     for _ in range(50):

@@ -64,8 +64,8 @@ LONGEST = 12
 LEAST_WIDTH = (0.03, 0.02)
 #: Most byte share that a derived band always lets pass, and the byte tokens: two characters outside the vocabulary.
 BYTE_SHARE, BYTE_TOKENS = 0.10, 8
-#: Texts with fewer tokens are too short for the bands.
-MIN_TOKENS = 48
+#: n tokens have log2(n) bits at most; a text's least entropy is this share of it, up to its script's.
+ENTROPY_SHARE = 0.45
 #: Words whose tokens a worker remembers; beyond it the memory starts anew.
 CACHE_WORDS = 400_000
 
@@ -192,8 +192,9 @@ def measure(doc_ids: pa.Array, text: pa.Array, model: str, bands: dict, max_repe
     per_token, share = word_chars / some, n_byte / some
     script = scripts(data, off)
     band = np.array([bands.get(s, bands["other"]) for s in SCRIPTS])[script]
-    out = (per_token < band[:, 0]) | (per_token > band[:, 1]) | (share > band[:, 2]) | (entropy < band[:, 3])
-    band_failed = out & (n_tokens >= MIN_TOKENS)
+    out = (per_token < band[:, 0]) | (per_token > band[:, 1]) | ((share > band[:, 2]) & (n_byte > BYTE_TOKENS))
+    out |= entropy < np.minimum(band[:, 3], ENTROPY_SHARE * np.log2(some))
+    band_failed = out & (n_tokens > 0)
     base_failed = (n_words < min_words) | (100 * n_repeat > max_repeat * n_words)
     columns = [doc_ids, n_words, word_chars, n_symbols, n_dup, n_repeat, base_failed, ~(base_failed | band_failed), np.array(SCRIPTS)[script], n_tokens, per_token, share, entropy, band_failed]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -249,7 +250,7 @@ def _outside(measured: DataFrame, space: Workspace) -> DataFrame:
     per, share, entropy = (F.col(f"_of.{c}") for c in ("chars_per_token", "byte_share", "token_entropy"))
     few = share * F.col("_of.n_tokens") <= BYTE_TOKENS
     out = (per < F.col("_band.low")) | (per > F.col("_band.high")) | ((share > F.col("_band.most")) & ~few) | (entropy < F.col("_band.least"))
-    return judged.withColumn("_out", F.coalesce(out & (F.col("_of.n_tokens") >= MIN_TOKENS), F.lit(False)))
+    return judged.withColumn("_out", F.coalesce(out & (F.col("_of.n_tokens") > 0), F.lit(False)))
 
 
 def quality_rules(docs: DataFrame, model: str, bands: dict | None = None, max_repeat: int = 20, min_words: int = 10) -> DataFrame:

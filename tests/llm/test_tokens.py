@@ -129,6 +129,14 @@ def test_quality_bands_of_every_script_keep_its_prose(spark):
     assert rows[90].script == "greek" and all(rows[i].band_failed for i in (90, 91, 92))
 
 
+def test_quality_bands_hold_for_short_texts(spark):
+    texts = ["\u0378\u0379 " * 2 + "a b c d e f g h", "1 2 3 4 5 6 7 8 9 0", "it it it it it it it it it the", "The old man and the sea is a book of few words", "\U0001f600 We met at ten and had a very good time today"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(frame, P.path("piece_bpe_32k.model"), max_repeat=100).collect()}
+    assert all(r.n_tokens < 48 and not r.base_failed for r in rows.values())
+    assert [rows[i].kept for i in range(5)] == [False, False, False, True, True], rows
+
+
 def test_packing(docs, texts, monkeypatch):
     from tokenizers import Tokenizer
 

@@ -63,13 +63,15 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_rows"), F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def judged(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans that stay, with `live` and `example`)."""
+def judged(docs: DataFrame, space: Workspace, places: int | None = LIVE_REPOSITORIES) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans that stay, with `live` and `example`); a single owner's value looks live in at most so many repositories, None: in any number."""
     rows, spans = candidates(docs, space)
     counts = space.save(ownership(spans), "ownership")
     n = counts.agg(F.count("*"), F.sum("n_rows")).first()
     spans = lookup(spans, counts, "value_hash", int(n[1] or 0), int(n[0]), "n_rows")
-    live = (F.col("n_owners") == 1) & (F.col("n_repositories") <= LIVE_REPOSITORIES)
+    live = F.col("n_owners") == 1
+    if places is not None:
+        live &= F.col("n_repositories") <= places
     spans = spans.withColumns({"live": live, "example": F.col("n_owners") >= EXAMPLE_OWNERS})
     return rows, spans.filter((F.col("kind") < 3) | F.col("live"))
 
@@ -93,8 +95,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The rows with all their columns, every span in text replaced by the mark; n_chars follows where there is such a column."""
-    _, spans = judged(docs, Workspace(spark, "redact"))
+    """The rows with all their columns, every span in text replaced by the mark; n_chars follows where there is such a column.
+
+    A proposed token of a single owner goes in however many documents it is, so copies don't hide it.
+    """
+    _, spans = judged(docs, Workspace(spark, "redact"), None)
     order = Window.partitionBy(*_ROW).orderBy("start", "end")
     earlier = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(earlier.isNull() | (F.col("start") > earlier), 1).otherwise(0)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

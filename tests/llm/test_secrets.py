@@ -53,6 +53,12 @@ def test_redact_keeps_rows_and_columns(spark):
     assert not any(p.search(t or "") and any(ok(m) for m in p.finditer(t or "")) for _, t, _ in got for _, p, ok in PATTERNS)
 
 
+def test_redact_judges_by_owner_whatever_the_number_of_copies(spark):
+    rows = [(i, f"key {LIVE} end", "a") for i in range(6)] + [(10 + i, "Zz9Zz9Zz9Zz9Zz9Zz9Zz9", o) for i, o in enumerate("abc")]
+    texts = {r.doc_id: r.text for r in secrets.redact(spark, _frame(spark, rows)).collect()}
+    assert all(texts[i] == "key [SECRET] end" for i in range(6)) and all(texts[i] == "Zz9Zz9Zz9Zz9Zz9Zz9Zz9" for i in (10, 11, 12))
+
+
 def test_empty_table(spark):
     assert secrets.secret_scan(spark, _frame(spark).filter("false")).collect() == []
 

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import importlib
 import json
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerline.schemas import LIST_DDL, STATEMENT_DDL
 
-PAGE_SIZE, MAX_PAGES = 100, 5
+#: Pages read if none are asked for, and the most that may be.
+PAGE_SIZE, MAX_PAGES, MOST_PAGES = 100, 5, 10
 
 
 class SourceError(RuntimeError):
@@ -58,7 +60,9 @@ class _Reader(DataSourceReader):
         self.names = names
         self.query = json.loads(options.get("query", "{}"))
         self.fetch, self.path = options.get("fetch"), options.get("path")
-        self.pages = min(int(options.get("pages", MAX_PAGES)), MAX_PAGES)
+        self.pages = int(options.get("pages", MAX_PAGES))
+        if not 1 <= self.pages <= MOST_PAGES:
+            raise ValueError(f"pages must be 1..{MOST_PAGES}")
         self.size = int(options.get("pagesize", PAGE_SIZE))
 
     def partitions(self) -> list[InputPartition]:
@@ -74,8 +78,21 @@ class _Reader(DataSourceReader):
         except FileNotFoundError:
             return {"status": "013"}
 
+    def _bound(self, answer: dict) -> str | None:
+        """What to say if there may be rows beyond the last page, which gave this answer."""
+        rows = len(rows_of(answer))
+        if rows and str(answer.get("total_page", "")).isdecimal():
+            rows = self.size if int(answer["total_page"]) > self.pages else 0
+        return scan_limit_reached((self.pages - 1) * self.size + rows, self.pages, self.size)
+
+    def limitation(self) -> str | None:
+        return self._bound(self._answer(self.pages))
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for row in rows_of(self._answer(partition.value)):
+        answer = self._answer(partition.value)
+        if partition.value == self.pages and (said := self._bound(answer)):
+            warnings.warn(said, stacklevel=1)
+        for row in rows_of(answer):
             yield tuple(None if row.get(n) is None else str(row[n]) for n in self.names)
 
 
@@ -110,5 +127,11 @@ def register(spark) -> None:
         spark.dataSource.register(source)
 
 
+def read_bounded(spark, source: str = "paged_listing", **options: str) -> tuple:
+    """(rows of the source, what to say if its bound was reached, else None); the last page is asked for once more, on the driver."""
+    reader = _Reader({k.lower(): str(v) for k, v in options.items()}, [])
+    return spark.read.format(source).options(**options).load(), reader.limitation()
+
+
 def scan_limit_reached(rows: int, pages: int = MAX_PAGES, size: int = PAGE_SIZE) -> str | None:
     return f"listing was bounded at {pages} pages of {size}" if rows >= pages * size else None

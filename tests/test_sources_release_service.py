@@ -47,6 +47,24 @@ def test_raw_files_and_archives(spark, tmp_path):
     assert {r.fault for r in files.archive_members(a, 3).collect()} == {"too_large", "broken"}
 
 
+def test_paged_source_reads_the_pages_asked_for_and_says_where_it_stopped(spark, tmp_path):
+    paged.register(spark)
+    for page in range(1, 9):
+        (tmp_path / f"page-{page}.json").write_text(json.dumps({"status": "000", "list": [{"rcept_no": f"{page}-{i}"} for i in range(2)]}))
+    options = {"path": str(tmp_path), "pagesize": "2"}
+    rows, said = paged.read_bounded(spark, pages="7", **options)
+    assert rows.count() == 14 and said == "listing was bounded at 7 pages of 2"
+    rows, said = paged.read_bounded(spark, pages="10", **options)
+    assert rows.count() == 16 and said is None
+    (tmp_path / "page-8.json").write_text(json.dumps({"status": "000", "total_page": 8, "list": [{}, {}]}))
+    assert paged.read_bounded(spark, pages="8", **options)[1] is None
+    for pages in ("0", "11"):
+        with pytest.raises(ValueError, match="1..10"):
+            paged.read_bounded(spark, pages=pages, **options)
+        with pytest.raises(Exception, match="1..10"):
+            spark.read.format("paged_listing").options(pages=pages, **options).load().count()
+
+
 def test_paged_source(spark, tmp_path):
     paged.register(spark)
     row = {"rcept_no": "1", "rcept_dt": "20240101", "corp_code": "00000001", "corp_name": "A", "stock_code": None, "report_nm": "r", "flr_nm": "f", "rm": "정"}

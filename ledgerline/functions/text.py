@@ -17,9 +17,13 @@ PARTICLES = (
 #: Endings of English company names.
 COMPANY_ENDINGS = ("corporation", "incorporated", "incorporation", "company", "limited", "holdings", "group", "coltd", "corp", "inc", "ltd", "co", "plc")
 #: How Latin letters are read.
-LETTER_READINGS = dict(zip("abcdefghijklmnopqrstuvwxyz", "에이 비 씨 디 이 에프 지 에이치 아이 제이 케이 엘 엠 엔 오 피 큐 알 에스 티 유 브이 더블유 엑스 와이 제트".split(), strict=True))
+LETTER_READINGS = {
+    "a": "에이", "b": "비", "c": "씨", "d": "디", "e": "이", "f": "에프", "g": "지", "h": "에이치", "i": "아이",
+    "j": "제이", "k": "케이", "l": "엘", "m": "엠", "n": "엔", "o": "오", "p": "피", "q": "큐", "r": "알",
+    "s": "에스", "t": "티", "u": "유", "v": "브이", "w": "더블유", "x": "엑스", "y": "와이", "z": "제트",
+}
 #: Flags of listed filings in their order.
-RM_FLAGS = tuple("유코채넥공연정철")
+RM_FLAGS = ("유", "코", "채", "넥", "공", "연", "정", "철")
 
 
 def norm_text(c: Column) -> Column:

@@ -9,7 +9,11 @@ from ledgerline.functions.text import csv_safe
 from ledgerline.operators.analysis import first_per
 
 #: Axes of an answer; null on an axis means that a case isn't eligible there.
-AXES = ("contract", "disposition", "tools", "facts", "numbers", "citations", "scope", "recency", "correction", "forbidden", "latency")
+AXES = (
+    "required_tool_satisfaction", "structured_lookup_success", "calculation_correctness", "history_correction_lookup", "required_fact_coverage",
+    "citation_completeness", "correction_mention_compliance", "information_limit_correctness", "forbidden_claim_compliance", "response_contract",
+    "grounding_validation",
+)
 
 
 def retrieval_candidates(chunks: DataFrame, status: DataFrame) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 #: Fixed values of the ranking: weights of path and text, k1, b, and the floor of the inverse document frequency.
 PATH_WEIGHT, TEXT_WEIGHT, K1, B, IDF_FLOOR = 5.0, 1.0, 1.2, 0.75, 1e-6
 #: Words that say nothing about a passage.
-STOP_TOKENS = ("the", "and", "for", "with", "what", "which", "알려줘", "무엇", "얼마", "어떤", "대한", "관련", "공시", "보고서", "해줘", "있는", "하는", "에서", "대해", "내용")
+STOP_TOKENS = (
+    "알려줘", "알려주세요", "무엇", "어떤", "대한", "기준", "공시", "보고서", "사업보고서", "연결", "별도", "그리고", "에서",
+    "의", "은", "는", "이", "가", "을", "를",
+)
 
 
 def tokens(c: Column) -> Column:

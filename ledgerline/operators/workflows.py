@@ -14,8 +14,16 @@ from ledgerline.functions.text import row_label
 
 #: Measures and the row labels that name them.
 MEASURES = {
-    "revenue": ("매출액", "수익(매출액)", "영업수익"), "operating_profit": ("영업이익", "영업이익(손실)"), "net_income": ("당기순이익", "당기순이익(손실)", "분기순이익", "반기순이익"), "assets": ("자산총계",), "liabilities": ("부채총계",), "equity": ("자본총계",),
-    "current_assets": ("유동자산",), "current_liabilities": ("유동부채",), "basic_eps": ("기본주당이익", "기본주당순이익", "기본주당이익(손실)"), "diluted_eps": ("희석주당이익", "희석주당순이익", "희석주당이익(손실)"),
+    "liabilities": ("부채총계", "부채"), "equity": ("자본총계", "자본"), "current_assets": ("유동자산",), "current_liabilities": ("유동부채",),
+    "assets": ("자산총계", "자산"), "non_current_assets": ("비유동자산",), "non_current_liabilities": ("비유동부채",),
+    "net_income": (
+        "당기순이익", "연결당기순이익", "당기순손익", "연결당기순손익", "당기순손실", "연결당기순손실", "당기순이익(손실)", "당기순손익(손실)",
+    ),
+    "revenue": ("매출액", "매출", "영업수익", "수익(매출액)"), "operating_profit": ("영업이익", "영업손익", "영업이익(손실)", "영업손실"),
+}
+#: Labels of earnings a share, by kind.
+EARNINGS_PER_SHARE = {
+    "basic_eps": ("기본주당이익", "기본주당순이익", "기본주당이익(손실)"), "diluted_eps": ("희석주당이익", "희석주당순이익", "희석주당이익(손실)"),
 }
 #: Ratio -> numerator and denominator, in percent.
 RATIOS = {"debt_ratio": ("liabilities", "equity"), "current_ratio": ("current_assets", "current_liabilities"), "roe": ("net_income", "equity"), "operating_margin": ("operating_profit", "revenue")}
@@ -39,7 +47,7 @@ def basis_of(path: Column) -> Column:
 
 def measure_of(label: Column) -> Column:
     clean, out = row_label(label), None
-    for name, words in MEASURES.items():
+    for name, words in (MEASURES | EARNINGS_PER_SHARE).items():
         own = F.when(clean.isin(*words), name)
         out = own if out is None else out.when(clean.isin(*words), name)
     return out

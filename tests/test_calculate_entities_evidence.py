@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,33 @@ def test_packing_limits_and_tables():
     assert [p["source_id"] for p in mixed["passages"]][:3] == ["s2", "s1", "s3"]
 
 
+def test_spans_are_places_of_the_source_as_it_is():
+    table = "| a | b |\r\n|---|---|\r\n| 1 | 2 |\r\n| 3 |\r\n| 5 | 6 |"
+    raw = "First line.\r\nSecond one.\r" + "word " * 30 + "\r\n\r\n" + table + "\r\ntail"
+    parts, left = evidence.split_evidence(raw, 80, 10)
+    assert left == ["malformed_table_row_omitted"]
+    for body, spans in parts:
+        assert "\n".join(re.sub(r"\r\n?", "\n", raw[a:b]) for a, b in spans) == body and len(body) <= 80
+    assert [b for b, _ in parts if "---" in b] == ["| a | b |\n|---|---|\n| 1 | 2 |", "| a | b |\n|---|---|\n| 5 | 6 |"]
+    covered = set()
+    for _, spans in parts:
+        for a, b in spans:
+            covered.update(range(a, b))
+    assert not [c for i, c in enumerate(raw) if i not in covered and c not in "\r\n| 3"]
+
+
+def test_prose_parts_at_the_strongest_break():
+    assert [b for b, _ in evidence.split_evidence("aaa. bbb\nccc. ddd\n\neee. fff ggg", 22, 5)[0]] == ["aaa. bbb\nccc. ddd\n\n", "eee. fff ggg"]
+    assert [b for b, _ in evidence.split_evidence("x" * 25, 10, 4)[0]] == ["x" * 10, "x" * 10, "x" * 10, "x" * 7]
+
+
+def test_a_request_that_nothing_fits_keeps_its_limits(spark):
+    rows = [("r0", "s" * 3000, "text", _citation(), 1, 1), ("r1", "s", "text", _citation(), 1, 1)]
+    schema = "request_id string, source_id string, text string, citation struct<" + ",".join(f"{f}:{'boolean' if f == 'is_latest' else 'string'}" for f in CITATION_FIELDS) + ">, priority int, rank int"
+    out = {r.request_id: r for r in evidence.pack_requests(spark.createDataFrame(rows, schema)).collect()}
+    assert out["r0"].label is None and out["r0"].limitations[0].startswith("passage_header_exceeds_limit") and out["r1"].label == "S1"
+
+
 def test_requests(spark):
     rows = [(f"r{i % 2}", f"s{i}", f"text {i} " * 50, _citation(), 1, i) for i in range(6)]
     schema = "request_id string, source_id string, text string, citation struct<" + ",".join(f"{f}:{'boolean' if f == 'is_latest' else 'string'}" for f in CITATION_FIELDS) + ">, priority int, rank int"

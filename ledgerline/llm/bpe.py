@@ -150,13 +150,8 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_BPE: dict[tuple[str, str], ByteBpe] = {}
-
-
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    if (path, pattern) not in _BPE:
-        _BPE[path, pattern] = ByteBpe(path, pattern)
-    return _BPE[path, pattern]
+    return K.held(("bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -168,7 +163,7 @@ def encode_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             rows = [bpe.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return _input(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return _input(docs).mapInArrow(K.tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_tokens(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -180,7 +175,7 @@ def decode_tokens(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             rows = [bpe.decode(i or ()) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "bytes"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return tokens.select("doc_id", "ids").mapInArrow(K.tidy(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -200,7 +195,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 sizes.append(len(back))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, (counts, of_ids, of_bytes, sizes))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return _input(docs).mapInArrow(run, SCHEMA)
+    return _input(docs).mapInArrow(K.tidy(run), SCHEMA)
 
 
 def _input(docs: DataFrame) -> DataFrame:

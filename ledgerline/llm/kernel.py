@@ -7,13 +7,19 @@ taken from prefix sums (an odd base is invertible modulo 2**64) and then mixed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; only a single longer document exceeds it.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Bytes hashed at once.
+HASH_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -22,26 +28,60 @@ _U = np.uint64
 
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
-    if n > 1:
-        out[1:] = _U(base)
-        np.multiply.accumulate(out, out=out)
+    out[1:] = _U(base)
+    np.multiply.accumulate(out, out=out)
     return out
 
 
 class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
+    """Powers of the base and of its inverse for pieces of at most HASH_BYTES, made when first asked for."""
 
-    def __init__(self) -> None:
-        self.n, self.up, self.down = 0, np.ones(0, np.uint64), np.ones(0, np.uint64)
+    up = down = np.ones(0, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
-            self.up, self.down = _powers(_BASE, self.n), _powers(_INVERSE, self.n)
+        if n > len(self.up):
+            size = min(max(n, 1 << 16, 2 * len(self.up)), max(n, HASH_BYTES + 1))
+            self.up, self.down = _powers(_BASE, size), _powers(_INVERSE, size)
         return self.up, self.down
 
 
 _POWERS = _Powers()
+_HELD: list = [None, None]
+
+
+def release() -> None:
+    """Gives memory that a worker doesn't use any more back to the system; an idle worker shares its machine with others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """`run` over a task's batches, or over one group of rows, and release() when it is done."""
+
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    def over_group(table: pa.Table) -> pa.Table:
+        out = run(table)
+        del table
+        release()
+        return out
+
+    return over_batches if inspect.isgeneratorfunction(run) else over_group
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The one object (a tokenizer and what it remembers) that a Python worker keeps between tasks; another key replaces it."""
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        release()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 #: The same values, but A-Z hash as a-z.
 _TABLE_LOWER = _TABLE.copy()
@@ -89,6 +129,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = end
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], row: str = "_row") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The batches cut likewise by the field `text` of the struct `row`, with that field as strings."""
+    for batch in batches:
+        text = pa.RecordBatch.from_arrays([batch.column(row).field("text").cast(pa.string())], names=["text"])
+        at = 0
+        for part in slices([text]):
+            yield batch.slice(at, part.num_rows), part.column("text")
+            at += part.num_rows
+
+
 def spans(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each document and in all) of the runs of bytes outside `breaks`; runs end with documents."""
     n = len(data)
@@ -104,23 +154,45 @@ def spans(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACE) -> tupl
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _prefix_sums(part: np.ndarray, table: np.ndarray, up: np.ndarray) -> np.ndarray:
+    sums = np.empty(len(part) + 1, np.uint64)
+    sums[0] = 0
+    np.multiply(table[part], up[: len(part)], out=sums[1:])
+    return np.add.accumulate(sums, out=sums)
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each span's bytes, A-Z as a-z if `lower`; spans are in order and don't overlap."""
     table, out = _TABLE_LOWER if lower else _TABLE, np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + BATCH_BYTES, "right")))
-        part = data[base : int(ends[j - 1])]
-        up, down = _POWERS.get(len(part) + 1)
-        sums = np.empty(len(part) + 1, np.uint64)
-        sums[0] = 0
-        np.multiply(table[part], up[: len(part)], out=sums[1:])
-        np.add.accumulate(sums, out=sums)
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+        j = max(i + 1, int(np.searchsorted(ends, base + HASH_BYTES, "right")))
+        if ends[j - 1] - base <= HASH_BYTES:
+            part = data[base : int(ends[j - 1])]
+            up, down = _POWERS.get(len(part) + 1)
+            sums = _prefix_sums(part, table, up)
+            s, e = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = (sums[e] - sums[s]) * down[s]
+        else:  # one long span, in pieces
+            total = 0
+            for at in range(base, int(ends[i]), HASH_BYTES):
+                part = data[at : min(at + HASH_BYTES, int(ends[i]))]
+                total += int(_prefix_sums(part, table, _POWERS.get(len(part))[0])[-1]) * pow(_BASE, at - base, 1 << 64)
+            out[i] = total % (1 << 64)
         i = j
-    return mix(out)
+    return mix(out + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
+def hash_grams(data: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the n bytes at every place from which they fit."""
+    out = np.empty(max(0, len(data) - n + 1), np.uint64)
+    for at in range(0, len(out), HASH_BYTES):
+        k = min(HASH_BYTES, len(out) - at)
+        up, down = _POWERS.get(k + n)
+        sums = _prefix_sums(data[at : at + k + n - 1], _TABLE, up)
+        out[at : at + k] = mix((sums[n:] - sums[:k]) * down[:k])
+    return out
 
 
 def shingles(words: np.ndarray, before: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,7 @@ one by one; extra input columns are ignored by `quality_rules` and returned unto
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel as K
-from .shared import Workspace, lookup
+from .shared import Workspace, as_row, lookup, rows_of
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -66,8 +67,8 @@ LEAST_WIDTH = (0.03, 0.02)
 BYTE_SHARE, BYTE_TOKENS = 0.10, 8
 #: n tokens have log2(n) bits at most; a text's least entropy is this share of it, up to its script's.
 ENTROPY_SHARE = 0.45
-#: Words whose tokens a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+#: Words in a generation of a worker's memory of tokens.
+CACHE_WORDS = 150_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -90,25 +91,27 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         self.size = self.model.get_piece_size()
         self.byte = np.array([self.model.is_byte(i) for i in range(self.size)], bool)
+        self.known: dict[int, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.ids, self.n = np.zeros(1, np.int64), np.zeros(1 << 16, np.int32), 0
-        self.ends = [0]
+        """Starts a new generation; words of the one before are taken over when they come again."""
+        self.old = self.known and (self.known, self.at, self.ids)
+        self.known = {}
+        self.at, self.ids, self.n = np.zeros(1 << 15, np.int64), np.zeros(1 << 16, np.int32), 0
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        rows = self.model.encode(words, num_threads=1)
-        flat = np.fromiter((i for r in rows for i in r), np.int32)
-        need = self.n + len(flat)
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), np.int32)])
-        self.ids[self.n : need] = flat
-        for h, r in zip(hashes, rows, strict=True):
-            self.known[h] = len(self.ends) - 1
-            self.n += len(r)
-            self.ends.append(self.n)
-        self.at = np.array(self.ends, np.int64)
+        self._add(hashes, self.model.encode(words, num_threads=1))
+
+    def _add(self, hashes: list[int], rows: list) -> None:
+        flat = np.fromiter(chain.from_iterable(rows), np.int32)
+        ends = self.n + np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+        first, self.n = len(self.known), self.n + len(flat)
+        self.ids = np.resize(self.ids, 2 * self.n) if self.n > len(self.ids) else self.ids
+        self.at = np.resize(self.at, 2 * (first + len(rows) + 1)) if first + len(rows) >= len(self.at) else self.at
+        self.ids[self.n - len(flat) : self.n] = flat
+        self.at[first + 1 : first + 1 + len(rows)] = ends
+        self.known.update(zip(hashes, range(first, first + len(rows)), strict=True))
 
     def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, tokens of each word)."""
@@ -117,6 +120,12 @@ class Fertility:
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         keys = distinct.tolist()
         missing = [i for i, h in enumerate(keys) if h not in self.known]
+        if missing and self.old:
+            known, at, ids = self.old
+            seen = [keys[i] for i in missing if keys[i] in known]
+            slots = [known[h] for h in seen]
+            self._add(seen, [ids[at[k] : at[k + 1]] for k in slots])
+            missing = [i for i in missing if keys[i] not in self.known]
         if missing:
             raw = data.tobytes()
             self._learn([keys[i] for i in missing], [raw[starts[first[i]] : ends[first[i]]].decode("utf-8", "replace") for i in missing])
@@ -126,13 +135,8 @@ class Fertility:
         return self.ids[K.ragged(self.at[slot], lens)], lens
 
 
-_FERTILITY: dict[str, Fertility] = {}
-
-
 def _fertility(model: str) -> Fertility:
-    if model not in _FERTILITY:
-        _FERTILITY[model] = Fertility(model)
-    return _FERTILITY[model]
+    return K.held(("fertility", model), lambda: Fertility(model))
 
 
 def scripts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -264,7 +268,7 @@ def quality_rules(docs: DataFrame, model: str, bands: dict | None = None, max_re
 
     space = Workspace(docs.sparkSession, "quality")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _langs(docs).alias("_lang"))
-    measured = space.save(texts.mapInArrow(run, SCHEMA + ", _lang string"), "figures")
+    measured = space.save(texts.mapInArrow(K.tidy(run), SCHEMA + ", _lang string"), "figures")
     judged = _outside(measured.select(F.struct(*names).alias("_of"), "_lang"), space)
     failed = F.col("_of.band_failed") | F.col("_out")
     verdict = {"band_failed": failed, "kept": ~(F.col("_of.base_failed") | failed)}
@@ -272,19 +276,21 @@ def quality_rules(docs: DataFrame, model: str, bands: dict | None = None, max_re
 
 
 def keep_quality(docs: DataFrame, model: str, bands: dict | None = None) -> DataFrame:
-    """The rows that the rules keep, with all their columns; they are written once with their figures, from which the bands come."""
-    bands, columns = bands or BANDS, docs.columns
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    """The rows that the rules keep, with all their columns; they are written once with their figures, from which the bands come.
+
+    A row goes through Python in one struct, so no name of its columns can clash with one of ours.
+    """
+    bands, names = bands or BANDS, [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.slices(batches, "_text"):
-            own = measure(pa.nulls(b.num_rows, pa.int64()), b.column("_text"), model, bands, 20, 10)
+        for b, text in K.row_slices(batches):
+            own = measure(pa.nulls(b.num_rows, pa.int64()), text, model, bands, 20, 10)
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_lang"), pa.StructArray.from_arrays(own.columns, names)], names=["_row", "_lang", "_of"])
 
     space = Workspace(docs.sparkSession, "quality")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text").cast("string").alias("_text"), _langs(docs).alias("_lang"))
+    rows = docs.select(as_row(docs), _langs(docs).alias("_lang"))
     kinds = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in SCHEMA.split(", "))
     schema = T.StructType([rows.schema["_row"], rows.schema["_lang"], T.StructField("_of", T._parse_datatype_string(f"struct<{kinds}>"))])
-    measured = space.save(rows.mapInArrow(run, schema), "measured")
+    measured = space.save(rows.mapInArrow(K.tidy(run), schema), "measured")
     judged = _outside(measured, space).filter("_of.kept AND NOT _out")
-    return judged.select("_row.*")
+    return rows_of(judged, docs)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast whole up to so many rows; beyond that, only its hot keys are.
@@ -15,19 +18,26 @@ HOT_SHARE = 1 / 500
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of our own."""
+    """The folder that spark.checkpoint.dir names; where it is unset, one of our own if the executors are threads of the driver, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_SCOPES: list[list[Workspace]] = []
+
+
 class Workspace:
     """Tables written to the shared folder, so that what follows doesn't depend on any executor's disk."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        for scope in _SCOPES:
+            scope.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -38,9 +48,39 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for place in map(self.path, names):
+            self._delete(place)
+
+    def close(self) -> None:
+        """Deletes all its tables."""
+        self._delete(self.root)
+
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def tidied() -> Iterator[None]:
+    """Deletes the tables of all operators that are called inside, when it ends: their results must have been written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for space in _SCOPES.pop():
+            space.close()
+
+
+def as_row(docs: DataFrame) -> Column:
+    """A row in one struct, so that none of its names can clash with one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def rows_of(frame: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of `docs` out of the struct in `frame`, some of them with new values, in their own types."""
+    if new:  # in a step of its own, as a column of docs may be named like one that a value is computed from
+        frame = frame.select("_row", F.struct(*[v.cast(docs.schema[c].dataType).alias(c) for c, v in new.items()]).alias("_new"))
+    return frame.select(*[F.col("_new" if c in new else "_row").getField(c).alias(c) for c in docs.columns])
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, n_right: int, count: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Suffix-array dedup: removal of repeated byte strings by merged Burrows-Wheeler orders.
+"""Suffix-array dedup: removal of repeated byte strings by merged Burrows-Wheeler transforms.
 
 A byte goes if a string of `depth` bytes that covers it also starts anywhere else. Places are first parted so
 that equal strings meet: of the `depth - GRAM + 1` grams of GRAM bytes in a string, the one of least hash is
@@ -8,13 +8,15 @@ its minimizer; equal strings have the same. Runs of places with one minimizer fo
    string; only the pieces of the others go on.
 2. Pieces are gathered by bucket of minimizer. A task sends each distinct piece once, and once more that it
    has seen it again, so that copies, however many, are aggregated before the shuffle; such a piece is repeated
-   as a whole. In each bucket the distinct pieces' shards are sorted and merged (see bwt), and the blocks of
-   the merged order give the repeated places of each piece.
+   as a whole. In each bucket the distinct pieces are dealt to shards, each shard is sorted and transformed, and the
+   transforms are merged (see bwt); the blocks of the merged order give the repeated places of each piece.
 3. The places go back to the texts. Texts that occur twice or more go as a whole without that, if they have
    `depth` bytes.
 
 Defined results: a null text is empty; texts shorter than `depth` stay; rows with the same id and text are
-two texts that are equal; matches never cross texts; strings are judged on the input.
+two texts that are equal, so both go if they are long enough; ties don't arise, as all copies of a string go; an empty
+table gives no rows; matches never cross texts; strings are judged on the input; very long texts are read in pieces
+that overlap by a string; `cut_repeats` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel as K
 from .bwt import repeated_places
-from .shared import Workspace, lookup
+from .shared import Workspace, as_row, lookup, rows_of
 
 DEPTH, GRAM = 200, 48
 #: Minimizers in a bucket of the first step, bytes of pieces in one of the second.
@@ -45,13 +48,8 @@ def minimizers(data: np.ndarray, off: np.ndarray, depth: int = DEPTH) -> tuple[n
     if n < depth:
         return none, none, none, none.astype(np.uint64)
     w = depth - GRAM + 1
-    up, down = K._POWERS.get(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.multiply(K._TABLE[data], up[:n], out=sums[1:])
-    np.add.accumulate(sums, out=sums)
     grams = n - GRAM + 1
-    value = K.mix((sums[GRAM:] - sums[:grams]) * down[:grams])
+    value = K.hash_grams(data, GRAM)
     # the upper half of the hash, then the place: the least is the leftmost of the least
     key = value >> np.uint64(32) << np.uint64(32) | np.arange(grams, dtype=np.uint64)
     blocks = -(-grams // w)
@@ -75,16 +73,12 @@ def minimizers(data: np.ndarray, off: np.ndarray, depth: int = DEPTH) -> tuple[n
     return text[start], start - off[text[start]], count, value[at[first]]
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from K.slices(batches, limit=2 << 20)
-
-
 PLACE = np.dtype([("start", "<u4"), ("count", "<u4"), ("hash", "<u4")])
 
 
 def _packed(texts: DataFrame, buckets: int, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sliced(batches):
+        for b in K.slices(batches, limit=2 << 20):
             data, off = K.buffers(b.column("text"))
             digests = b.column("digest").to_pylist()
             # a text that the batch has twice goes once
@@ -106,7 +100,7 @@ def _packed(texts: DataFrame, buckets: int, depth: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "digests", "counts", "places"])
 
-    return texts.mapInArrow(run, "bucket int, digests binary, counts binary, places binary")
+    return texts.mapInArrow(K.tidy(run), "bucket int, digests binary, counts binary, places binary")
 
 
 def _repeated_minimizers(table: pa.Table) -> pa.Table:
@@ -135,7 +129,7 @@ def _pieces(texts: DataFrame, buckets: int, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, bool] = {}
         done: set[bytes] = set()
-        for b in _sliced(batches):
+        for b in K.slices(batches, limit=2 << 20):
             rows = []
             for digest, text, parts in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), b.column("parts").to_pylist(), strict=True):
                 raw = text.encode("utf-8")
@@ -156,7 +150,7 @@ def _pieces(texts: DataFrame, buckets: int, depth: int) -> DataFrame:
                 types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kind", "bucket", "piece", "digest", "start", "count", "content"])
 
-    return texts.mapInArrow(run, "kind int, bucket int, piece binary, digest binary, start long, count long, content binary")
+    return texts.mapInArrow(K.tidy(run), "kind int, bucket int, piece binary, digest binary, start long, count long, content binary")
 
 
 def _runs(mask: np.ndarray) -> bytes:
@@ -225,14 +219,14 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, space: Workspace, depth
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = texts.filter(F.octet_length("text") >= depth).select("digest", "text")
-    found = _packed(own, int(max(tasks, n_bytes // 75 // MINIMIZERS)), depth).groupBy("bucket").applyInArrow(_repeated_minimizers, "digest binary, places binary, size long")
+    found = _packed(own, int(max(tasks, n_bytes // 75 // MINIMIZERS)), depth).groupBy("bucket").applyInArrow(K.tidy(_repeated_minimizers), "digest binary, places binary, size long")
     found = space.save(found.groupBy("digest").agg(F.collect_list("places").alias("parts"), F.sum("size").alias("size")), "minimizers")
     n, total = (int(x or 0) for x in found.agg(F.count("*"), F.sum("size")).first())
     # a place takes 12 bytes and stands for 60 bytes of pieces or more
     pieces = _pieces(_joined(own, found.drop("size"), 32 * n + total // 5), int(max(tasks, total // PIECES)), depth)
     pieces.write.mode("overwrite").partitionBy("kind").parquet(space.path("pieces"))
     pieces = spark.read.schema(pieces.schema).parquet(space.path("pieces"))
-    runs = pieces.filter("kind = 1").select("bucket", "piece", "count", "content").groupBy("bucket").applyInArrow(_find(depth), "piece binary, runs binary")
+    runs = pieces.filter("kind = 1").select("bucket", "piece", "count", "content").groupBy("bucket").applyInArrow(K.tidy(_find(depth)), "piece binary, runs binary")
     hits = pieces.filter("kind = 0").select("piece", "digest", "start").distinct().join(runs, "piece")
     hits = hits.groupBy("digest").agg(F.collect_list(F.struct("start", "runs")).alias("hits"), F.sum(F.octet_length("runs") + 24).alias("bytes"))
     return rows, space.save(hits, "hits")
@@ -270,7 +264,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
 
     # texts that occur twice go as a whole; what is left of the others is cut here
     once = hits.join(_multiple(rows), "digest", "left_anti")
-    cut = _joined(_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), once.drop("bytes"), size).select("doc_id", "text", "hits").mapInArrow(run, RESULT)
+    cut = _joined(_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), once.drop("bytes"), size).select("doc_id", "text", "hits").mapInArrow(K.tidy(run), RESULT)
     return gone.unionByName(kept).unionByName(cut)
 
 
@@ -287,18 +281,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> Dat
     rows, hits = repeated_spans(spark, docs, space, depth)
     copied = rows.filter((F.col("copies") > 1) & (F.col("n_bytes") >= depth)).agg(F.count_distinct("digest")).first()[0]
     size = int(hits.agg(F.sum("bytes")).first()[0] or 0) + 40 * copied
-    side = hits.select(F.col("digest").alias("_digest"), F.col("hits").alias("_hits"))
-    multiple = _multiple(rows.filter(F.col("n_bytes") >= depth)).select(F.col("digest").alias("_digest"), F.lit(True).alias("_whole"))
-    side = side.join(multiple, "_digest", "full")
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    joined = keyed.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col("_key") == F.col("_digest"), "left")
-    columns, names = docs.schema, docs.columns
-    chars = names.index("n_chars") if "n_chars" in names else -1
+    side = hits.select("digest", "hits").join(_multiple(rows.filter(F.col("n_bytes") >= depth)).withColumn("whole", F.lit(True)), "digest", "full")
+    keyed = docs.select(as_row(docs), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("digest"))
+    joined = keyed.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "digest", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.slices(batches):
-            texts, changed = b.column("text").to_pylist(), {}
-            for i, (hits_, whole) in enumerate(zip(b.column("_hits").to_pylist(), b.column("_whole").to_pylist(), strict=True)):
+        for b, column in K.row_slices(batches):
+            texts, changed = column.to_pylist(), [None] * b.num_rows
+            for i, (hits_, whole) in enumerate(zip(b.column("hits").to_pylist(), b.column("whole").to_pylist(), strict=True)):
                 if whole:
                     changed[i] = ""
                 elif hits_:
@@ -308,11 +298,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> Dat
                         at = hi
                     left.append(raw[at:])
                     changed[i] = "".join(p.decode("utf-8", "ignore") for p in left)
-            out = [b.column(n) for n in names]
-            if changed:
-                out[names.index("text")] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], b.column("text").type)
-                if chars >= 0:
-                    out[chars] = pa.array([len(changed[i]) if i in changed else c for i, c in enumerate(out[chars].to_pylist())], out[chars].type)
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return joined.select(*names, "_hits", "_whole").mapInArrow(run, columns)
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(changed, pa.string())], names=["_row", "cut"])
+
+    columns = T.StructType([keyed.schema["_row"], T.StructField("cut", T.StringType())])
+    done = joined.select("_row", "hits", "whole").mapInArrow(K.tidy(run), columns)
+    text = F.coalesce("cut", F.col("_row.text"))
+    new = {"text": text} | ({"n_chars": F.when(F.col("cut").isNull(), F.col("_row.n_chars")).otherwise(F.length("cut"))} if "n_chars" in docs.columns else {})
+    return rows_of(done, docs, **new)

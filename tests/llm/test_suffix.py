@@ -74,25 +74,49 @@ def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark, frame).collect() == []
 
 
+def _strings(rng):
+    base = rng.integers(97, 100, 80, dtype=np.uint8).tobytes()
+    return [base[int(rng.integers(0, 30)) :][: int(rng.integers(1, 60))] + rng.integers(97, 99, int(rng.integers(0, 9)), dtype=np.uint8).tobytes() for _ in range(12)]
+
+
+@pytest.mark.parametrize("step", [1, 3, 8, 12])
 @pytest.mark.parametrize("shard", [40, 200, 10**6])
-def test_merged_order_is_the_order_of_all_suffixes(monkeypatch, shard):
+def test_merged_order_is_the_order_of_all_suffixes(monkeypatch, shard, step):
     monkeypatch.setattr(bwt, "SHARD", shard)
     rng = np.random.default_rng(shard)
-    for _ in range(20):
-        base = rng.integers(97, 100, 80, dtype=np.uint8).tobytes()
-        strings = [base[int(rng.integers(0, 30)) :][: int(rng.integers(1, 60))] + rng.integers(97, 99, int(rng.integers(0, 9)), dtype=np.uint8).tobytes() for _ in range(12)]
-        s = bwt.Strings(strings)
-        orders, lo = [], 0
-        while lo < len(strings):
-            hi = max(lo + 1, int(np.searchsorted(s.at, s.at[lo] + shard, "right")) - 1)
-            orders.append(bwt.shard_order(s, int(s.at[lo]), int(s.at[hi]), 24))
-            lo = hi
-        order, common, _ = bwt.merge(s, orders, 24)
+    for _ in range(12):
+        strings = _strings(rng)
+        s = bwt.Strings(strings, step)
+        shards = bwt.shards_of(s, 24)
+        slots, common = bwt.merge(shards, 24 // step)
+        order = np.concatenate([x.places for x in shards])[slots]
         suffix = {int(a) + i: t[i:] for a, t in zip(s.at, strings) for i in range(len(t) + 1)}
-        assert sorted(order.tolist()) == sorted(p for p, t in suffix.items() if len(t) >= 8)
+        assert sorted(order.tolist()) == sorted(p for p, t in suffix.items() if len(t) >= step)
         for a, b, c in zip(order[:-1].tolist(), order[1:].tolist(), common[1:].tolist()):
             x, y = suffix[a], suffix[b]
-            symbols = next((k for k in range(3) if len(x) < 8 * k + 8 or len(y) < 8 * k + 8 or x[8 * k : 8 * k + 8] != y[8 * k : 8 * k + 8]), 3)
-            assert c == symbols
+            cut = lambda t: [t[k : k + step] for k in range(0, 24, step) if len(t) >= k + step]
+            same = [p == q for p, q in zip(cut(x), cut(y))]
+            assert c == (same.index(False) if False in same else len(same))
             if len(x) >= 24 and len(y) >= 24:
                 assert x[:24] <= y[:24]
+
+
+def test_the_transforms_carry_the_merge():
+    """Places come from the shards' transforms alone: with one of them shuffled, the repeated places are others."""
+    rng = np.random.default_rng(9)
+    strings = [rng.integers(97, 123, 300, dtype=np.uint8).tobytes() for _ in range(6)]
+    strings += [strings[0][20:240], strings[3][50:290]]
+    s = bwt.Strings(strings, 8)
+    half = int(s.at[4])
+    right = [bwt.Transform(s, 0, half, 24), bwt.Transform(s, half, s.n, 24)]
+
+    def places(shards):
+        slots, common = bwt.merge(shards, 3)
+        order, same = np.concatenate([x.places for x in shards])[slots], common == 3
+        return set(order[same].tolist()) | set(order[:-1][same[1:]].tolist())
+
+    want = {int(a) + i for a, t in zip(s.at, strings) for i in range(len(t) - 23) if sum(u.count(t[i : i + 24]) for u in strings) > 1}
+    assert places(right) == want and want
+    by = rng.permutation(len(right[0].places))
+    right[0].places, right[0].symbols = right[0].places[by], right[0].symbols[by]
+    assert places(right) != want

@@ -12,7 +12,9 @@ Offsets: a regular expression's matches and the pieces between them give lengths
 sums over the few rows that matched give the places.
 
 Defined results: a null text is empty; a text without secrets has zero counts and an empty list; rows with
-the same id and text are scanned once and get the same result each; a null owner counts as an owner.
+the same id and text get the same result each, and each of their owners counts; a null owner counts as an owner; spans
+that start together are listed by kind; texts are read whole; an empty table gives no rows; `redact` keeps all
+columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, Workspace, lookup
+from .shared import BROADCAST_ROWS, Workspace, as_row, lookup, rows_of
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -41,14 +43,14 @@ def _kind(number: int, pattern: str, group: int) -> Column:
 
 
 def candidates(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h of every row; doc_id, h, owner, kind, start, end, value of every candidate)."""
+    """(doc_id, h of every row; doc_id, h, owner, kind, start, end, hash of the value of every candidate of an owner)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("source").cast("string").alias("owner"))
     scanned = rows.select("doc_id", F.xxhash64("text").alias("h"), "owner", F.array_compact(F.array(_kind(0, ASSIGN, 2), _kind(1, ACCESS, 0), _kind(2, HEX, 0), _kind(3, PROPOSED, 0))).alias("kinds"))
     scanned = space.save(scanned, "scanned")
-    each = scanned.filter(F.size("kinds") > 0).select(*_ROW, "owner", F.explode("kinds").alias("k"))
+    # rows that repeat one another count once for each owner
+    each = scanned.filter(F.size("kinds") > 0).groupBy(*_ROW, "owner").agg(F.first("kinds").alias("kinds")).select(*_ROW, "owner", F.explode("kinds").alias("k"))
     each = each.select(*_ROW, "owner", "k.kind", F.posexplode(F.arrays_zip("k.piece", "k.match", "k.value")).alias("i", "z")).filter("z.match IS NOT NULL")
-    each = each.groupBy(*_ROW, "kind", "i").agg(F.min("owner").alias("owner"), F.first("z").alias("z"))
-    before = F.sum(F.col("z.piece") + F.length("z.match")).over(Window.partitionBy(*_ROW, "kind").orderBy("i"))
+    before = F.sum(F.col("z.piece") + F.length("z.match")).over(Window.partitionBy(*_ROW, "owner", "kind").orderBy("i"))
     each = each.select(*_ROW, "owner", "kind", before.alias("end"), F.length("z.match").alias("n"), F.col("z.value").alias("value"))
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]")
     good = F.when(F.col("kind") == 0, F.length("value") >= LEAST_VALUE).when(F.col("kind") == 3, mixed).otherwise(True)
@@ -67,6 +69,7 @@ def judged(docs: DataFrame, space: Workspace, places: int | None = LIVE_REPOSITO
     """(rows, spans that stay, with `live` and `example`); a single owner's value looks live in at most so many repositories, None: in any number."""
     rows, spans = candidates(docs, space)
     counts = space.save(ownership(spans), "ownership")
+    spans = spans.drop("owner").distinct()
     n = counts.agg(F.count("*"), F.sum("n_rows")).first()
     spans = lookup(spans, counts, "value_hash", int(n[1] or 0), int(n[0]), "n_rows")
     live = F.col("n_owners") == 1
@@ -99,23 +102,30 @@ def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]") -> Data
 
     A proposed token of a single owner goes in however many documents it is, so copies don't hide it.
     """
-    _, spans = judged(docs, Workspace(spark, "redact"), None)
+    space = Workspace(spark, "redact")
+    _, spans = judged(docs, space, None)
     order = Window.partitionBy(*_ROW).orderBy("start", "end")
     earlier = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(earlier.isNull() | (F.col("start") > earlier), 1).otherwise(0)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy(*_ROW, "run").agg(F.min("start").alias("s"), F.max("end").alias("e"))
-    runs = runs.groupBy(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_spans"))
-    runs = Workspace(spark, "redact").save(runs, "runs")
-    if runs.count() <= BROADCAST_ROWS:
+    runs = runs.groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    runs = space.save(runs, "runs")
+    n, size = (int(x or 0) for x in runs.agg(F.count("*"), F.sum(F.size("spans"))).first())
+    if n + size <= BROADCAST_ROWS:
         runs = F.broadcast(runs)
-    text = F.col("text")
-    piece = lambda i: F.substring(text, F.when(i == 0, F.lit(1)).otherwise(F.get("_spans", i - 1)["e"] + 1).cast("int"), (F.when(i == F.size("_spans"), F.length(text)).otherwise(F.get("_spans", i)["s"]) - F.when(i == 0, F.lit(0)).otherwise(F.get("_spans", i - 1)["e"])).cast("int"))
-    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.size("_spans")), piece), mark)
-    joined = docs.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_h")), "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(clean))
+    text = F.col("_row.text").cast("string")
+    end = lambda i: F.get("spans", i - 1)["e"]
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(end(i))
+    stop = lambda i: F.when(i == F.size("spans"), F.length(text)).otherwise(F.get("spans", i)["s"])
+    piece = lambda i: F.substring(text, (start(i) + 1).cast("int"), (stop(i) - start(i)).cast("int"))
+    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.size("spans")), piece), mark)
+    keyed = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    joined = keyed.join(runs, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("h")), "left")
+    found = F.col("spans").isNotNull()
+    new = {"text": F.when(found, clean).otherwise(text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(found, F.length(clean)).otherwise(F.col("_row.n_chars"))
+    return rows_of(joined, docs, **new)
 
 
 def _oracle() -> str:

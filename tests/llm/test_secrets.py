@@ -71,3 +71,14 @@ def test_many_values_with_a_hot_one(spark, monkeypatch):
     rows = [(i, "token=abcdefghijklmnop" if i % 3 else f"password={i:016d}", f"s{i % 5}") for i in range(90)]
     got = secrets.secret_scan(spark, _frame(spark, rows)).collect()
     assert sum(r.n_example for r in got) == 60 and sum(r.n_live for r in got) == 60 and len(got) == 90
+
+
+def test_every_owner_of_repeated_rows_counts(spark):
+    text = f"key {LIVE} end"
+    rows = {r.doc_id: r for r in secrets.secret_scan(spark, _frame(spark, [(1, text, "a"), (1, text, "b"), (2, "x " + LIVE[::-1], "a"), (2, "x " + LIVE[::-1], "a")])).collect()}
+    assert rows[1].spans == "" and rows[1].n_live == 0 and rows[2].spans == "owned:2:22"
+
+
+def test_empty_table(spark):
+    empty = _frame(spark).filter("false")
+    assert secrets.secret_scan(spark, empty).collect() == [] and secrets.redact(spark, empty).collect() == []

@@ -12,11 +12,14 @@ Queries are the stated set of rows, taken in blocks of a fixed size: only such a
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a shorter vector
 counts as filled up with zeros; a query's own row is any row with its id; repeated query rows count once,
-repeated candidates each; with fewer candidates than k all are returned.
+repeated candidates each; with fewer candidates than k all are returned; equal scores go by the smaller id; an empty
+table gives no rows. Blocks whose numbers are too large for exact bounds in floating point are scored directly in
+integers of any size; a score beyond a long counts as the nearest long.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +28,28 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernel import ragged
+from .kernel import ragged, tidy
 
 SHIFT = 5
 #: Vectors in a block of the index, queries sent at once, and vectors that may be left to exact scoring, at a share of the block.
 BLOCK, QUERIES, RESCORE_SHARE = 16_384, 2048, 1 / 16
 #: The bound of each round, as a share of the largest impact.
 ROUNDS = (0.6, 0.45, 0.35, 0.25, 0.18, 0.12, 0.08, 0.0)
+#: Components under SAFE become int64, inner products under EXACT are sums of whole numbers that floating point holds, LONG is the largest score.
+SAFE, EXACT, LONG = 2.0**50, 1 << 52, (1 << 63) - 1
 PART = "query_id long, vec_id long, score long"
 
 
+def _whole(values: np.ndarray) -> np.ndarray:
+    """floor(1024 * x): as int64 where that holds all of them, else as Python's integers."""
+    if not values.size or np.abs(values).max() < SAFE:
+        return np.floor(1024.0 * values).astype(np.int64)
+    exact = [math.floor(1024.0 * x) if abs(x) < SAFE else 1024 * int(x) for x in values.ravel().tolist()]
+    return np.array(exact, object).reshape(values.shape)
+
+
 def integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that take part, their components as int64, padded with zeros)."""
+    """(rows that take part, their components as whole numbers, padded with zeros)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lens = np.asarray(pa.compute.list_value_length(column).fill_null(-1))
@@ -45,13 +58,22 @@ def integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([[0], np.cumsum(np.maximum(lens, 0))])
     bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
     rows = np.flatnonzero((lens >= 0) & (bad[at[1:]] == bad[at[:-1]]))
-    out = np.zeros((len(rows), int(lens.max(initial=0))), np.int64)
+    padded = np.zeros((len(rows), int(lens.max(initial=0))))
     for width in np.unique(lens[rows]):
         own = np.flatnonzero(lens[rows] == width)
         if width:
-            take = at[rows[own]][:, None] + np.arange(width)
-            out[own, :width] = np.floor(1024.0 * values[take]).astype(np.int64)
-    return rows, out
+            padded[own, :width] = values[at[rows[own]][:, None] + np.arange(width)]
+    return rows, _whole(padded)
+
+
+def _magnitude(m: np.ndarray) -> int:
+    return max((abs(int(m.min())), abs(int(m.max())))) if m.size else 0
+
+
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """All inner products in Python's integers, brought into the range of a long."""
+    full = vectors.astype(object) @ query.astype(object)
+    return np.array([min(max(int(x), -LONG), LONG) for x in np.atleast_1d(full)], np.int64)
 
 
 class ImpactIndex:
@@ -100,7 +122,7 @@ class ImpactIndex:
                 s = order[at:stop]
                 size = self.last[s] - self.first[s]
                 rows = self.postings[ragged(self.first[s], size)]
-                # sums of whole numbers far under 2**53 are exact in floating point
+                # sums of whole numbers under EXACT are exact in floating point
                 gathered += np.bincount(rows, np.repeat(surely[s], size), n).astype(np.int64)
                 spread += np.bincount(rows, np.repeat(impact[s] - surely[s], size), n).astype(np.int64)
                 met += np.bincount(rows, minlength=n).astype(np.int32)
@@ -132,7 +154,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10
         take, matrix = integers(own.column("embedding"))
         ids, first = np.unique(np.asarray(own.column("vec_id"), np.int64)[take], return_index=True)
         sent = spark.sparkContext.broadcast((ids, matrix[first]))
-        found = rows.mapInArrow(_scan(sent, k), PART)
+        found = rows.mapInArrow(tidy(_scan(sent, k)), PART)
         parts = found if parts is None else parts.unionByName(found)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return parts.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -150,11 +172,18 @@ def _scan(sent, k: int):
                 return
             width = max(vectors.shape[1], queries.shape[1])
             vectors, asked = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (vectors, queries))
-            index = ImpactIndex(np.asarray(table.column("vec_id"), np.int64)[take], vectors)
+            own_ids = np.asarray(table.column("vec_id"), np.int64)[take]
+            # an impact spans twice a component and a quantum; a score and its bounds add up as many as there are dimensions
+            fits = 2 * width * _magnitude(asked) * (2 * _magnitude(vectors) + (2 << SHIFT)) < EXACT
+            index = ImpactIndex(own_ids, vectors) if fits else None
             for i, (query_id, query) in enumerate(zip(ids, asked, strict=True)):
                 old_ids, old = kept[i]
-                floor = int(old[-1]) if len(old) == k else None
-                new_ids, new, _ = index.search(int(query_id), query, k, floor)
+                if index:
+                    floor = int(old[-1]) if len(old) == k else None
+                    new_ids, new, _ = index.search(int(query_id), query, k, floor)
+                else:
+                    others = own_ids != query_id
+                    new_ids, new = own_ids[others], exact_scores(vectors[others], query)
                 all_ids, scores = np.concatenate([old_ids, new_ids]), np.concatenate([old, new])
                 order = best(all_ids, scores, k)
                 kept[i] = all_ids[order], scores[order]

@@ -1,7 +1,9 @@
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from ledgerline.llm import topk, warc
 
@@ -32,6 +34,39 @@ def test_round_trip_of_hard_pages(spark):
     assert sorted(map(tuple, got), key=str) == _expected(rows)
 
 
+@pytest.mark.parametrize("split", [64, 1000, 10**6])
+def test_chains_cross_the_ranges_of_a_file(spark, split):
+    """One file read in many ranges, with payloads full of separators, heads and record ends, and one far larger than a range."""
+    rng = np.random.default_rng(split)
+    bits = ["WARC/1.", "WARC/1.1\r\n", "\r\n", "\r\n\r\n", MAGIC, "Content-Length: 3", "WWARC/1.0\r\n", "é", "x" * 70]
+    rows = [(i, "".join(rng.choice(bits, int(rng.integers(0, 12))))) for i in range(60)] + [(90, "y" * 20_000 + MAGIC), (91, MAGIC + "z" * 3000), (92, MAGIC + "z" * 3000)]
+    frame = spark.createDataFrame([(p, "http://WARC/1.1\r\n" + str(p), h, "clash") for p, h in rows], SCHEMA).coalesce(1)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = warc.archive_round_trip(spark, frame).drop("file", "offset").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert sorted(map(tuple, got), key=str) == _expected(rows)
+
+
+def test_a_broken_chain_fails_and_names_the_place(spark, tmp_path):
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: {}\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "part-0").write_text(head.format(3) + head.format(3), newline="")
+    assert [(r.page_id, r.payload_bytes, r.offset) for r in warc.read_archives(spark, f"file://{tmp_path}").collect()] == [(1, 3, 0), (1, 3, len(head.format(3)))]
+    (tmp_path / "part-0").write_text(head.format(3) + head.format(4), newline="")
+    with pytest.raises(Exception, match="no record begins at"):
+        warc.read_archives(spark, f"file://{tmp_path}").collect()
+
+
+def test_false_heads_are_scanned_in_linear_time():
+    raw = b"1\r\n" + b"A: b\r\n" * 200_000
+    start = time.process_time()
+    assert warc.fragment(raw)[1] == -1 and time.process_time() - start < 1
+
+
 def test_empty_table(spark):
     assert warc.archive_round_trip(spark, spark.createDataFrame([], SCHEMA)).collect() == []
 
@@ -92,3 +127,17 @@ def test_search_stops_early_on_clustered_vectors():
     exact[0] = -(10**12)
     assert found[order].tolist() == topk.best(np.arange(4000), exact, 10).tolist()
     assert done < vectors.size
+
+
+def test_numbers_of_any_size_are_exact(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(rng.normal(size=4) * 10.0 ** rng.integers(-2, 12)).tolist() for _ in range(60)]
+    vectors[10], vectors[11], vectors[12], vectors[13] = [1e30, 0.0, 0.0, 1.0], [1e300, -1e300, 1.0, 2.0], [-(2.0**60), 1.0, 0.5, 0.25], [5e-324, -0.0, 2.0**-11, -(2.0**-11)]
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(2)
+    got = sorted(map(tuple, topk.top_k(spark, frame, every=10).collect()))
+    whole = [[(1024 * int(x) if abs(x) >= 2**50 else int(np.floor(1024.0 * x))) for x in v] for v in vectors]
+    want, top = [], 2**63 - 1
+    for q in range(0, 60, 10):
+        score = sorted((-min(max(sum(a * b for a, b in zip(whole[q], w)), -top), top), i) for i, w in enumerate(whole) if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(score[:10])]
+    assert got == want

@@ -1,24 +1,27 @@
 """Packing by order-preserving dynamic programming.
 
 Documents follow one another in table order as one stream of token ids. Cuts may fall at document ends
-(free) and sentence ends (a small penalty); a stretch of more than a window without either may be cut
+(free) and sentence ends (a small penalty); a stretch of more than a quarter of a window without either may be cut
 anywhere at a larger penalty. best[j] = min over i with p[j] - p[i] <= W of best[i] + W - (p[j] - p[i]) +
-penalty[j] is a sliding-window minimum of best[i] + p[i], kept by a monotone queue. The stream is cut in
-stretches of bounded length; what the last, unfinished window of a stretch holds is carried on, and at a
-partition's end the rest is cut in powers of two, which need no padding.
+penalty[j] is a sliding-window minimum of best[i] + p[i], kept by a monotone queue. Cuts are final as far as
+the best ways to all places that may come next agree, so what is packed is the optimum of the whole stream,
+while only what is still open is held.
+
+Within the last window of a stream, cuts may fall anywhere, and sequences whose length is a power of two, which need no
+padding, are further choices of the same recurrence.
 
 Each partition of the table is packed by itself without a shuffle, so a lost task is simply packed again
 and gives the same sequences: they are numbered by partition and by place in it.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed one by
-one; a document longer than a window goes on in the next sequences.
+one; of ways that cost the same, the one found first is taken; a document longer than a window goes on in the next
+sequences; an empty table gives no rows; only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -31,14 +34,12 @@ from pyspark.sql import functions as F
 from . import kernel as K
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Tokens after which a stretch is packed; sequences of one partition are numbered below 2**SEQUENCE_BITS.
+#: Tokens between two attempts to make cuts final; sequences of one partition are numbered below 2**SEQUENCE_BITS.
 STRETCH, SEQUENCE_BITS = 1 << 20, 40
 #: Costs of a cut in padding tokens: at a sentence end, elsewhere.
 SENTENCE_PENALTY, CUT_PENALTY = 4, 64
-#: Pieces whose ids a worker remembers.
-CACHE_PIECES = 1_000_000
-#: The pre-token pattern of the vocabulary, on lower-cased text without white space (fixed values).
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+"
+#: Pieces of each kind in a generation of a worker's memory; at about 200 bytes each.
+CACHE_PIECES = 100_000
 
 
 class WordIds:
@@ -52,9 +53,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        # each memory has a generation in use and the one before, so that what is frequent stays
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_cache, self.old_words = self.cache, self.words
         zero = self.model.encode("0", add_special_tokens=False).ids
         self.zero = zero[0] if len(zero) == 1 else None
         self.simple = re.compile(r"([a-z]+)([.,;:!?]?)\Z").match
@@ -85,7 +87,9 @@ class WordIds:
             parts.append(m and m.groups())
             if not m:
                 rest.append(chunk)
-        new = list({p[0] for p in parts if p}.difference(words))
+        new = {p[0] for p in parts if p}.difference(words)
+        words.update({w: self.old_words[w] for w in new if w in self.old_words})
+        new = list(new.difference(words))
         words.update(zip(new, self._many(new), strict=True))
         plain = [c for c in rest if not any(map(str.isnumeric, c))]
         cache = self.cache
@@ -99,13 +103,15 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+            self.old_cache, self.cache = self.cache, {}
         if len(self.words) > CACHE_PIECES:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         rows = [re.split("[ \t\n\r]+", t) if _ODD(t) else t.split() for t in texts]
         new = set()
         for r in rows:
             new.update(r)
+        new = new.difference(self.cache)
+        self.cache.update({c: self.old_cache[c] for c in new if c in self.old_cache})
         self._learn(list(new.difference(self.cache)))
         get = self.cache.__getitem__
         return [b"".join(map(get, r)) for r in rows]
@@ -113,50 +119,60 @@ class WordIds:
 
 #: Characters that str.split() takes for blanks and the vocabulary doesn't.
 _ODD = re.compile("[\x1c-\x1f]").search
-_WORDS: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    return K.held(("words", path), lambda: WordIds(path))
+
 
+def padding(length: int, window: int) -> int:
+    return 0 if length & (length - 1) == 0 else window - length
 
-def plan(points: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
-    """Places of the chosen cuts: points[0] first, ascending, neighbours at most `window` apart; the last window is not padded.
 
-    points ascend and costs are those of a cut there. The end, points[-1], is reached from the best point at most a window before it.
+def plan(points: np.ndarray, costs: np.ndarray, window: int, final: bool = True) -> list[int]:
+    """Places of the chosen cuts: points[0] first, ascending, neighbours at most `window` apart.
+
+    points ascend and costs are those of a cut there. If the stream is at its end, the last cut is points[-1], and points
+    may also be reached by a sequence whose length is a power of two in the last window. Else the cuts are those on
+    which the best ways to all points within a window of the last one agree.
     """
     p, c = points.tolist(), costs.tolist()
+    last = len(p) - 1
     best, back = [0] * len(p), [0] * len(p)
     queue: deque[int] = deque([0])
-    last = len(p) - 1
+    tail = p[last] - window if final else p[last]
+    index = {x: j for j, x in enumerate(p) if x >= tail}
     for j in range(1, len(p)):
         floor = p[j] - window
         while p[queue[0]] < floor:
             queue.popleft()
         i = queue[0]
-        back[j] = i
-        pad = 0 if j == last else window - (p[j] - p[i])
-        best[j] = best[i] + pad + c[j]
-        if j == last:
-            # what follows the last cut is not padded, so the minimum is over best[i] alone
-            first = bisect_left(p, floor)
-            i = min(range(first, j), key=best.__getitem__)
-            back[j], best[j] = i, best[i]
+        cost = best[i] + window - (p[j] - p[i])
+        if final and p[j] > tail:
+            for k in range(window.bit_length()):
+                near = index.get(p[j] - (1 << k))
+                if near is not None and best[near] < cost:
+                    i, cost = near, best[near]
+        back[j], best[j] = i, cost + c[j]
         key = best[j] + p[j]
         while queue and best[queue[-1]] + p[queue[-1]] >= key:
             queue.pop()
         queue.append(j)
-    out, j = [last], last
+    ways = {last} if final else {j for j in range(len(p)) if p[j] > p[last] - window}
+    while len(ways) > 1:
+        j = max(ways)
+        ways.remove(j)
+        ways.add(back[j])
+    j = ways.pop()
+    out = [j]
     while j:
         j = back[j]
         out.append(j)
     return [p[j] for j in reversed(out)]
 
 
-def cut_points(ids: np.ndarray, ends: np.ndarray, enders: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, costs) where cuts may fall in a stretch whose documents end at `ends`."""
+def cut_points(ids: np.ndarray, ends: np.ndarray, enders: np.ndarray, window: int, final: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(places, costs) where cuts may fall in a stretch whose documents end at `ends`; at the stream's end, anywhere in the last window."""
     cost = np.full(len(ids) + 1, -1, np.int32)
     cost[1:][enders[ids]] = SENTENCE_PENALTY
     cost[ends] = 0
@@ -166,8 +182,10 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, enders: np.ndarray, window: in
     for g in gaps:
         own = cost[points[g] + 1 : points[g + 1]]
         own[own < 0] = CUT_PENALTY
-    if len(gaps):
-        points = np.flatnonzero(cost >= 0)
+    if final:
+        own = cost[max(0, len(ids) - window) :]
+        own[own < 0] = CUT_PENALTY
+    points = np.flatnonzero(cost >= 0)
     return points, cost[points]
 
 
@@ -178,34 +196,23 @@ class Packer:
         self.sequence, self.window, self.enders = first, window, enders
         self.docs: list[tuple[int | None, int, int]] = []  # (id, tokens already packed, tokens in all)
         self.parts: list[np.ndarray] = []
-        self.held = 0
+        self.held, self.next = 0, STRETCH
         self.rows: list[tuple] = []
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc, 0, len(ids)))
         self.parts.append(ids)
         self.held += len(ids)
-        if self.held >= STRETCH:
+        if self.held >= self.next:
             self.pack(False)
+            self.next = self.held + STRETCH
 
     def pack(self, final: bool) -> None:
         if not self.held:
             return
         ids = np.concatenate(self.parts)
         ends = np.cumsum([len(x) for x in self.parts])
-        points, costs = cut_points(ids, ends, self.enders, self.window)
-        cuts = plan(points, costs, self.window)
-        if final:
-            rest, place = cuts.pop() - cuts[-1], cuts[-1]
-            if rest == self.window:
-                cuts.append(place + rest)
-            else:
-                for k in range(rest.bit_length() - 1, -1, -1):
-                    if rest >> k & 1:
-                        place += 1 << k
-                        cuts.append(place)
-        else:
-            cuts.pop()
+        cuts = plan(*cut_points(ids, ends, self.enders, self.window, final), self.window, final)
         raw, at = memoryview(ids.tobytes()), 0
         d, begin = 0, 0  # the document at `at`, and where its held ids begin
         ends = ends.tolist()
@@ -256,4 +263,4 @@ def pack_documents(docs: DataFrame, path: str, window: int = 4096, end_id: int =
         if packer.rows:
             yield packer.take()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(K.tidy(run), SCHEMA)

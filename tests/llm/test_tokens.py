@@ -142,7 +142,6 @@ def test_packing(docs, texts, monkeypatch):
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = packing.pack_documents(docs, path).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -194,18 +193,56 @@ def test_packing_many_stretches():
     assert max(seqs.values()) <= 64
 
 
+def _cost(cuts, p, c, w):
+    cost_of = dict(zip(p.tolist(), c.tolist(), strict=True))
+    pad = lambda a, b: 0 if b > p[-1] - w and a >= p[-1] - w and (b - a) & (b - a - 1) == 0 else w - (b - a)
+    return sum(pad(a, b) + cost_of[b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 def test_plan_is_optimal_on_small_inputs():
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        p = np.unique(np.concatenate([[0], rng.integers(1, 40, 12)]))
+    for _ in range(300):
+        p = np.unique(np.concatenate([[0], rng.integers(1, 60, 14)]))
         c = rng.integers(0, 6, len(p))
-        w = int(max(np.diff(p).max(), 8)) if len(p) > 1 else 8
+        w = int(1 << int(rng.integers(4, 6)))
+        if len(p) < 2 or max(np.diff(p)) > w:
+            continue
+        cuts = packing.plan(p, c, w)
+        assert max(np.diff(cuts)) <= w and cuts[0] == 0 and cuts[-1] == p[-1]
         best = {0: 0}
         for j in range(1, len(p)):
-            last = j == len(p) - 1
-            best[j] = min(best[i] + (0 if last else w - (p[j] - p[i]) + c[j]) for i in range(j) if p[j] - p[i] <= w)  # noqa: B023
-        cuts = packing.plan(p, c, w)
-        cost_of = dict(zip(p.tolist(), c.tolist(), strict=True))
-        cost = sum(w - (b - a) + cost_of[b] for a, b in zip(cuts, cuts[1:-1], strict=False))
-        assert max(np.diff(cuts), default=0) <= w
-        assert cost == best[len(p) - 1]
+            ways = []
+            for i in range(j):
+                n = int(p[j] - p[i])
+                if n <= w:
+                    free = p[j] > p[-1] - w and p[i] >= p[-1] - w and n & (n - 1) == 0
+                    ways.append(best[i] + (0 if free else w - n) + c[j])
+            best[j] = min(ways)
+        assert _cost(cuts, p, c, w) == best[len(p) - 1]
+
+
+def test_cuts_made_final_early_are_those_of_the_whole_stream():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        p = np.unique(np.concatenate([[0], rng.integers(1, 900, 160)]))
+        c, w = rng.integers(0, 5, len(p)), 64
+        if max(np.diff(p)) > w:
+            continue
+        k = len(p) // 2
+        early = packing.plan(p[:k], c[:k], w, False)
+        rest = packing.plan(p[p >= early[-1]] - early[-1], c[p >= early[-1]], w)
+        joined = early[:-1] + [early[-1] + x for x in rest]
+        assert _cost(joined, p, c, w) == _cost(packing.plan(p, c, w), p, c, w)
+
+
+def test_the_rest_goes_through_the_recurrence():
+    enders = np.zeros(10, bool)
+    packer = packing.Packer(0, 4096, enders)
+    packer.add(1, np.ones(1000, "<u4"))
+    packer.pack(True)
+    lengths = [r[2] for r in packer.rows]
+    assert sum(lengths) == 1000 and all(n & (n - 1) == 0 for n in lengths) and len(lengths) == 6
+    packer = packing.Packer(0, 4096, enders)
+    packer.add(1, np.ones(4000, "<u4"))
+    packer.pack(True)
+    assert [r[2] for r in packer.rows] == [4000]  # padding 96 costs less than cuts anywhere

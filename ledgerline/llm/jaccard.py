@@ -14,21 +14,25 @@ with equal sets form a class, and only classes are compared. What follows loses
    then contracted. Lists that still join different components go on with more pivots, in rounds that grow,
    until every pair of different components has been compared or ruled out by size or position.
 4. T-occurrence search. Pivots are gathered in blocks, each with an inverted index. A set is looked up
-   with DivideSkip: its short lists are merged with counts, the long ones are probed by binary search for
-   what reaches the count, and what reaches the required overlap is a link. A pivot that very many sets
-   are compared with is copied to several blocks.
+   with DivideSkip: its short lists are merged by a heap of their heads, which skips what can't be in enough of
+   them, the long ones are probed by binary search for what reaches the count, and what reaches the required
+   overlap is a link. A pivot that very many sets are compared with is copied to several blocks.
 
 Components come from contraction rounds over the links: every node points to its least neighbour, pointers
 are followed to their roots, and links are taken between roots until none is left.
 
 Defined results: null or empty text, or one without words, has an empty set, links with nothing and is its
 own component; fewer than five words are one shingle; documents with equal ids count as several documents
-whose component bears the least id; a null id is never the least unless there is no other.
+whose component bears the least id; a null id is never the least unless there is no other; an empty table gives no
+rows; texts of any length are read whole, in pieces of bounded size; only doc_id and text are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import BROADCAST_ROWS, Workspace, lookup
+from .shared import BROADCAST_ROWS, Workspace, as_row, lookup, rows_of
 
 WORDS = 5
 #: The similarity asked for, as a fraction.
@@ -44,6 +48,8 @@ NUM, DEN = 3, 4
 #: Shingles in a bucket or a block of the index, so that a task's memory is bounded.
 BUCKET = 4 << 20
 BLOCK = 1 << 20
+#: Bytes of text whose sets are packed together.
+PACK_BYTES = 2 << 20
 #: Classes whose counts meet in one group.
 CLASSES = 50_000
 #: DivideSkip's weight of a probe against a merge step.
@@ -95,7 +101,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
             _, n, cid = distinct_sets(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(cid, pa.binary())], names=["doc_id", "n", "cid"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid binary")
+    return docs.mapInArrow(K.tidy(run), "doc_id long, n long, cid binary")
 
 
 PACKED = "bucket int, cids binary, counts binary, tokens binary"
@@ -105,7 +111,7 @@ def packed(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
     """The sets (or their prefixes in hash order, as 32 bits a shingle) by bucket, a row for each bucket and batch; sets that a batch has twice go once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.slices(batches):
+        for b in K.slices(batches, limit=PACK_BYTES):
             sets, n, cid = distinct_sets(b.column("text"))
             own = [d for d in {c: d for d, c in enumerate(cid)}.values() if n[d]]
             if not own:
@@ -128,21 +134,18 @@ def packed(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
                 rows.append((k, b"".join(names[d] for d in here), counts.astype("<u4").tobytes(), tokens.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "cids", "counts", "tokens"])
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(K.tidy(run), PACKED)
 
 
 def _unpacked(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct digests as pairs of numbers, class of each shingle, shingles) without repeats, by class and shingle."""
+    """(distinct digests as pairs of numbers, class of each shingle, shingles) by class; of a class that came several times, the first."""
     join = lambda c: b"".join(table.column(c).to_pylist())
     ids = np.frombuffer(join("cids"), "<u8").reshape(-1, 2)
-    distinct, inverse = np.unique(ids, axis=0, return_inverse=True)
-    owner = np.repeat(inverse.ravel(), np.frombuffer(join("counts"), "<u4"))
-    tokens = np.frombuffer(join("tokens"), kind)
-    order = np.lexsort((tokens, owner))
-    owner, tokens = owner[order], tokens[order]
-    new = np.ones(len(tokens), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (tokens[1:] != tokens[:-1])
-    return distinct, owner[new], tokens[new]
+    distinct, first, inverse = np.unique(ids, axis=0, return_index=True, return_inverse=True)
+    inverse, counts = inverse.ravel(), np.frombuffer(join("counts"), "<u4").astype(np.int64)
+    starts = np.cumsum(counts) - counts
+    size = counts[first]
+    return distinct, np.repeat(np.arange(len(distinct)), size), np.frombuffer(join("tokens"), kind)[K.ragged(starts[first], size)]
 
 
 def _frequency(tokens: np.ndarray) -> np.ndarray:
@@ -239,7 +242,7 @@ def short_lists(sets: DataFrame) -> DataFrame:
             pos = K.ragged(n - size, take)
             yield pa.RecordBatch.from_arrays([pa.array(tokens), b.column("cid").take(pa.array(row)), pa.array(n[row]), pa.array(pos)], names=["token", "cid", "n", "pos"])
 
-    return sets.mapInArrow(run, "token long, cid binary, n long, pos long")
+    return sets.mapInArrow(K.tidy(run), "token long, cid binary, n long, pos long")
 
 
 class InvertedIndex:
@@ -248,12 +251,47 @@ class InvertedIndex:
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray) -> None:
         self.sizes = sizes
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
         order = np.lexsort((owner, flat))
         flat, self.owner = flat[order], owner[order]
+        self.members = self.owner.tolist()
         self.tokens, first = np.unique(flat, return_index=True)
         self.at = np.append(first, len(flat))
 
+    def merge_skip(self, slots: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sets in `need` of these lists or more, in how many), by a heap of the lists' heads.
+
+        Lists whose head is the least are popped together. If they are too few, lists are popped until one more would
+        suffice: what lies before the next head can't be in enough lists, so the popped ones skip to it.
+        """
+        members, low = self.members, 32
+        place, stop = self.at[slots].tolist(), self.at[slots + 1].tolist()
+        heads = [members[p] << low | k for k, p in enumerate(place)]
+        heapify(heads)
+        found, counts = [], []
+        while len(heads) >= need:
+            least, popped = heads[0] >> low, []
+            while heads and heads[0] >> low == least:
+                popped.append(heappop(heads) & 0xFFFFFFFF)
+            if len(popped) >= need:
+                found.append(least)
+                counts.append(len(popped))
+                to = least + 1
+            else:
+                while heads and len(popped) < need - 1:
+                    popped.append(heappop(heads) & 0xFFFFFFFF)
+                if not heads:
+                    break
+                to = heads[0] >> low
+            for k in popped:
+                p = place[k] + 1
+                if p < stop[k] and members[p] < to:
+                    p = bisect_left(members, to, p, stop[k])
+                place[k] = p
+                if p < stop[k]:
+                    heappush(heads, members[p] << low | k)
+        return np.array(found, np.int64), np.array(counts, np.int64)
+
     def divide_skip(self, query: np.ndarray, n: int) -> np.ndarray:
         """The sets that overlap the query (of n shingles in all) as much as a link needs."""
         need = int(least_overlap(np.int64(n)))
@@ -268,12 +306,8 @@ class InvertedIndex:
         n_long = min(need - 1, int(need / (MU * np.log2(longest + 1) + 1)))
         by = np.argsort(lengths, kind="stable")
         short, long = slot[by[: len(by) - n_long]], slot[by[len(by) - n_long :]]
-        # merge the short lists, counting
-        members = self.owner[K.ragged(self.at[short], self.at[short + 1] - self.at[short])]
-        found, counts = np.unique(members, return_counts=True)
-        fits = counts >= need - n_long
-        found, counts = found[fits], counts[fits]
-        # probe the long lists for what is left, most of them by a binary search in the list
+        found, counts = self.merge_skip(short, need - n_long)
+        # probe the long lists for what is left, by a binary search in the list
         for s in long:
             if not len(found):
                 break
@@ -309,7 +343,7 @@ def verified(pairs: DataFrame, sets: DataFrame, space: Workspace, name: str) ->
     asked = asked.select(block, F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), "cid").distinct().join(sets, "cid").withColumn("role", F.lit(0))
     held = weights.select(block, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("pivot").alias("cid")).join(sets, "cid").withColumn("role", F.lit(1))
     columns = ["block", "salt", "role", "cid", "n", "tokens"]
-    return space.save(asked.select(columns).unionByName(held.select(columns)).groupBy("block", "salt").applyInArrow(_search, "a binary, b binary"), name)
+    return space.save(asked.select(columns).unionByName(held.select(columns)).groupBy("block", "salt").applyInArrow(K.tidy(_search), "a binary, b binary"), name)
 
 
 def spark_tasks(spark: SparkSession) -> int:
@@ -401,8 +435,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     n_classes, n_rows, n_tokens = (int(x or 0) for x in classes.agg(F.count("*"), F.sum("copies"), F.sum("n")).first())
     tasks = spark_tasks(spark)
     groups = int(max(tasks, n_classes // CLASSES))
-    shared = packed(docs, int(max(tasks, n_tokens // 2 // BUCKET)), whole=False).groupBy("bucket").applyInArrow(_count_shared(groups), RETURNED)
-    shared = shared.groupBy("grp").applyInArrow(_sum_shared, "cid binary, shared long")
+    shared = packed(docs, int(max(tasks, n_tokens // 2 // BUCKET)), whole=False).groupBy("bucket").applyInArrow(K.tidy(_count_shared(groups)), RETURNED)
+    shared = shared.groupBy("grp").applyInArrow(K.tidy(_sum_shared), "cid binary, shared long")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / 4))
     left = space.save(classes.join(shared, "cid").filter(F.col("shared") >= least).select("cid", "n", "least"), "screened")
     n_left, n_tokens = (int(x or 0) for x in left.agg(F.count("*"), F.sum("n")).first())
@@ -410,8 +444,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     reps = F.broadcast(reps) if n_left <= BROADCAST_ROWS else reps
     own = packed(docs.join(reps, docs.doc_id.eqNullSafe(reps["rep"]), "left_semi"), int(max(tasks, n_tokens // BUCKET)), whole=True)
     groups = int(max(tasks, n_tokens // BLOCK))
-    parts = own.groupBy("bucket").applyInArrow(_with_frequency(groups), RETURNED)
-    sets = space.save(parts.groupBy("grp").applyInArrow(_assemble, "cid binary, n long, tokens binary"), "sets")
+    parts = own.groupBy("bucket").applyInArrow(K.tidy(_with_frequency(groups)), RETURNED)
+    sets = space.save(parts.groupBy("grp").applyInArrow(K.tidy(_assemble), "cid binary, n long, tokens binary"), "sets")
     labels = links(sets, space)
     of = classes.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = of.join(labels.select(F.col("node").alias("cid")), "cid", "left_semi")
@@ -427,23 +461,20 @@ def keep_one(spark: SparkSession, docs: DataFrame, find: Callable = jaccard_comp
 
     Rows are numbered and the numbers linked, so repeated and null ids don't matter; rows without words link with nothing and stay.
     """
-    space, columns = Workspace(spark, "keep"), docs.columns
-    row = "_row"
-    while row in columns:
-        row = "_" + row
-    docs = space.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    hashed = [F.col(f"`{c}`") for c in columns if "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
-    own = docs.select(F.col(row).alias("r"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(*hashed).alias("h"), F.col(row).alias("r")).alias("rank"))
-    found = find(spark, docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("r"), F.col("component_id").alias("group"))
+    space = Workspace(spark, "keep")
+    rows = space.save(docs.select(F.monotonically_increasing_id().alias("r"), as_row(docs)), "rows")
+    plain = [F.col("_row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    id_ = F.col("_row.doc_id")
+    own = rows.select("r", F.struct(id_.isNull().alias("none"), id_.cast("long").alias("id"), F.xxhash64(*plain).alias("h"), F.col("r").alias("r")).alias("rank"))
+    found = find(spark, rows.select(F.col("r").alias("doc_id"), "_row.text")).select(F.col("doc_id").alias("r"), F.col("component_id").alias("group"))
     found = space.save(found.join(own, "r"), "found")
     kept = found.groupBy("group").agg(F.min("rank").alias("first"), F.count("*").alias("members")).filter("members > 1")
     kept = space.save(kept.select("group", F.col("first.r").alias("kept"), "members"), "kept")
-    n, rows = (int(x or 0) for x in kept.agg(F.count("*"), F.sum("members")).first())
-    gone = lookup(found.select("r", "group"), kept, "group", rows, n, "members").filter("r <> kept").select(F.col("r").alias(row))
-    gone = space.save(gone, "gone")
-    if rows - n <= BROADCAST_ROWS:
+    n, linked = (int(x or 0) for x in kept.agg(F.count("*"), F.sum("members")).first())
+    gone = space.save(lookup(found.select("r", "group"), kept, "group", linked, n, "members").filter("r <> kept").select("r"), "gone")
+    if linked - n <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    return rows_of(rows.join(gone, "r", "left_anti"), docs)
 
 
 ORACLE = r"""

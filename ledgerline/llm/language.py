@@ -11,7 +11,9 @@ Only text and language of training rows are learnt from. Bounds of the fit, not
 SAMPLE rows, those of the smallest hash of their id among texts of at most SAMPLE_CHARS code points.
 
 Defined results: null text or text without a letter is `und` with score 0; without any training row all
-texts are; texts of any length are read whole; repeated rows are predicted one by one.
+texts are; texts of any length are read whole; repeated rows are predicted one by one, and are one row of the sample;
+of languages that are equally likely the first by name is taken; an empty table gives no rows; a null id is never held
+out and takes no part in training; only doc_id, text and lang are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -153,9 +155,14 @@ def fold(column: str, n: int):
 
 
 def training_rows(docs: DataFrame) -> tuple[list[bytes], list[str]]:
+    """Texts and languages of the sample: its keys are chosen first, without their texts, so that only the chosen texts move."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter((fold("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    own = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "lang").limit(SAMPLE).select("text", "lang").toArrow()
+    keyed = rows.withColumns({"order": F.xxhash64("doc_id"), "h": F.xxhash64("text")})
+    key = ["order", "doc_id", "h", "lang"]
+    # rows that repeat one another are one of the sample; SAMPLE keys are a bounded table
+    chosen = keyed.select(*key).distinct().orderBy(*key).limit(SAMPLE)
+    own = keyed.join(F.broadcast(chosen), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text")).orderBy(*key).select("text", "lang").toArrow()
     return [t.encode() for t in own.column("text").to_pylist()], own.column("lang").to_pylist()
 
 
@@ -169,4 +176,4 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, SCHEMA)
+    return own.mapInArrow(K.tidy(run), SCHEMA)

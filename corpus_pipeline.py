@@ -8,6 +8,13 @@ jaccard_join: of each group of linked documents the one with the least id stays.
 suffix_dedup: byte strings of 200 bytes that start at two places or more are cut from the texts.
 secret_scan: spans of secrets are replaced by a mark.
 packing: what is left becomes pieces of sequences of at most 4096 tokens.
+
+Defined results, for every stage: a null text is like an empty one, and stays null where the row stays. quality_rules drops
+texts without words; jaccard_join links them with nothing, so it keeps them all; suffix_dedup and secret_scan leave them
+as they are; packing makes each a document of the end id alone. Rows that repeat one another are judged alike, one by one;
+jaccard_join keeps one of them, that of the least row hash among equal ids; a null id comes after all others. Texts of any
+length are worked on whole. An empty table gives no rows. All stages but the last return the columns that they were
+given, in their order and types and whatever their names; n_chars follows where text is changed.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import jaccard, packing, quality_rules, secrets, suffix_dedup
-from ledgerline.llm.shared import Workspace
+from ledgerline.llm.shared import Workspace, tidied
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on documents, each one's rows written to the shared folder and read by the next."""
+    """The stages on documents, each one's rows written to the shared folder and read by the next.
+
+    What a stage wrote besides goes when its rows are written, and its predecessor's rows with it.
+    """
     space, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = space.save(stage(spark, docs, sf_dir), name)
+        with tidied():
+            docs = space.save(stage(spark, docs, sf_dir), name)
+        if before:
+            space.drop(before)
+        before = name
     return docs

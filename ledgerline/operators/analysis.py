@@ -57,10 +57,12 @@ def aligned_changes(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def differing_pairs(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """The first value of each group in the order and the first after it that differs."""
-    lists = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_v"))
-    first = F.get("_v", 0)[value]
-    other = F.get(F.filter("_v", lambda x: x[value] != F.get(F.col("_v"), 0)[value]), 0)[value]
-    return lists.select(*by, first.alias("first_value"), other.alias("other_value")).filter("other_value IS NOT NULL")
+    # where each value comes first; the second of these values is the first that differs
+    firsts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.min(order).alias("_at"))
+    two = first_per(firsts.withColumn("_k", F.col(value)), by, ["_at", "_k"], 2)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_at", "_k"))
+    at = lambda i: F.max(F.when(F.col("_n") == i, F.col(value)))
+    return two.withColumn("_n", place).groupBy(*by).agg(at(1).alias("first_value"), at(2).alias("other_value")).filter("other_value IS NOT NULL")
 
 
 def stable_sample(rows: DataFrame, key: str, n: int) -> DataFrame:

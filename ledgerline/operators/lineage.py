@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import digits8
 from ledgerline.functions.text import base_report_name
+from ledgerline.session import written
 
 #: The fields of an event that speak for a predecessor, and their weights.
 WEIGHTS = {"event_date": 8, "period_start": 4, "amount": 2, "title": 1}
@@ -21,78 +22,103 @@ def compatibility_key(group: str = "doc_group") -> Column:
     return F.when(g == "exchange", F.col("doc_subtype")).when(g == "holding", F.col("flr_nm")).when(g == "major", base_report_name(F.col("report_nm"))).otherwise("")
 
 
-def periodic_predecessors(docs: DataFrame) -> DataFrame:
+def periodic_predecessors(docs: DataFrame, *more: Column) -> DataFrame:
     """correction, predecessor: the greatest earlier receipt of the same periodic key; an as-of join as a window."""
     w = Window.partitionBy("corp_code", "doc_subtype", "base_year", "base_month").orderBy("rcept_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = docs.filter("doc_group = 'periodic'").withColumn("predecessor_rcept_no", F.last("rcept_no", ignorenulls=True).over(w))
-    return rows.filter("is_correction").select(F.col("rcept_no").alias("correction_rcept_no"), "predecessor_rcept_no")
+    return rows.filter("is_correction").select(F.col("rcept_no").alias("correction_rcept_no"), "predecessor_rcept_no", *more)
 
 
-def candidate_scores(docs: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per correction outside the periodic group and earlier compatible filing: its date hit and score."""
+def _sides(docs: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(corrections outside the periodic group, filings that may come before them), with the fields that speak for a link."""
     fields = list(WEIGHTS)
     own = docs.filter("doc_group <> 'periodic'").withColumn("key", compatibility_key()).select("rcept_no", "rcept_dt", "corp_code", "doc_group", "key", "is_correction")
     own = own.join(events.select("rcept_no", *fields, "corr_target_date"), "rcept_no", "left")
-    left = own.filter("is_correction").select(F.col("rcept_no").alias("correction_rcept_no"), "corp_code", "doc_group", "key", F.nullif(digits8(F.col("corr_target_date")), F.lit("")).alias("target_date"), *(F.col(f).alias(f"c_{f}") for f in fields))
-    right = own.select("rcept_no", "rcept_dt", "corp_code", "doc_group", "key", *fields)
-    pairs = left.join(right, ["corp_code", "doc_group", "key"]).filter("rcept_no < correction_rcept_no")
+    left = own.filter("is_correction").select(
+        F.col("rcept_no").alias("correction_rcept_no"), "corp_code", "doc_group", "key", F.nullif(digits8(F.col("corr_target_date")), F.lit("")).alias("target_date"),
+        *(F.col(f).alias(f"c_{f}") for f in fields),
+    )
+    return left, own.select("rcept_no", digits8(F.col("rcept_dt")).alias("filed"), "corp_code", "doc_group", "key", *fields)
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
     score = reduce(lambda a, b: a + b, (F.when(F.col(f"c_{f}") == F.col(f), w).otherwise(0) for f, w in WEIGHTS.items()))
-    return pairs.select("correction_rcept_no", F.col("rcept_no").alias("candidate_rcept_no"), "doc_group", "target_date", F.col("c_event_date").alias("event_date"), score.alias("score"), F.coalesce(digits8(F.col("rcept_dt")) == F.col("target_date"), F.lit(False)).alias("date_hit"))
+    return pairs.filter("rcept_no < correction_rcept_no").select(
+        "correction_rcept_no", F.col("rcept_no").alias("candidate_rcept_no"), "doc_group", "target_date", F.col("c_event_date").alias("event_date"), score.alias("score"),
+        F.coalesce(F.col("filed") == F.col("target_date"), F.lit(False)).alias("date_hit"),
+    )
+
+
+_SAME = ["corp_code", "doc_group", "key"]
+
+
+def candidate_scores(docs: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per correction outside the periodic group and earlier compatible filing: its date hit and score."""
+    left, right = _sides(docs, events)
+    return _scored(left.join(right, _SAME))
+
+
+def deciding_candidates(docs: DataFrame, events: DataFrame) -> DataFrame:
+    """Those of the scored candidates that can win: filed on the target date, or of the same event date.
+
+    Without the weight of the event date a score stays under what a content match needs, so both come from joins with a
+    date in their key, and a company with many filings makes no pairs of all of them.
+    """
+    left, right = _sides(docs, events)
+    by_date = _scored(left.join(right.withColumn("target_date", F.col("filed")), [*_SAME, "target_date"]))
+    by_content = _scored(left.join(right.withColumn("c_event_date", F.col("event_date")), [*_SAME, "c_event_date"])).filter(~F.col("date_hit"))
+    return by_date.unionByName(by_content)
 
 
 def link_corrections(docs: DataFrame, events: DataFrame) -> DataFrame:
     """One row per correction: predecessor, status, method, confidence, evidence and candidates.
 
-    Aggregates of the scored candidates decide: the only hit of the target date; the best of several; else, outside
+    Aggregates of the deciding candidates decide: the only hit of the target date; the best of several; else, outside
     holdings and with an event date, the best of all compatible filings if it reaches the weight of the event date. Ties are ambiguous.
     """
-    scored = candidate_scores(docs, events)
-    hit = F.col("date_hit")
-    at = lambda cond, n: F.max(F.when(cond, F.col("score"))).alias(n)
-    top = scored.groupBy("correction_rcept_no").agg(F.first("doc_group").alias("doc_group"), F.first("target_date").alias("target_date"), F.first("event_date").alias("event_date"), F.count_if("date_hit").alias("hits"), at(hit, "best_hit"), F.max("score").alias("best_all"))
-    joined = scored.select("correction_rcept_no", "candidate_rcept_no", "score", "date_hit").join(top.select("correction_rcept_no", "best_hit", "best_all"), "correction_rcept_no")
-    winners = joined.groupBy("correction_rcept_no").agg(
-        F.array_sort(F.collect_set(F.when(hit & (F.col("score") == F.col("best_hit")), F.col("candidate_rcept_no")))).alias("hit_winners"),
-        F.array_sort(F.collect_set(F.when(F.col("score") == F.col("best_all"), F.col("candidate_rcept_no")))).alias("all_winners"),
-    )
-    content = (F.col("doc_group") != "holding") & F.col("event_date").isNotNull() & (F.col("event_date") != "") & (F.col("best_all") >= WEIGHTS["event_date"])
+    tied = deciding_candidates(docs, events).groupBy("correction_rcept_no", "date_hit", "score").agg(
+        F.array_sort(F.collect_set("candidate_rcept_no")).alias("won"), F.count("*").alias("n"), F.first("doc_group").alias("doc_group"), F.first("target_date").alias("target_date"), F.first("event_date").alias("event_date"),
+    )
+    best = lambda hit: F.max(F.when(F.col("date_hit") == hit, F.struct("score", "won")))
+    top = tied.groupBy("correction_rcept_no").agg(
+        F.first("doc_group").alias("doc_group"), F.first("target_date").alias("target_date"), F.first("event_date").alias("event_date"),
+        F.coalesce(F.sum(F.when(F.col("date_hit"), F.col("n"))), F.lit(0)).alias("hits"), best(True).alias("hit"), best(False).alias("other"),
+    )
+    content = (F.col("doc_group") != "holding") & F.col("event_date").isNotNull() & (F.col("event_date") != "") & (F.col("other.score") >= WEIGHTS["event_date"])
     by_date = F.col("hits") > 0
-    won = F.when(by_date, F.col("hit_winners")).when(content, F.col("all_winners"))
-    best = F.when(F.col("hits") == 1, F.lit(BEST)).when(by_date, F.col("best_hit")).otherwise(F.col("best_all"))
-    decided = top.join(winners, "correction_rcept_no").withColumn("won", won).filter("won IS NOT NULL").select(
+    won = F.when(by_date, F.col("hit.won")).when(content, F.col("other.won"))
+    score = F.when(F.col("hits") == 1, F.lit(BEST)).when(by_date, F.col("hit.score")).otherwise(F.col("other.score"))
+    why = F.when(F.col("hits") == 1, F.to_json(F.struct("target_date"))).when(by_date, F.to_json(F.struct(F.col("hit.score").alias("best_score"), "target_date")))
+    decided = top.withColumn("won", won).filter("won IS NOT NULL").select(
         "correction_rcept_no", F.when(F.size("won") == 1, F.get("won", 0)).alias("predecessor_rcept_no"), F.when(F.size("won") == 1, "linked").otherwise("ambiguous_candidate").alias("status"),
-        F.when(by_date, "target_date").otherwise("content_match").alias("method"), F.when(F.size("won") == 1, best / BEST).otherwise(0.0).cast("double").alias("confidence"),
-        F.when(F.col("hits") == 1, F.to_json(F.struct("target_date"))).when(by_date, F.to_json(F.struct(F.col("best_hit").alias("best_score"), "target_date"))).otherwise(F.to_json(F.struct(F.col("best_all").alias("best_score"), "event_date"))).alias("evidence_json"),
-        F.to_json("won").alias("candidates_json"),
+        F.when(by_date, "target_date").otherwise("content_match").alias("method"), F.when(F.size("won") == 1, score / BEST).otherwise(0.0).cast("double").alias("confidence"),
+        why.otherwise(F.to_json(F.struct(F.col("other.score").alias("best_score"), "event_date"))).alias("evidence_json"), F.to_json("won").alias("candidates_json"),
+    )
+    key = F.array("corp_code", F.lit("periodic"), "doc_subtype", F.col("base_year").cast("string"), F.col("base_month").cast("string"))
+    periodic = periodic_predecessors(docs, key.alias("k")).filter("predecessor_rcept_no IS NOT NULL").select(
+        "correction_rcept_no", "predecessor_rcept_no", F.lit("linked").alias("status"), F.lit("periodic_key").alias("method"), F.lit(1.0).alias("confidence"),
+        F.to_json(F.struct(F.col("k").alias("periodic_key"))).alias("evidence_json"), F.to_json(F.array("predecessor_rcept_no")).alias("candidates_json"),
     )
-    periodic = periodic_predecessors(docs).filter("predecessor_rcept_no IS NOT NULL")
-    keys = docs.select(F.col("rcept_no").alias("correction_rcept_no"), F.array("corp_code", F.lit("periodic"), "doc_subtype", F.col("base_year").cast("string"), F.col("base_month").cast("string")).alias("k"))
-    periodic = periodic.join(keys, "correction_rcept_no").select("correction_rcept_no", "predecessor_rcept_no", F.lit("linked").alias("status"), F.lit("periodic_key").alias("method"), F.lit(1.0).alias("confidence"), F.to_json(F.struct(F.col("k").alias("periodic_key"))).alias("evidence_json"), F.to_json(F.array("predecessor_rcept_no")).alias("candidates_json"))
-    found = periodic.unionByName(decided)
-    rest = docs.filter("is_correction").select(F.col("rcept_no").alias("correction_rcept_no")).join(found, "correction_rcept_no", "left")
-    return rest.select("correction_rcept_no", "predecessor_rcept_no", F.coalesce("status", F.lit("unresolved_external_root")).alias("status"), F.coalesce("method", F.lit("none")).alias("method"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("evidence_json", F.lit("{}")).alias("evidence_json"), F.coalesce("candidates_json", F.lit("[]")).alias("candidates_json"))
+    rest = docs.filter("is_correction").select(F.col("rcept_no").alias("correction_rcept_no")).join(periodic.unionByName(decided), "correction_rcept_no", "left")
+    or_else = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return rest.select("correction_rcept_no", "predecessor_rcept_no", or_else("status", "unresolved_external_root"), or_else("method", "none"), or_else("confidence", 0.0), or_else("evidence_json", "{}"), or_else("candidates_json", "[]"))
 
 
 def roots(docs: DataFrame, links: DataFrame) -> DataFrame:
     """rcept_no, root_rcept_no, along linked edges only.
 
     Pointer jumping: every filing points to its predecessor, and pointers are followed in doubling steps, so a chain of
-    length n takes as many joins as n has bits. Predecessors are earlier, so there is no cycle. Cuts of the plan are
-    checkpoints where a checkpoint folder is set.
+    length n takes as many joins as n has bits. Predecessors are earlier, so there is no cycle. Every step is written to
+    the shared folder, so the plan doesn't grow and a lost executor costs no earlier step.
     """
     edges = links.filter("status = 'linked'").select(F.col("correction_rcept_no").alias("rcept_no"), F.col("predecessor_rcept_no").alias("up"))
-    point = docs.select("rcept_no").join(edges, "rcept_no", "left").select("rcept_no", F.coalesce("up", "rcept_no").alias("up"))
-    spark = docs.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared)
-    cut = (lambda f: f.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda f: f.persist())
+    # only what has a predecessor moves; all others are roots of their own
+    point = written(edges, "roots")
     while True:
-        point = cut(point)
-        above = point.filter("rcept_no <> up").select(F.col("rcept_no").alias("up"), F.col("up").alias("top"))
-        moved = point.join(above, "up", "left").select("rcept_no", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("m"))
+        above = point.select(F.col("rcept_no").alias("up"), F.col("up").alias("top"))
+        moved = written(point.join(above, "up", "left").select("rcept_no", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("m")), "roots")
         if moved.filter("m").isEmpty():
-            return point.select("rcept_no", F.col("up").alias("root_rcept_no"))
+            return docs.select("rcept_no").join(point, "rcept_no", "left").select("rcept_no", F.coalesce("up", "rcept_no").alias("root_rcept_no"))
         point = moved.drop("m")
 
 

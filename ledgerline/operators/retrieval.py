@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the ranking: weights of path and text, k1, b, and the floor of the inverse document frequency.
@@ -28,11 +28,6 @@ def postings(chunks: DataFrame) -> DataFrame:
     return each.groupBy(F.col("t.term").alias("term"), "chunk_id").agg(F.sum("t.w").alias("f"))
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """chunk_id, d: tokens of both columns, unweighted."""
-    return chunks.select("chunk_id", (F.size(tokens(F.col("path"))) + F.size(tokens(F.col("text")))).alias("d"))
-
-
 def frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("n"))
 
@@ -64,8 +59,86 @@ def bm25(chunks: DataFrame, phrases: list[tuple[str, bool]], scope: Column | Non
     return scored if k is None else scored.orderBy("score", "chunk_id").limit(k)
 
 
-def hybrid(chunks: DataFrame, words: list[str], hint: str | None = None, phrase: str | None = None) -> DataFrame:
-    """(sum of min(8, count) + 3 per word in the path + 5 for a hint in the path + 2 for the whole phrase) per word, above zero."""
+# ---- the stored index ----------------------------------------------------------------------------
+
+#: What a stored chunk carries besides its text, for filters and citations.
+META = ("chunk_id", "doc_id", "rcept_no", "corp_code", "doc_subtype", "base_year", "base_month", "is_latest", "path")
+
+
+def index_rows(chunks: DataFrame, docs: DataFrame, status: DataFrame) -> DataFrame:
+    """The chunks with what their filing and its status say."""
+    meta = docs.select("doc_id", "rcept_no", "corp_code", "doc_subtype", "base_year", "base_month").join(status.select("rcept_no", "is_latest"), "rcept_no")
+    return chunks.join(meta, "doc_id").select(*META, "text")
+
+
+def build_index(rows: DataFrame, folder: str) -> None:
+    """Writes postings in the order of their terms, chunks with their length, and the corpus figures.
+
+    Postings are range-partitioned and sorted by term, so a search for a term or a prefix reads the row groups whose bounds
+    hold it. All counts are partial sums before their shuffles.
+    """
+    rows = rows.withColumn("d", F.size(tokens(F.col("path"))) + F.size(tokens(F.col("text"))))
+    rows.write.mode("overwrite").parquet(f"{folder}/chunks")
+    rows = rows.sparkSession.read.parquet(f"{folder}/chunks")
+    postings(rows).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    rows.agg(F.count("*").alias("chunks"), F.avg("d").alias("mean_d")).write.mode("overwrite").parquet(f"{folder}/figures")
+
+
+def _matches(term: Column, phrase: tuple[str, bool]) -> Column:
+    return term.startswith(phrase[0]) if phrase[1] else term == phrase[0]
+
+
+def search(spark: SparkSession, folder: str, phrases: list[tuple[str, bool]], k: int = 10, *, receipts: list[str] | None = None, path_hint: str | None = None, latest_only: bool = False, **equal: object) -> DataFrame:
+    """The k + 1 best chunks that match any phrase: rank, score (the lower the better), metadata and text; a row past k says that there is more.
+
+    Statistics are those of the whole index; filters (corp_code, doc_subtype, base_year, base_month, path, receipts, a hint
+    in the path, latest versions) narrow the chunks before the scores are joined to them.
+    """
+    hits = spark.read.parquet(f"{folder}/postings").filter(reduce(lambda a, b: a | b, (_matches(F.col("term"), p) for p in phrases)))
+    which = F.array_compact(F.array(*(F.when(_matches(F.col("term"), p), F.lit(i)) for i, p in enumerate(phrases))))
+    found = hits.select("chunk_id", "f", F.explode(which).alias("i")).groupBy("chunk_id", "i").agg(F.sum("f").alias("f"))
+    counts = F.broadcast(found.groupBy("i").agg(F.count("*").alias("n")))  # a row for each phrase
+    figures = F.broadcast(spark.read.parquet(f"{folder}/figures"))  # one row
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    for name, value in equal.items():
+        chunks = chunks if value is None else chunks.filter(F.col(name) == value)
+    if receipts:
+        chunks = chunks.filter(F.col("rcept_no").isin(receipts))
+    if path_hint:
+        low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        chunks = chunks.filter(F.contains(low(F.col("path")), low(F.lit(path_hint))))
+    if latest_only:
+        chunks = chunks.filter("is_latest")
+    rows = found.join(counts, "i").join(chunks.select("chunk_id", "d"), "chunk_id").crossJoin(figures)
+    idf = F.ln((F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean_d")))
+    best = rows.groupBy("chunk_id").agg((-F.sum(part)).alias("score")).orderBy("score", "chunk_id").limit(k + 1)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("score", "chunk_id")))  # k + 1 rows
+    return F.broadcast(best).join(chunks.drop("d"), "chunk_id").withColumn("more", F.col("rank") > k)
+
+
+def index_faults(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
+    """check, n of a stored index against the chunks that it should hold: each must be zero."""
+    chunks, posted = spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/postings")
+    figures = spark.read.parquet(f"{folder}/figures").select(F.col("chunks").alias("told"))
+    named = {
+        "missing_chunk": expected.join(chunks, "chunk_id", "left_anti"), "unknown_chunk": chunks.join(expected, "chunk_id", "left_anti"), "repeated_chunk": chunks.groupBy("chunk_id").count().filter("count > 1"),
+        "repeated_posting": posted.groupBy("term", "chunk_id").count().filter("count > 1"), "unknown_posting": posted.select("chunk_id").distinct().join(chunks, "chunk_id", "left_anti"),
+        "unposted_chunk": chunks.filter("d > 0").join(posted.select("chunk_id").distinct(), "chunk_id", "left_anti"), "wrong_count": figures.join(chunks.agg(F.count("*").alias("held")), F.col("told") != F.col("held")),
+    }
+    return reduce(DataFrame.unionByName, (f.agg(F.lit(c).alias("check"), F.count("*").alias("n")) for c, f in named.items()))
+
+
+def refuse_bad_index(faults: DataFrame, recall: float, cases: int) -> None:
+    """The gate before an index is published: no fault, and a recall of at least 0.9 at ten over ten cases or more."""
+    bad = [r["check"] for r in faults.filter("n > 0").collect()]
+    if bad or cases < 10 or recall < 0.9:
+        raise ValueError(f"the index can't be published: faults {bad}, recall {recall} over {cases} cases")
+
+
+def hybrid(chunks: DataFrame, words: list[str], hint: str | None = None, phrase: str | None = None, k: int | None = None) -> DataFrame:
+    """(sum of min(8, count) + 3 per word in the path + 5 for a hint in the path + 2 for the whole phrase) per word, above zero; the best k if asked for."""
     words = [w for w in dict.fromkeys(words) if len(w) >= 2 and w not in STOP_TOKENS]
     low, path = F.lower("text"), F.lower("path")
     n = lambda c, w: F.least(F.lit(8), ((F.length(c) - F.length(F.replace(c, F.lit(w), F.lit("")))) / len(w)).cast("int"))
@@ -74,7 +147,11 @@ def hybrid(chunks: DataFrame, words: list[str], hint: str | None = None, phrase:
         score = score + 5 * F.contains(path, F.lit(hint.lower())).cast("int")
     if phrase:
         score = score + 2 * F.contains(low, F.lit(phrase.lower())).cast("int")
-    return chunks.withColumn("score", score / F.lit(float(max(1, len(words))))).filter("score > 0")
+    rows = chunks.withColumn("score", score / F.lit(float(max(1, len(words))))).filter("score > 0")
+    if k is None:
+        return rows
+    newest = [F.col(c).desc() for c in ("score", "rcept_dt", "rcept_no") if c in rows.columns]
+    return rows.orderBy(*newest, "path", "part", "chunk_id").limit(k)
 
 
 def expected_bm25(rows: list[tuple[list[str], list[str]]], phrases: list[tuple[str, bool]]) -> list[float]:

@@ -72,7 +72,11 @@ def include_details(n_rows: int, asked: bool | None) -> bool:
 
 
 def within_budget(rows: DataFrame, order: list, size: Column, budget: int = 60_000, base: int = 64) -> DataFrame:
-    """Leading rows while their sizes, two more each and the base stay within the budget; one row at least."""
+    """Leading rows while their sizes, two more each and the base stay within the budget; one row at least.
+
+    A row takes two characters at least, so rows beyond that many can't be among them and needn't be added up.
+    """
+    rows = rows.orderBy(*order).limit(budget // 2 + 1)
     w = Window.orderBy(*order)
     used = F.sum(size + 2).over(w.rowsBetween(Window.unboundedPreceding, 0)) + base
     return rows.withColumns({"_used": used, "_n": F.row_number().over(w)}).filter(f"_used <= {budget} OR _n = 1").drop("_used", "_n")
@@ -99,11 +103,13 @@ def basis_filter(path: Column, basis: str | None) -> Column:
     return (joint if basis == "consolidated" else ~joint) & F.contains(path, F.lit("재무제표"))
 
 
-def list_sections(chunks: DataFrame, *, by: list[str] = ["doc_id"], basis: str | None = None) -> DataFrame:  # noqa: B006
-    """Inventory of sections, in document order; the text isn't read."""
+def list_sections(chunks: DataFrame, *, by: list[str] = ["doc_id"], basis: str | None = None, limit: int | None = None) -> DataFrame:  # noqa: B006
+    """Inventory of sections, in document order, the first `limit` of each key if asked for; the text isn't read."""
     rows = chunks.filter(basis_filter(F.col("path"), basis)).select(*by, "path", "n_chars", "n_tables", "document_sequence", "part", "chunk_id")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("document_sequence", "part", "chunk_id"))), lambda x: x["part"])
-    return rows.groupBy(*by, "path").agg(F.count("*").alias("n_chunks"), F.sum("n_chars").alias("n_chars"), F.sum("n_tables").alias("n_tables"), parts.alias("parts"), F.min("document_sequence").alias("first_sequence"))
+    out = rows.groupBy(*by, "path").agg(F.count("*").alias("n_chunks"), F.sum("n_chars").alias("n_chars"), F.sum("n_tables").alias("n_tables"), parts.alias("parts"), F.min("document_sequence").alias("first_sequence"))
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("first_sequence", "path")))
+    return out if limit is None else out.filter(F.col("place") <= limit)
 
 
 def read_section(chunks: DataFrame, *, by: list[str] = ["doc_id", "path"], max_chars: int = 12_000) -> DataFrame:  # noqa: B006

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, jsons, numbers, text
 from ledgerline.operators import analysis, lineage, retrieval, tools
+from ledgerline.session import written
 from ledgerline.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,11 +62,11 @@ statuses AS (SELECT c.rcept_no, c.root_rcept_no, r.latest_rcept_no, c.rcept_no =
 
 
 def _links(spark, sf_dir):
-    return lineage.link_corrections(A.documents(spark, sf_dir), A.events(spark, sf_dir))
+    return written(lineage.link_corrections(A.documents(spark, sf_dir), A.events(spark, sf_dir)), "links")
 
 
 def _statuses(spark, sf_dir):
-    return lineage.statuses(A.documents(spark, sf_dir), _links(spark, sf_dir))
+    return written(lineage.statuses(A.documents(spark, sf_dir), _links(spark, sf_dir)), "statuses")
 
 
 @query("SELECT rcept_no AS correction_rcept_no, p AS predecessor_rcept_no FROM (SELECT *, last_value(rcept_no) OVER (PARTITION BY corp_code, doc_subtype, base_year, base_month ORDER BY rcept_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM v_document WHERE doc_group = 'periodic') WHERE is_correction")
@@ -105,14 +106,34 @@ def latest_status(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_STATUS}, best AS (SELECT rcept_no, root_rcept_no, row_number() OVER (ORDER BY n_corrections DESC, root_rcept_no) AS k, latest_rcept_no FROM statuses) SELECT s.rcept_no, s.is_latest, d.report_nm, d.rcept_dt FROM statuses s JOIN v_document d USING (rcept_no) WHERE s.root_rcept_no = (SELECT root_rcept_no FROM best WHERE k = 1)")
 def history_chain(spark, sf_dir):
-    status = _statuses(spark, sf_dir).persist()
+    status = _statuses(spark, sf_dir)
     longest = status.orderBy(F.col("n_corrections").desc(), "root_rcept_no").select("rcept_no").first()
     return lineage.history(status, A.documents(spark, sf_dir), longest[0] if longest else "").select("rcept_no", "is_latest", "report_nm", "rcept_dt")
 
 
-@query(f"""WITH {_LINKS} SELECT * FROM (VALUES ('missing_link', 0), ('unknown_correction', 0), ('repeated_link', 0), ('bad_status', 0), ('later_predecessor', 0), ('untrusted_predecessor', 0), ('unknown_predecessor', 0), ('incompatible', 0), ('no_evidence', 0)) AS t("check", n)""")
+_FAULTS = f"""{_LINKS}, p AS (SELECT * FROM links WHERE correction_rcept_no NOT LIKE '%08' UNION ALL SELECT * FROM links WHERE correction_rcept_no LIKE '%04' UNION ALL SELECT 'x' || correction_rcept_no, NULL, status, method, confidence FROM links WHERE correction_rcept_no LIKE '%16'),
+f AS (SELECT correction_rcept_no AS c, CASE WHEN correction_rcept_no LIKE '%20' THEN correction_rcept_no WHEN correction_rcept_no LIKE '%24' THEN 'none' WHEN correction_rcept_no LIKE '%28' AND status = 'linked' THEN '00000000000000' ELSE predecessor_rcept_no END AS p,
+CASE WHEN correction_rcept_no LIKE '%12' THEN 'guessed' ELSE status END AS s FROM p)"""
+
+
+@query(f"""WITH {_FAULTS} SELECT 'missing_link' AS "check", count(*) AS n FROM v_document WHERE is_correction AND rcept_no NOT IN (SELECT c FROM f) UNION ALL SELECT 'unknown_correction', count(*) FROM f WHERE c NOT IN (SELECT rcept_no FROM v_document WHERE is_correction)
+UNION ALL SELECT 'repeated_link', count(*) FROM (SELECT c FROM f GROUP BY c HAVING count(*) > 1) UNION ALL SELECT 'bad_status', count(*) FROM f WHERE s NOT IN ('linked', 'ambiguous_candidate', 'unresolved_external_root')
+UNION ALL SELECT 'later_predecessor', count(*) FROM f WHERE p >= c UNION ALL SELECT 'untrusted_predecessor', count(*) FROM f WHERE s <> 'linked' AND p IS NOT NULL
+UNION ALL SELECT 'unknown_predecessor', count(*) FROM f WHERE s = 'linked' AND (p IS NULL OR p NOT IN (SELECT rcept_no FROM v_document))""")
 def link_faults(spark, sf_dir):
-    return lineage.link_faults(A.documents(spark, sf_dir), _links(spark, sf_dir).persist()).withColumn("n", F.col("n").cast("int"))
+    """Faults are planted in the links by the end of their receipt number, and found."""
+    links, c = _links(spark, sf_dir), F.col("correction_rcept_no")
+    planted = links.filter(~c.endswith("08")).unionByName(links.filter(c.endswith("04")))
+    planted = planted.unionByName(links.filter(c.endswith("16")).withColumns({"correction_rcept_no": F.concat(F.lit("x"), c), "predecessor_rcept_no": F.lit(None).cast("string")}))
+    other = F.when(c.endswith("20"), c).when(c.endswith("24"), F.lit("none")).when(c.endswith("28") & (F.col("status") == "linked"), F.lit("0" * 14))
+    planted = planted.withColumns({"predecessor_rcept_no": F.coalesce(other, "predecessor_rcept_no"), "status": F.when(c.endswith("12"), "guessed").otherwise(F.col("status"))})
+    return lineage.link_faults(A.documents(spark, sf_dir), planted).filter(~F.col("check").isin("incompatible", "no_evidence"))
+
+
+@query(f"""WITH {_LINKS} SELECT * FROM (VALUES ('missing_link', 0), ('unknown_correction', 0), ('repeated_link', 0), ('bad_status', 0), ('later_predecessor', 0), ('untrusted_predecessor', 0), ('unknown_predecessor', 0), ('incompatible', 0), ('no_evidence', 0)) AS t("check", n)""")
+def link_checks(spark, sf_dir):
+    """Links as they are made have no fault."""
+    return lineage.link_faults(A.documents(spark, sf_dir), _links(spark, sf_dir)).withColumn("n", F.col("n").cast("int"))
 
 
 # ---- lookups ------------------------------------------------------------------------------------
@@ -128,10 +149,10 @@ def citation_join(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_STATUS} SELECT e.doc_id, e.rcept_no, e.event_type, e.amount, e.event_date FROM v_event e JOIN statuses s USING (rcept_no)
-WHERE s.is_latest AND e.event_type IN ('AF', 'RO', 'NO') AND replace(e.event_date, '-', '') BETWEEN '19960101' AND '19981231' AND TRY_CAST(replace(e.amount, ',', '') AS DECIMAL(38,6)) BETWEEN 10000 AND 60000.50""")
+WHERE s.is_latest AND e.event_type IN ('AF', 'RO', 'NO') AND replace(e.event_date, '-', '') BETWEEN '19960101' AND '19981231' AND TRY_CAST(replace(e.amount, ',', '') AS DECIMAL(38,6)) BETWEEN 50000 AND 300000.50""")
 def events_filtered(spark, sf_dir):
     rows = A.events(spark, sf_dir).join(_statuses(spark, sf_dir).select("rcept_no", "is_latest"), "rcept_no")
-    return tools.query_events(rows, event_types=["AF", "RO", "NO"], event_from="19960101", event_to="19981231", min_amount="10000", max_amount="60000.50", latest_only=True).select("doc_id", "rcept_no", "event_type", "amount", "event_date")
+    return tools.query_events(rows, event_types=["AF", "RO", "NO"], event_from="19960101", event_to="19981231", min_amount="50000", max_amount="300000.50", latest_only=True).select("doc_id", "rcept_no", "event_type", "amount", "event_date")
 
 
 @query("SELECT doc_id, rcept_no, rcept_dt, report_nm FROM v_document WHERE doc_group = 'periodic' AND base_year = 1997 AND rcept_dt >= '19970201' ORDER BY rcept_dt DESC, rcept_no DESC, doc_id DESC LIMIT 50")
@@ -139,9 +160,9 @@ def filings_topk(spark, sf_dir):
     return tools.list_filings(A.documents(spark, sf_dir), doc_group="periodic", base_year=1997, rcept_from="19970201", limit=50).select("doc_id", "rcept_no", "rcept_dt", "report_nm")
 
 
-@query("SELECT doc_id, path, count(*) AS n_chunks, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(sum(n_tables) AS BIGINT) AS n_tables, string_agg(CAST(part AS VARCHAR), ',' ORDER BY document_sequence, part, chunk_id) AS parts FROM v_chunk GROUP BY doc_id, path")
+@query("SELECT doc_id, path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(document_sequence), path) AS INTEGER) AS place, count(*) AS n_chunks, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(sum(n_tables) AS BIGINT) AS n_tables, string_agg(CAST(part AS VARCHAR), ',' ORDER BY document_sequence, part, chunk_id) AS parts FROM v_chunk GROUP BY doc_id, path")
 def section_inventory(spark, sf_dir):
-    return tools.list_sections(A.chunks(spark, sf_dir)).select("doc_id", "path", "n_chunks", "n_chars", "n_tables", F.array_join("parts", ",").alias("parts"))
+    return tools.list_sections(A.chunks(spark, sf_dir)).select("doc_id", "path", "place", "n_chunks", "n_chars", "n_tables", F.array_join("parts", ",").alias("parts"))
 
 
 @query("WITH w AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, path ORDER BY document_sequence, part, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM v_chunk) SELECT chunk_id, sha256(substr(text, 1, CAST(2500 - b AS BIGINT))) AS text_sha, length(text) > 2500 - b AS truncated FROM w WHERE b < 2500")
@@ -218,13 +239,17 @@ def first_chunk_per_root(spark, sf_dir):
     return analysis.first_per(rows, ["doc_id"], ["path", "document_sequence", "block_start", "block_end", "chunk_id"]).select("doc_id", "path", "chunk_id")
 
 
-_PAIRS = "SELECT 'D' || doc_id AS new_doc, 'D' || (doc_id - 1) AS old_doc FROM documents WHERE doc_id > 0"
+_PAIRS = "SELECT 'D' || doc_id AS new_doc, 'D' || min(doc_id) OVER (PARTITION BY lang, substr(text, 1, 80)) AS old_doc FROM documents WHERE length(text) >= 80"
 
 
-@query(f"WITH p AS ({_PAIRS}) SELECT o.chunk_id AS old_chunk, n.chunk_id AS new_chunk FROM p JOIN v_chunk o ON o.doc_id = old_doc JOIN v_chunk n ON n.doc_id = new_doc AND n.path = o.path AND n.document_sequence = o.document_sequence AND n.block_start = o.block_start AND n.block_end = o.block_end WHERE trim(o.text, ' ') <> trim(n.text, ' ')")
+@query(f"WITH c AS (SELECT * REPLACE (split_part(path, ' > ', 1) AS path) FROM v_chunk), p AS ({_PAIRS}) SELECT o.chunk_id AS old_chunk, n.chunk_id AS new_chunk FROM p JOIN c o ON o.doc_id = old_doc JOIN c n ON n.doc_id = new_doc AND n.path = o.path AND n.document_sequence = o.document_sequence AND n.block_start = o.block_start AND n.block_end = o.block_end WHERE new_doc <> old_doc AND trim(o.text, ' ') <> trim(n.text, ' ')")
 def aligned_changes(spark, sf_dir):
-    ids = _table(spark, sf_dir, "documents").filter("doc_id > 0").select(F.concat(F.lit("D"), "doc_id").alias("new_doc"), F.concat(F.lit("D"), F.col("doc_id") - 1).alias("old_doc"))
-    return analysis.aligned_changes(A.chunks(spark, sf_dir), ids).select("old_chunk", "new_chunk")
+    """Chunks in which near copies, told by their beginning, differ."""
+    docs = _table(spark, sf_dir, "documents").filter(F.length("text") >= 80).select("doc_id", "lang", F.substring("text", 1, 80).alias("begin"))
+    first = docs.groupBy("lang", "begin").agg(F.min("doc_id").alias("old"), F.count("*").alias("n")).filter("n > 1")
+    pairs = docs.join(first, ["lang", "begin"]).filter("doc_id <> old").select(F.concat(F.lit("D"), "doc_id").alias("new_doc"), F.concat(F.lit("D"), "old").alias("old_doc"))
+    chunks = A.chunks(spark, sf_dir).withColumn("path", F.substring_index("path", " > ", 1))
+    return analysis.aligned_changes(chunks, pairs).select("old_chunk", "new_chunk")
 
 
 @query("""WITH o AS (SELECT corp_code, event_type, amount, rcept_no, row_number() OVER (PARTITION BY corp_code, event_type ORDER BY rcept_no, amount) AS k FROM v_event), f AS (SELECT * FROM o WHERE k = 1)
@@ -347,7 +372,7 @@ def bm25_scoped(spark, sf_dir):
 
 @query("WITH c AS (SELECT chunk_id, lower(path) AS p, lower(text) AS t FROM v_chunk), s AS (SELECT chunk_id, (" + " + ".join(f"least(8, (length(t) - length(replace(t, '{w}', ''))) // {len(w)}) + 3 * CAST(contains(p, '{w}') AS INTEGER)" for w in ("license", "tion", "en")) + " + 5 * CAST(contains(p, 'src7') AS INTEGER) + 2 * CAST(contains(t, 'all rights') AS INTEGER)) / 3.0 AS score FROM c) SELECT chunk_id, round(score, 6) AS score FROM s WHERE score > 0")
 def hybrid_score(spark, sf_dir):
-    return retrieval.hybrid(A.chunks(spark, sf_dir), ["license", "tion", "en", "the"], hint="src7", phrase="all rights").select("chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.hybrid(A.chunks(spark, sf_dir), ["license", "tion", "en", "보고서"], hint="src7", phrase="all rights").select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT term, count(DISTINCT chunk_id) AS n FROM (SELECT chunk_id, unnest(list_concat({_TOK('path')}, {_TOK('text')})) AS term FROM v_chunk) GROUP BY term")
@@ -408,4 +433,4 @@ def event_windows(spark, sf_dir):
     return tumbling(_table(spark, sf_dir, "events"), "1 hour").select("start", "event_type", "n", F.round("total", 2).alias("total"))
 
 
-from ledgerline.plans import documents_queries  # noqa: E402, F401
+from ledgerline.plans import documents_queries, search_queries  # noqa: E402, F401

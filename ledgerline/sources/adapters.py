@@ -40,16 +40,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    line = _read(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(first)).filter("rn = 1")
+    """One event per filing, from all its lines: totals, the first date, the least type."""
+    kind = F.concat("l_returnflag", "l_linestatus")
+    line = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.min(kind).alias("event_type"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"), F.min("l_shipdate").alias("day"),
+        F.min(F.concat(kind, F.lit("-"), F.col("l_partkey") % 5)).alias("title"), F.sum(F.col("l_quantity").cast("int")).cast("int").alias("quantity"),
+    )
     docs = documents(spark, sf_dir)
     before = F.lag("rcept_dt").over(Window.partitionBy("o_custkey").orderBy("rcept_dt", "o_orderkey"))
     docs = docs.withColumn("corr_target_date", F.when(F.col("is_correction"), before))
-    rows = line.join(docs, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(
-        "doc_id", "rcept_no", "rcept_dt", "corp_code", "doc_group", "doc_subtype", "report_nm", "is_correction", F.concat("l_returnflag", "l_linestatus").alias("event_type"),
-        F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("amount"), F.lit("원").alias("amount_type"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("event_date"),
-        F.date_format("l_shipdate", "yyyy-MM-01").alias("period_start"), F.concat("l_returnflag", "l_linestatus", F.lit("-"), F.col("l_partkey") % 5).alias("title"), "corr_target_date", F.col("l_quantity").cast("int").alias("quantity"),
+    return line.join(docs, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "doc_id", "rcept_no", "rcept_dt", "corp_code", "doc_group", "doc_subtype", "report_nm", "is_correction", "event_type", F.col("amount").cast("string").alias("amount"), F.lit("원").alias("amount_type"),
+        F.date_format("day", "yyyy-MM-dd").alias("event_date"), F.date_format("day", "yyyy-MM-01").alias("period_start"), "title", "corr_target_date", "quantity",
     )
 
 
@@ -73,10 +75,11 @@ strftime(o_orderdate, '%Y%m%d') AS rcept_dt, CASE o_orderpriority WHEN '1-URGENT
 o_orderkey % 4 = 0 AS is_correction, CAST(year(o_orderdate) AS INTEGER) AS base_year, CAST(quarter(o_orderdate) * 3 AS INTEGER) AS base_month, 'F' || (o_custkey % 7) AS flr_nm, o_orderkey, o_orderstatus, o_custkey FROM orders""",
     "v_document": """SELECT * EXCLUDE (o_orderstatus), (CASE WHEN is_correction THEN '[correction]' ELSE '' END) || doc_subtype || ' report (' || base_year || '.' || lpad(CAST(base_month AS VARCHAR), 2, '0') || ')' AS report_nm
 FROM (SELECT *, CASE WHEN doc_group <> 'periodic' THEN doc_group || '_' || lower(o_orderstatus) WHEN base_month = 12 THEN 'annual' WHEN base_month = 6 THEN 'half' ELSE 'quarter' END AS doc_subtype FROM v_base)""",
-    "v_event": """SELECT doc_id, rcept_no, rcept_dt, corp_code, doc_group, doc_subtype, report_nm, is_correction, l_returnflag || l_linestatus AS event_type, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS amount,
-'원' AS amount_type, strftime(l_shipdate, '%Y-%m-%d') AS event_date, strftime(l_shipdate, '%Y-%m-01') AS period_start, l_returnflag || l_linestatus || '-' || (l_partkey % 5) AS title, corr_target_date, CAST(l_quantity AS INTEGER) AS quantity
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) l
-JOIN (SELECT *, CASE WHEN is_correction THEN lag(rcept_dt) OVER (PARTITION BY o_custkey ORDER BY rcept_dt, o_orderkey) END AS corr_target_date FROM v_document) d ON l_orderkey = o_orderkey WHERE rn = 1""",
+    "v_event": """SELECT doc_id, rcept_no, rcept_dt, corp_code, doc_group, doc_subtype, report_nm, is_correction, event_type, CAST(amount AS VARCHAR) AS amount,
+'원' AS amount_type, strftime(day, '%Y-%m-%d') AS event_date, strftime(day, '%Y-%m-01') AS period_start, title, corr_target_date, quantity
+FROM (SELECT l_orderkey, min(l_returnflag || l_linestatus) AS event_type, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount, min(l_shipdate) AS day,
+min(l_returnflag || l_linestatus || '-' || (l_partkey % 5)) AS title, CAST(sum(CAST(l_quantity AS INTEGER)) AS INTEGER) AS quantity FROM lineitem GROUP BY l_orderkey) l
+JOIN (SELECT *, CASE WHEN is_correction THEN lag(rcept_dt) OVER (PARTITION BY o_custkey ORDER BY rcept_dt, o_orderkey) END AS corr_target_date FROM v_document) d ON l_orderkey = o_orderkey""",
     "v_chunk": f"""SELECT doc_id || '#' || lpad(CAST(part AS VARCHAR), 5, '0') AS chunk_id, 'D' || doc_id AS doc_id, lang || ' > ' || source AS path, CAST(part AS INTEGER) AS part, CAST(part AS INTEGER) AS document_sequence, CAST(part - 1 AS INTEGER) AS block_start,
 CAST(part AS INTEGER) AS block_end, CAST(length(substr(text, CAST((part - 1) * {PART} + 1 AS BIGINT), {PART})) AS INTEGER) AS n_chars, 0 AS n_tables, substr(text, CAST((part - 1) * {PART} + 1 AS BIGINT), {PART}) AS text
 FROM (SELECT *, unnest(range(1, CAST(ceil(length(text) / {PART}.0) AS BIGINT) + 1)) AS part FROM documents WHERE length(text) > 0)""",

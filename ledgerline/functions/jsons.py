@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,30 @@ def changed(c: Column) -> Column:
 
 def present(m: Column) -> Column:
     return F.map_filter(m, lambda k, v: v.isNotNull())
+
+
+#: Levels that a nested value may have.
+DEPTH = 32
+
+
+def frozen(value: object, depth: int = DEPTH) -> object:
+    """A JSON value that nobody can change: objects as sorted pairs, arrays as tuples. Too deep values, cycles among them, and numbers that JSON can't hold are refused."""
+    if depth < 0:
+        raise ValueError(f"a value may have {DEPTH} levels at most")
+    if isinstance(value, dict):
+        if not all(isinstance(k, str) for k in value):
+            raise TypeError("an object's keys are strings")
+        return ("object", tuple((k, frozen(value[k], depth - 1)) for k in sorted(value)))
+    if isinstance(value, (list, tuple)):
+        return ("array", tuple(frozen(v, depth - 1) for v in value))
+    if value is not None and not isinstance(value, (str, int, float, bool)) or isinstance(value, float) and not math.isfinite(value):
+        raise TypeError(f"no JSON value: {value!r}")
+    return value
+
+
+def thawed(value: object) -> object:
+    """The value that was frozen, new throughout."""
+    if not isinstance(value, tuple):
+        return value
+    kind, parts = value
+    return {k: thawed(v) for k, v in parts} if kind == "object" else [thawed(v) for v in parts]

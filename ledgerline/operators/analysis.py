@@ -70,6 +70,11 @@ def stable_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(F.sha2(F.col(key), 256), key).limit(n)
 
 
+def random_sample(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n rows in a random order; other ones every time, unless a seed is given and the rows' partitions are the same."""
+    return rows.orderBy(F.rand(seed)).limit(n)
+
+
 def split_groups(groups: DataFrame, key: str, sizes: dict[str, int], by: str) -> DataFrame:
     """Disjoint splits by place in hash order within `by`: the first sizes go to the first split, and so on."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.sha2(F.col(key), 256), key))

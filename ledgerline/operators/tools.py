@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import loose_decimal
+from ledgerline.functions.text import plain_key
 
 
 def link_status() -> Column:
@@ -66,6 +69,15 @@ def query_events(
     return out if limit is None else out.limit(limit)
 
 
+def of_event_types(rows: DataFrame, wanted: Iterable[str]) -> DataFrame:
+    """Rows whose event type or report name holds one of the wanted types, both without marks and blanks and in lower case."""
+    keys = [F.lit(re.sub("[^0-9A-Za-z가-힣]", "", w).lower()) for w in wanted]
+    if not keys:
+        return rows
+    hit = reduce(lambda a, b: a | b, (F.contains(plain_key(F.col(c)), k) for c in ("event_type", "report_nm") for k in keys))
+    return rows.filter(hit)
+
+
 def include_details(n_rows: int, asked: bool | None) -> bool:
     """Details are shown if asked for, or if nothing was said and there are five rows at most."""
     return n_rows <= 5 if asked is None else asked

@@ -313,13 +313,13 @@ def ratio_rank(spark, sf_dir):
 _YEARS = "SELECT corp_code, base_year, sum(CAST(amount AS DECIMAL(18,2))) AS value FROM v_event JOIN v_document USING (doc_id, corp_code) GROUP BY ALL"
 
 
-@query(f"WITH y AS ({_YEARS}), g AS (SELECT *, CASE WHEN lag(base_year) OVER w = base_year - 1 THEN lag(value) OVER w END AS p FROM y WINDOW w AS (PARTITION BY corp_code ORDER BY base_year)) SELECT corp_code, base_year, CAST(value AS VARCHAR) AS value, round(CAST((value - p) * 100 / p AS DOUBLE), 1) AS growth_pct FROM g")
+@query(f"WITH y AS ({_YEARS}), g AS (SELECT *, CASE WHEN lag(base_year) OVER w = base_year - 1 THEN lag(value) OVER w END AS p FROM y WINDOW w AS (PARTITION BY corp_code ORDER BY base_year)) SELECT corp_code, base_year, CAST(value AS VARCHAR) AS value, round(CAST((value - p) * 100 / p AS DOUBLE), 1) + 0.0 AS growth_pct FROM g")
 def growth_yoy(spark, sf_dir):
     rows = A.events(spark, sf_dir).join(A.documents(spark, sf_dir).select("doc_id", "base_year"), "doc_id")
     rows = rows.groupBy("corp_code", "base_year").agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("value"))
     out = analysis.growth(rows, ["corp_code"], "base_year", "value")
     exact = (F.col("value").cast("double") - F.col("previous").cast("double")) * 100 / F.col("previous").cast("double")
-    return out.select("corp_code", "base_year", F.col("value").cast("decimal(38,2)").cast("string").alias("value"), F.round(exact, 1).alias("growth_pct"))
+    return out.select("corp_code", "base_year", F.col("value").cast("decimal(38,2)").cast("string").alias("value"), (F.round(exact, 1) + F.lit(0.0)).alias("growth_pct"))
 
 
 _UNITS = "CASE l_linenumber % 5 WHEN 0 THEN '원' WHEN 1 THEN '천원' WHEN 2 THEN '백만원' WHEN 3 THEN '억원' ELSE '불명' END"

@@ -12,6 +12,7 @@ import json
 import os
 import shutil
 import uuid
+from html import escape
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,3 +110,38 @@ def same_lineage(index_manifest: dict, pipeline_release: str) -> None:
 def input_hashes(files: DataFrame) -> DataFrame:
     """name, sha256 of every input file, by name."""
     return files.select("receipt", "name", F.sha2("content", 256).alias("sha256")).orderBy("receipt", "name")
+
+
+def audit(spark: SparkSession, files: DataFrame, expected: dict[str, int], output: str) -> dict:
+    """Publishes a report of the input files and their hashes; counts by suffix must be those expected."""
+    suffix = F.lower(F.element_at(F.split("name", r"\."), -1))
+    report = files.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
+    want = spark.createDataFrame(list(expected.items()), "suffix string, expected long")
+    faults = report.join(want, "suffix", "full").select(F.concat(F.lit("files."), "suffix").alias("check"), F.abs(F.coalesce("n", F.lit(0)) - F.coalesce("expected", F.lit(0))).alias("n"))
+    return build(spark, {"report": report, "input_sha256": input_hashes(files)}, output, checks=faults, publish=True)
+
+
+#: Rows of a table that a report shows.
+SHOWN = 200
+
+
+def report_page(title: str, parts: dict[str, DataFrame]) -> str:
+    """A page of named tables, the first SHOWN rows of each, for people to look at."""
+    out = [f"<!doctype html><meta charset='utf-8'><title>{escape(title)}</title><h1>{escape(title)}</h1>"]
+    for name, frame in parts.items():
+        rows = frame.limit(SHOWN + 1).collect()
+        cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{escape('' if v is None else str(v))}</{tag}>" for v in values) + "</tr>"
+        out.append(f"<h2>{escape(name)}</h2><table>{cells('th', frame.columns)}{''.join(cells('td', r) for r in rows[:SHOWN])}</table>")
+        if len(rows) > SHOWN:
+            out.append(f"<p>more than {SHOWN} rows</p>")
+    return "".join(out)
+
+
+#: Receipts of filings that aren't read, as their only file is a PDF.
+UNSUPPORTED = ("20260619000667", "20240514001522", "20260513000860")
+
+
+def supported(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(filings that are read, those of the list that aren't)."""
+    listed = F.col("rcept_no").isin(*UNSUPPORTED)
+    return docs.filter(~listed), docs.filter(listed)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, jsons, numbers, text
-from ledgerline.operators import evaluation, retrieval, tools, workflows
+from ledgerline.operators import analysis, evaluation, forms, retrieval, tools, workflows
 from ledgerline.plans.registry import _PHRASES, _STATUS, _TOK, _statuses, _table, query
 from ledgerline.session import shared_folder
 from ledgerline.sources import adapters as A
@@ -215,3 +215,47 @@ def statement_markdown(spark, sf_dir):
     rows = _statements(spark, sf_dir).withColumns({"rcept_no": F.col("l_orderkey").cast("string"), "frmtrm_amount": F.lit(None).cast("string"), "bfefrmtrm_amount": F.lit(None).cast("string")})
     out = workflows.statement_tables(rows)
     return out.select(F.col("rcept_no").cast("long").alias("l_orderkey"), "fs_div", "n_rows", (F.size(F.split("text", "\n")) - 1).cast("long").alias("n_lines"))
+
+
+@query("""SELECT doc_id, event_type FROM v_event WHERE contains(lower(event_type), 'af') OR contains(lower(event_type), 'annualreport') OR contains(regexp_replace(lower(report_nm), '[^0-9a-z가-힣]', '', 'g'), 'af') OR contains(regexp_replace(lower(report_nm), '[^0-9a-z가-힣]', '', 'g'), 'annualreport')""")
+def events_by_words(spark, sf_dir):
+    return tools.of_event_types(A.events(spark, sf_dir), ["a-F", "Annual report"]).select("doc_id", "event_type")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '주요사항보고서(자기주식취득결정)' WHEN o_orderkey % 3 = 1 THEN 'given' END AS corr_target_doc,
+CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS corr_target_date FROM orders""")
+def correction_texts(spark, sf_dir):
+    i, day = F.col("o_orderkey") % 3, F.col("o_orderdate")
+    body = F.concat(F.lit("<p>1. 정정대상 공시서류 : 주요사항보고서(자기주식취득결정)</p>\n<p>2. 정정대상 공시서류의 최초제출일 : "), F.date_format(day, "yyyy"), F.lit("년 "), F.month(day), F.lit("월 "), F.dayofmonth(day), F.lit("일</p>"))
+    rows = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(i == 0, body).otherwise("<p>none</p>").alias("source"), F.when(i == 1, "given").alias("corr_target_doc"), F.lit(None).cast("string").alias("corr_target_date"),
+    )
+    return forms.with_text_targets(rows).select("o_orderkey", "corr_target_doc", "corr_target_date")
+
+
+@query("""SELECT doc_id, CASE WHEN e.quantity % 2 = 0 THEN e.title WHEN d.doc_group = 'major' THEN trim(regexp_replace(d.report_nm, '^\\[[^\\]]+\\]', '')) END AS title,
+CASE WHEN e.quantity % 3 = 0 THEN e.event_date WHEN d.doc_group = 'holding' THEN substr(d.rcept_dt, 1, 4) || '-' || substr(d.rcept_dt, 5, 2) || '-' || substr(d.rcept_dt, 7, 2) END AS event_date FROM v_event e JOIN v_document d USING (doc_id)""")
+def event_defaults(spark, sf_dir):
+    q = F.col("quantity")
+    rows = A.events(spark, sf_dir).select("doc_id", F.when(q % 2 == 0, F.col("title")).alias("title"), F.when(q % 3 == 0, F.col("event_date")).alias("event_date"))
+    return forms.with_group_defaults(rows, A.documents(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT corp_code, event_type, amount_type, rcept_dt, rcept_no, CAST(amount AS DECIMAL(38,6)) AS v FROM v_event), p AS (SELECT a.corp_code, a.event_type, a.amount_type, a.rcept_no AS f, b.rcept_no AS s, b.v - a.v AS c,
+row_number() OVER (PARTITION BY a.corp_code, a.event_type, a.amount_type ORDER BY a.rcept_dt, a.rcept_no, b.rcept_dt, b.rcept_no) AS k FROM e a JOIN e b ON a.corp_code = b.corp_code AND a.event_type = b.event_type AND a.amount_type = b.amount_type AND b.rcept_no > a.rcept_no AND a.v <> b.v)
+SELECT corp_code, event_type, f AS first_rcept_no, s AS second_rcept_no, CAST(CAST(c AS DECIMAL(38,2)) AS VARCHAR) AS change FROM p WHERE k = 1""")
+def compare_candidates(spark, sf_dir):
+    rows = evaluation.compare_candidates(A.events(spark, sf_dir).withColumn("root_rcept_no", F.lit("")))
+    return rows.select("corp_code", "event_type", "first_rcept_no", "second_rcept_no", F.col("change").cast("decimal(38,2)").cast("string").alias("change"))
+
+
+@query(f"WITH RECURSIVE {_STATUS} SELECT root_rcept_no, min(rcept_no) AS oldest_rcept_no, max(latest_rcept_no) AS latest_rcept_no, max(n_corrections) AS n_corrections FROM statuses WHERE n_corrections > 0 GROUP BY root_rcept_no HAVING min(rcept_no) <> max(latest_rcept_no)")
+def history_candidates(spark, sf_dir):
+    return evaluation.history_candidates(_statuses(spark, sf_dir))
+
+
+@query("SELECT 48 AS n, 48 AS known FROM region LIMIT 1")
+def random_sample(spark, sf_dir):
+    companies = A.universe(spark, sf_dir).select("corp_code")
+    drawn = analysis.random_sample(companies, 48)
+    return drawn.join(companies.withColumn("known", F.lit(1)), "corp_code", "left").agg(F.count("*").cast("int").alias("n"), F.count("known").cast("int").alias("known"))

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -43,6 +44,76 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def _plain_prediction(model, text):
+    """Probabilities by loops: every n-gram's bucket, the mean of the table's rows, softmax."""
+    raw = [b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+    total, seen = [0.0] * len(model.languages), 0
+    for order in language.ORDERS:
+        for i in range(len(raw) - order + 1):
+            code = raw[i]
+            for j in range(1, order):
+                code = (code * 0x01000193 & 0xFFFFFFFF) ^ raw[i + j]
+            code ^= code >> 15
+            bucket = (code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language.BUCKET_BITS)
+            total = [t + float(x) for t, x in zip(total, model.table[bucket])]
+            seen += 1
+    z = [(t / max(seen, 1) + float(b)) / model.temperature for t, b in zip(total, model.bias)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_predictions_of_rows_equal_plain_loops(spark, documents):
+    own = documents.head(150)
+    frame = spark.createDataFrame([(int(i), r.text, r.lang) for i, r in own.iterrows()] + [(900, None, "en"), (901, "12 !", None), (902, "É", "fr"), (903, "Abc", "en")], "doc_id long, text string, lang string")
+    model = language.fit(*language.training_rows(frame))
+    for r in frame.join(language.identify(spark, frame), "doc_id").collect():
+        assert r.held_out == (_fold(r.doc_id, 3) == 1)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        p = _plain_prediction(model, r.text)
+        best = max(range(len(p)), key=p.__getitem__)
+        assert r.lang_pred == model.languages[best] and math.isclose(r.score, p[best], rel_tol=1e-3, abs_tol=1e-5)
+
+
+def _plain_f(net, x):
+    z = [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(x, net.mean, net.scale)]
+    hidden = [math.tanh(sum(z[i] * net.p[0][i][k] for i in range(len(z))) + net.p[1][k]) for k in range(pu_quality.HIDDEN)]
+    return sum(h * w for h, w in zip(hidden, net.p[2])) + net.p[3][0]
+
+
+def test_scores_and_risk_equal_plain_loops():
+    rng = np.random.default_rng(2)
+    positive, unlabelled = rng.normal(1, 1, (40, 6)), np.concatenate([rng.normal(1, 1, (30, 6)), rng.normal(-1, 1, (30, 6))])
+    net = pu_quality.fit(positive, unlabelled, 0.5)
+    for x in unlabelled[:10]:
+        assert math.isclose(net.score(x[None])[0], 1 / (1 + math.exp(-(net.slope * _plain_f(net, x) + net.shift))), rel_tol=1e-9)
+    sigma = lambda v: 1 / (1 + math.exp(-v))
+
+    def risk(prior, part):
+        fp, fu = [_plain_f(net, x) for x in positive], [_plain_f(net, x) for x in unlabelled]
+        bracket = sum(map(sigma, fu)) / len(fu) - prior * sum(map(sigma, fp)) / len(fp)
+        return -bracket if part == "negative" else prior * sum(sigma(-v) for v in fp) / len(fp) + bracket
+
+    for prior, part in ((0.3, "whole"), (1.6, "negative")):
+        got = pu_quality.risk_gradient(net, positive, unlabelled, prior)
+        for k, at in ((0, (2, 3)), (1, (4,)), (2, (5,)), (3, (0,))):
+            old, ends = net.p[k][at], []
+            for move in (1e-5, -1e-5):
+                net.p[k][at] = old + move
+                ends.append(risk(prior, part))
+            net.p[k][at] = old
+            assert math.isclose(got[k][at], (ends[0] - ends[1]) / 2e-5, rel_tol=1e-3, abs_tol=1e-7)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_the_class_prior_is_found_from_positives_and_unlabelled_rows(share):
+    rng = np.random.default_rng(int(100 * share))
+    n = int(3000 * share)
+    positive, unlabelled = rng.normal(1.5, 1, (1500, 4)), np.concatenate([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (3000 - n, 4))])
+    assert abs(pu_quality.class_prior(positive, rng.permutation(unlabelled)) - share) < 0.08
+
+
 def test_batched_prediction_equals_single():
     model = language.fit([b"the of and in", b"der die und das"] * 20, ["en", "de"] * 20)
     texts = ["the cat", None, "", "und die", "x", "ab", "abc", "of " * 500]

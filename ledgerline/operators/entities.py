@@ -2,7 +2,8 @@
 
 Aliases are a table derived from the universe. A batch of queries is resolved by joins: exact codes, exact
 aliases, n-grams of tokens, then aliases inside the query at a word boundary. Each step sees what the one
-before left open; several companies in one step make the query ambiguous.
+before left open; several companies in one step make the query ambiguous. All joins are by equality, so neither side is compared with all of the other, and Spark
+broadcasts aliases only where it finds them small.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ SHORTHANDS = {
     "삼전": "삼성전자", "하닉": "sk하이닉스", "하이닉스": "sk하이닉스", "엔솔": "lg에너지솔루션", "엘지엔솔": "lg에너지솔루션", "기아자동차": "기아", "기아차": "기아", "포스코": "posco홀딩스", "포스코홀딩스": "posco홀딩스",
     "네이버": "naver", "삼성이앤에이": "삼성e&a", "엔씨": "nc", "삼성엔지니어링": "삼성e&a", "한화에어로": "한화에어로스페이스", "엘지씨엔에스": "lg씨엔에스", "엘지씨엔에스코퍼레이션": "lg씨엔에스",
 }
+#: Characters of a sector's name at most.
+LONGEST_NAME = 64
 #: Tokens of an n-gram at most.
 WIDEST = 5
 
@@ -52,19 +55,19 @@ def resolve_companies(queries: DataFrame, universe: DataFrame) -> DataFrame:
     """query_id, query -> status (ok, ambiguous, not_found), corp_codes in their order, step."""
     alias = aliases(universe)
     q = queries.select("query_id", "query", normal_key(F.col("query")).alias("key"))
-    whole = q.join(F.broadcast(alias), F.col("key") == F.col("alias")).select("query_id", "corp_code")
+    whole = q.join(alias, F.col("key") == F.col("alias")).select("query_id", "corp_code")
     done = [_verdict(whole, "alias")]
     rest = q.join(done[0].select("query_id"), "query_id", "left_anti")
     words = F.filter(F.split(F.regexp_replace(F.col("query"), r"[^\p{L}\p{N}&.]+", " "), " "), lambda x: x != "")
     grams = rest.select("query_id", F.explode(_ngrams(words)).alias("gram")).withColumn("gram", normal_key(F.col("gram")))
     grams = grams.select("query_id", F.explode(F.array("gram", strip_particle(F.col("gram")), strip_company_endings(F.col("gram")))).alias("alias")).filter(F.length("alias") >= 2).distinct()
-    done.append(_verdict(grams.join(F.broadcast(alias), "alias").select("query_id", "corp_code"), "ngram"))
+    done.append(_verdict(grams.join(alias, "alias").select("query_id", "corp_code"), "ngram"))
     rest = rest.join(done[1].select("query_id"), "query_id", "left_anti")
-    # inside a query an alias must not begin or end amid a word, but for a particle after it
-    spaced = rest.select("query_id", F.concat(F.lit(" "), F.lower(F.regexp_replace("query", r"[^\p{L}\p{N}]+", " ")), F.lit(" ")).alias("t"))
-    inside = spaced.join(F.broadcast(alias.filter(F.length("alias") >= 3)), F.contains(F.col("t"), F.concat(F.lit(" "), F.col("alias"))))
-    after = F.substring_index(F.substring(F.col("t"), F.expr("locate(concat(' ', alias), t) + length(alias) + 1"), F.lit(64)), " ", 1)
-    inside = inside.filter((after == "") | after.isin(*PARTICLES)).select("query_id", "corp_code")
+    # inside a query an alias is a word, or one with a particle after it
+    word = rest.select("query_id", F.explode(F.split(F.trim(F.lower(F.regexp_replace("query", r"[^\p{L}\p{N}]+", " "))), " ")).alias("w"))
+    bare = F.array_compact(F.array("w", *(F.when(F.col("w").endswith(p), F.expr(f"left(w, length(w) - {len(p)})")) for p in PARTICLES)))
+    inside = word.select("query_id", F.explode(F.array_distinct(bare)).alias("alias")).filter(F.length("alias") >= 3).distinct()
+    inside = inside.join(alias, "alias").select("query_id", "corp_code")
     done.append(_verdict(inside, "inside"))
     found = reduce(DataFrame.unionByName, done)
     return queries.select("query_id", "query").join(found, "query_id", "left").withColumns({"status": F.coalesce("status", F.lit("not_found")), "corp_codes": F.coalesce("corp_codes", F.array().cast("array<string>"))})
@@ -74,8 +77,12 @@ def resolve_sectors(queries: DataFrame, universe: DataFrame) -> DataFrame:
     """query_id -> the sector whose name, or a component of it, stands in the query; its member companies."""
     parts = F.concat(F.array("sector"), F.split("sector", r"[·ㆍ/&,+]"))
     names = universe.select("sector").distinct().select("sector", F.explode(parts).alias("p")).withColumn("p", normal_key(F.col("p"))).filter(F.length("p") >= 2)
-    q = queries.select("query_id", F.concat(F.lit(" "), F.lower(F.regexp_replace("query", r"[^\p{L}\p{N}_]+", " ")), F.lit(" ")).alias("t"), normal_key(F.col("query")).alias("k"))
-    hits = q.join(F.broadcast(names.distinct()), F.contains(F.col("t"), F.concat(F.lit(" "), F.col("p"))) | (F.col("k") == F.col("p")))
+    # a name is the whole query, or what a word of it begins with
+    word = F.explode(F.split(F.lower(F.regexp_replace("query", r"[^\p{L}\p{N}_]+", " ")), " "))
+    begins = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.length("w"), F.lit(LONGEST_NAME)))), lambda n: F.substring(F.col("w"), F.lit(1), n))
+    asked = queries.select("query_id", word.alias("w")).select("query_id", F.explode(begins).alias("p"))
+    asked = asked.unionByName(queries.select("query_id", normal_key(F.col("query")).alias("p"))).distinct()
+    hits = asked.join(names.distinct(), "p")
     found = hits.groupBy("query_id").agg(F.array_sort(F.collect_set("sector")).alias("sectors"))
     members = universe.groupBy("sector").agg(F.array_sort(F.collect_list("corp_code")).alias("corp_codes"))
     one = found.withColumn("sector", F.when(F.size("sectors") == 1, F.get("sectors", 0)))

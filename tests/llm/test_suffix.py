@@ -69,6 +69,25 @@ def test_cut_text_keeps_columns(spark):
             assert len((rows[i].text or "").encode()) <= want[i][0] - want[i][1]
 
 
+def test_blocks_of_any_size_give_the_same_minimizers_and_hashes(monkeypatch):
+    from ledgerline.llm import kernel
+
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 101, 5000).astype(np.uint8)
+    data[rng.integers(0, 5000, 40)] = 32
+    data[3000:3600] = 97
+    off = np.concatenate([[0], np.cumsum(np.append(rng.integers(0, 900, 6), 0)), [5000]])
+    off = np.sort(np.minimum(off, 5000))
+    starts, ends, _ = kernel.spans(data, np.array([0, 5000]))
+    got = []
+    for size in (50, 333, 1 << 18):
+        monkeypatch.setattr(suffix_dedup, "WINDOWS", size)
+        monkeypatch.setattr(kernel, "HASH_BYTES", size)
+        got.append([*suffix_dedup.minimizers(data, off), kernel.hash_spans(data, starts, ends), kernel.hash_grams(data, 48)])
+    for other in got[1:]:
+        assert all(len(a) == len(b) and (a == b).all() for a, b in zip(got[0], other))
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(spark, frame).collect() == []

@@ -114,37 +114,44 @@ class Tools:
 
 
 class AnswerCache:
-    """Least recently used answers with an age limit, forgotten when the data's mark moves."""
+    """Least recently used answers with an age limit, each good only for the mark of the data that it was made under.
 
-    def __init__(self, size: int = 128, ttl: float = 300, clock: Callable[[], float] = time.monotonic) -> None:
-        self.size, self.ttl, self.clock = size, ttl, clock
-        self.rows: OrderedDict[str, tuple[float, object]] = OrderedDict()
-        self.mark, self.lock = None, threading.Lock()
+    `mark` is asked at every access. Where it can't be told, nothing is kept and nothing is given.
+    """
+
+    def __init__(self, size: int = 128, ttl: float = 300, clock: Callable[[], float] = time.monotonic, mark: Callable[[], str] = lambda: "") -> None:
+        self.size, self.ttl, self.clock, self._mark = size, ttl, clock, mark
+        self.rows: OrderedDict[str, tuple[float, str, object]] = OrderedDict()
+        self.lock = threading.Lock()
 
     @staticmethod
     def key(question_id: str, question: str, identity: dict) -> str:
         normal = " ".join(unicodedata.normalize("NFKC", question).casefold().split())
         return hashlib.sha256(json.dumps([question_id, normal, identity], sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
-    def moved(self, mark: str) -> None:
-        with self.lock:
-            if self.mark is not None and mark > self.mark:
-                self.rows.clear()
-            self.mark = max(mark, self.mark or mark)
+    def mark(self) -> str | None:
+        try:
+            now = self._mark()
+        except Exception:  # noqa: BLE001  # whatever the source fails with, its state is unknown
+            return None
+        return now if isinstance(now, str) and len(now) <= 128 and now.isprintable() else None
 
     def get(self, key: str) -> object | None:
+        now = self.mark()
         with self.lock:
-            at, value = self.rows.get(key, (None, None))
-            if at is None or self.clock() - at > self.ttl:
-                self.rows.pop(key, None)
+            at, made_under, value = self.rows.pop(key, (0.0, None, None))
+            if made_under is None or made_under != now or self.clock() - at >= self.ttl:
                 return None
-            self.rows.move_to_end(key)
+            self.rows[key] = (at, made_under, value)  # the last one now
             return value
 
     def put(self, key: str, value: object) -> None:
+        now = self.mark()
+        if now is None:
+            return
         with self.lock:
-            self.rows[key] = (self.clock(), value)
-            self.rows.move_to_end(key)
+            self.rows.pop(key, None)
+            self.rows[key] = (self.clock(), now, value)
             while len(self.rows) > self.size:
                 self.rows.popitem(last=False)
 

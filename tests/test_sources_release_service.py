@@ -107,15 +107,22 @@ def test_service():
         assert tools.call("list_filings", args)["status"] == "error"
     assert tools.call("drop_table", {})["limitations"] == ["unknown_tool"] and tools.call("get_history", {"doc_id": "a"})["status"] == "info_limit"
     assert tools.call("get_history", {"doc_id": "a", "rcept_no": "2" * 14})["status"] == "error"
-    now = [0.0]
-    cache = service.AnswerCache(2, 10, lambda: now[0])
+    now, mark = [0.0], ["20240102:1"]
+    cache = service.AnswerCache(2, 10, lambda: now[0], lambda: mark[0])
     k = cache.key("q", " A  b", {"r": 1})
     assert k == cache.key("q", "a B", {"r": 1}) != cache.key("q", "a B", {"r": 2})
     cache.put(k, 1)
     assert cache.get(k) == 1
-    cache.moved("20240101:1")
-    cache.moved("20240102:1")
-    assert cache.get(k) is None
+    for moved in ("20240103:1", "20240101:1", None):  # on, back, unknown
+        cache.put(k, 1)
+        mark[0] = moved
+        assert cache.get(k) is None
+    cache.put(k, 1)
+    assert not cache.rows
+    mark[0] = "20240102:1"
+    for i in range(3):
+        cache.put(str(i), i)
+    assert [cache.get(str(i)) for i in range(3)] == [None, 1, 2]
     cache.put(k, 2)
     now[0] = 11
     assert cache.get(k) is None

@@ -200,8 +200,8 @@ def test_validation_and_evaluation(spark):
     assert list(got.values()) == [[], ["ungrounded_number"], ["missing_disclosure"], [], ["unknown_citation"], ["no_citation"]]
     t = validate.trace(spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y")], "run_id string, seq int, step string")).first().trace
     assert t == "x ×2\ny"
-    scores = spark.createDataFrame([("t", True, None), ("t", False, True)], "track string, facts boolean, numbers boolean")
-    assert {(r.axis, r.eligible, r.passed) for r in evaluation.axis_scores(scores).collect()} == {("facts", 2, 1), ("numbers", 1, 1)}
+    scores = spark.createDataFrame([("t", True, None), ("t", False, True)], "track string, required_fact_coverage boolean, calculation_correctness boolean")
+    assert {(r.axis, r.eligible, r.passed) for r in evaluation.axis_scores(scores).collect()} == {("required_fact_coverage", 2, 1), ("calculation_correctness", 1, 1)}
     cases = spark.createDataFrame([("1", "=a b", "dev", "g"), ("2", "A  B", "holdout", "g"), ("3", "a b", "dev", "h")], "case_id string, question string, split string, source_group string")
     assert {r.rule: r.n for r in evaluation.registry_faults(cases).collect()} == {"repeated_id": 0, "repeated_question": 1, "group_crosses_splits": 1}
     sheet = evaluation.review_sheet(cases)

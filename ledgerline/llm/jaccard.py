@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import BROADCAST_ROWS, Workspace, as_row, lookup, rows_of
+from .shared import BROADCAST_ROWS, Workspace, as_row, lookup, rows_of, sweep
 
 WORDS = 5
 #: The similarity asked for, as a fraction.
@@ -396,6 +396,7 @@ def _possible(n: str, m: str, i: str, j: str):
 
 def links(sets: DataFrame, space: Workspace) -> DataFrame:
     """node, root of all linked classes."""
+    spark = sets.sparkSession
     postings = space.save(short_lists(sets), "postings")
     pivots = postings.groupBy("token").agg(F.min(F.struct("n", "cid", "pos")).alias("p"), F.count("*").alias("members")).filter("members > 1")
     pivots = space.save(pivots.select("token", "members", F.col("p.cid").alias("pivot"), F.col("p.n").alias("m"), F.col("p.pos").alias("j")), "pivots")
@@ -413,8 +414,12 @@ def links(sets: DataFrame, space: Workspace) -> DataFrame:
         # a list keeps all its members, so a member's rank is the same in every turn
         ranked = open_.join(tokens.select("token"), "token").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("n", "cid")))
         ranked = space.save(ranked, f"open{turn}")
+        if turn > 1:
+            space.drop(f"open{turn - 1}", f"pairs{turn - 1}")
         if ranked.isEmpty():
+            space.drop("postings", "pivots", "pairs0")
             return labels
+        sweep(spark)
         p = ranked.filter((F.col("rank") > done) & (F.col("rank") <= done + width))
         p = p.select("token", F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("root").alias("r"), F.col("rank").alias("k"))
         pairs = ranked.join(p, "token").filter((F.col("rank") > F.col("k")) & (F.col("root") != F.col("r")) & _possible("n", "m", "pos", "j"))
@@ -438,6 +443,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = packed(docs, int(max(tasks, n_tokens // 2 // BUCKET)), whole=False).groupBy("bucket").applyInArrow(K.tidy(_count_shared(groups)), RETURNED)
     shared = shared.groupBy("grp").applyInArrow(K.tidy(_sum_shared), "cid binary, shared long")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / 4))
+    sweep(spark)
     left = space.save(classes.join(shared, "cid").filter(F.col("shared") >= least).select("cid", "n", "least"), "screened")
     n_left, n_tokens = (int(x or 0) for x in left.agg(F.count("*"), F.sum("n")).first())
     reps = left.select(F.col("least").alias("rep")).distinct()
@@ -446,6 +452,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     groups = int(max(tasks, n_tokens // BLOCK))
     parts = own.groupBy("bucket").applyInArrow(K.tidy(_with_frequency(groups)), RETURNED)
     sets = space.save(parts.groupBy("grp").applyInArrow(K.tidy(_assemble), "cid binary, n long, tokens binary"), "sets")
+    sweep(spark)
     labels = links(sets, space)
     of = classes.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = of.join(labels.select(F.col("node").alias("cid")), "cid", "left_semi")

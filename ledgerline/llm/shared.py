@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -61,14 +62,19 @@ class Workspace:
 
 
 @contextmanager
-def tidied() -> Iterator[None]:
-    """Deletes the tables of all operators that are called inside, when it ends: their results must have been written by then."""
+def gathered() -> Iterator[list[Workspace]]:
+    """The workspaces of all operators that are called inside."""
     _SCOPES.append([])
     try:
-        yield
+        yield _SCOPES[-1]
     finally:
-        for space in _SCOPES.pop():
-            space.close()
+        _SCOPES.pop()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so only when objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def as_row(docs: DataFrame) -> Column:

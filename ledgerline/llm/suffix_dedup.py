@@ -32,45 +32,56 @@ from pyspark.sql import types as T
 
 from . import kernel as K
 from .bwt import repeated_places
-from .shared import Workspace, as_row, lookup, rows_of
+from .shared import Workspace, as_row, lookup, rows_of, sweep
 
 DEPTH, GRAM = 200, 48
 #: Minimizers in a bucket of the first step, bytes of pieces in one of the second.
-MINIMIZERS, PIECES = 2 << 20, 3 << 19
+MINIMIZERS, PIECES = 1 << 20, 3 << 18
+#: Windows whose minimizers are found at once.
+WINDOWS = 1 << 18
 #: A table of places is broadcast to the texts up to so many bytes; beyond, both are shuffled.
 BROADCAST_BYTES = 4 << 20
 
 
-def minimizers(data: np.ndarray, off: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first place, number of places, hash of the minimizer) of every piece; places are counted from a text's start."""
-    none = np.zeros(0, np.int64)
-    n = len(data)
-    if n < depth:
-        return none, none, none, none.astype(np.uint64)
+def _least_grams(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the grams, place of each window's least gram: the leftmost of those with the least upper half of a hash)."""
     w = depth - GRAM + 1
-    grams = n - GRAM + 1
     value = K.hash_grams(data, GRAM)
-    # the upper half of the hash, then the place: the least is the leftmost of the least
+    grams = len(value)
     key = value >> np.uint64(32) << np.uint64(32) | np.arange(grams, dtype=np.uint64)
-    blocks = -(-grams // w)
-    padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
+    # least of w neighbours: of two blocks, from one's end backwards and from the next one's start
+    padded = np.full(-(-grams // w) * w, np.iinfo(np.uint64).max, np.uint64)
     padded[:grams] = key
-    square = padded.reshape(blocks, w)
+    square = padded.reshape(-1, w)
     ahead = np.minimum.accumulate(square, axis=1).ravel()
     behind = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - depth + 1
+    windows = len(data) - depth + 1
     least = np.minimum(behind[:windows], ahead[w - 1 : w - 1 + windows])
-    text = np.repeat(np.arange(len(off) - 1), np.diff(off))[:windows]
-    valid = np.flatnonzero(np.arange(windows) + depth <= off[1:][text])
-    if not len(valid):
-        return none, none, none, none.astype(np.uint64)
-    at = (least[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.ones(len(valid), bool)
-    new[1:] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1] + 1)
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(valid)))
-    start = valid[first]
-    return text[start], start - off[text[start]], count, value[at[first]]
+    return value, (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def minimizers(data: np.ndarray, off: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first place, number of places, hash of the minimizer) of every piece; places are counted from a text's start.
+
+    Windows are taken in blocks, so memory doesn't grow with a text; a piece that goes on in the next block is put together.
+    """
+    found = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)]
+    for lo in range(0, len(data) - depth + 1, WINDOWS):
+        value, at = _least_grams(data[lo : lo + WINDOWS + depth - 1], depth)
+        place = np.arange(lo, lo + len(at))
+        text = np.searchsorted(off[1:], place, "right")
+        valid = np.flatnonzero(place + depth <= off[1:][text])
+        new = np.ones(len(valid), bool)
+        new[1:] = (at[valid[1:]] != at[valid[:-1]]) | (valid[1:] != valid[:-1] + 1)
+        first = np.flatnonzero(new)
+        begin = valid[first]
+        found.append((text[begin], place[begin], np.diff(np.append(first, len(valid))), at[begin] + lo, value[at[begin]]))
+    text, start, count, at, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    goes_on = np.zeros(len(at), bool)
+    goes_on[1:] = (at[1:] == at[:-1]) & (start[1:] == start[:-1] + count[:-1])
+    first = np.flatnonzero(~goes_on)
+    count = np.add.reduceat(count, first) if len(first) else count
+    return text[first], start[first] - off[text[first]], count, value[first]
 
 
 PLACE = np.dtype([("start", "<u4"), ("count", "<u4"), ("hash", "<u4")])
@@ -221,6 +232,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, space: Workspace, depth
     own = texts.filter(F.octet_length("text") >= depth).select("digest", "text")
     found = _packed(own, int(max(tasks, n_bytes // 75 // MINIMIZERS)), depth).groupBy("bucket").applyInArrow(K.tidy(_repeated_minimizers), "digest binary, places binary, size long")
     found = space.save(found.groupBy("digest").agg(F.collect_list("places").alias("parts"), F.sum("size").alias("size")), "minimizers")
+    sweep(spark)
     n, total = (int(x or 0) for x in found.agg(F.count("*"), F.sum("size")).first())
     # a place takes 12 bytes and stands for 60 bytes of pieces or more
     pieces = _pieces(_joined(own, found.drop("size"), 32 * n + total // 5), int(max(tasks, total // PIECES)), depth)
@@ -229,7 +241,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, space: Workspace, depth
     runs = pieces.filter("kind = 1").select("bucket", "piece", "count", "content").groupBy("bucket").applyInArrow(K.tidy(_find(depth)), "piece binary, runs binary")
     hits = pieces.filter("kind = 0").select("piece", "digest", "start").distinct().join(runs, "piece")
     hits = hits.groupBy("digest").agg(F.collect_list(F.struct("start", "runs")).alias("hits"), F.sum(F.octet_length("runs") + 24).alias("bytes"))
-    return rows, space.save(hits, "hits")
+    hits = space.save(hits, "hits")
+    space.drop("pieces", "minimizers")
+    sweep(spark)
+    return rows, hits
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -71,7 +71,7 @@ def test_cut_texts_equal_brute_force(stages):
         assert new[d] == ("" if seen_once[old[d]] > 1 else _kept_text(old[d], texts))
 
 
-def _median(values, weights=None):
+def _median(values):
     order = sorted(values)
     return next(v for k, v in enumerate(order, 1) if 2 * k >= len(order))
 

@@ -19,29 +19,61 @@ given, in their order and types and whatever their names; n_chars follows where
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import jaccard, packing, quality_rules, secrets, suffix_dedup
-from ledgerline.llm.shared import Workspace, tidied
+from ledgerline.llm.shared import Workspace, gathered, sweep
+
+
+#: Workspaces of the stage that was called last.
+_LAST: list[Workspace] = []
+
+
+def tidied(stage: Callable) -> Callable:
+    """The stage, after deleting what the one before it wrote besides its rows: those have been written and read again by now.
+
+    A workspace that the rows still come from stays.
+    """
+
+    def run_tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _LAST else []
+        for space in _LAST:
+            if not any(space.root.rpartition("/")[2] in file for file in read):
+                space.close()
+        _LAST.clear()
+        sweep(spark)
+        with gathered() as spaces:
+            out = stage(spark, docs, sf_dir)
+        _LAST.extend(spaces)
+        return out
+
+    return run_tidied
 
 
+@tidied
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_quality(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@tidied
 def join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_one(spark, docs)
 
 
+@tidied
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut_repeats(spark, docs)
 
 
+@tidied
 def scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(spark, docs)
 
 
+@tidied
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -59,9 +91,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
-        with tidied():
-            docs = space.save(stage(spark, docs, sf_dir), name)
+        docs = space.save(stage(spark, docs, sf_dir), name)
         if before:
             space.drop(before)
         before = name
+    for left in _LAST:
+        left.close()
+    _LAST.clear()
     return docs

@@ -39,7 +39,9 @@ STRETCH, SEQUENCE_BITS = 1 << 20, 40
 #: Costs of a cut in padding tokens: at a sentence end, elsewhere.
 SENTENCE_PENALTY, CUT_PENALTY = 4, 64
 #: Pieces of each kind in a generation of a worker's memory; at about 200 bytes each.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 250_000
+#: Bytes of text whose pieces are looked up together.
+BATCH_BYTES = 4 << 20
 
 
 class WordIds:
@@ -254,7 +256,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 4096, end_id: int =
                 enders[i] = True
         packer = Packer(TaskContext.get().partitionId() << SEQUENCE_BITS, window, enders)
         end = np.array([end_id], "<u4").tobytes()
-        for b in K.slices(batches):
+        for b in K.slices(batches, limit=BATCH_BYTES):
             for doc, ids in zip(b.column("doc_id").to_pylist(), words.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
                 packer.add(doc, np.frombuffer(ids + end, "<u4"))
             if packer.rows:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, language, packing, pu_quality, quality_rules, secrets, suffix_dedup, topk, warc
+from . import alignment, bpe, jaccard, language, packing, pu_quality, quality_rules, resampling, secrets, suffix_dedup, token_counts, topk, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +54,24 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_secret_scan, op4_language, op5_warc, op6_pu_quality, op7_packing, op8_quality_rules, op9_suffix_dedup, op10_exact_topk)}
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": jaccard.ORACLE, "op3_secret_scan": secrets.ORACLE, "op5_warc": warc.ORACLE, "op10_exact_topk": topk.ORACLE}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spark, _docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark, _docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_ALL = (
+    op1_ngram_jaccard, op2_byte_bpe, op3_secret_scan, op4_language, op5_warc, op6_pu_quality, op7_packing, op8_quality_rules, op9_suffix_dedup,
+    op10_exact_topk, op11_importance_resampling, op12_token_alignment, op13_token_counts,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": jaccard.ORACLE, "op3_secret_scan": secrets.ORACLE, "op5_warc": warc.ORACLE, "op10_exact_topk": topk.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
+}

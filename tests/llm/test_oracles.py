@@ -6,7 +6,7 @@ import pytest
 
 from ledgerline.llm import queries
 
-TABLES = "documents embeddings pages".split()
+TABLES = "documents embeddings pages benchmark".split()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

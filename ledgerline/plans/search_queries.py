@@ -102,7 +102,14 @@ def money_texts(spark, sf_dir):
     )
 
 
-@query("""SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 100 / nullif(o_custkey, 0), 2) AS DOUBLE) AS ratio, CAST(round((o_custkey - CAST(o_totalprice AS DECIMAL(18,2))) * 100 / CAST(o_totalprice AS DECIMAL(18,2)), 2) AS DOUBLE) AS change FROM orders""")
+# half up in whole hundredths of a percent: the quotient of integers n / d
+_HALF_UP = "CAST(sign(n) * ((2 * abs(n) + d) // (2 * d)) AS DOUBLE) / 100"
+
+
+@query(f"""WITH m AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS HUGEINT) AS a, CAST(o_custkey AS HUGEINT) AS b FROM orders),
+r AS (SELECT o_orderkey, {_HALF_UP} AS ratio FROM (SELECT o_orderkey, a * 100 AS n, nullif(b, 0) AS d FROM m)),
+c AS (SELECT o_orderkey, {_HALF_UP} AS change FROM (SELECT o_orderkey, (100 * b - a) * 10000 AS n, nullif(a, 0) AS d FROM m))
+SELECT o_orderkey, ratio, change FROM r JOIN c USING (o_orderkey)""")
 def percent_figures(spark, sf_dir):
     a, b = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_custkey").cast("decimal(18,0)")
     return _table(spark, sf_dir, "orders").select("o_orderkey", numbers.ratio_percent(a, b).cast("double").alias("ratio"), numbers.percent_change(a, b).cast("double").alias("change"))

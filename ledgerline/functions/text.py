@@ -42,6 +42,11 @@ def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
+@F.pandas_udf(T.StringType())
+def nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
 def normal_key(c: Column) -> Column:
     """NFKC, case folded, letters and digits only."""
     return F.regexp_replace(nfkc_casefold(c), r"[^\p{L}\p{N}]", "")

@@ -433,4 +433,4 @@ def event_windows(spark, sf_dir):
     return tumbling(_table(spark, sf_dir, "events"), "1 hour").select("start", "event_type", "n", F.round("total", 2).alias("total"))
 
 
-from ledgerline.plans import documents_queries, search_queries  # noqa: E402, F401
+from ledgerline.plans import documents_queries, filing_queries, search_queries  # noqa: E402, F401

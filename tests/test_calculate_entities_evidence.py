@@ -44,9 +44,48 @@ def test_companies(spark):
     sam, hynix = ("ok", ["00126380"]), ("ok", ["00164779"])
     assert [rows[x] for x in asked[:8]] == [sam, sam, sam, hynix, sam, sam, hynix, ("ok", ["00999999"])]
     assert rows["카카오"] == ("ambiguous", ["00111111", "00258801"]) and rows["없는회사"] == ("not_found", []) and rows["삼성전자공업"] == sam and rows["SAMSUNG ELECTRONICS 2024"] == sam
-    s = spark.createDataFrame([(0, "게임 업종 순위"), (1, "전자 기업"), (2, "조선")], "query_id long, query string")
-    got = {r.query_id: (r.status, r.sector) for r in entities.resolve_sectors(s, universe).collect()}
-    assert got == {0: ("ok", "게임"), 1: ("ok", "전기·전자"), 2: ("not_found", None)}
+    s = spark.createDataFrame(list(enumerate(["게임 업종 순위", "전자 기업", "조선", "전기·전자 산업과 게임 회사", "카카오게임즈 업종", "전기 전자 10사 중", "IT 서비스 업체", "IT서비스 업체", " ", None])), "query_id long, query string")
+    resolved = entities.resolve_sectors(s, universe)
+    got = {r.query_id: (r.status, r.sector) for r in resolved.collect()}
+    ok = lambda x: ("ok", x)
+    assert [got[i] for i in range(10)] == [
+        ok("게임"), ok("전기·전자"), ("not_found", None), ("ambiguous", None), ("not_found", None), ok("전기·전자"), ok("IT 서비스"), ("not_found", None), ("error", None), ("error", None),
+    ]
+    members = {(r.query_id, r.place): r.corp_code for r in entities.sector_candidates(resolved, universe).collect()}
+    assert (members[0, 1], members[0, 2]) == ("00111111", "00999999") and members[1, 1] == "00126380"
+
+
+def test_companies_at_boundaries(spark):
+    names = [("1", "LG씨엔에스", "LG CNS Co., Ltd."), ("2", "카카오", "Kakao Corp."), ("3", "기아", "Kia Corporation"), ("4", "삼성전자", "SAMSUNG ELECTRONICS CO,.LTD"), ("5", "SK하이닉스", "SK hynix Inc."), ("6", "가나다라마바사", "Alpha Beta Gamma Delta Works Inc.")]
+    universe = spark.createDataFrame([(f"{int(c):08d}", n, e) for c, n, e in names], "corp_code string, corp_name string, corp_eng_name string")
+    asked = {
+        "LG CNS Co., Ltd.의 매출": ["1"], "CompareSamsungElectronics와에스케이하이닉스의매출을": ["4", "5"], "삼성전자매출액": ["4"], "카카오게임즈매출": [], "Nokia revenue": [], "2024년삼성전자사업보고서": ["4"],
+        "showKiaRevenue": ["3"], "삼성전자; drop": [], "alpha beta gamma delta works는?": ["6"], "삼성전자와 카카오": ["2", "4"], "00000003": ["3"], "기아": ["3"], "아기아": [], "카카오카카오의": [], "ＫＩＡ매출": ["3"], "x" * 1001: None, "": None,
+    }
+    frame = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = {r.query: (r.status, r.corp_codes) for r in entities.resolve_companies(frame, universe).collect()}
+    for query, codes in asked.items():
+        status = "error" if codes is None else ("not_found", "ok", "ambiguous")[min(len(codes), 2)]
+        assert got[query] == (status, [f"{int(c):08d}" for c in codes or []]), query
+
+
+def test_pieces_between_boundaries(spark):
+    """Against every piece of every run, by loops."""
+    import itertools
+    import random
+
+    kind = lambda ch: "h" if "가" <= ch <= "힣" else "d" if ch.isdigit() else "l"
+    before, after = (*entities.PARTICLES, *entities.BEFORE), (*entities.PARTICLES, *entities.AFTER)
+    rnd = random.Random(2)
+    runs = ["".join(rnd.choice(["a", "b", "삼", "의", "와", "12", "매출", "and", "년"]) for _ in range(rnd.randint(1, 9))) for _ in range(150)]
+    frame = spark.createDataFrame([(r,) for r in runs], "run string")
+    for row in frame.select("run", entities.bounded_pieces(F.col("run"), F.lit(6)).alias("p")).collect():
+        r, want = row.run, set()
+        for s, e in itertools.combinations(range(len(r) + 1), 2):
+            begin = s == 0 or r[:s].endswith(before) or kind(r[s - 1]) != kind(r[s])
+            if 2 <= e - s <= 6 and begin and (e == len(r) or r[e:].startswith(after)):
+                want.add(r[s:e])
+        assert set(row.p) == want and len(row.p) == len(want)
 
 
 def _citation(**kw):

@@ -89,6 +89,16 @@ def formatted(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("-")).otherwise(text)
 
 
+def accounting_text(c: Column) -> Column:
+    """An amount as text with thousands separators: a leading minus or parentheses around it mean minus, nothing is a dash, other text stays."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    digits = F.regexp_replace(t, "[^0-9.]", "")
+    whole, rest = F.substring_index(digits, ".", 1), F.regexp_extract(digits, r"(\..*)$", 1)
+    grouped = F.regexp_replace(F.regexp_replace(whole, "^0+(?=[0-9])", ""), "(?<=[0-9])(?=(?:[0-9]{3})+$)", ",")
+    minus = F.when(t.startswith("-") | (t.startswith("(") & t.endswith(")")), "-").otherwise("")
+    return F.when(t.isin("", "-"), "-").when(whole == "", t).otherwise(F.concat(minus, grouped, rest))
+
+
 def number_set(c: Column) -> Column:
     """Distinct numbers of a text without separators; a negative one also stands for its absolute value."""
     found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(-?[0-9][0-9,]*(?:\.[0-9]+)?)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))

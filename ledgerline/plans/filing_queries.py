@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import entities
+from ledgerline.operators import entities, interim
 from ledgerline.plans.registry import _table, query
 
 # ---- names ---------------------------------------------------------------------------------------
@@ -68,3 +68,56 @@ def sectors_resolved(spark, sf_dir):
     resolved = entities.resolve_sectors(rows.select(F.col("c_custkey").alias("query_id"), text.alias("query")), universe)
     sizes = universe.groupBy("sector").agg(F.count("*").alias("n_members"), F.max("corp_code").alias("last_member"))  # candidates of a query are its sector's members
     return resolved.join(sizes, "sector", "left").select("query_id", "status", "sector", "n_members", "last_member")
+
+
+# ---- statements ----------------------------------------------------------------------------------
+
+_LINES = """l AS (SELECT CAST(l_orderkey AS VARCHAR) AS rcept_no, ['11011', '11012', '11013', '11014'][1 + l_orderkey % 4] AS code, ['사업', '반기', '1분기', '3분기'][1 + l_orderkey % 4] AS word,
+    CASE WHEN l_partkey % 2 = 0 THEN 'CFS' ELSE 'OFS' END AS basis, CASE WHEN l_linenumber % 3 = 0 THEN 'BS' ELSE 'IS' END AS statement, l_linenumber AS k,
+    CASE WHEN l_linenumber % 5 = 0 THEN 2147483647 ELSE l_linenumber END AS place, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem)"""
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT *, format('{{:,}}', v) AS a, '-' || format('{{:,}}', v + 1) AS b, CASE WHEN k % 2 = 0 THEN format('{{:,}}', 3 * v) ELSE a END AS a3 FROM l),
+r AS (SELECT *, '| account ' || k || ' | ' || CASE WHEN code = '11011' THEN a || ' | ' || b || ' | -' WHEN statement = 'IS' THEN a || ' | ' || a3 || ' | ' || b || ' | ' || b ELSE a || ' | ' || b END || ' |' AS line FROM c),
+p AS (SELECT *, CASE WHEN basis = 'CFS' THEN '연결재무제표' ELSE '재무제표' END || ' > ' || CASE WHEN statement = 'IS' THEN '손익계산서' ELSE '재무상태표' END AS path,
+    CASE WHEN code = '11011' THEN '| 계정과목 | 당기 | 전기 | 전전기 |' || chr(10) || '|---|---|---|---|'
+    WHEN statement = 'IS' THEN '| 계정과목 | 당기 ' || word || ' 3개월 | 당기 ' || word || ' 누적 | 전기 ' || word || ' 3개월 | 전기 ' || word || ' 누적 |' || chr(10) || '|---|---|---|---|---|'
+    ELSE '| 계정과목 | 당기 ' || word || '말 | 전기말 |' || chr(10) || '|---|---|---|' END AS head FROM r)
+SELECT rcept_no, basis, statement, '[' || path || ']' || chr(10) || '당기: 제 ' || rcept_no || ' 기 · today' || chr(10) || '(단위 : 원)' || chr(10) || head || chr(10) || string_agg(line, chr(10) ORDER BY place, k, line) AS text,
+    count(*) AS n_rows FROM p GROUP BY rcept_no, basis, statement, path, head""")
+def statement_texts(spark, sf_dir):
+    """Every line as a statement row; minus in parentheses, rows without an order, a cumulative amount on every other row."""
+    k, v = F.col("l_linenumber"), F.round(F.col("l_extendedprice") * 100).cast("long")
+    codes = F.array(*map(F.lit, ("11011", "11012", "11013", "11014")))
+    rows = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("rcept_no"), F.get(codes, (F.col("l_orderkey") % 4).cast("int")).alias("reprt_code"), F.when(F.col("l_partkey") % 2 == 0, "cfs").otherwise("OFS").alias("fs_div"),
+        F.when(k % 3 == 0, "BS").when(k % 3 == 1, "CIS").otherwise("IS").alias("sj_div"), F.concat(F.lit(" account "), k).alias("account_nm"), F.when(k % 5 == 0, "?").otherwise(k.cast("string")).alias("ord"),
+        v.cast("string").alias("thstrm_amount"), F.when(k % 2 == 0, (3 * v).cast("string")).otherwise("").alias("thstrm_add_amount"), F.concat(F.lit("("), v + 1, F.lit(")")).alias("frmtrm_amount"),
+        F.concat(F.lit("제 "), "l_orderkey", F.lit("  기")).alias("thstrm_nm"), F.lit("today").alias("thstrm_dt"), F.lit("KRW").alias("currency"),
+    )
+    return interim.statement_texts(rows).select("rcept_no", "basis", "statement", "text", F.col("n_rows").cast("long").alias("n_rows"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS form, CAST(round(o_totalprice * 100) AS BIGINT) AS v, o_custkey % 3 = 0 AS cum, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 3 END AS quarter FROM orders),
+r AS (SELECT *, CASE WHEN form = 3 THEN 'conflict' WHEN form = 6 THEN 'unit_unknown' WHEN form = 5 THEN 'missing' WHEN form = 4 AND NOT cum AND quarter = 3 THEN 'missing' ELSE 'ok' END AS state FROM o)
+SELECT k AS o_orderkey, state, CASE WHEN state = 'ok' THEN CASE WHEN cum OR form = 4 THEN CAST(3 * v + 7 AS DOUBLE) ELSE CAST(v AS DOUBLE) END END AS value, CASE WHEN state = 'ok' THEN '백만원' END AS unit FROM r""")
+def interim_columns(spark, sf_dir):
+    """Two header rows or one, rows that agree or not, a blank three months, no terms, a foreign unit, a header in the chunk before."""
+    k, v = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
+    form, text = k % 8, (lambda c: F.format_number(c, 0))
+    row = lambda name, three, cum: F.concat(F.lit(f"| {name} | "), three, F.lit(" | "), cum, F.lit(" | 5 | 6 |"))
+    plain = row("Ⅰ.매출액 (주3)", text(v), text(3 * v + 7))
+    terms, kinds = "|  | 제 9 기 3분기 | 제 9 기 3분기 | 제 8 기 3분기 | 제 8 기 3분기 |\n|---|---|---|---|---|\n", "|  | 3개월 | 누적 | 3개월 | 누적 |\n"
+    one_row = "| 과목 | 당기 3개월 | 당기 누적 | 전기 3개월 | 전기 누적 |\n|---|---|---|---|---|\n"
+    body = (
+        F.when(form == 1, F.concat(F.lit(one_row), plain)).when(form == 2, F.concat(F.lit(terms + kinds), plain, F.lit("\n"), row("영업수익", text(v), text(3 * v + 7))))
+        .when(form == 3, F.concat(F.lit(terms + kinds), plain, F.lit("\n"), row("영업수익", text(v + 1), text(3 * v + 7)))).when(form == 4, F.concat(F.lit(terms + kinds), row("매출액", F.lit(""), text(3 * v + 7))))
+        .when(form == 5, F.concat(F.lit(kinds), plain)).otherwise(F.concat(F.lit(terms + kinds), plain))
+    )
+    above = F.concat(F.lit("| 연결 손익계산서 |\n(단위 : "), F.when(form == 6, "달러").otherwise("백만원"), F.lit(")"))
+    parts = F.when(form == 7, F.array(above, body)).otherwise(F.array(F.concat(above, F.lit("\n"), body)))
+    orders = _table(spark, sf_dir, "orders")
+    chunks = orders.select(k.cast("string").alias("doc_id"), F.lit("III > 연결재무제표").alias("path"), F.posexplode(parts).alias("sequence", "text"))
+    asked = orders.select(k.cast("string").alias("doc_id"), F.lit("consolidated").alias("basis"), F.lit("revenue").alias("measure"), F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(3).alias("quarter"), (F.col("o_custkey") % 3 == 0).alias("cumulative_asked"), k)
+    found = interim.interim_answers(asked, interim.interim_figures(interim.statement_values(chunks)))
+    return found.select("o_orderkey", "state", F.col("value").cast("double").alias("value"), "unit")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import entities, interim
+from ledgerline.operators import entities, interim, splitting
 from ledgerline.plans.registry import _table, query
 
 # ---- names ---------------------------------------------------------------------------------------
@@ -121,3 +121,53 @@ def interim_columns(spark, sf_dir):
     asked = orders.select(k.cast("string").alias("doc_id"), F.lit("consolidated").alias("basis"), F.lit("revenue").alias("measure"), F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(3).alias("quarter"), (F.col("o_custkey") % 3 == 0).alias("cumulative_asked"), k)
     found = interim.interim_answers(asked, interim.interim_figures(interim.statement_values(chunks)))
     return found.select("o_orderkey", "state", F.col("value").cast("double").alias("value"), "unit")
+
+
+# ---- pieces of texts -----------------------------------------------------------------------------
+
+
+def _greedy(parts: str, most: int, glue: int) -> str:
+    """parts (doc_id, i, x, whole) -> `pieces`: the greedy sums, step by step along each text; whole: texts that fit."""
+    return f"""p AS ({parts}), s AS (SELECT doc_id, x, length(x) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM p WHERE x <> ''),
+g(doc_id, k, g, size) AS (SELECT doc_id, k, 1, n FROM s WHERE k = 1
+    UNION ALL SELECT g.doc_id, s.k, CASE WHEN g.size + {glue} + s.n > {most} THEN g.g + 1 ELSE g.g END, CASE WHEN g.size + {glue} + s.n > {most} THEN s.n ELSE g.size + {glue} + s.n END
+    FROM g JOIN s ON s.doc_id = g.doc_id AND s.k = g.k + 1)"""
+
+
+def _pieces_sql(parts: str, most: int, glue: str) -> str:
+    return f"""WITH RECURSIVE {_greedy(parts, most, len(glue) and 1)}
+SELECT doc_id, CAST(1 AS INTEGER) AS piece, length(text) AS n_chars, sha256(text) AS sha FROM documents WHERE length(text) BETWEEN 1 AND {most}
+UNION ALL SELECT doc_id, CAST(g AS INTEGER) AS piece, length(string_agg(x, {glue or "''"} ORDER BY k)) AS n_chars, sha256(string_agg(x, {glue or "''"} ORDER BY k)) AS sha FROM g JOIN s USING (doc_id, k) GROUP BY doc_id, g"""
+
+
+_CUT = "SELECT doc_id, i, j, substr(line, CAST(j * {m} + 1 AS BIGINT), {m}) AS x FROM (SELECT *, unnest(range(0, 1 + length(line) // {m})) AS j FROM ({of}))"
+_TEXT_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS i FROM documents WHERE length(text) > {m}"
+
+
+def _pieces(spark, sf_dir, way, most):
+    rows = splitting.pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), way, most)
+    return rows.select("doc_id", "piece", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+
+
+@query(_pieces_sql(_CUT.format(m=splitting.SEARCH_CHARS, of=_TEXT_LINES.format(m=splitting.SEARCH_CHARS)), splitting.SEARCH_CHARS, "chr(10)"))
+def packed_lines(spark, sf_dir):
+    """Search pieces of every text: lines packed greedily, too long ones cut."""
+    return _pieces(spark, sf_dir, "lines", splitting.SEARCH_CHARS)
+
+
+@query(_pieces_sql(f"""SELECT doc_id, i, 0 AS j, x FROM (SELECT doc_id, unnest(q) AS x, unnest(range(1, 1 + len(q))) AS i FROM (SELECT doc_id,
+    string_split(regexp_replace(text, '([.다음니)][ \t\n\r\f\v])', '\1' || chr(1), 'g'), chr(1)) AS q FROM documents WHERE length(text) > {splitting.SENTENCE_CHARS}))""", splitting.SENTENCE_CHARS, ""))
+def packed_sentences(spark, sf_dir):
+    """Every text by its sentences, packed greedily."""
+    return _pieces(spark, sf_dir, "sentences", splitting.SENTENCE_CHARS)
+
+
+@query()
+def live_chunks(spark, sf_dir):
+    """Chunks of 8,000 characters of every page, and their search pieces."""
+    pages = _table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("P"), "page_id").alias("doc_id"), F.lpad(F.col("page_id").cast("string"), 14, "0").alias("rcept_no"), F.lit("page.html").alias("src_file"), F.lit(1).alias("document_sequence"),
+        F.lit(False).alias("attachment"), F.col("html").alias("source"),
+    )
+    found = splitting.pieces(splitting.live_chunks(pages), "lines", splitting.SEARCH_CHARS)
+    return found.select("doc_id", "path", "part", "piece", "n_chars", F.length("text").alias("n_piece"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import entities, interim, splitting
+from ledgerline.operators import claims, entities, interim, splitting
 from ledgerline.plans.registry import _table, query
 
 # ---- names ---------------------------------------------------------------------------------------
@@ -171,3 +171,40 @@ def live_chunks(spark, sf_dir):
     )
     found = splitting.pieces(splitting.live_chunks(pages), "lines", splitting.SEARCH_CHARS)
     return found.select("doc_id", "path", "part", "piece", "n_chars", F.length("text").alias("n_piece"))
+
+
+# ---- answers -------------------------------------------------------------------------------------
+
+_FAULTS = """CASE k % 8 WHEN 0 THEN '' WHEN 1 THEN 'citation_claim_mismatch' WHEN 2 THEN 'citation_identity_mismatch citation_claim_mismatch' WHEN 3 THEN 'citation_claim_mismatch'
+    WHEN 4 THEN 'period_mismatch' WHEN 5 THEN 'financial_basis_mismatch financial_statement_mismatch' WHEN 6 THEN 'correction_disclosure_required' ELSE 'citation_required' END"""
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders)
+SELECT k AS o_orderkey, {_FAULTS} AS faults, CASE WHEN k % 8 = 7 THEN NULL ELSE k % 8 IN (0, 4, 5, 6) END AS grounded,
+    CASE WHEN k % 8 = 1 THEN CAST(2 * v + 1 AS VARCHAR) WHEN k % 8 = 2 THEN CAST(v AS VARCHAR) WHEN k % 8 = 7 THEN NULL ELSE '' END AS ungrounded FROM o""")
+def claims_grounded(spark, sf_dir):
+    """Two passages and two claims a request; planted: the other passage's number, an unknown receipt, the other company, another period, basis and statement, an undisclosed correction, no citation."""
+    o = _table(spark, sf_dir, "orders")
+    k, v, form = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long"), F.col("o_orderkey") % 8
+    receipt = lambda n: F.concat(F.lit(f"2024031{n}"), F.lpad(k.cast("string"), 6, "0"))
+    money, joint = (lambda c: F.format_number(c, 0)), "III > 연결재무제표 > 연결 손익계산서"
+    two = [
+        F.struct(
+            F.lit(f"p{n}").alias("passage_id"), F.lit(name).alias("corp_name"), F.lit("사업보고서 (2023.12)").alias("report_nm"), receipt(n).alias("rcept_no"), receipt(n).alias("root_rcept_no"),
+            F.when((form == 6) & F.lit(n == 1), receipt(5)).otherwise(receipt(n)).alias("latest_rcept_no"), F.lit(joint).alias("section"), F.lit(f"2024031{n}").alias("rcept_dt"),
+            ((form != 6) | F.lit(n != 1)).alias("is_latest"), F.lit("original").alias("correction_status"),
+            F.concat(F.lit("| 매출액 | "), money(v * n + (n - 1)), F.lit(" |")).alias("text"),
+        )
+        for n, name in ((1, "알파"), (2, "베타"))
+    ]
+    passages = o.select(k.alias("request_id"), F.inline(F.array(*two)))
+    cite = lambda n: F.concat(F.lit("[근거: 사업보고서 (2023.12) | "), receipt(n), F.lit(f" | {joint}]"))
+    first = F.when(form == 1, money(2 * v + 1)).otherwise(money(v))
+    name = F.when(form == 3, "베타").otherwise("알파")
+    own = F.when(form == 2, F.replace(cite(1), F.lit("2024031"), F.lit("2029031"))).otherwise(cite(1))
+    answer = F.concat(name, F.lit("의 매출액은 "), first, F.lit("원입니다. "), own, F.lit(" 베타의 매출액은 "), money(2 * v + 1), F.lit("원입니다. "), cite(2))
+    question = F.when(form == 4, "2023년 1분기 연결 매출액은?").when(form == 5, "별도 자산총계는?").otherwise("연결 매출액은?")
+    answers = o.select(k.alias("request_id"), question.alias("question"), F.when(form == 7, "알파는 큽니다.").otherwise(answer).alias("answer"))
+    first_claim = claims.claim_faults(answers, passages).filter("claim_no = 0").select("request_id", "grounded", F.array_join("ungrounded", " ").alias("ungrounded"))
+    out = claims.answer_faults(answers, passages).join(first_claim, "request_id", "left")
+    return out.select(F.col("request_id").alias("o_orderkey"), F.array_join("faults", " ").alias("faults"), "grounded", "ungrounded")

@@ -15,22 +15,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.dates import is_full_year
-from ledgerline.functions.numbers import accounting, in_won, strict_accounting
+from ledgerline.functions.numbers import accounting, in_won
 from ledgerline.functions.text import row_label
 from ledgerline.operators.workflows import measure_of
 
-CELLS = "chunk_id string, table_no int, row_no int, label string, column_no int, header string, value string, unit string"
+CELLS = "chunk_id string, table_no int, row_no int, label string, column_no int, header string, value string, unit string, even boolean"
 _UNIT = re.compile(r"단위\s*[:：]\s*([^)\]\n]+)")
-#: Labels of a table's total row.
-TOTALS = ("합계", "총계", "계", "소계")
 #: Headers of the current period.
 CURRENT = r"당기|당분기|당반기|제\s*[0-9]+\s*기|현재"
 #: Common facts and the labels that name them.
 FACTS = {"dividend_per_share": "주당\\s*현금배당금|주당배당금", "payout_ratio": "현금배당성향", "dividend_total": "현금배당금총액", "employees": "직원수|직원의수|총직원", "largest_shareholder": "최대주주", "segment_sales": "부문|사업부"}
 #: Funding types of a period.
 FUNDING = ("회사채", "전환사채", "유상증자", "기업어음", "단기사채")
-#: Topics and the words that make a sentence one of theirs.
+#: Topics and the words that make a sentence one of theirs.
 TOPICS = {"research": "연구개발|R&D|기술개발", "currency": "환율|환위험|외환", "plan": "계획|예정|추진", "market": "시장점유율|시장 규모|경쟁", "raw_material": "원재료|원자재", "customer": "고객|매출처|수주", "investment": "설비|투자|증설", "environment": "환경|탄소|온실가스", "risk": "위험|리스크|불확실"}
 MOST_SENTENCES = 3
 
@@ -55,9 +52,9 @@ def _tables(text: str) -> Iterator[tuple[list[str], list[list[str]], str | None]
 
 
 def table_cells(chunks: DataFrame) -> DataFrame:
-    """One row per cell beside the label of its row; no shuffle."""
+    """One row per cell beside the label of its row, and whether the row is as wide as the header; no shuffle."""
     names = [c.split()[0] for c in CELLS.split(", ")]
-    types = [pa.int32() if c.endswith("int") else pa.string() for c in CELLS.split(", ")]
+    types = [{"int": pa.int32(), "boolean": pa.bool_()}.get(c.split()[1], pa.string()) for c in CELLS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,7 +62,7 @@ def table_cells(chunks: DataFrame) -> DataFrame:
             for chunk, text in zip(b.column("chunk_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for t, (head, body, unit) in enumerate(_tables(text or "")):
                     for r, own in enumerate(body):
-                        rows += [(chunk, t, r, own[0], c, head[c] if c < len(head) else "", own[c], unit) for c in range(1, len(own))]
+                        rows += [(chunk, t, r, own[0], c, head[c] if c < len(head) else "", own[c], unit, len(own) == len(head)) for c in range(1, len(own))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -105,29 +102,6 @@ def funding_by_type(cells: DataFrame) -> DataFrame:
     return kinds.join(sums, "kind", "left").withColumn("state", F.when(F.col("n").isNull(), "absent").otherwise("present"))
 
 
-def checked_totals(cells: DataFrame, column: str | None = None) -> DataFrame:
-    """chunk_id, table_no, column_no, header, members, total, state: a table's one total row must equal the sum of the others."""
-    rows = cells.withColumns({"is_total": row_label(F.col("label")).isin(*TOTALS), "v": strict_accounting(F.col("value"))})
-    if column:
-        rows = rows.filter(F.col("header").rlike(column))
-    out = rows.groupBy("chunk_id", "table_no", "column_no", "header").agg(
-        F.sum(F.when(~F.col("is_total"), F.col("v"))).alias("members"), F.max(F.when(F.col("is_total"), F.col("v"))).alias("total"), F.count_if("is_total").alias("n_totals"), F.count_if(F.col("v").isNull()).alias("bad"), F.min("unit").alias("unit"),
-    )
-    state = F.when(F.col("bad") > 0, "unreadable").when(F.col("n_totals") != 1, "no_single_total").when(F.col("members") != F.col("total"), "sum_differs").otherwise("ok")
-    return out.withColumn("state", state).drop("n_totals", "bad")
-
-
-def investment_execution(chunks: DataFrame, year: int) -> DataFrame:
-    """The executed amount of a full calendar year: the checked total, if all passages with one agree."""
-    cells = table_cells(chunks)
-    period = F.regexp_extract("text", r"((?:19|20)[0-9]{2}[^\n|]{0,20}~[^\n|]{0,24})", 1)
-    full = chunks.filter(is_full_year(period, F.lit(year))).select("chunk_id", "rcept_no")
-    good = checked_totals(cells, "투자|집행|지출|금액").filter("state = 'ok'").join(full, "chunk_id")
-    won = in_won(F.col("total"), F.coalesce("unit", F.lit("원")))
-    out = good.withColumn("won", won).groupBy("rcept_no").agg(F.count_distinct("won").alias("k"), F.max("won").alias("won"))
-    return out.select("rcept_no", F.when(F.col("k") == 1, F.col("won")).alias("won"), F.when(F.col("k") == 1, "ok").otherwise("conflict").alias("state"))
-
-
 def executive_pay(chunks: DataFrame, person: str) -> DataFrame:
     """The total pay of one person by filing; several different totals conflict."""
     cells = table_cells(chunks).filter(F.regexp_replace("label", r"\s", "") == re.sub(r"\s", "", person))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import claims, entities, interim, splitting
+from ledgerline.operators import claims, entities, extractors, interim, investments, splitting
 from ledgerline.plans.registry import _table, query
 
 # ---- names ---------------------------------------------------------------------------------------
@@ -208,3 +208,63 @@ def claims_grounded(spark, sf_dir):
     first_claim = claims.claim_faults(answers, passages).filter("claim_no = 0").select("request_id", "grounded", F.array_join("ungrounded", " ").alias("ungrounded"))
     out = claims.answer_faults(answers, passages).join(first_claim, "request_id", "left")
     return out.select(F.col("request_id").alias("o_orderkey"), F.array_join("faults", " ").alias("faults"), "grounded", "ungrounded")
+
+
+# ---- totals, investments, contracts --------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS INTEGER), l_partkey) AS k FROM lineitem)
+SELECT l_orderkey, CAST(sum(q) AS DOUBLE) AS members, CASE WHEN count(*) > 1 THEN 1 ELSE 0 END AS subtotals, CASE WHEN l_orderkey % 4 <> 3 THEN CAST(sum(q) + CASE WHEN l_orderkey % 4 = 2 THEN 1 ELSE 0 END AS DOUBLE) END AS total,
+    CASE WHEN l_orderkey % 4 = 3 THEN 'no_single_total' WHEN l_orderkey % 4 = 2 THEN 'sum_differs' WHEN l_orderkey % 4 = 1 AND count(*) > 1 THEN 'subtotal_differs' ELSE 'ok' END AS state FROM l GROUP BY l_orderkey""")
+def reconciled_totals(spark, sf_dir):
+    """A table for every order: its lines, a subtotal after the second, a total; planted: a wrong subtotal, a wrong total, none."""
+    line = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_partkey").alias("x"))
+    rows = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # an order's lines
+    q = F.transform("xs", lambda x: x["q"])
+    total, form = F.aggregate(q, F.lit(0), lambda a, b: a + b), F.col("l_orderkey") % 4
+    members = F.transform(q, lambda x: F.concat(F.lit("| line | "), F.format_number(x, 0), F.lit(" |")))
+    part = F.get(q, 0) + F.get(q, 1) + F.when(form == 1, 1).otherwise(0)
+    body = F.when(F.size(q) > 1, F.concat(F.slice(members, 1, 2), F.array(F.concat(F.lit("| 소 계 | "), F.format_number(part, 0), F.lit(" |"))), F.slice(members, 3, 1000000))).otherwise(members)
+    last = F.when(form == 3, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("| 합 계 | "), F.format_number(total + F.when(form == 2, 1).otherwise(0), 0), F.lit(" |"))))
+    text = F.concat(F.lit("(단위: 원)\n| 구분 | 금액 |\n|---|---|\n"), F.array_join(F.concat(body, last), "\n"))
+    found = investments.reconciled_totals(extractors.table_cells(rows.select(F.col("l_orderkey").cast("string").alias("chunk_id"), text.alias("text"))))
+    return found.select(F.col("chunk_id").cast("long").alias("l_orderkey"), F.col("members").cast("double").alias("members"), F.col("subtotals").cast("int").alias("subtotals"), F.col("total").cast("double").alias("total"), "state")
+
+
+@query("""WITH e AS (SELECT o_custkey AS c, o_orderkey // 6 AS root, CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE CAST(round(o_totalprice) AS BIGINT) END AS v, o_orderkey % 37 <> 0 AS latest FROM orders WHERE o_orderkey % 3 = 0),
+r AS (SELECT c, root, max(v) AS v, count(DISTINCT v) AS k, count(*) FILTER (v IS NULL) AS bad, count(*) FILTER (NOT latest) AS stale FROM e GROUP BY ALL),
+s AS (SELECT c, sum(v) AS total, count(*) AS n, max(k) AS k, sum(bad) AS bad, sum(stale) AS stale FROM r GROUP BY c),
+j AS (SELECT c_custkey, c_custkey // 3 AS request_id, s.*, CASE WHEN n IS NULL THEN 'absent' WHEN stale > 0 THEN 'stale' WHEN bad > 0 THEN 'unreadable' WHEN k > 1 THEN 'conflict' WHEN n > 3 THEN 'too_many' ELSE 'ok' END AS state FROM customer LEFT JOIN s ON c = c_custkey),
+w AS (SELECT *, CASE WHEN state = 'ok' THEN total END AS t, bool_and(state = 'ok') OVER (PARTITION BY request_id) AS whole FROM j)
+SELECT request_id, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS corp_code, CAST(t AS DOUBLE) AS total, n, state, CASE WHEN whole THEN row_number() OVER (PARTITION BY request_id ORDER BY t DESC NULLS LAST, c_custkey) END AS rank,
+    CASE WHEN whole THEN CAST(t - lead(t) OVER (PARTITION BY request_id ORDER BY t DESC NULLS LAST, c_custkey) AS DOUBLE) END AS difference FROM w""")
+def investment_sums(spark, sf_dir):
+    """Three companies a request; roots of two versions that may differ, versions that aren't the latest, amounts that can't be read, too many events."""
+    o, code = _table(spark, sf_dir, "orders"), (lambda c: F.lpad(F.col(c).cast("string"), 8, "0"))
+    k = F.col("o_orderkey")
+    events = o.select(
+        code("o_custkey").alias("corp_code"), F.when(k % 3 == 0, "신규 시설투자 등").otherwise("기타").alias("event_type"), F.when(k % 41 == 0, "-").otherwise(F.format_number(F.round("o_totalprice"), 0)).alias("amount"),
+        F.lit("투자금액(원)").alias("amount_type"), F.floor(k / 6).cast("string").alias("root_rcept_no"), k.cast("string").alias("rcept_no"), (k % 37 != 0).alias("is_latest"),
+    )
+    asked = _table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 3).alias("request_id"), code("c_custkey").alias("corp_code"))
+    found = investments.investment_sums(events, asked)
+    return found.select("request_id", "corp_code", F.col("total").cast("double").alias("total"), "n", "state", "rank", F.col("difference").cast("double").alias("difference"))
+
+
+@query("""WITH e AS (SELECT *, o_orderkey % 3 = 0 AS ends, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderdate, o_orderkey % 3 = 0, lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) AS r, o_orderkey % 2 AS chain
+    FROM orders WHERE o_orderkey % 11 <> 0),
+n AS (SELECT *, CASE WHEN ends THEN r ELSE (SELECT min(t.r) FROM e t WHERE t.o_custkey = e.o_custkey AND t.chain = e.chain AND t.ends AND t.r > e.r) END AS stop FROM e),
+k AS (SELECT o_custkey, chain, stop, count(*) FILTER (NOT ends) AS n_open, max(CASE WHEN NOT ends THEN o_orderkey END) AS contract FROM n WHERE stop IS NOT NULL GROUP BY ALL),
+j AS (SELECT n.*, k.n_open, k.contract, t.o_orderkey AS end_key, t.o_orderdate AS end_date FROM n LEFT JOIN k USING (o_custkey, chain, stop) LEFT JOIN e t ON t.o_custkey = n.o_custkey AND t.chain = n.chain AND t.r = n.stop),
+s AS (SELECT *, CASE WHEN stop IS NULL THEN 'open' WHEN n_open = 0 THEN 'no_contract' WHEN n_open > 1 THEN 'ambiguous' ELSE 'ended' END AS state FROM j)
+SELECT o_orderkey, state, CASE WHEN state = 'ended' THEN contract END AS contract, CASE WHEN ends OR state = 'ended' THEN end_key END AS termination, CASE WHEN ends OR state = 'ended' THEN strftime(end_date, '%Y-%m-%d') END AS ended_on FROM s""")
+def contract_followups(spark, sf_dir):
+    """Every order as a contract or a termination of one of two chains of its customer."""
+    k = F.col("o_orderkey")
+    events = _table(spark, sf_dir, "orders").select(
+        F.lpad(k.cast("string"), 9, "0").alias("rcept_no"), F.col("o_custkey").cast("string").alias("corp_code"), F.when(k % 3 == 0, "단일판매ㆍ공급계약해지").otherwise("단일판매·공급계약 체결").alias("event_type"),
+        F.concat(F.when(k % 4 < 2, "Chain ").otherwise("CHAIN-"), k % 2).alias("title"), F.lit("buyer").alias("counterparty"), F.col("o_totalprice").cast("string").alias("amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("event_date"), (k % 11 != 0).alias("is_latest"),
+    )
+    found = investments.contract_followups(events)
+    number = lambda c: F.col(c).cast("long")
+    return found.select(number("rcept_no").alias("o_orderkey"), "state", number("contract_rcept_no").alias("contract"), number("termination_rcept_no").alias("termination"), "ended_on")

@@ -26,7 +26,12 @@ NUMBER = r"(?<![0-9A-Za-z])([-+△▲]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[
 #: Words that tell leaks, advice and comparisons.
 LEAK = r"(?i)authorization\s*:|bearer\s+[a-z0-9._-]+|api[_ -]?key|system\s+prompt|시스템\s*프롬프트|hidden\s+(?:reasoning|chain)|chain[- ]of[- ]thought"
 ADVICE = r"(?:매수|매도|투자\s*의견|투자\s*판단).{0,24}(?:추천|제시|하세요|합니다)"
+FUTURE = r"(?:내년|향후|미래).{0,24}(?:예측|전망|예상|추정)"
+ASSERTED = r"확정된\s*(?:정정본|최종본)|정정본으로\s*확정"
 COMPARISON = r"(?:보다|더\s*(?:크|작|높|낮)|(?:크|작|높|낮)(?:다|습니다))"
+#: The two answers that abstain, and what stands before a reason.
+ABSTENTIONS = ("제공된 공시 근거만으로 검증 가능한 답변을 생성하지 못했습니다.", "제공된 공시에서 질문에 해당하는 정보를 확인할 수 없습니다.")
+REASON = "\n확인하지 못한 이유: "
 #: Sections that a citation may name in general, words for statements in questions and in sections.
 ANY_SECTION = ("섹션", "본문", "공시", "보고서")
 ASKED_STATEMENT = {
@@ -37,7 +42,7 @@ CITED_STATEMENT = {"IS": "손익계산서", "BS": "재무상태표", "CF": "현
 #: The order in which faults are named.
 FAULTS = (
     "response_too_large", "sensitive_leakage", "forbidden_investment_claim", "citation_required", "citation_identity_mismatch", "citation_claim_mismatch", "period_mismatch",
-    "financial_basis_mismatch", "financial_statement_mismatch", "correction_disclosure_required",
+    "financial_basis_mismatch", "financial_statement_mismatch", "forbidden_future_claim", "correction_disclosure_required", "ambiguous_correction_asserted",
 )
 
 
@@ -61,6 +66,16 @@ def _within(a: Column, b: Column) -> Column:
     return ((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))) | ((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x)))
 
 
+def abstains(answer: Column) -> Column:
+    """One of the two abstentions, alone or with one line of a reason."""
+    c, out = F.coalesce(answer, F.lit("")), F.lit(False)
+    for text in ABSTENTIONS:
+        start = len(text + REASON)
+        reason = F.substring(c, start + 1, 500)
+        out = out | (c == text) | (c.startswith(text + REASON) & (F.length(c) <= 500) & (reason != "") & ~F.contains(reason, F.lit("\n")))
+    return out
+
+
 def claims_of(answers: DataFrame) -> DataFrame:
     """request_id, answer -> request_id, claim_no, claim, citations (their texts)."""
     # citations are marked, neighbours joined, and the text parted at the marks: each step reads the text once
@@ -149,14 +164,14 @@ def disclosure() -> Column:
 
 
 def answer_faults(answers: DataFrame, passages: DataFrame) -> DataFrame:
-    """request_id, faults (in the order of FAULTS), valid: every check of an answer in one row."""
+    """request_id, faults (in the order of FAULTS), valid: every check of an answer in one row; an abstention is held against size, leaks and advice alone."""
     of_claims = claim_faults(answers, passages).groupBy("request_id").agg(F.bool_and("identified").alias("identified"), F.bool_and("grounded").alias("grounded"))
     found = cited_passages(claims_of(answers), passages).filter("passage_id IS NOT NULL").dropDuplicates(["request_id", "passage_id"])
     month = F.nullif(F.regexp_extract("report_nm", r"(?<![0-9])20[0-9]{2}[./-](03|06|09|12)(?![0-9])", 1), F.lit("")).cast("int")
     basis = basis_of(F.col("section"))
     cited = found.groupBy("request_id").agg(
         F.collect_set(month).alias("months"), F.collect_set(F.when(basis != "unknown", basis)).alias("bases"), F.collect_set(cited_statement(F.col("section"))).alias("statements"),
-        F.collect_set(F.when(needs_disclosure(found), disclosure())).alias("due"),
+        F.collect_set(F.when(needs_disclosure(found), disclosure())).alias("due"), F.bool_or(F.col("correction_status").isin("ambiguous_candidate", "unresolved_external_root")).alias("unsure"),
     )
     rows = answers.join(of_claims, "request_id", "left").join(cited, "request_id", "left")
     answer = F.coalesce("answer", F.lit(""))
@@ -165,7 +180,9 @@ def answer_faults(answers: DataFrame, passages: DataFrame) -> DataFrame:
         "response_too_large": F.length(answer) > MOST_CHARS, "sensitive_leakage": answer.rlike(LEAK), "forbidden_investment_claim": answer.rlike(ADVICE), "citation_required": F.col("identified").isNull(),
         "citation_identity_mismatch": ~F.col("identified"), "citation_claim_mismatch": ~F.col("grounded"), "period_mismatch": unlike(question_month(F.col("question")), "months"),
         "financial_basis_mismatch": unlike(asked_basis(F.col("question")), "bases"), "financial_statement_mismatch": unlike(asked_statement(F.col("question")), "statements"),
+        "forbidden_future_claim": answer.rlike(FUTURE) & ~(F.col("identified") & F.col("grounded")), "ambiguous_correction_asserted": F.col("unsure") & answer.rlike(ASSERTED),
         "correction_disclosure_required": F.exists(F.coalesce("due", F.array().cast("array<string>")), lambda x: ~F.contains(answer, x)),
     }
-    faults = F.array_compact(F.array(*(F.when(tests[f], f) for f in FAULTS)))
+    always = FAULTS[:3]  # an abstention claims nothing
+    faults = F.array_compact(F.array(*(F.when(tests[f] if f in always else tests[f] & ~abstains(answer), f) for f in FAULTS)))
     return rows.select("request_id", faults.alias("faults"), (F.size(faults) == 0).alias("valid"))

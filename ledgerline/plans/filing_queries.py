@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import claims, entities, extractors, interim, investments, splitting
+from ledgerline.operators import claims, entities, extractors, interim, investments, scoring, splitting
+from ledgerline.operators.evaluation import AXES
 from ledgerline.plans.registry import _table, query
 
 # ---- names ---------------------------------------------------------------------------------------
@@ -268,3 +269,52 @@ def contract_followups(spark, sf_dir):
     found = investments.contract_followups(events)
     number = lambda c: F.col(c).cast("long")
     return found.select(number("rcept_no").alias("o_orderkey"), "state", number("contract_rcept_no").alias("contract"), number("termination_rcept_no").alias("termination"), "ended_on")
+
+
+# ---- cases ---------------------------------------------------------------------------------------
+
+_TOOL = "['resolve_company', 'query_events', 'list_sections', 'get_history', 'calculate', 'search_chunks'][1 + turn % 6]"
+_AXIS = {
+    "required_tool_satisfaction": "CASE WHEN k % 3 = 0 THEN has_events AND has_calc WHEN k % 3 = 1 THEN has_history END",
+    "structured_lookup_success": "CASE WHEN k % 3 = 0 THEN has_events END", "calculation_correctness": "CASE WHEN k % 3 = 0 THEN calc_ok END",
+    "history_correction_lookup": "CASE WHEN k % 3 = 1 THEN has_history END", "required_fact_coverage": "CASE WHEN answerable THEN k % 2 = 0 END",
+    "citation_completeness": "CASE WHEN answerable THEN k % 11 <> 0 END", "correction_mention_compliance": "CASE WHEN k % 3 = 1 THEN answerable AND k % 4 <> 0 END",
+    "information_limit_correctness": "CASE WHEN NOT answerable THEN k % 2 = 0 END", "forbidden_claim_compliance": "NOT (told AND k % 13 = 0)", "response_contract": "true",
+    "grounding_validation": "CASE WHEN answerable THEN k % 11 <> 0 AND k % 7 <> 0 END",
+}
+_CASE = """t AS (SELECT conv_id AS k, count(*) AS n, bool_or(tool = 'query_events') AS has_events, bool_or(tool = 'get_history') AS has_history, bool_or(tool = 'calculate') AS has_calc, bool_or(tool = 'calculate' AND length(text) % 2 = 0) AS calc_ok
+    FROM (SELECT *, {tool} AS tool FROM conversations) GROUP BY conv_id),
+c AS (SELECT *, k % 5 <> 4 AS answerable, k % 5 <> 4 OR k % 2 = 1 AS told FROM t)""".replace("{tool}", _TOOL)
+
+
+@query(f"""WITH {_CASE}, a AS (SELECT k, answerable, {', '.join(f"{sql} AS {name}" for name, sql in _AXIS.items())} FROM c)
+SELECT k AS conv_id, {', '.join(_AXIS)}, array_to_string(list_filter([{', '.join(f"CASE WHEN {n} = false THEN '{n}' END" for n in AXES)}, CASE WHEN NOT answerable AND k % 2 = 1 THEN 'disposition_mismatch' END], lambda x: x IS NOT NULL), ' ') AS reasons FROM a""")
+def case_axes(spark, sf_dir):
+    """Every conversation as a case, its turns as the calls of its run: tools that were never called or failed, missing facts, wrong numbers and citations, missing mentions, forbidden words, answers where none was due."""
+    turns, i = _table(spark, sf_dir, "conversations"), F.col("case_id")
+    tools = F.array(*map(F.lit, ("resolve_company", "query_events", "list_sections", "get_history", "calculate", "search_chunks")))
+    traces = turns.select(F.col("conv_id").alias("case_id"), F.lit("tool_called").alias("kind"), F.get(tools, (F.col("turn") % 6).cast("int")).alias("tool_name"), F.when(F.length("text") % 2 == 0, "ok").otherwise("error").alias("status"))
+    sizes = turns.groupBy(F.col("conv_id").alias("case_id")).agg(F.count("*").alias("n"))
+    words, none = (lambda *x: F.array(*map(F.lit, x))), F.array().cast("array<string>")
+    answerable, question = i % 5 != 4, F.lit("연결 매출액은?")
+    cases = sizes.select(
+        "case_id", "n", F.lit("finance").alias("track"), question.alias("question"), F.when(answerable, "answerable").otherwise("information_limit").alias("disposition"),
+        F.when(i % 3 == 0, words("query_events", "calculate")).when(i % 3 == 1, words("get_history")).otherwise(none).alias("required_tools"), words("Fact  Zero").alias("required_facts"), words("Guaranteed").alias("forbidden_claims"),
+        (i % 3 == 1).alias("must_mention_correction"), none.alias("chunk_ids"),
+    )
+    receipt = F.concat(F.lit("20240312"), F.lpad(i.cast("string"), 6, "0"))
+    value = F.col("n") + 1000
+    cite = F.when(i % 11 == 0, "").otherwise(F.concat(F.lit("[근거: 사업보고서 (2023.12) | "), receipt, F.lit(" | 연결 손익계산서]")))
+    told = F.concat(
+        F.when(i % 2 == 0, "FACT zero ").otherwise(""), F.when((i % 3 == 1) & (i % 4 != 0), "정정 ").otherwise(""), F.when(i % 13 == 0, "guaranteed ").otherwise(""),
+        F.lit("매출액은 "), F.format_number(value + F.when(i % 7 == 0, 1).otherwise(0), 0), F.lit("원입니다. "), cite,
+    )
+    answer = F.when(~answerable & (i % 2 == 0), claims.ABSTENTIONS[0]).when(~answerable & (i % 3 == 1), F.regexp_replace(told, "정정 ", "")).otherwise(told)
+    runs = cases.select("case_id", i.cast("string").alias("question_id"), "question", answer.alias("answer"), F.lit("completed").alias("outcome"), none.alias("limitations"), none.alias("retrieved_chunk_ids"), F.lit(True).alias("same_context"))
+    passages = cases.select(
+        i.alias("request_id"), F.lit("p").alias("passage_id"), F.lit("알파").alias("corp_name"), F.lit("사업보고서 (2023.12)").alias("report_nm"), *(receipt.alias(c) for c in ("rcept_no", "root_rcept_no", "latest_rcept_no")),
+        F.lit("연결 손익계산서").alias("section"), F.lit("20240312").alias("rcept_dt"), F.lit(True).alias("is_latest"), F.lit("original").alias("correction_status"), F.concat(F.lit("매출액 "), value).alias("text"),
+    )
+    faults = claims.answer_faults(runs.select(i.alias("request_id"), "question", "answer"), passages)
+    scored = scoring.scored_cases(cases.drop("n"), runs, traces, faults)
+    return scored.select(i.alias("conv_id"), *AXES, F.array_join("reasons", " ").alias("reasons"))

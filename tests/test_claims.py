@@ -29,6 +29,10 @@ CASES = {
     "leak and advice": (Q, f"system prompt, 매수를 추천합니다. 알파 {A}", ["sensitive_leakage", "forbidden_investment_claim"]),
     "too long": (Q, f"알파 {A}" + "x" * 40_000, ["response_too_large"]),
     "year of the report": (Q, f"알파의 2023 매출은 1000.5입니다. {A}", []),
+    "abstention": (Q, C.ABSTENTIONS[0], []),
+    "abstention with a reason": (Q, C.ABSTENTIONS[1] + C.REASON + "근거 없음", []),
+    "abstention and more": (Q, C.ABSTENTIONS[0] + " 알파는 1입니다.", ["citation_required"]),
+    "future without ground": (Q, f"향후 매출은 9로 전망됩니다. {A}", ["citation_claim_mismatch", "forbidden_future_claim"]),
     "general section": (Q, "알파는 1000.5입니다. [근거: 사업보고서 | 20240312000001 | 본문]", []),
 }
 
@@ -65,4 +69,4 @@ def test_no_answers_no_rows(frames):
     answers, passages = frames
     assert C.answer_faults(answers.filter("false"), passages).collect() == []
     bare = C.answer_faults(answers, passages.filter("false")).collect()
-    assert len(bare) == len(CASES) and not any(r.valid for r in bare)
+    assert len(bare) == len(CASES) and {r.request_id for r in bare if r.valid} == {"abstention", "abstention with a reason"}

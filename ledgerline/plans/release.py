@@ -1,23 +1,23 @@
 """Releases: staged Parquet, checks that must all be zero, a logical digest, a content-addressed folder and a pointer.
 
 Parquet bytes aren't the same from write to write, so a release is named by the hash of a manifest whose
-digests are of logical rows. Publication is a rename and then a replacement of the pointer; the one before
-stays in place until that.
+digests are of logical rows. All of it lies on a store that the cluster shares. A staged folder is moved to its address once; pointers
+are numbered files of which each can be written once, so of two publishers that saw the same pointer one fails and nothing is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
 import uuid
 from html import escape
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.digests import keyed_digest
+from ledgerline.plans.store import Store
+
 RECALL_GATE, GATE_CASES = 0.90, 10
 
 
@@ -25,77 +25,106 @@ class ReleaseError(RuntimeError):
     pass
 
 
-def logical_digest(frame: DataFrame) -> str:
-    """SHA-256 over schema, row count and two sums of row hashes: the same for equal rows in any order or layout, gathered as one row."""
-    columns = sorted(frame.columns)
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    part = lambda at: F.sum(F.conv(F.substring(row, at, 12), 16, 10).cast("decimal(38,0)"))
-    got = frame.agg(F.count("*").alias("n"), *(part(1 + 12 * i).alias(f"s{i}") for i in range(5))).first()
-    schema = [[c, frame.schema[c].dataType.simpleString()] for c in columns]
-    return hashlib.sha256(json.dumps([schema, *(str(v or 0) for v in got)], separators=(",", ":")).encode()).hexdigest()
-
-
 def canonical(value: object) -> bytes:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()
 
 
-def build(spark: SparkSession, tables: dict[str, DataFrame], output: str, *, checks: DataFrame | None = None, lineage: dict | None = None, limit: int | None = None, publish: bool = False) -> dict:
+def build(
+    spark: SparkSession, tables: dict[str, DataFrame], output: str, *, keys: dict[str, list[str]] | None = None, checks: DataFrame | None = None,
+    lineage: dict | None = None, limit: int | None = None, publish: bool = False,
+) -> dict:
     """Writes the tables to a staging folder, checks, digests, and moves them to their address; a limited build can't be published.
 
-    The output is a folder of the driver's file system that all executors share.
+    keys: of the tables, by name; without one all columns are. The pointer that is replaced is the one that was there at the start.
     """
     if limit is not None and publish:
         raise ReleaseError("a limited build can't be published")
-    root = Path(output)
-    root.mkdir(parents=True, exist_ok=True)
-    staging = root / f".staging-{uuid.uuid4().hex}"
+    store, staging = Store(spark, output), f".staging-{uuid.uuid4().hex}"
+    seen = newest_pointer(store)
     try:
         digests = {}
         for name, frame in sorted(tables.items()):
             own = frame.limit(limit) if limit is not None else frame
-            own.write.parquet(f"file://{staging / name}")
-            digests[name] = logical_digest(spark.read.parquet(f"file://{staging / name}"))
+            own.write.parquet(store.place(f"{staging}/{name}"))
+            digests[name] = {"key": (keys or {}).get(name) or sorted(frame.columns)}
+            digests[name]["sha256"] = keyed_digest(spark.read.parquet(store.place(f"{staging}/{name}")), digests[name]["key"])
         if checks is not None and (bad := [tuple(r) for r in checks.filter("n <> 0").collect()]):
             raise ReleaseError(f"checks failed: {bad}")
         manifest = {"tables": digests, "lineage": lineage or {}, "limited": limit is not None}
         address = hashlib.sha256(canonical(manifest)).hexdigest()
-        (staging / "manifest.json").write_bytes(canonical(manifest))
-        final = root / address
-        if final.exists():
-            if (final / "manifest.json").read_bytes() != canonical(manifest):
-                raise ReleaseError("another release has this address")
-        else:
-            os.rename(staging, final)
+        store.write_new(f"{staging}/manifest.json", canonical(manifest))
+        try:
+            store.move(staging, address)
+        except FileExistsError:  # the same rows have been built before, or are being moved by another build
+            if store.read(f"{address}/manifest.json") != canonical(manifest):
+                raise ReleaseError("another release has this address") from None
         if publish:
-            point(root, address)
+            point(store, address, seen)
         return {"release": address, **manifest}
     finally:
-        shutil.rmtree(staging, ignore_errors=True)
+        store.delete(staging)
 
 
-def point(root: Path, address: str) -> None:
-    new = root / f".current-{uuid.uuid4().hex}"
-    new.write_bytes(canonical({"release": address}))
-    os.replace(new, root / "current.json")
+def newest_pointer(store: Store) -> int:
+    """The number of the pointer that holds; 0 before the first."""
+    return max((int(n.removesuffix(".json")) for n in store.names("pointers") if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+
+def point(store: Store, address: str, seen: int) -> None:
+    """The next pointer, if none has come since the one that was seen."""
+    try:
+        store.write_new(f"pointers/{seen + 1:08d}.json", canonical({"release": address}))
+    except FileExistsError:
+        raise ReleaseError("another release was published meanwhile") from None
 
 
 def load(spark: SparkSession, output: str, *, verify: bool = True) -> tuple[dict, dict[str, DataFrame]]:
-    """(manifest, tables) of the release that the pointer names; every table's digest is checked."""
-    root = Path(output)
-    address = json.loads((root / "current.json").read_bytes())["release"]
+    """(manifest, tables) of the release that the newest pointer names; every table's digest is checked."""
+    store = Store(spark, output)
+    number = newest_pointer(store)
+    if not number:
+        raise ReleaseError("nothing has been published")
+    address = json.loads(store.read(f"pointers/{number:08d}.json"))["release"]
     if not (len(address) == 64 and set(address) <= set("0123456789abcdef")):
         raise ReleaseError("the pointer names no release")
-    raw = (root / address / "manifest.json").read_bytes()
+    raw = store.read(f"{address}/manifest.json")
     if hashlib.sha256(raw).hexdigest() != address:
         raise ReleaseError("the manifest isn't the pointer's")
     manifest = json.loads(raw)
-    tables = {name: spark.read.parquet(f"file://{root / address / name}") for name in manifest["tables"]}
+    tables = {name: spark.read.parquet(store.place(f"{address}/{name}")) for name in manifest["tables"]}
     for name, frame in tables.items() if verify else ():
-        if logical_digest(frame) != manifest["tables"][name]:
+        told = manifest["tables"][name]
+        if keyed_digest(frame, told["key"]) != told["sha256"]:
             raise ReleaseError(f"{name} was changed")
     return manifest | {"release": address}, tables
 
 
+def smoke_recall(hits: DataFrame, cases: DataFrame) -> tuple[float, int]:
+    """(recall, cases): of the smoke cases (case_id, chunk_id) those whose chunk is among their hits (case_id, chunk_id, rank up to 10)."""
+    found = cases.distinct().join(hits.filter("rank <= 10").select("case_id", "chunk_id", F.lit(True).alias("hit")).distinct(), ["case_id", "chunk_id"], "left")
+    by = found.groupBy("case_id").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit")).agg(F.count("*").alias("n"), F.count_if("hit").alias("k")).first()
+    return (by.k / by.n if by.n else 0.0), by.n
+
+
+def publish_index(spark: SparkSession, folder: str, chunks: DataFrame, cases: DataFrame, search, output: str, pipeline_release: str) -> dict:
+    """A stored index as a release, if it holds the chunks, the pipeline's release still holds, and its own recall of the smoke cases passes.
+
+    cases: case_id, query, chunk_id; search(folder, query) -> hits with chunk_id and rank. The recall is computed here, on the index that is published.
+    """
+    from functools import reduce
+
+    from ledgerline.operators.retrieval import index_faults
+
+    asked = cases.select("case_id", "query").distinct().collect()  # the smoke cases, a few dozen
+    hits = [search(folder, r["query"]).select(F.lit(r["case_id"]).alias("case_id"), "chunk_id", "rank") for r in asked]
+    recall, n = smoke_recall(reduce(DataFrame.unionByName, hits), cases.select("case_id", "chunk_id")) if hits else (0.0, 0)
+    gate(recall, n)
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in ("chunks", "postings", "figures")}
+    lineage = {"pipeline": pipeline_release, "recall": round(recall, 6), "cases": n}
+    keys = {"chunks": ["chunk_id"], "postings": ["term", "chunk_id"]}
+    return build(spark, tables, output, keys=keys, checks=index_faults(spark, folder, chunks.select("chunk_id")), lineage=lineage, publish=True)
+
+
 def gate(recall: float, cases: int) -> None:
     """An index is published with enough smoke cases and recall only."""
     if cases < GATE_CASES or recall < RECALL_GATE:

@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,5 +61,21 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A way to write tables like `written`, all of which are deleted at the end: for what is worked out inside."""
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def save(frame: DataFrame, part: str) -> DataFrame:
+        frame.write.parquet(f"{root}/{part}")
+        return spark.read.schema(frame.schema).parquet(f"{root}/{part}")
+
+    try:
+        yield save
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

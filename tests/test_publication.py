@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.functions import jsons
 from ledgerline.operators import retrieval
@@ -33,6 +34,62 @@ def test_audit_publishes_counts_and_hashes_or_refuses(spark, tmp_path):
             release.audit(spark, files, wrong, str(tmp_path))
 
 
+def test_digests_follow_keys_and_rows_alone(spark):
+    from ledgerline.operators.digests import keyed_digest
+
+    frame = spark.range(3000).select("id", (F.col("id") % 7).alias("v"), F.when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("a"), "id")).alias("t"), F.array("id").alias("xs"))
+    one = keyed_digest(frame, ["id"], 64)
+    assert one == keyed_digest(frame.repartition(7).orderBy(F.rand(2)).select("xs", "t", "v", "id"), ["id"], 64) and len(one) == 64
+    others = [
+        keyed_digest(frame, ["id"], 32), keyed_digest(frame, ["v", "id"], 64), keyed_digest(frame.filter("id < 2999"), ["id"], 64), keyed_digest(frame.withColumn("t", F.when(F.col("id") != 9, F.col("t"))), ["id"], 64),
+        keyed_digest(frame.union(frame.filter("id = 4")), ["id"], 64), keyed_digest(frame.withColumn("v", F.col("v").cast("int")), ["id"], 64), keyed_digest(frame.filter("false"), ["id"], 64),
+    ]
+    assert len({one, *others}) == len(others) + 1
+    pair = lambda a, b: keyed_digest(spark.createDataFrame([(a, b)], "a string, b string"), ["a"])
+    assert len({pair("x", "yz"), pair("xy", "z"), pair(None, "x"), pair("", "x"), pair("string:1:x;", "x")}) == 5
+
+
+def test_one_of_two_publishers_fails(spark, tmp_path):
+    from ledgerline.plans.store import Store
+
+    out, frame = str(tmp_path / "rel"), spark.range(9)
+    with pytest.raises(release.ReleaseError, match="nothing"):
+        release.load(spark, out)
+    one = release.build(spark, {"t": frame}, out, publish=True)
+    store = Store(spark, out)
+    seen = release.newest_pointer(store)
+    release.point(store, one["release"], seen)
+    with pytest.raises(release.ReleaseError, match="meanwhile"):
+        release.point(store, "0" * 64, seen)
+    assert release.load(spark, out)[0]["release"] == one["release"]
+    assert not [n for n in store.names() if n.startswith(".staging")]
+    assert release.build(spark, {"t": frame.orderBy(F.desc("id"))}, out, publish=True)["release"] == one["release"] and release.newest_pointer(store) == 3
+
+
+def test_index_is_published_with_its_own_recall(spark, tmp_path):
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "lambda", "theta", "zeta", "iota", "rho"]
+    rows = spark.createDataFrame(
+        [(f"c{i}", f"d{i}", "p", f"{w} common text", 1, f"r{i}", "k", "annual", 2024, 12, True) for i, w in enumerate(words)],
+        "chunk_id string, doc_id string, path string, text string, part int, rcept_no string, corp_code string, doc_subtype string, base_year int, base_month int, is_latest boolean",
+    )
+    folder = f"file://{tmp_path}/index"
+    retrieval.build_index(rows, folder)
+    search = lambda f, q: retrieval.search(spark, f, [(q, False)], 10)
+    cases = lambda shift: spark.createDataFrame([(i, w, f"c{(i + shift) % len(words)}") for i, w in enumerate(words)], "case_id int, query string, chunk_id string")
+    out = release.publish_index(spark, folder, rows, cases(0), search, str(tmp_path / "rel"), "a" * 64)
+    assert out["lineage"] == {"pipeline": "a" * 64, "recall": 1.0, "cases": 12}
+    manifest, tables = release.load(spark, str(tmp_path / "rel"))
+    release.same_lineage(manifest, "a" * 64)
+    assert tables["chunks"].count() == 12
+    with pytest.raises(release.ReleaseError, match="recall 0.000"):
+        release.publish_index(spark, folder, rows, cases(1), search, str(tmp_path / "rel"), "a" * 64)
+    with pytest.raises(release.ReleaseError, match="of 9 cases"):
+        release.publish_index(spark, folder, rows, cases(0).filter("case_id < 9"), search, str(tmp_path / "rel"), "a" * 64)
+    more = rows.unionByName(rows.limit(1).withColumn("chunk_id", F.lit("new")))
+    with pytest.raises(release.ReleaseError, match="missing_chunk"):
+        release.publish_index(spark, folder, more, cases(0), search, str(tmp_path / "rel"), "a" * 64)
+
+
 def test_report_page_escapes_and_says_when_there_is_more(spark, monkeypatch):
     monkeypatch.setattr(release, "SHOWN", 2)
     page = release.report_page("<QA>", {"rows": spark.createDataFrame([(1, "<b>"), (2, None), (3, "c")], "i int, t string"), "none": spark.range(0)})

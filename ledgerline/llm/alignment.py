@@ -4,9 +4,9 @@ A text is a blank and the text. Vocabulary A's and B's token ends are bits over
 both end a token; the rank of a cut (set bits up to it, from running popcounts of 64-bit words) in either bitset is the number of
 tokens before it, so neighbouring cuts give the two token ranges of a group. Every pair of a group's A and B tokens is a link.
 
-Texts are parted into units, each a run of blanks and what follows up to the next blank after a non-blank character. Neither vocabulary has a
-token across such a place: A's pattern always cuts there and no piece of B holds a blank after another character (checked when it is loaded, else a text
-is one unit). So units are tokenised and aligned once, many of them as one long text, and remembered.
+Texts are parted into units before blanks, and before single line ends, that follow a non-blank character. Neither vocabulary has a
+token across such a place: A's pattern always cuts there and no piece of B holds a blank or a line end after another character (checked when it is
+loaded, else a text is one unit). So units are tokenised and aligned once, many of them as one long text, and remembered.
 
 Two passes over the texts: the first counts in how many documents a pair of ids is linked, adding up within each task before
 anything is shuffled; the second looks the counts up. The most frequent pairs, LOOKUP_ROWS at most, go to each task; links of rarer
@@ -35,7 +35,7 @@ from .shared import Workspace
 
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: Units in a generation of a worker's memory, of which there are two, and pairs of ids, beyond which it starts anew.
-CACHE_UNITS, CACHE_PAIRS = 250_000, 1_000_000
+CACHE_UNITS, CACHE_PAIRS = 400_000, 1_000_000
 #: Bytes of new units that are tokenised as one text.
 JOINED_BYTES = 1 << 17
 #: Most pairs whose counts go to each task, at 17 bytes each.
@@ -43,8 +43,8 @@ LOOKUP_ROWS = 1_000_000
 #: Groups with more pairs of tokens than this are expanded by distinct ids.
 WIDE_GROUP = 256
 
-_ODD = re.compile(r"\s ").search
-_UNIT_START = re.compile(r"(?<=\S)(?= )").split
+_ODD = re.compile(r"\s\s|\x00").search
+_UNIT_START = re.compile(r"(?<=\S)(?= |\n\S)").split
 _SPACE = "▁"
 
 
@@ -105,16 +105,23 @@ class Vocabularies:
             self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.names = list(map(str, range(max(len(self.a_bytes), len(pieces)))))
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.apart = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+        self.apart = not any(_SPACE in p.lstrip(_SPACE) or "\n" in p[1:] or p == "\n" for p in pieces)
 
     def units(self, text: str) -> list[str]:
-        """The text's units, each without its first blank."""
+        """The names of a text's units: a unit without its first blank, one that begins with a line end as it is, or \\x00 and the unit."""
         if not self.apart:
-            return [text]
-        if not _ODD(text) and not text.startswith(" "):
-            return text.split(" ")
-        return [u[1:] for u in _UNIT_START(" " + text)]
+            return ["\x00 " + text]
+        own = " " + text
+        if _ODD(own):
+            return ["\x00" + u for u in _UNIT_START(own)]
+        return own.replace("\n", " \n").split(" ")[1:]
+
+    @staticmethod
+    def literal(name: str) -> str:
+        first = name[:1]
+        return name[1:] if first == "\x00" else name if first == "\n" else " " + name
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """A's ids of a blank and the text, and B's of the text; None unless both give back the bytes."""
@@ -216,7 +223,7 @@ class Aligner:
             units = [u for u in units if u not in old]
         part, size = [], 0
         for u in units:
-            if not u or u[-1].isspace():
+            if not u or u[-1].isspace() or u == "\x00":
                 self._learn([u])
                 continue
             part.append(u)
@@ -228,8 +235,9 @@ class Aligner:
             self._learn(part)
 
     def _learn(self, units: list[str]) -> None:
+        literals = list(map(self.voc.literal, units))
         # a known unit goes first, as B gives nothing for an empty text
-        found = self.voc.tokens("a " + " ".join(units)) if self.voc.apart else (self.voc.tokens(units[0]) if len(units) == 1 else None)
+        found = self.voc.tokens("a" + "".join(literals)) if self.voc.apart else (self.voc.tokens(literals[0][1:]) if len(units) == 1 else None)
         if found is None and len(units) > 1:
             half = len(units) // 2
             self._learn(units[:half])
@@ -242,7 +250,7 @@ class Aligner:
         a, b = found
         cuts, a_to, b_to = aligned(self.voc, a, b)
         lead = 2 if self.voc.apart else 0  # bytes of the known unit
-        ends = np.cumsum([len(u.encode()) + 1 for u in units]) + lead
+        ends = np.cumsum([len(u.encode()) for u in literals]) + lead
         last = np.searchsorted(cuts, ends)  # the group that ends with each unit
         start = int(np.searchsorted(cuts, lead, "right")) if lead else 0
         group, keys, times = linked(a, b, a_to, b_to)
@@ -269,13 +277,14 @@ class Aligner:
         figures = [upto(a_to), upto(b_to), last + 1 - begin, links]
         self.units.add(units, strings, figures, np.ones(len(units), bool), np.bincount(unit, minlength=len(units)), local[np.searchsorted(names, keys)], times)
 
-    @staticmethod
-    def _strings(a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray, begin: np.ndarray, last: np.ndarray) -> list[str]:
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    def _strings(self, a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray, begin: np.ndarray, last: np.ndarray) -> list[str]:
+        names = self.voc.names
+        a_text, b_text = list(map(names.__getitem__, a.tolist())), list(map(names.__getitem__, b.tolist()))
         i = j = 0
         groups = []
         for x, y in zip(a_to.tolist(), b_to.tolist(), strict=True):
-            groups.append(f"{a_text[i] if x == i + 1 else ','.join(a_text[i:x])}|{b_text[j] if y == j + 1 else ','.join(b_text[j:y])}")
+            left = a_text[i] if x == i + 1 else ",".join(a_text[i:x])
+            groups.append(left + "|" + b_text[j] if y == j + 1 else left + "|" + ",".join(b_text[j:y]))
             i, j = x, y
         return [";".join(groups[x : y + 1]) for x, y in zip(begin.tolist(), last.tolist(), strict=True)]
 

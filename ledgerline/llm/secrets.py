@@ -3,7 +3,7 @@
 Base spans come from three patterns. A wider pattern also proposes tokens of mixed character classes. All
 candidate values are hashed, and each hash is counted over the corpus by distinct repositories (documents)
 and distinct owners (sources): a value that several owners hold is a widely copied example; one that a
-single owner holds in few places looks live. Base spans always stay; proposed tokens become spans of kind
+single owner holds, in however many documents, looks live. Base spans always stay; proposed tokens become spans of kind
 `owned` only if they look live. Counting goes by (hash, owner, repository), (hash, owner), hash, so that a
 value in a third of all rows is aggregated before each shuffle, and hot values are broadcast to the
 candidates instead of shuffling those.
@@ -30,8 +30,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 PROPOSED = r"[A-Za-z0-9+/_-]{20,}"
 LEAST_VALUE = 12
-#: A value held by so many owners is a widely copied example; one looks live if a single owner has it in at most so many repositories.
-EXAMPLE_OWNERS, LIVE_REPOSITORIES = 3, 3
+#: A value held by so many owners is a widely copied example.
+EXAMPLE_OWNERS = 3
 _ROW = ["doc_id", "h"]
 
 
@@ -65,17 +65,14 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_rows"), F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def judged(docs: DataFrame, space: Workspace, places: int | None = LIVE_REPOSITORIES) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans that stay, with `live` and `example`); a single owner's value looks live in at most so many repositories, None: in any number."""
+def judged(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans that stay, with `live` and `example`); a single owner's value looks live in any number of repositories."""
     rows, spans = candidates(docs, space)
     counts = space.save(ownership(spans), "ownership")
     spans = spans.drop("owner").distinct()
     n = counts.agg(F.count("*"), F.sum("n_rows")).first()
     spans = lookup(spans, counts, "value_hash", int(n[1] or 0), int(n[0]), "n_rows")
-    live = F.col("n_owners") == 1
-    if places is not None:
-        live &= F.col("n_repositories") <= places
-    spans = spans.withColumns({"live": live, "example": F.col("n_owners") >= EXAMPLE_OWNERS})
+    spans = spans.withColumns({"live": F.col("n_owners") == 1, "example": F.col("n_owners") >= EXAMPLE_OWNERS})
     return rows, spans.filter((F.col("kind") < 3) | F.col("live"))
 
 
@@ -103,7 +100,7 @@ def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]") -> Data
     A proposed token of a single owner goes in however many documents it is, so copies don't hide it.
     """
     space = Workspace(spark, "redact")
-    _, spans = judged(docs, space, None)
+    _, spans = judged(docs, space)
     order = Window.partitionBy(*_ROW).orderBy("start", "end")
     earlier = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(earlier.isNull() | (F.col("start") > earlier), 1).otherwise(0)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -143,8 +140,8 @@ u AS ({parts}),
 w AS (SELECT *, CAST(sum(piece + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM u WHERE m IS NOT NULL),
 c AS (SELECT doc_id, source, kind, e - length(m) AS s, e, v FROM w WHERE CASE kind WHEN 0 THEN length(v) >= {LEAST_VALUE}
       WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') ELSE true END),
-f AS (SELECT v, count(DISTINCT doc_id) AS repos, count(DISTINCT source) AS owners FROM c GROUP BY v),
-k AS (SELECT c.*, owners = 1 AND repos <= {LIVE_REPOSITORIES} AS live, owners >= {EXAMPLE_OWNERS} AS example FROM c JOIN f USING (v) WHERE kind < 3 OR (owners = 1 AND repos <= {LIVE_REPOSITORIES}))
+f AS (SELECT v, count(DISTINCT source) AS owners FROM c GROUP BY v),
+k AS (SELECT c.*, owners = 1 AS live, owners >= {EXAMPLE_OWNERS} AS example FROM c JOIN f USING (v) WHERE kind < 3 OR owners = 1)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
        sha256({listed(" FILTER (kind < 3)")}) AS base_sha256, {listed(" FILTER (kind IS NOT NULL)")} AS spans,
        count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example

@@ -11,8 +11,8 @@ score of the task's earlier blocks); those few are scored exactly.
 Queries are the stated set of rows, taken in blocks of a fixed size: only such a block is sent to the tasks.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a shorter vector
-counts as filled up with zeros; a query's own row is any row with its id; repeated query rows count once,
-repeated candidates each; with fewer candidates than k all are returned; equal scores go by the smaller id; an empty
+counts as filled up with zeros; a null id takes no part; a query's own row is any row with its id; rows that share an id but not a
+vector are queries of their own, equal query rows count once, repeated candidates each; extra columns are ignored, whatever their names; with fewer candidates than k all are returned; equal scores go by the smaller id; an empty
 table gives no rows. Blocks whose numbers are too large for exact bounds in floating point are scored directly in
 integers of any size; a score beyond a long counts as the nearest long.
 """
@@ -37,7 +37,7 @@ BLOCK, QUERIES, RESCORE_SHARE = 16_384, 2048, 1 / 16
 ROUNDS = (0.6, 0.45, 0.35, 0.25, 0.18, 0.12, 0.08, 0.0)
 #: Components under SAFE become int64, inner products under EXACT are sums of whole numbers that floating point holds, LONG is the largest score.
 SAFE, EXACT, LONG = 2.0**50, 1 << 52, (1 << 63) - 1
-PART = "query_id long, vec_id long, score long"
+PART = "query_no long, query_id long, vec_id long, score long"
 
 
 def _whole(values: np.ndarray) -> np.ndarray:
@@ -152,15 +152,17 @@ def top_k(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10
     for block in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()
         take, matrix = integers(own.column("embedding"))
-        ids, first = np.unique(np.asarray(own.column("vec_id"), np.int64)[take], return_index=True)
-        sent = spark.sparkContext.broadcast((ids, matrix[first]))
-        found = rows.mapInArrow(tidy(_scan(sent, k)), PART)
+        # equal rows once, in an order of their own, so that a query has the same number whenever the block is read
+        asked = sorted({(i, tuple(v)) for i, v in zip(np.asarray(own.column("vec_id"), np.int64)[take].tolist(), matrix.tolist(), strict=True)})
+        ids = np.array([i for i, _ in asked], np.int64)
+        sent = spark.sparkContext.broadcast((ids, np.array([v for _, v in asked], matrix.dtype).reshape(len(asked), matrix.shape[1])))
+        found = rows.mapInArrow(tidy(_scan(sent, k, block << 32)), PART)
         parts = found if parts is None else parts.unionByName(found)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_no").orderBy(F.col("score").desc(), "vec_id"))
     return parts.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(sent, k: int):
+def _scan(sent, k: int, first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = sent.value
         kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
@@ -200,7 +202,7 @@ def _scan(sent, k: int):
             block(held)
         for i, (own, scores) in enumerate(kept):
             if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[i])), pa.array(own), pa.array(scores)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), x)) for x in (first + i, ids[i])] + [pa.array(own), pa.array(scores)], names=["query_no", "query_id", "vec_id", "score"])
 
     return run
 

@@ -141,3 +141,11 @@ def test_numbers_of_any_size_are_exact(spark):
         score = sorted((-min(max(sum(a * b for a, b in zip(whole[q], w)), -top), top), i) for i, w in enumerate(whole) if i != q)
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(score[:10])]
     assert got == want
+
+
+def test_queries_that_share_an_id_are_queries_of_their_own(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [1.0, 0.0]), (1, [1024.0, 5.0]), (2, [3.0, 7.0]), (None, [9.0, 9.0]), (3, None)]
+    frame = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], "vec_id long, embedding array<double>, query_id string, rank int")
+    want = sorted([(100, 1, 1, 1024 * 1024 * 1024), (100, 2, 2, 3 * 1024 * 1024), (100, 1, 2, 7 * 1024 * 1024), (100, 2, 1, 5 * 1024 * 1024)])
+    for parts in (1, 3, 5):
+        assert sorted(map(tuple, topk.top_k(spark, frame.repartition(parts)).collect())) == want

@@ -7,11 +7,13 @@ the token distribution, held against rejection bands.
 Bands are taken from the corpus itself: of all texts that the base rule passes, those of one script, language
 (column lang) and power of two of tokens give the median and the median deviation of each figure, over
 histograms with fixed bins, so that the result doesn't depend on the order of rows; copies count once. What
-lies over SPREAD deviations from the median fails. Texts without a language are a group like any other.
-The fixed bands of the script are outer limits, and the only ones where a group has too few texts to derive any.
+lies over SPREAD deviations from the median fails; the fewer texts a group has, the less its median is trusted and the wider its band,
+by a factor that falls towards one without a step. Texts without a language are a group like any other.
+The fixed bands of the script are outer limits. A share of byte tokens counts as high as it surely is, by its lower confidence bound,
+so that a few characters outside the vocabulary don't fail a short text.
 
 Defined results: a null or empty text has no words, so it fails the base rule; repeated rows are judged
-one by one; extra input columns are ignored by `quality_rules` and returned untouched by `keep_quality`.
+one by one, and so are texts of any length, read whole; a figure on a band's edge is inside; an empty table gives no rows; extra input columns are ignored by `quality_rules` and returned untouched by `keep_quality`.
 """
 
 from __future__ import annotations
@@ -57,14 +59,14 @@ RANGES = (
     (0xFF66, "cjk"), (0xFFA0, "hangul"), (0xFFE0, ""), (0x10000, "other"), (0x1B000, "cjk"), (0x1B170, "other"), (0x1D000, ""), (0x1E000, "other"),
     (0x1E7E0, "ethiopic"), (0x1E800, "other"), (0x1EE00, "arabic"), (0x1F000, ""), (0x20000, "cjk"), (0x32000, ""),
 )
-#: Deviations from the median that a band of the corpus takes in, and the texts it takes to derive one.
-SPREAD, LEAST_TEXTS = 4.0, 50
+#: Deviations from the median that a band of the corpus takes in, and the texts of a group for which it is twice as wide as for many.
+SPREAD, TRUSTED_TEXTS = 4.0, 50
 #: Tokens beyond this power of two don't part lengths any more.
 LONGEST = 12
 #: Least half-width of a derived band as a share of its median (characters per token, entropy).
 LEAST_WIDTH = (0.03, 0.02)
-#: Most byte share that a derived band always lets pass, and the byte tokens: two characters outside the vocabulary.
-BYTE_SHARE, BYTE_TOKENS = 0.10, 8
+#: Most byte share that a derived band always lets pass, and the standard errors of its lower bound.
+BYTE_SHARE, BYTE_ERRORS = 0.10, 4.0
 #: n tokens have log2(n) bits at most; a text's least entropy is this share of it, up to its script's.
 ENTROPY_SHARE = 0.45
 #: Words in a generation of a worker's memory of tokens.
@@ -196,7 +198,7 @@ def measure(doc_ids: pa.Array, text: pa.Array, model: str, bands: dict, max_repe
     per_token, share = word_chars / some, n_byte / some
     script = scripts(data, off)
     band = np.array([bands.get(s, bands["other"]) for s in SCRIPTS])[script]
-    out = (per_token < band[:, 0]) | (per_token > band[:, 1]) | ((share > band[:, 2]) & (n_byte > BYTE_TOKENS))
+    out = (per_token < band[:, 0]) | (per_token > band[:, 1]) | (surely(share, some) > band[:, 2])
     out |= entropy < np.minimum(band[:, 3], ENTROPY_SHARE * np.log2(some))
     band_failed = out & (n_tokens > 0)
     base_failed = (n_words < min_words) | (100 * n_repeat > max_repeat * n_words)
@@ -205,12 +207,18 @@ def measure(doc_ids: pa.Array, text: pa.Array, model: str, bands: dict, max_repe
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
+def surely(share, n, root=np.sqrt):
+    """Wilson's lower bound of a share of n, BYTE_ERRORS standard errors under it: of numbers, arrays or columns (root: F.sqrt)."""
+    z = BYTE_ERRORS * BYTE_ERRORS
+    return (share + z / (2 * n) - BYTE_ERRORS * root(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
+
+
 def _langs(docs: DataFrame) -> Column:
     return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
 
 def derived_bands(figures: DataFrame) -> DataFrame:
-    """key (script, power of two of tokens, language or none), n_rows, low, high, most, least of every group of LEAST_TEXTS texts or more.
+    """key (script, power of two of tokens, language or none), n_rows, low, high, most, least of every group.
 
     figures: script, lang, size, n_tokens, word_chars, chars_per_token, byte_share, token_entropy of texts.
     """
@@ -228,13 +236,14 @@ def derived_bands(figures: DataFrame) -> DataFrame:
         half = frame.withColumns({"_upto": before, "texts": F.sum("n").over(own)})
         return half.withColumn(name, F.min(F.when(2 * F.col("_upto") >= F.col("texts"), F.col(value))).over(own))
 
-    middle = with_median(bins, "bin", "median").filter(F.col("texts") >= LEAST_TEXTS).withColumn("off", F.abs(F.col("bin") - F.col("median")))
-    spread = with_median(middle, "off", "mad").groupBy(*key).agg((F.first("median") / 100).alias("m"), (F.first("mad") * 0.014826).alias("d"), F.sum("rows").alias("n_rows"))
+    middle = with_median(bins, "bin", "median").withColumn("off", F.abs(F.col("bin") - F.col("median")))
+    spread = with_median(middle, "off", "mad").groupBy(*key).agg((F.first("median") / 100).alias("m"), (F.first("mad") * 0.014826).alias("d"), F.sum("rows").alias("n_rows"), F.first("texts").alias("texts"))
     of = lambda i, c: F.max(F.when(F.col("f") == i, F.col(c)))
-    wide = lambda i: F.greatest(SPREAD * F.greatest(of(i, "d"), F.lit(0.01)), LEAST_WIDTH[i] * of(i, "m"))
+    loose = 1 + TRUSTED_TEXTS / F.max("texts")
+    wide = lambda i: loose * F.greatest(SPREAD * F.greatest(of(i, "d"), F.lit(0.01)), LEAST_WIDTH[i] * of(i, "m"))
     return spread.groupBy(*group).agg(
         F.max("n_rows").alias("n_rows"), (of(0, "m") - wide(0)).alias("low"), (of(0, "m") + wide(0)).alias("high"),
-        (of(2, "m") + F.greatest(SPREAD * of(2, "d"), F.lit(BYTE_SHARE))).alias("most"), (of(1, "m") - wide(1)).alias("least"),
+        (of(2, "m") + loose * F.greatest(SPREAD * of(2, "d"), F.lit(BYTE_SHARE))).alias("most"), (of(1, "m") - wide(1)).alias("least"),
     ).select(_key("script", "size", "lang").alias("_key"), "n_rows", F.struct("low", "high", "most", "least").alias("_band"))
 
 
@@ -252,8 +261,8 @@ def _outside(measured: DataFrame, space: Workspace) -> DataFrame:
     n, rows = bands.count(), measured.count()
     judged = lookup(judged.withColumn("_key", _key("_script", "_size", "_lang")), bands, "_key", rows, n, "n_rows")
     per, share, entropy = (F.col(f"_of.{c}") for c in ("chars_per_token", "byte_share", "token_entropy"))
-    few = share * F.col("_of.n_tokens") <= BYTE_TOKENS
-    out = (per < F.col("_band.low")) | (per > F.col("_band.high")) | ((share > F.col("_band.most")) & ~few) | (entropy < F.col("_band.least"))
+    sure = surely(share, F.greatest(F.col("_of.n_tokens"), F.lit(1)).cast("double"), F.sqrt)
+    out = (per < F.col("_band.low")) | (per > F.col("_band.high")) | (sure > F.col("_band.most")) | (entropy < F.col("_band.least"))
     return judged.withColumn("_out", F.coalesce(out & (F.col("_of.n_tokens") > 0), F.lit(False)))
 
 

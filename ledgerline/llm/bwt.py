@@ -18,8 +18,8 @@ from __future__ import annotations
 import numpy as np
 
 STEP = 40
-#: Bytes of a shard.
-SHARD = 512 << 10
+#: Bytes of a shard: what is sorted at once. A bucket of pieces has many of them.
+SHARD = 32 << 10
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -139,3 +139,20 @@ def test_the_transforms_carry_the_merge():
     by = rng.permutation(len(right[0].places))
     right[0].places, right[0].symbols = right[0].places[by], right[0].symbols[by]
     assert places(right) != want
+
+
+def test_buckets_of_real_tables_are_merged_from_several_shards():
+    """Pieces of repeated minimizers of sf0.01, dealt to buckets as the operator does: most buckets hold more than one shard."""
+    import pandas as pd
+
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.dropna().unique().tolist()
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    text, start, count, value = suffix_dedup.minimizers(np.frombuffer(b"".join(raw), np.uint8), off)
+    _, which, often = np.unique(value, return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(often[which] > 1)
+    pieces: dict[int, set[bytes]] = {}
+    for t, s, c, v in zip(text[keep].tolist(), start[keep].tolist(), count[keep].tolist(), value[keep].tolist()):
+        pieces.setdefault(v % 8, set()).add(raw[t][s : s + c + 199])
+    shards = [len(bwt.shards_of(bwt.Strings(sorted(own), bwt.STEP), 200)) for own in pieces.values()]
+    assert sum(n > 1 for n in shards) > len(shards) / 2 and len(shards) == 8

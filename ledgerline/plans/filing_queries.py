@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import claims, entities, extractors, interim, investments, scoring, splitting
+from ledgerline.operators import claims, digests, entities, extractors, interim, investments, scoring, splitting
 from ledgerline.operators.evaluation import AXES
 from ledgerline.plans.registry import _table, query
 
@@ -318,3 +318,29 @@ def case_axes(spark, sf_dir):
     faults = claims.answer_faults(runs.select(i.alias("request_id"), "question", "answer"), passages)
     scored = scoring.scored_cases(cases.drop("n"), runs, traces, faults)
     return scored.select(i.alias("conv_id"), *AXES, F.array_join("reasons", " ").alias("reasons"))
+
+
+# ---- digests -------------------------------------------------------------------------------------
+
+_DIGESTED = {"customer": ("c_custkey", "c_mktsegment", "c_nationkey"), "orders": ("o_custkey", "o_orderkey", "o_orderstatus"), "part": ("p_name", "p_partkey")}
+_KEYS = {"customer": ["c_custkey"], "orders": ["o_custkey", "o_orderkey"], "part": ["p_partkey"]}
+
+
+def _digest_sql(table: str) -> str:
+    """The tree over a table's rows in two levels, enough for a million of them."""
+    kinds = {c: "string" if c in ("c_mktsegment", "o_orderstatus", "p_name") else "bigint" for c in _DIGESTED[table]}
+    frame = " || ".join(f"CASE WHEN {c} IS NULL THEN '{k};' ELSE '{k}:' || strlen(CAST({c} AS VARCHAR)) || ':' || {c} || ';' END" for c, k in kinds.items())
+    schema = "[" + ", ".join(f'["{c}","{k}"]' for c, k in kinds.items()).replace(", ", ",") + "]"
+    key = "[" + ",".join(f'"{c}"' for c in _KEYS[table]) + "]"
+    return f"""SELECT '{table}' AS name, sha256('[{schema},{key},"' || (SELECT CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END FROM (
+    SELECT r // 1024 AS b, sha256(string_agg(h, '' ORDER BY r)) AS h FROM (SELECT row_number() OVER (ORDER BY {', '.join(_KEYS[table])}, h) - 1 AS r, h FROM (SELECT *, sha256({frame}) AS h FROM {table})) GROUP BY b)) || '"]') AS digest"""
+
+
+@query(" UNION ALL ".join(_digest_sql(t) for t in _DIGESTED))
+def logical_digests(spark, sf_dir):
+    """Digests of three tables in the order of their keys, whatever their files and partitions."""
+    found = []
+    for name, columns in _DIGESTED.items():
+        rows = _table(spark, sf_dir, name).select(*(F.col(c).cast("long").alias(c) if c.endswith("key") else F.col(c) for c in columns))
+        found.append((name, digests.keyed_digest(rows.repartition(7), _KEYS[name])))
+    return spark.createDataFrame(found, "name string, digest string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import claims, digests, entities, extractors, interim, investments, scoring, splitting
+from ledgerline.operators import claims, digests, entities, extractors, interim, investments, narratives, scoring, splitting
 from ledgerline.operators.evaluation import AXES
 from ledgerline.plans.registry import _table, query
 
@@ -344,3 +344,36 @@ def logical_digests(spark, sf_dir):
         rows = _table(spark, sf_dir, name).select(*(F.col(c).cast("long").alias(c) if c.endswith("key") else F.col(c) for c in columns))
         found.append((name, digests.keyed_digest(rows.repartition(7), _KEYS[name])))
     return spark.createDataFrame(found, "name string, digest string")
+
+
+# ---- narratives ----------------------------------------------------------------------------------
+
+#: Rules for the languages of the table at hand.
+_RULES = narratives.Rules(
+    end="[.!?]", never=("license",), domains={"thing": "the", "motion": "tion", "query": "que", "rest": "er"}, families=(("short", "^.{1,60}$"), ("listing", ","), ("rare", "[0-9]"), ("plain", "[a-z]")),
+    shown=("listing", "plain", "short", "rare"),
+)
+_BUDGET = 3
+_PARTS = r"string_split(regexp_replace(coalesce(text, ''), '([.!?])', '\1' || chr(2), 'g'), chr(2))"
+_TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{f}'" for f, p in _RULES.families) + " END"
+_DOMAIN = ", ".join(f"CASE WHEN regexp_matches(s, '(?i){p}') THEN '{d}' END" for d, p in _RULES.domains.items())
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id // 2 AS r, doc_id % 2 AS doc, {_PARTS} AS parts FROM documents),
+u AS (SELECT r, doc, trim(regexp_replace(unnest(parts), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS s, unnest(range(len(parts))) AS raw FROM d),
+w AS (SELECT *, row_number() OVER (PARTITION BY r, doc ORDER BY raw) - 1 AS pos FROM u WHERE regexp_matches(s, '[.!?]$') AND NOT contains(s, 'license') AND NOT contains(s, '|') AND length(s) <= 2000),
+t AS (SELECT r, doc, pos, s, {_TOPIC} AS family, unnest(list_filter([{_DOMAIN}], lambda x: x IS NOT NULL)) AS domain FROM w),
+f AS (SELECT r, family, domain, doc, min(pos) AS pos, arg_min(s, pos) AS s FROM t WHERE family IS NOT NULL GROUP BY ALL),
+p AS (SELECT r, family, domain, sum(pos) AS depth, list(s ORDER BY doc) AS ss, list(doc || ':' || s ORDER BY doc) AS marks FROM f GROUP BY r, family, domain HAVING count(*) = 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY list_position({list(_RULES.shown)}, family), depth, domain) AS k FROM p),
+g(r, k, n, used, hit) AS (SELECT r, 0::BIGINT, 0, CAST([] AS VARCHAR[]), false FROM o WHERE k = 1
+    UNION ALL SELECT g.r, o.k, CASE WHEN g.n < {_BUDGET} AND NOT list_has_any(g.used, o.marks) THEN g.n + 1 ELSE g.n END,
+        CASE WHEN g.n < {_BUDGET} AND NOT list_has_any(g.used, o.marks) THEN list_concat(g.used, o.marks) ELSE g.used END, g.n < {_BUDGET} AND NOT list_has_any(g.used, o.marks)
+    FROM g JOIN o ON o.r = g.r AND o.k = g.k + 1)
+SELECT g.r AS request_id, g.n AS rank, family, domain, sha256(array_to_string(ss, chr(10))) AS sentences FROM g JOIN o USING (r, k) WHERE hit""")
+def aligned_narratives(spark, sf_dir):
+    """Every two neighbouring documents as the reports of one request, whole texts."""
+    docs = _table(spark, sf_dir, "documents")
+    passages = docs.select(F.floor(F.col("doc_id") / 2).alias("request_id"), (F.col("doc_id") % 2).cast("int").alias("doc_no"), F.lit(0).alias("seq"), "text")
+    found = narratives.aligned_topics(passages, _BUDGET, _RULES)
+    return found.select("request_id", "rank", "family", "domain", F.sha2(F.array_join("sentences", "\n"), 256).alias("sentences"))

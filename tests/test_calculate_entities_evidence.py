@@ -27,6 +27,42 @@ def test_rounding_ranking_and_errors():
     assert C.calculate("add", ["1", "2"], scale=13)["status"] == "error"
 
 
+def test_results_equal_wide_decimals():
+    """Against Python's decimals with room for every digit."""
+    import decimal
+    import random
+
+    rnd, kinds = random.Random(5), {"ROUND_HALF_UP": "ROUND_HALF_UP", "ROUND_HALF_EVEN": "ROUND_HALF_EVEN", "ROUND_DOWN": "ROUND_DOWN", "ROUND_UP": "ROUND_UP"}
+    number = lambda: rnd.choice(["", "-"]) + rnd.choice([f"{rnd.randint(0, 10**rnd.randint(1, 9)):,}", str(rnd.randint(0, 999))]) + rnd.choice(["", f".{rnd.randint(0, 9999)}", ".5", ".125"])
+    with decimal.localcontext(prec=400):
+        for _ in range(3000):
+            xs, scale, rounding = [number(), number()], rnd.randint(0, 12), rnd.choice(list(kinds))
+            a, b = (decimal.Decimal(x.replace(",", "")) for x in xs)
+            for op, f in (("add", lambda: a + b), ("subtract", lambda: a - b), ("multiply", lambda: a * b), ("divide", lambda: a / b), ("ratio_percent", lambda: a / b * 100), ("percent_change", lambda: (b - a) / a * 100)):
+                got = C.calculate(op, xs, scale=scale, rounding=rounding)
+                try:
+                    want = format(f().quantize(decimal.Decimal(1).scaleb(-scale), rounding=kinds[rounding]), "f")
+                except (decimal.DivisionByZero, decimal.InvalidOperation):
+                    want = None
+                if want is None or len(want.replace("-", "").replace(".", "").lstrip("0")) > C.DIGITS:
+                    assert got["status"] == "error"
+                else:
+                    assert got["data"]["result"].lstrip("-") == want.lstrip("-"), (op, xs, scale, rounding)
+            pairs = [str(rnd.randint(-50, 50)) if k % 2 == 0 else str(rnd.randint(1, 9)) for k in range(8)]
+            order = C.calculate("rank_ratio_desc", pairs)["data"]["ordered_indices"]
+            value = [decimal.Decimal(pairs[2 * i]) / decimal.Decimal(pairs[2 * i + 1]) for i in range(4)]
+            assert order == sorted(range(4), key=lambda i: (-value[i], i)) or len(set(round(v, 300) for v in value)) < 4
+
+
+def test_rows_in_decimals_and_in_python_agree(spark):
+    rows = [("add", ["1,000.5", "-1000.500001"]), ("subtract", ["0.004", "0.005"]), ("subtract", ["999999999999.999999", "-1"]), ("sum", ["1"] * 20), ("sum", ["1"] * 21), ("add", ["1" * 20, "2"]), ("add", ["1", None]), ("sum", []), ("subtract", ["1,00", "2"]), ("multiply", ["3", "4"]), (None, ["1", "2"]), ("add", None)]
+    frame = spark.createDataFrame(list(zip(range(len(rows)), *zip(*rows))), "i int, op string, xs array<string>")
+    got = {r.i: (r.status, r.result) for r in frame.select("i", C.calculated(F.col("op"), F.col("xs")).alias("r")).select("i", "r.*").collect()}
+    for i, (op, xs) in enumerate(rows):
+        want = C.calculate(op, xs or [])
+        assert got[i] == (want["status"], want["data"].get("result")), (op, xs)
+
+
 def test_over_rows(spark):
     frame = spark.createDataFrame([("add", ["1", "2"]), ("rank_desc", ["1", "5"]), ("divide", ["1", "0"]), ("sum", None)], "op string, xs array<string>")
     rows = frame.select("op", C.calculated(F.col("op"), F.col("xs")).alias("r")).select("op", "r.*").collect()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, jsons, numbers, text
 from ledgerline.operators import analysis, evaluation, forms, retrieval, tools, workflows
 from ledgerline.plans.registry import _PHRASES, _STATUS, _TOK, _statuses, _table, query
+from ledgerline.plans.store import Store
 from ledgerline.session import shared_folder
 from ledgerline.sources import adapters as A
 
@@ -26,37 +30,55 @@ g AS (SELECT count(*) AS n, avg(d) AS a, {', '.join(f"count(*) FILTER (f{i} > 0)
 r AS (SELECT *, -({_PART}) AS score FROM h, g WHERE f0 > 0 OR f1 > 0 OR f2 > 0)"""
 
 
-def _index(spark, sf_dir) -> tuple[str, DataFrame]:
-    """(folder of an index over all chunks of known filings, its rows)."""
-    rows = retrieval.index_rows(A.chunks(spark, sf_dir), A.documents(spark, sf_dir), _statuses(spark, sf_dir))
-    folder = f"{shared_folder(spark)}/index-{abs(hash(sf_dir))}"
-    retrieval.build_index(rows, folder)
-    return folder, rows
+#: Raised when what an index holds changes.
+INDEX_VERSION = 1
+
+
+def _index_rows(spark, sf_dir) -> DataFrame:
+    return retrieval.index_rows(A.chunks(spark, sf_dir), A.documents(spark, sf_dir), _statuses(spark, sf_dir))
+
+
+def _index(spark, sf_dir) -> str:
+    """The folder of an index over all chunks of known filings. It is built once for the same files and shared by all queries.
+
+    Its name follows from the tables' files, their sizes and times; it is built aside and moved, so a folder of that name is whole.
+    """
+    files = [f for t in ("documents", "orders", "lineitem") for f in Store(spark, sf_dir).marks(f"{t}.parquet")]
+    name = "index-" + hashlib.sha256(repr((INDEX_VERSION, files)).encode()).hexdigest()[:32]
+    store = Store(spark, shared_folder(spark))
+    if not store.exists(name):
+        staging = f".{name}-{uuid.uuid4().hex}"
+        retrieval.build_index(_index_rows(spark, sf_dir), store.place(staging))
+        try:
+            store.move(staging, name)
+        except FileExistsError:  # another session was first
+            store.delete(staging)
+    return store.place(name)
 
 
 @query(f"WITH RECURSIVE {_INDEXED} SELECT term, count(DISTINCT chunk_id) AS n FROM (SELECT chunk_id, unnest(list_concat({_TOK('path')}, {_TOK('text')})) AS term FROM ix) GROUP BY term")
 def index_build(spark, sf_dir):
-    folder, _ = _index(spark, sf_dir)
+    folder = _index(spark, sf_dir)
     return retrieval.frequencies(spark.read.parquet(f"{folder}/postings"))
 
 
 @query(f"WITH RECURSIVE {_SEARCH}, k AS (SELECT * FROM r WHERE is_latest AND base_year = 1996 AND contains(path, 'en >') ORDER BY score, chunk_id LIMIT 21) SELECT chunk_id, doc_id, rcept_no, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY k.score, chunk_id) AS INTEGER) AS rank, sha256(text) AS text_sha FROM k")
 def search_scoped(spark, sf_dir):
-    folder, _ = _index(spark, sf_dir)
+    folder = _index(spark, sf_dir)
     rows = retrieval.search(spark, folder, _PHRASES, 20, latest_only=True, base_year=1996, path_hint="EN >")
     return rows.select("chunk_id", "doc_id", "rcept_no", F.round("score", 6).alias("score"), "rank", F.sha2("text", 256).alias("text_sha"))
 
 
 @query(f"WITH RECURSIVE {_SEARCH}, k AS (SELECT * FROM r WHERE doc_subtype = 'annual' ORDER BY score, chunk_id LIMIT 6) SELECT chunk_id, corp_code, base_month, is_latest, row_number() OVER (ORDER BY score, chunk_id) > 5 AS more FROM k")
 def search_citations(spark, sf_dir):
-    folder, _ = _index(spark, sf_dir)
+    folder = _index(spark, sf_dir)
     return retrieval.search(spark, folder, _PHRASES, 5, doc_subtype="annual").select("chunk_id", "corp_code", "base_month", "is_latest", "more")
 
 
 @query("""SELECT * FROM (VALUES ('missing_chunk', 3), ('unknown_chunk', 0), ('repeated_chunk', 0), ('repeated_posting', 0), ('unknown_posting', 0), ('unposted_chunk', 0), ('wrong_count', 0)) AS t("check", n)""")
 def index_qa(spark, sf_dir):
     """Three chunks that the index doesn't hold are expected, and found missing."""
-    folder, rows = _index(spark, sf_dir)
+    folder, rows = _index(spark, sf_dir), _index_rows(spark, sf_dir)
     planted = spark.createDataFrame([("no#1",), ("no#2",), ("no#3",)], "chunk_id string")
     faults = retrieval.index_faults(spark, folder, rows.select("chunk_id").unionByName(planted))
     return faults.withColumn("n", F.col("n").cast("int"))

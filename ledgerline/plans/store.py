@@ -28,6 +28,11 @@ class Store:
         """What lies in a folder, by name; nothing if it isn't there."""
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder))) if self.exists(folder) else []
 
+    def marks(self, name: str) -> list[tuple[str, int, int]]:
+        """(name, bytes, time of change) of a file, or of each file in a folder, by name."""
+        found = self._fs.listStatus(self._path(name))
+        return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found)
+
     def write_new(self, name: str, content: bytes) -> None:
         """A file that must not be there yet: of several writers one succeeds, the others get a FileExistsError."""
         try:

@@ -7,8 +7,9 @@ and predicting a whole text is a sum of looked-up rows. A temperature fitted on
 calibrates the probabilities, and the least score at which they are right as often as asked is the threshold
 under which a prediction is marked as rejected.
 
-Only text and language of training rows are learnt from. Bounds of the fit, not of the data it is used on:
-SAMPLE rows, those of the smallest hash of their id among texts of at most SAMPLE_CHARS code points.
+Only text and language of training rows are learnt from. The bound of the fit, not of the data it is used on: SAMPLE rows,
+those of the smallest hash of their id. Tasks read their whole texts and send counts by bucket, at most 2 bytes a bucket and so 32 KB a row,
+whatever its text; no text comes to the driver.
 
 Defined results: null text or text without a letter is `und` with score 0; without any training row all
 texts are; texts of any length are read whole; repeated rows are predicted one by one, and are one row of the sample;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 
-SAMPLE, SAMPLE_CHARS = 5000, 20_000
+SAMPLE = 5000
 BUCKET_BITS, DIM, ORDERS = 14, 16, (3, 4)
 EPOCHS, BATCH, RATE = 6, 32, 0.5
 #: The share of right answers that predictions must have to be accepted.
@@ -52,13 +53,32 @@ def buckets(data: np.ndarray, order: int) -> np.ndarray:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32) if n > 0 else np.zeros(0, np.int32)
 
 
-def counts(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text, np.uint8)
-    out = np.zeros(1 << BUCKET_BITS, np.float32)
-    for order in ORDERS:
-        if len(data) >= order:
-            out += np.bincount(buckets(data, order), minlength=len(out)).astype(np.float32)
-    return out / max(1.0, out.sum())
+def packed_counts(text: bytes) -> bytes:
+    """n-grams by bucket in 16 bits, scaled down if one has more: all buckets, or the others' numbers and counts where that is shorter."""
+    data, size = np.frombuffer(text, np.uint8), 1 << BUCKET_BITS
+    out = np.zeros(size, np.int64)
+    for at in range(0, len(data), K.BATCH_BYTES):  # in pieces that overlap, so memory doesn't grow with a text
+        for order in ORDERS:
+            piece = data[at : at + K.BATCH_BYTES + order - 1]
+            if len(piece) >= order:
+                out += np.bincount(buckets(piece, order), minlength=size)
+    if out.max(initial=0) > 65535:
+        out = -(-out * 65535 // int(out.max()))
+    some = np.flatnonzero(out)
+    if 2 * len(some) < size:
+        return np.concatenate([some, out[some]]).astype("<u2").tobytes()
+    return out.astype("<u2").tobytes()
+
+
+def counts(packed: bytes) -> np.ndarray:
+    """Shares of the buckets."""
+    size = 1 << BUCKET_BITS
+    own = np.frombuffer(packed, "<u2").astype(np.float32)
+    if len(own) < size:
+        out = np.zeros(size, np.float32)
+        out[own[: len(own) // 2].astype(np.int64)] = own[len(own) // 2 :]
+        own = out
+    return own / max(1.0, own.sum())
 
 
 class Model:
@@ -98,7 +118,7 @@ class Model:
 
 
 def fit(texts: list[bytes], langs: list[str], seed: int = 11) -> Model:
-    """Trained on four fifths of the rows, calibrated on the rest."""
+    """Trained on four fifths of the rows, calibrated on the rest; texts: their packed_counts."""
     languages = sorted(set(langs))
     size = 1 << BUCKET_BITS
     if not languages:
@@ -155,15 +175,22 @@ def fold(column: str, n: int):
 
 
 def training_rows(docs: DataFrame) -> tuple[list[bytes], list[str]]:
-    """Texts and languages of the sample: its keys are chosen first, without their texts, so that only the chosen texts move."""
+    """packed_counts and languages of the sample: its keys are chosen first, and only the chosen texts are counted, where they are."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.filter((fold("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    rows = rows.filter((fold("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     keyed = rows.withColumns({"order": F.xxhash64("doc_id"), "h": F.xxhash64("text")})
     key = ["order", "doc_id", "h", "lang"]
     # rows that repeat one another are one of the sample; SAMPLE keys are a bounded table
     chosen = keyed.select(*key).distinct().orderBy(*key).limit(SAMPLE)
-    own = keyed.join(F.broadcast(chosen), key, "left_semi").groupBy(*key).agg(F.first("text").alias("text")).orderBy(*key).select("text", "lang").toArrow()
-    return [t.encode() for t in own.column("text").to_pylist()], own.column("lang").to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.slices(batches):
+            packed = [packed_counts(t.encode()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in key), pa.array(packed, pa.binary())], names=[*key, "packed"])
+
+    found = keyed.join(F.broadcast(chosen), key, "left_semi").select(*key, "text").mapInArrow(K.tidy(run), "order long, doc_id long, h long, lang string, packed binary")
+    own = found.groupBy(*key).agg(F.first("packed").alias("packed")).orderBy(*key).select("packed", "lang").toArrow()
+    return own.column("packed").to_pylist(), own.column("lang").to_pylist()
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def test_the_class_prior_is_found_from_positives_and_unlabelled_rows(share):
 
 
 def test_batched_prediction_equals_single():
-    model = language.fit([b"the of and in", b"der die und das"] * 20, ["en", "de"] * 20)
+    model = language.fit([language.packed_counts(t) for t in (b"the of and in", b"der die und das")] * 20, ["en", "de"] * 20)
     texts = ["the cat", None, "", "und die", "x", "ab", "abc", "of " * 500]
     names, score, _ = model.predict(pa.array(texts))
     for i, t in enumerate(texts):
@@ -142,3 +142,17 @@ def test_quality_of_odd_rows(spark):
     rows = pu_quality.quality_scores(spark, frame, labels).collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert pu_quality.quality_scores(spark, frame.filter("false"), labels).collect() == []
+
+
+def test_packed_counts_are_those_of_whole_texts(monkeypatch):
+    from ledgerline.llm import kernel
+
+    rng = np.random.default_rng(5)
+    texts = [b"", b"ab", b"abc", "é日本 text".encode(), bytes(rng.integers(97, 123, 60_000).astype(np.uint8)), b"a" * 200_000]
+    plain = [sum((np.bincount(language.buckets(np.frombuffer(t, np.uint8), o), minlength=1 << language.BUCKET_BITS) for o in language.ORDERS if len(t) >= o), np.zeros(1 << language.BUCKET_BITS)) for t in texts]
+    for piece in (1 << 21, 1000):
+        monkeypatch.setattr(kernel, "BATCH_BYTES", piece)
+        for t, want in zip(texts, plain):
+            packed = language.packed_counts(t)
+            assert len(packed) <= 2 << language.BUCKET_BITS
+            assert np.allclose(language.counts(packed), want / max(1, want.sum()), rtol=2e-3, atol=1e-5)

@@ -97,9 +97,16 @@ def query_tokens(c: Column, most: int = 32) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x).between(2, 64))), 1, most)
 
 
+#: Most tokens of a query, and most characters of the match that they make.
+MOST_TOKENS, MOST_MATCH = 32, 4096
+
+
 def match_phrases(c: Column) -> Column:
-    """(token, whether it is a prefix) of a query: tokens of four characters or more match as prefixes."""
-    return F.transform(query_tokens(c), lambda x: F.struct(x.alias("token"), (F.length(x) >= 4).alias("prefix")))
+    """(token, whether it is a prefix) of a query: tokens of four characters or more match as prefixes. A query with too many tokens, or too long ones, matches nothing."""
+    found = query_tokens(c, 1_000_000)
+    size = F.aggregate(found, F.lit(-4), lambda n, x: n + F.length(x) + 6 + F.when(F.length(x) >= 4, 1).otherwise(0))  # quotes, a star, " OR " between
+    phrases = F.transform(found, lambda x: F.struct(x.alias("token"), (F.length(x) >= 4).alias("prefix")))
+    return F.when((F.size(found) <= MOST_TOKENS) & (size <= MOST_MATCH), phrases).otherwise(F.filter(phrases, lambda x: F.lit(False)))
 
 
 def receipts_in(c: Column) -> Column:
@@ -132,8 +139,11 @@ def public_text(c: Column) -> Column:
 
 
 def citation_safe(c: Column) -> Column:
-    """Characters that delimit citations in their full-width forms."""
-    return F.translate(c, "[]|", "［］｜")
+    """Characters that delimit citations in their full-width forms, control characters as %XX."""
+    plain = F.translate(c, "[]|", "［］｜")
+    control = "[\\x00-\\x1F\\x7F]"
+    spelt = F.transform(F.split(plain, ""), lambda x: F.when(x.rlike(control), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(x)), 2, "0"))).otherwise(x))
+    return F.when(plain.rlike(control), F.array_join(spelt, "")).otherwise(plain)
 
 
 def csv_safe(c: Column) -> Column:

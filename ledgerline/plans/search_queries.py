@@ -100,7 +100,7 @@ def text_normal_forms(spark, sf_dir):
 
 
 @query(f"""SELECT page_id, {_SHA("replace(replace(replace(replace(replace(regexp_replace(html, '(?i)<br[ \t\n]*/?>', chr(10), 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')")} AS public,
-{_SHA("translate(html, '[]|', '［］｜')")} AS cited, CAST(ceil(length(html) / 500.0) AS INTEGER) AS parts, {_SHA("substr(html, 501, 500)")} AS second FROM pages""")
+{_SHA("replace(replace(replace(translate(html, '[]|', '［］｜'), chr(10), '%0A'), chr(9), '%09'), chr(13), '%0D')")} AS cited, CAST(ceil(length(html) / 500.0) AS INTEGER) AS parts, {_SHA("substr(html, 501, 500)")} AS second FROM pages""")
 def page_texts(spark, sf_dir):
     sha, h = (lambda c: F.sha2(c, 256)), F.col("html")
     parts = text.fixed_parts(h, 500)
@@ -225,11 +225,13 @@ def name_forms(spark, sf_dir):
     )
 
 
-@query(f"""WITH t AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[0-9a-z가-힣]+')), lambda x: length(x) BETWEEN 2 AND 64) AS found, text FROM benchmark)
-SELECT item_id, CAST(least(len(found), 32) AS INTEGER) AS n_phrases, len(regexp_extract_all(text, '[0-9]{{14,}}')) = 0 AS no_receipts FROM t""")
+@query(f"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[0-9a-z가-힣]+'), lambda x: length(x) BETWEEN 2 AND 64) AS l, text FROM benchmark),
+t AS (SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS found, text FROM w), m AS (SELECT *, len(found) <= 32 AND list_sum(list_transform(found, lambda x: length(x) + 6 + CASE WHEN length(x) >= 4 THEN 1 ELSE 0 END)) - 4 <= 4096 AS fits FROM t)
+SELECT item_id, CASE WHEN fits THEN array_to_string(list_transform(found, lambda x: x || CASE WHEN length(x) >= 4 THEN '*' ELSE '' END), ' ') ELSE '' END AS phrases, len(regexp_extract_all(text, '[0-9]{{14,}}')) = 0 AS no_receipts FROM m""")
 def phrase_counts(spark, sf_dir):
     rows = _table(spark, sf_dir, "benchmark")
-    return rows.select("item_id", F.size(text.match_phrases(F.col("text"))).alias("n_phrases"), (F.size(text.receipts_in(F.col("text"))) == 0).alias("no_receipts"))
+    phrases = F.transform(text.match_phrases(F.col("text")), lambda x: F.concat(x["token"], F.when(x["prefix"], "*").otherwise("")))
+    return rows.select("item_id", F.array_join(phrases, " ").alias("phrases"), (F.size(text.receipts_in(F.col("text"))) == 0).alias("no_receipts"))
 
 
 @query("""SELECT n_nationkey, n_name AS a, 'x|y' AS b, 3 AS n_cells, ['sum', 'total'] AS kept FROM nation""".replace("['sum', 'total'] AS kept", "'sum,total,sum' AS kept"))

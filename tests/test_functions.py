@@ -24,6 +24,8 @@ def test_text(spark):
     for value, f, want in cases:
         assert _one(spark, value, f) == want, (value, want)
     assert [tuple(x) for x in _one(spark, "삼성전자 매출", text.match_phrases)] == [("삼성전자", True), ("매출", False)]
+    assert len(_one(spark, " ".join(f"t{k:02d}" for k in range(32)), text.match_phrases)) == 32 and _one(spark, " ".join(f"t{k:02d}" for k in range(33)), text.match_phrases) == []
+    assert _one(spark, "[a\tb|c\x7f]", text.citation_safe) == "［a%09b｜c%7F］"
     assert _one(spark, ["a", "a", "", "b", "a"], text.drop_repeats, "v array<string>") == ["a", "b", "a"]
     assert _one(spark, [" x ", "x", "y"], lambda c: text.section_fragments(c, 3), "v array<string>") == "x |"
 

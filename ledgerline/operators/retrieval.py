@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import MOST_MATCH, MOST_TOKENS
+from ledgerline.operators.tools import with_citation
+
 #: Fixed values of the ranking: weights of path and text, k1, b, and the floor of the inverse document frequency.
 PATH_WEIGHT, TEXT_WEIGHT, K1, B, IDF_FLOOR = 5.0, 1.0, 1.2, 0.75, 1e-6
 #: Words that say nothing about a passage.
@@ -168,3 +172,50 @@ def expected_bm25(rows: list[tuple[list[str], list[str]]], phrases: list[tuple[s
             if f[i][j]:
                 out[i] -= idf * f[i][j] * (K1 + 1) / (f[i][j] + K1 * (1 - B + B * d[i] / (sum(d) / len(d))))
     return out
+
+
+#: Longest query, most filings that a base month may name.
+LONGEST_QUERY, MOST_FILINGS = 1000, 50
+
+
+def phrases_of(query: str) -> list[tuple[str, bool]]:
+    """The phrases of one query, as functions.text.match_phrases has them for columns."""
+    words = [w for w in dict.fromkeys(re.findall("[0-9a-z가-힣]+", query.casefold())) if 2 <= len(w) <= 64]
+    size = sum(len(w) + 6 + (len(w) >= 4) for w in words) - 4
+    return [(w, len(w) >= 4) for w in words] if len(words) <= MOST_TOKENS and size <= MOST_MATCH else []
+
+
+def search_answer(
+    spark: SparkSession, folder: str, query: str, docs: DataFrame, status: DataFrame, links: DataFrame, k: int = 10, *, corp_code: str | None = None, doc_subtype: str | None = None,
+    base_year: int | None = None, base_month: int | None = None, latest_only: bool = True, path_hint: str | None = None,
+) -> tuple[str, DataFrame | None, list[str]]:
+    """(status, rows with rank, score, text and the twelve-field citation, limitations) of one query.
+
+    A base month needs company, kind and year, and restricts the search to those filings (their receipts are a semi-join), MOST_FILINGS at most. A hit
+    whose filing is gone is an error and not a shorter answer.
+    """
+    if len(query) > LONGEST_QUERY or not 1 <= k <= 50:
+        return "error", None, [f"a query has at most {LONGEST_QUERY} characters and k is 1..50"]
+    if base_month is not None and (corp_code is None or doc_subtype is None or base_year is None):
+        return "error", None, ["base_month requires corp_code, doc_subtype, and base_year"]
+    phrases = phrases_of(query)
+    receipts = list(dict.fromkeys(re.findall(r"(?<![0-9])[0-9]{14}(?![0-9])", query)))
+    if not phrases or len(receipts) > 8:
+        return "info_limit", None, ["the query has no useful token or is too wide"]
+    if base_month is not None:
+        month = docs.filter((F.col("corp_code") == corp_code) & (F.col("doc_subtype") == doc_subtype) & (F.col("base_year") == base_year) & (F.col("base_month") == base_month))
+        month = month.join(status.filter("is_latest"), "rcept_no", "left_semi") if latest_only else month
+        named = [r.rcept_no for r in month.select("rcept_no").distinct().limit(MOST_FILINGS + 1).collect()]
+        if not named:
+            return "not_found", None, []
+        if len(named) > MOST_FILINGS:
+            return "info_limit", None, [f"base_month matched more than {MOST_FILINGS} filings"]
+        receipts = [r for r in named if r in receipts] if receipts else named
+        if not receipts:
+            return "not_found", None, []
+    found = search(spark, folder, phrases, k, receipts=receipts or None, path_hint=path_hint, latest_only=latest_only, corp_code=corp_code, doc_subtype=doc_subtype, base_year=base_year)
+    rows = with_citation(found.select("rank", "score", "chunk_id", "doc_id", "path", "text"), docs, status, links, F.col("path"))
+    n = found.count()  # k + 1 at most
+    if rows.count() < n:
+        return "error", None, ["a hit can't be resolved in the pipeline's release"]
+    return ("ok" if n else "not_found"), rows.filter(F.col("rank") <= k), ["results truncated at k"] if n > k else []

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, jsons, numbers, text
-from ledgerline.operators import analysis, evaluation, forms, retrieval, tools, workflows
-from ledgerline.plans.registry import _PHRASES, _STATUS, _TOK, _statuses, _table, query
+from ledgerline.operators import analysis, evaluation, forms, lineage, retrieval, tools, workflows
+from ledgerline.plans.registry import _PHRASES, _STATUS, _TOK, _links, _statuses, _table, query
 from ledgerline.plans.store import Store
+from ledgerline.schemas import CITATION_FIELDS
 from ledgerline.session import shared_folder
 from ledgerline.sources import adapters as A
 
@@ -75,6 +76,21 @@ def search_citations(spark, sf_dir):
     return retrieval.search(spark, folder, _PHRASES, 5, doc_subtype="annual").select("chunk_id", "corp_code", "base_month", "is_latest", "more")
 
 
+@query(f"""WITH RECURSIVE {_SEARCH}, k AS (SELECT *, row_number() OVER (ORDER BY score, chunk_id) AS rank FROM r WHERE is_latest AND base_year = 1997 AND rcept_no IN (SELECT rcept_no FROM v_document d JOIN statuses s USING (rcept_no) WHERE base_year = 1997 AND s.is_latest)
+    ORDER BY score, chunk_id LIMIT 20)
+SELECT CAST(k.rank AS INTEGER) AS rank, k.chunk_id, k.doc_id, k.rcept_no, k.corp_code, u.corp_name, d.report_nm, d.rcept_dt, k.path AS section, s.is_latest, s.root_rcept_no, s.latest_rcept_no,
+    CASE WHEN NOT d.is_correction THEN 'original' ELSE coalesce(l.status, '') END AS correction_status, coalesce(l.method, '') AS correction_method
+FROM k JOIN v_document d USING (doc_id) JOIN v_universe u ON u.corp_code = k.corp_code JOIN statuses s ON s.rcept_no = k.rcept_no LEFT JOIN links l ON l.correction_rcept_no = k.rcept_no""")
+def cited_search(spark, sf_dir):
+    """Ranked hits with all twelve fields of their citation."""
+    docs = A.documents(spark, sf_dir).join(A.universe(spark, sf_dir).select("corp_code", "corp_name"), "corp_code")
+    links = _links(spark, sf_dir)
+    status, rows, _ = retrieval.search_answer(spark, _index(spark, sf_dir), "the tion enlich", docs, lineage.statuses(docs, links), links, 20, base_year=1997)
+    if rows is None:
+        raise ValueError(status)
+    return rows.select("rank", "chunk_id", *(f"citation.{c}" for c in CITATION_FIELDS))
+
+
 @query("""SELECT * FROM (VALUES ('missing_chunk', 3), ('unknown_chunk', 0), ('repeated_chunk', 0), ('repeated_posting', 0), ('unknown_posting', 0), ('unposted_chunk', 0), ('wrong_count', 0)) AS t("check", n)""")
 def index_qa(spark, sf_dir):
     """Three chunks that the index doesn't hold are expected, and found missing."""

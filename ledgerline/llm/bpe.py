@@ -7,7 +7,8 @@ Within a bucket the leftmost position goes first, so merges run in the order of
 A pre-token of n bytes costs O(n log n), whatever its length.
 
 Defined results: a null text is empty; empty text has no tokens; repeated rows are encoded one by one;
-a text of any length is handled whole.
+a text of any length is handled whole; of equal pairs the leftmost is merged first; an empty table gives no rows; only doc_id and text are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations

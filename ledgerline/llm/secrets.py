@@ -13,8 +13,8 @@ sums over the few rows that matched give the places.
 
 Defined results: a null text is empty; a text without secrets has zero counts and an empty list; rows with
 the same id and text get the same result each, and each of their owners counts; a null owner counts as an owner; spans
-that start together are listed by kind; texts are read whole; an empty table gives no rows; `redact` keeps all
-columns, whatever their names.
+that start together are listed by kind; texts are read whole; an empty table gives no rows; `secret_scan` reads doc_id, text and source
+alone and `redact` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

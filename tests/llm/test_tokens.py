@@ -246,3 +246,23 @@ def test_the_rest_goes_through_the_recurrence():
     packer.add(1, np.ones(4000, "<u4"))
     packer.pack(True)
     assert [r[2] for r in packer.rows] == [4000]  # padding 96 costs less than cuts anywhere
+
+
+def test_bpe_of_odd_tables(spark):
+    """Repeated rows, clashing names, an empty table, and a text of one very long pre-token."""
+    long = "ab" * 30_000
+    rows = [(1, "same text"), (1, "same text"), (2, None), (3, ""), (4, long), (None, "x")]
+    frame = spark.createDataFrame([(i, t, "clash", 7) for i, t in rows], "doc_id long, text string, ids_sha256 string, n_tokens int").repartition(2)
+    got = bpe.round_trip(frame, RANKS, P.PATTERN).collect()
+    enc = _tiktoken()
+    assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in got) == Counter((i, len(enc.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert bpe.round_trip(frame.filter("false"), RANKS, P.PATTERN).collect() == []
+
+
+def test_quality_of_odd_tables(spark):
+    model = P.path("piece_bpe_32k.model")
+    rows = [(1, "the old man and the sea is a book of few words"), (1, "the old man and the sea is a book of few words"), (2, None), (3, "word " * 60_000), (None, "x")]
+    frame = spark.createDataFrame([(i, t, "clash", "en") for i, t in rows], "doc_id long, text string, script string, kept string").repartition(2)
+    got = quality_rules.quality_rules(frame, model).collect()
+    assert sorted((r.doc_id or -1, r.n_words) for r in got) == [(-1, 1), (1, 12), (1, 12), (2, 0), (3, 60_000)]
+    assert {r.kept for r in got if r.doc_id == 1} == {True} and quality_rules.quality_rules(frame.filter("false"), model).collect() == []

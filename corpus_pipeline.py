@@ -9,6 +9,9 @@ suffix_dedup: byte strings of 200 bytes that start at two places or more are cut
 secret_scan: spans of secrets are replaced by a mark.
 packing: what is left becomes pieces of sequences of at most 4096 tokens.
 
+Stages are called one after another, each on the written rows of the one before: what a stage wrote besides its rows is deleted when the next
+one is called on other files, so a stage's frame has to be written before that.
+
 Defined results, for every stage: a null text is like an empty one, and stays null where the row stays. quality_rules drops
 texts without words; jaccard_join links them with nothing, so it keeps them all; suffix_dedup and secret_scan leave them
 as they are; packing makes each a document of the end id alone. Rows that repeat one another are judged alike, one by one;

@@ -156,7 +156,7 @@ def packed_lines(spark, sf_dir):
     return _pieces(spark, sf_dir, "lines", splitting.SEARCH_CHARS)
 
 
-@query(_pieces_sql(f"""SELECT doc_id, i, 0 AS j, x FROM (SELECT doc_id, unnest(q) AS x, unnest(range(1, 1 + len(q))) AS i FROM (SELECT doc_id,
+@query(_pieces_sql(rf"""SELECT doc_id, i, 0 AS j, x FROM (SELECT doc_id, unnest(q) AS x, unnest(range(1, 1 + len(q))) AS i FROM (SELECT doc_id,
     string_split(regexp_replace(text, '([.다음니)][ \t\n\r\f\v])', '\1' || chr(1), 'g'), chr(1)) AS q FROM documents WHERE length(text) > {splitting.SENTENCE_CHARS}))""", splitting.SENTENCE_CHARS, ""))
 def packed_sentences(spark, sf_dir):
     """Every text by its sentences, packed greedily."""

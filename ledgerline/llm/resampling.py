@@ -135,11 +135,11 @@ raw AS (SELECT row_number() OVER () AS n, doc_id, unnest(regexp_extract_all(
 aim AS (SELECT unnest(regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
 spelt AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM raw UNION SELECT word FROM aim)),
-crc(word, h, at, c) AS (
+crc(word, h, done, c) AS (
     SELECT word, h, 0::BIGINT, 4294967295::BIGINT FROM spelt
-    UNION ALL SELECT word, h, at + 1, xor(c // 256, x) FROM crc JOIN crc_table ON i = xor(c % 256, ('0x' || substr(h, 2 * at + 1, 2))::BIGINT)
-    WHERE 2 * at < length(h)),
-buckets AS (SELECT word, xor(c, 4294967295) % 10000 AS bucket FROM crc WHERE 2 * at = length(h)),
+    UNION ALL SELECT word, h, done + 1, xor(c // 256, x) FROM crc JOIN crc_table ON i = xor(c % 256, ('0x' || substr(h, 2 * done + 1, 2))::BIGINT)
+    WHERE 2 * done < length(h)),
+buckets AS (SELECT word, xor(c, 4294967295) % 10000 AS bucket FROM crc WHERE 2 * done = length(h)),
 s AS (SELECT bucket, count(*) AS s FROM raw JOIN buckets USING (word) GROUP BY bucket),
 t AS (SELECT bucket, count(*) AS t FROM aim JOIN buckets USING (word) GROUP BY bucket),
 gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT count(*) FROM raw)::DOUBLE + 10000)

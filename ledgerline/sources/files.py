@@ -11,6 +11,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -119,9 +120,47 @@ def archive_members(archives: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFram
     return archives.select("receipt", "content").mapInArrow(run, "receipt string, name string, length long, content binary, fault string")
 
 
+#: Fields of the company catalog.
+CATALOG = ("corp_code", "corp_name", "corp_eng_name", "stock_code", "modify_date")
+#: Bytes of the catalog at most, and the status that the service answers in its place.
+CATALOG_BYTES = 64 << 20
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The company catalog's XML."""
-    return spark.read.format("xml").option("rowTag", "list").schema("corp_code string, corp_name string, corp_eng_name string, stock_code string, modify_date string").load(path)
+    """The company catalog's rows: of its XML, or of the one XML member of each zip.
+
+    A file that is no zip and no catalog but an answer with a status raises that status's error.
+    """
+    if not path.lower().endswith(".zip"):
+        return spark.read.format("xml").option("rowTag", "list").schema(", ".join(f"{c} string" for c in CATALOG)).load(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("content").to_pylist():
+                rows = []
+                for _, item in ElementTree.iterparse(io.BytesIO(catalog_xml(raw))):
+                    if item.tag == "list":
+                        rows.append(tuple(item.findtext(c) for c in CATALOG))
+                        item.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [()] * len(CATALOG))], names=list(CATALOG))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{c} string" for c in CATALOG))
+
+
+def catalog_xml(raw: bytes) -> bytes:
+    """The catalog's XML out of its zip."""
+    from ledgerline.sources.paged import SourceError, rows_of
+
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            own = [i for i in z.infolist() if i.filename.lower().endswith(".xml")]
+            if len(own) != 1 or own[0].file_size > CATALOG_BYTES:
+                raise SourceError("a catalog is one XML file of at most 64 MB")
+            return z.read(own[0])
+    except zipfile.BadZipFile:
+        status = re.search(rb"<status>\s*([0-9]{3})\s*</status>", raw)
+        rows_of({"status": status[1].decode() if status and status[1] != b"000" else "broken"})
+        raise SourceError("the catalog is empty") from None
 
 
 def catalog_rows(rows: DataFrame) -> DataFrame:

@@ -114,9 +114,8 @@ def merge(shards: list[Transform], rounds: int) -> tuple[np.ndarray, np.ndarray]
         symbol, source = (keys >> np.uint64(32)).astype(np.int64), blocks[come]
         # the shards alone make the new interleave: a shard's next suffix comes where its number does
         turn = shard[read[come]]
-        for k in range(len(shards)):
-            own = np.flatnonzero(turn == k)
-            slots[own] = base[k] + np.arange(len(own))
+        size = np.bincount(turn, minlength=len(shards))
+        slots[np.argsort(turn, kind="stable")] = np.repeat(base[:-1] - (np.cumsum(size) - size), size) + np.arange(len(turn))
         border = np.ones(n, bool)
         border[1:] = (symbol[1:] != symbol[:-1]) | (source[1:] != source[:-1])
         common[border & (common == rounds)] = t

@@ -22,8 +22,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 STRETCH, SEQUENCE_BITS = 1 << 20, 40
 #: Costs of a cut in padding tokens: at a sentence end, elsewhere.
 SENTENCE_PENALTY, CUT_PENALTY = 4, 64
-#: Pieces of each kind in a generation of a worker's memory; at about 200 bytes each.
-CACHE_PIECES = 250_000
+#: Chunks and words in a generation of a worker's memory; at about 200 bytes each.
+CACHE_PIECES = 400_000
+#: Marks after a word that are tokens of their own.
+MARKS = ".,;:!?"
 #: Bytes of text whose pieces are looked up together.
 BATCH_BYTES = 4 << 20
 
@@ -55,15 +57,15 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        # each memory has a generation in use and the one before, so that what is frequent stays
+        # a generation in use and the one before, so that what is frequent stays; words are chunks without a mark
         self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_cache, self.old_words = self.cache, self.words
+        self.old_cache = self.cache
         zero = self.model.encode("0", add_special_tokens=False).ids
         self.zero = zero[0] if len(zero) == 1 else None
-        self.simple = re.compile(r"([a-z]+)([.,;:!?]?)\Z").match
-        self.marks = {m: self._encode(m) for m in ".,;:!?"}
-        self.marks[""] = b""
+        self.marks = {m: self._encode(m) for m in MARKS}
+        vocab = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -81,33 +83,48 @@ class WordIds:
                 return [raw[4 * a : 4 * b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
         return [self._encode(t) for t in texts]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: one call on all of them, parted where a token ends a word."""
+        ids = np.asarray(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4") if words else np.zeros(0, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):  # a letter here is none to the vocabulary, or its lower case isn't
+            return self._many(words)
+        raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def _learn(self, chunks: list[str]) -> None:
-        """A word with at most one mark after it is looked up by the word in lower case; other chunks are encoded as they are."""
-        words, parts, rest = self.words, [], []
+        """A word with at most one mark after it is looked up by the word, an ASCII one in lower case; other chunks are encoded as they are.
+
+        A word has letters only, in the vocabulary's normal form too: an accent that comes off its letter there would join the mark.
+        """
+        cache, old, marks = self.cache, self.old_cache, self.marks
+        parts, rest = [], []
         for chunk in chunks:
-            m = self.simple(chunk.lower()) if chunk.isascii() else None
-            parts.append(m and m.groups())
-            if not m:
+            ascii_ = chunk.isascii()
+            low = chunk.lower() if ascii_ else chunk
+            core, mark = (low[:-1], low[-1]) if low[-1:] in marks else (low, "")
+            if core.isalpha() and (ascii_ or normalize("NFC", core).lower().isalpha()):
+                parts.append((chunk, core, mark))
+            else:
                 rest.append(chunk)
-        new = {p[0] for p in parts if p}.difference(words)
-        words.update({w: self.old_words[w] for w in new if w in self.old_words})
-        new = list(new.difference(words))
-        words.update(zip(new, self._many(new), strict=True))
+        new = {core for _, core, _ in parts}.difference(cache)
+        if old is not cache:
+            cache.update({w: old[w] for w in new if w in old})
+            new = new.difference(cache)
+        words = list(new)
+        cache.update(zip(words, self._words(words), strict=True))
+        for chunk, core, mark in parts:
+            if mark or core != chunk:
+                cache[chunk] = cache[core] + marks[mark] if mark else cache[core]
         plain = [c for c in rest if not any(map(str.isnumeric, c))]
-        cache = self.cache
         cache.update(zip(plain, self._many(plain), strict=True))
         for chunk in rest:
             if chunk not in cache:
                 cache[chunk] = self._encode(chunk)
-        for chunk, p in zip(chunks, parts, strict=True):
-            if p:
-                cache[chunk] = words[p[0]] + self.marks[p[1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_PIECES:
             self.old_cache, self.cache = self.cache, {}
-        if len(self.words) > CACHE_PIECES:
-            self.old_words, self.words = self.words, {}
         rows = [re.split("[ \t\n\r]+", t) if _ODD(t) else t.split() for t in texts]
         new = set()
         for r in rows:
@@ -141,25 +158,29 @@ def plan(points: np.ndarray, costs: np.ndarray, window: int, final: bool = True)
     p, c = points.tolist(), costs.tolist()
     last = len(p) - 1
     best, back = [0] * len(p), [0] * len(p)
-    queue: deque[int] = deque([0])
+    # the monotone queue, from head to end: places that may be the best start, and best + p of each, ascending
+    places, keys, head, end = [0] * len(p), [p[0]] * len(p), 0, 1
     tail = p[last] - window if final else p[last]
     index = {x: j for j, x in enumerate(p) if x >= tail}
     for j in range(1, len(p)):
-        floor = p[j] - window
-        while p[queue[0]] < floor:
-            queue.popleft()
-        i = queue[0]
-        cost = best[i] + window - (p[j] - p[i])
-        if final and p[j] > tail:
+        at = p[j]
+        floor = at - window
+        while p[places[head]] < floor:
+            head += 1
+        i = places[head]
+        cost = keys[head] + window - at
+        if final and at > tail:
             for k in range(window.bit_length()):
-                near = index.get(p[j] - (1 << k))
+                near = index.get(at - (1 << k))
                 if near is not None and best[near] < cost:
                     i, cost = near, best[near]
-        back[j], best[j] = i, cost + c[j]
-        key = best[j] + p[j]
-        while queue and best[queue[-1]] + p[queue[-1]] >= key:
-            queue.pop()
-        queue.append(j)
+        back[j] = i
+        best[j] = cost = cost + c[j]
+        key = cost + at
+        while end > head and keys[end - 1] >= key:
+            end -= 1
+        places[end], keys[end] = j, key
+        end += 1
     ways = {last} if final else {j for j in range(len(p)) if p[j] > p[last] - window}
     while len(ways) > 1:
         j = max(ways)

@@ -95,10 +95,11 @@ def cited_passages(claims: DataFrame, passages: DataFrame) -> DataFrame:
     report = F.trim(F.regexp_replace(F.get("parts", 0), r"\s*\((?:공시일\s*[:·]\s*)?20[0-9]{2}[.-]?[0-9]{2}[.-]?[0-9]{2}\)", ""))
     section = F.when(F.size("parts") >= 3, F.get("parts", 2)).otherwise("")
     each = each.select("request_id", "claim_no", "raw", receipt.alias("receipt"), report.alias("c_report"), section.alias("c_section"))
-    known = passages.withColumn("receipt", F.explode(F.array_distinct(F.array("rcept_no", "root_rcept_no", "latest_rcept_no"))))
-    hit = each.join(known, ["request_id", "receipt"])
-    hit = hit.filter(_within(F.col("c_report"), F.col("report_nm")) & ((F.col("c_section") == "") | F.col("c_section").isin(*ANY_SECTION) | _within(F.col("c_section"), F.col("section"))))
-    return each.select("request_id", "claim_no", "raw").join(hit.drop("receipt", "c_report", "c_section"), ["request_id", "claim_no", "raw"], "left")
+    # one join by request: its few passages meet its citations there, whichever of their receipts is meant
+    known = passages.withColumnRenamed("request_id", "_request")
+    meant = F.array_contains(F.array("rcept_no", "root_rcept_no", "latest_rcept_no"), F.col("receipt")) & _within(F.col("c_report"), F.col("report_nm"))
+    meant = meant & ((F.col("c_section") == "") | F.col("c_section").isin(*ANY_SECTION) | _within(F.col("c_section"), F.col("section")))
+    return each.join(known, (F.col("request_id") == F.col("_request")) & meant, "left").drop("_request", "receipt", "c_report", "c_section")
 
 
 def claim_faults(answers: DataFrame, passages: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A row's frame names each column's type and length, so no two rows have the same. Rows are ranked by key over range partitions, hashed in blocks
 of neighbours, the blocks' hashes in blocks again, up to one: a tree whose shape follows from the number of rows alone, so layout and
-partitioning don't matter, and no task holds more than a block's hashes.
+partitioning don't matter, and no task holds more than a block's hashes. A tree may be told to have so many levels; then the last takes all that
+the one below it left, with two levels 64 bytes for each block of rows.
 """
 
 from __future__ import annotations
@@ -45,18 +46,18 @@ def ordered_hashes(frame: DataFrame, key: list[str], save) -> DataFrame:
     return dealt.join(F.broadcast(before), "part").select(place.alias("rank"), "h")
 
 
-def tree_level(hashes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """rank, hash of each block of neighbours."""
+def tree_level(hashes: DataFrame, block: int | None = BLOCK) -> DataFrame:
+    """rank, hash of each block of neighbours; without a block's size, of all."""
     listed = F.array_sort(F.collect_list(F.struct("rank", "h")))  # a block
-    return hashes.groupBy(F.floor(F.col("rank") / block).alias("b")).agg(listed.alias("x")).select(F.col("b").alias("rank"), F.sha2(F.array_join(F.transform("x", lambda x: x["h"]), ""), 256).alias("h"))
+    return hashes.groupBy((F.floor(F.col("rank") / block) if block else F.lit(0)).cast("long").alias("b")).agg(listed.alias("x")).select(F.col("b").alias("rank"), F.sha2(F.array_join(F.transform("x", lambda x: x["h"]), ""), 256).alias("h"))
 
 
-def keyed_digest(frame: DataFrame, key: list[str], block: int = BLOCK) -> str:
-    """SHA-256 of schema, key and the tree over all rows in the order of the key; for no rows, of schema and key alone."""
+def keyed_digest(frame: DataFrame, key: list[str], block: int = BLOCK, levels: int | None = None) -> str:
+    """SHA-256 of schema, key and the tree over all rows in the order of the key, of at most `levels` if given; for no rows, of schema and key alone."""
     with scratch(frame.sparkSession, "digest") as save:
         level, n = ordered_hashes(frame, key, save), 0
         while True:
-            level, n = save(tree_level(level, block), f"level{n}"), n + 1
+            level, n = save(tree_level(level, None if n + 1 == levels else block), f"level{n}"), n + 1
             top = level.limit(2).collect()
             if len(top) < 2:
                 break

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.numbers import WON, accounting, in_won, strict_accounting
+from ledgerline.functions.numbers import DECIMAL, WON, accounting, in_won, strict_accounting
 from ledgerline.functions.text import compact, plain_key
 from ledgerline.operators.extractors import table_cells
+from ledgerline.session import dealt
 
 #: Labels of a table's total row, and words in the label of a part's total.
 TOTALS = ("합계", "총계")
@@ -33,26 +34,30 @@ def row_kind(label: Column) -> Column:
     return F.when(bare.isin(*TOTALS), "total").when(bare.rlike(SUBTOTAL), "subtotal").otherwise("member")
 
 
-def reconciled_totals(cells: DataFrame) -> DataFrame:
+def reconciled_totals(cells: DataFrame, about: int | None = None) -> DataFrame:
     """chunk_id, table_no, column_no, header, unit, members, subtotals, total, state: which rows add up to which total.
 
     A subtotal is the sum of the members since the subtotal before it, the total the sum of all members. State: unreadable (a number
     can't be read or is negative), uneven (rows of other widths), no_single_total, no_member, total_not_last, subtotal_differs, sum_differs, ok.
+    about: how many cells there are at most, if that is known; they are dealt by it. A column is sorted once, for all that follows.
     """
     key = ["chunk_id", "table_no", "column_no"]
-    rows = cells.withColumns({"kind": row_kind(F.col("label")), "v": strict_accounting(F.col("value"))})
-    down = Window.partitionBy(*key).orderBy("row_no")
-    rows = rows.withColumn("part", F.sum(F.when(F.col("kind") == "subtotal", 1).otherwise(0)).over(down.rowsBetween(Window.unboundedPreceding, -1)))
-    in_part = Window.partitionBy(*key, F.coalesce("part", F.lit(0)))
-    rows = rows.withColumn("own", F.sum(F.when(F.col("kind") == "member", F.col("v"))).over(in_part)).withColumn("last_row", F.max("row_no").over(Window.partitionBy(*key)))
+    rows = cells.select(*key, "header", "row_no", "unit", "even", row_kind(F.col("label")).alias("kind"), strict_accounting(F.col("value")).alias("v"))
+    rows = dealt(rows, about, *key) if about else rows
+    down, member = Window.partitionBy(*key, "header").orderBy("row_no"), F.when(F.col("kind") == "member", F.col("v"))
+    rows = rows.withColumn("so_far", F.struct(F.sum(member).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.count(member).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("n")))
+    # what stood at the subtotal before is not this one's
+    rows = rows.withColumn("before", F.last(F.when(F.col("kind") == "subtotal", F.col("so_far")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)))
+    zero = F.lit(0).cast(DECIMAL)
+    rows = rows.withColumn("own", F.when(F.col("so_far.n") > F.coalesce("before.n", F.lit(0)), F.col("so_far.s") - F.coalesce("before.s", zero)))
     out = rows.groupBy(*key, "header").agg(
         F.sum(F.when(F.col("kind") == "member", F.col("v"))).alias("members"), F.max(F.when(F.col("kind") == "total", F.col("v"))).alias("total"), F.min("unit").alias("unit"),
         F.count_if(F.col("kind") == "total").alias("n_totals"), F.count_if(F.col("kind") == "subtotal").alias("subtotals"), F.count_if(F.col("kind") == "member").alias("n_members"),
-        F.count_if(F.col("v").isNull()).alias("bad"), F.bool_or(~F.col("even")).alias("uneven"), F.count_if((F.col("kind") == "total") & (F.col("row_no") < F.col("last_row"))).alias("early"),
+        F.count_if(F.col("v").isNull()).alias("bad"), F.bool_or(~F.col("even")).alias("uneven"), (F.max(F.when(F.col("kind") == "total", F.col("row_no"))) < F.max("row_no")).alias("early"),
         F.count_if((F.col("kind") == "subtotal") & ~F.coalesce(F.col("v") == F.col("own"), F.lit(False))).alias("off"),
     )
     state = (
-        F.when(F.col("uneven"), "uneven").when(F.col("bad") > 0, "unreadable").when(F.col("n_totals") != 1, "no_single_total").when(F.col("n_members") == 0, "no_member").when(F.col("early") > 0, "total_not_last")
+        F.when(F.col("uneven"), "uneven").when(F.col("bad") > 0, "unreadable").when(F.col("n_totals") != 1, "no_single_total").when(F.col("n_members") == 0, "no_member").when(F.col("early"), "total_not_last")
         .when(F.col("off") > 0, "subtotal_differs").when(F.col("members") != F.col("total"), "sum_differs").otherwise("ok")
     )
     return out.withColumn("state", state).drop("n_totals", "n_members", "bad", "uneven", "early", "off")

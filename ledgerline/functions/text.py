@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -120,6 +121,11 @@ def count_of(c: Column, part: Column, most: int = 8) -> Column:
     return F.least(F.lit(most), ((F.length(c) - F.length(F.replace(c, part, F.lit("")))) / F.length(part)).cast("int"))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def table_cells(c: Column) -> Column:
     """Cells of a Markdown row."""
     return F.transform(F.split(F.regexp_replace(F.trim(c), r"^\||\|$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))

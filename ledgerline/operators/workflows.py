@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import accounting, in_won, percent_change, ratio_percent
-from ledgerline.functions.text import row_label
+from ledgerline.functions.text import bound, row_label
+from ledgerline.session import dealt
 
 #: Measures and the row labels that name them.
 MEASURES = {
@@ -46,18 +47,20 @@ def basis_of(path: Column) -> Column:
 
 
 def measure_of(label: Column) -> Column:
-    clean, out = row_label(label), None
-    for name, words in (MEASURES | EARNINGS_PER_SHARE).items():
-        own = F.when(clean.isin(*words), name)
-        out = own if out is None else out.when(clean.isin(*words), name)
-    return out
+    def named(clean: Column) -> Column:
+        out = F
+        for name, words in (MEASURES | EARNINGS_PER_SHARE).items():
+            out = out.when(clean.isin(*words), name)
+        return out
+
+    return bound(row_label(label), named)
 
 
 def facts(statements: DataFrame, by: list[str], amount: str = "thstrm_amount") -> DataFrame:
     """One row per key and measure: its value, and whether its rows agree; statements are ordered rows of one filing or more."""
     rows = statements.select(*by, F.col("fs_div").alias("basis"), statement_family(F.col("sj_div")).alias("statement"), "currency", measure_of(F.col("account_nm")).alias("measure"), accounting(F.col(amount)).alias("value"))
-    rows = rows.filter("measure IS NOT NULL AND value IS NOT NULL")
-    return rows.groupBy(*by, "basis", "measure").agg(F.max("value").alias("value"), (F.count_distinct("value") == 1).alias("agrees"), F.max("currency").alias("currency"))
+    rows = dealt(rows.filter("measure IS NOT NULL AND value IS NOT NULL"), statements.count(), *by)
+    return rows.groupBy(*by, "basis", "measure").agg(F.max("value").alias("value"), (F.min("value") == F.max("value")).alias("agrees"), F.max("currency").alias("currency"))
 
 
 def ratios(values: DataFrame, by: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numbers import WON, accounting, accounting_text
 from ledgerline.functions.text import compact, row_label, table_cells
 from ledgerline.operators.workflows import basis_of, measure_of, quarter_value
+from ledgerline.session import dealt
 
 #: Report codes, the word for the report's period, its last month and its quarter.
 REPORTS = {"11011": ("사업", 12, 4), "11012": ("반기", 6, 2), "11013": ("1분기", 3, 1), "11014": ("3분기", 9, 3)}
@@ -78,6 +79,8 @@ def statement_values(chunks: DataFrame) -> DataFrame:
 
     sequence: of the chunks in a document. A value without a readable header above it isn't told.
     """
+    # a chunk counts for eight of its lines
+    chunks = dealt(chunks.select("doc_id", "path", "sequence", "text"), 8 * chunks.count(), "doc_id")
     lines = chunks.select("doc_id", "path", "sequence", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     cells = F.when(F.col("line").startswith("|") & ~F.col("line").rlike(r"^\|(?:\s*:?-{3,}:?\s*\|)+\s*$"), table_cells(F.col("line")))
     lines = lines.withColumn("cells", cells)
@@ -116,11 +119,12 @@ def statement_values(chunks: DataFrame) -> DataFrame:
 
 def interim_figures(values: DataFrame) -> DataFrame:
     """doc_id, basis, measure, term -> three_months, cumulative, single, unit, state. Rows that name one measure must agree in value and unit."""
-    one = lambda k: F.when(F.count_distinct(F.when(F.col("kind") == k, F.col("value"))) == 1, F.max(F.when(F.col("kind") == k, F.col("value")))).alias(k)
-    many = lambda k: F.count_distinct(F.when(F.col("kind") == k, F.col("value"))) > 1
+    of = lambda k: F.when(F.col("kind") == k, F.col("value"))
+    one = lambda k: F.when(F.min(of(k)) == F.max(of(k)), F.max(of(k))).alias(k)
+    many = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
     own = values.withColumn("basis", basis_of(F.col("path"))).groupBy("doc_id", "basis", "measure", "term").agg(
         *map(one, ("three_months", "cumulative", "single")), F.min("unit").alias("unit"),
-        (many("three_months") | many("cumulative") | many("single") | (F.count_distinct("unit") > 1)).alias("differs"),
+        (many(of("three_months")) | many(of("cumulative")) | many(of("single")) | many(F.col("unit"))).alias("differs"),
     )
     known = F.col("unit").isin(*WON)
     return own.withColumn("state", F.when(F.col("differs"), "conflict").when(~F.coalesce(known, F.lit(False)), "unit_unknown").otherwise("ok")).drop("differs")
@@ -131,8 +135,9 @@ def interim_answers(asked: DataFrame, figures: DataFrame) -> DataFrame:
 
     Three months by default; in the first quarter a blank one is the cumulative amount.
     """
-    now = figures.filter("term = 0").drop("term")
-    found = asked.join(now, ["doc_id", "basis", "measure"], "left")
+    key = ["doc_id", "basis", "measure"]
+    rows = 2 * asked.count()
+    found = dealt(asked, rows, "doc_id").join(dealt(figures.filter("term = 0").drop("term"), rows, "doc_id"), key, "left")
     value = quarter_value(F.coalesce("three_months", "single"), F.coalesce("cumulative", F.when(F.col("quarter") == 1, F.col("three_months"))), F.col("quarter"), F.col("cumulative_asked"))
     state = F.when(F.col("state").isNull(), "missing").when(F.col("state") != "ok", F.col("state")).when(value.isNull(), "missing").otherwise("ok")
     return found.select(*asked.columns, F.when(state == "ok", value).alias("value"), F.when(state == "ok", F.col("unit")).alias("unit"), state.alias("state"))

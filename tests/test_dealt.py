@@ -45,3 +45,9 @@ def test_chunks_are_dealt_before_their_lines(spark):
     chunks = spark.createDataFrame([("a", "p", 1, "x\ny")], "doc_id string, path string, sequence int, text string")
     found = plan(interim.interim_figures(interim.statement_values(chunks)))
     assert found.count("Exchange") == 1 and found.index("Generate posexplode") < found.index("Exchange")  # plans are printed from their end
+
+
+def test_an_amounts_digits_are_read_once(spark):
+    from ledgerline.functions.numbers import accounting_text
+
+    assert plan(spark.range(1).select(accounting_text(F.col("id").cast("string")).alias("x"))).count("[^0-9.]") == 1

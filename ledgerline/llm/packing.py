@@ -23,10 +23,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,21 +124,58 @@ class WordIds:
             if chunk not in cache:
                 cache[chunk] = self._encode(chunk)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each text; what a batch has many times is looked up once, an ASCII word apart from the mark after it."""
         if len(self.cache) > CACHE_PIECES:
             self.old_cache, self.cache = self.cache, {}
-        rows = [re.split("[ \t\n\r]+", t) if _ODD(t) else t.split() for t in texts]
-        new = set()
-        for r in rows:
-            new.update(r)
-        new = new.difference(self.cache)
+        flat, at = chunks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        coded = flat.dictionary_encode()
+        core, mark = parted(coded.dictionary)
+        core = core.dictionary_encode()
+        names = core.dictionary.to_numpy(zero_copy_only=False).tolist()
+        pieces = list(map(self.cache.get, names))
+        lacks = [k for k, piece in enumerate(pieces) if piece is None]
+        new = [names[k] for k in lacks]
         self.cache.update({c: self.old_cache[c] for c in new if c in self.old_cache})
-        self._learn(list(new.difference(self.cache)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
+        self._learn([c for c in new if c not in self.cache])
+        for k in lacks:
+            pieces[k] = self.cache[names[k]]
+        pieces += [*self.marks.values(), b""]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        # two pieces a chunk: its core and its mark, which may be the empty piece at the end
+        which = np.column_stack([core.indices.to_numpy(), len(names) + mark])[coded.indices.to_numpy()].ravel()
+        ids = np.frombuffer(b"".join(pieces), "<u4")[K.ragged((np.cumsum(sizes) - sizes)[which], sizes[which])]
+        cuts = (4 * np.concatenate([[0], np.cumsum(sizes[which])])[2 * at]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the word in lower case, the number of the mark after it) of chunks that are ASCII letters and at most one mark; others whole, with a number beyond the marks."""
+    low = pc.ascii_lower(texts)
+    data, off = K.buffers(low)
+    number = np.full(256, len(MARKS))
+    number[list(MARKS.encode())] = range(len(MARKS))
+    mark = np.full(len(texts), len(MARKS))
+    some = off[1:] > off[:-1]
+    mark[some] = number[data[off[1:][some] - 1]]
+    core = pc.if_else(pa.array(mark < len(MARKS)), pc.utf8_slice_codeunits(low, 0, -1), low)
+    word = pc.and_(pc.string_is_ascii(texts), pc.ascii_is_alpha(core))
+    return pc.if_else(word, core, texts), np.where(word, mark, len(MARKS))
+
+
+def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(what stands between the blanks of all texts, and how much of it is before each text and in all)."""
+    texts = texts.fill_null("")
+    data, _ = K.buffers(texts)
+    if ((data >= 0x1C) & (data <= 0x1F)).any():  # for str.split() and Arrow these are blanks, for the vocabulary they aren't
+        rows = [re.split("[ \t\n\r]+", t) if _ODD(t) else t.split() for t in texts.to_pylist()]
+        return pa.array(chain.from_iterable(rows), pa.string()), np.cumsum([0, *map(len, rows)])
+    rows = pc.utf8_split_whitespace(texts)
+    at = rows.offsets.to_numpy()
+    return rows.flatten(), at - at[0]
 
 
-#: Characters that str.split() takes for blanks and the vocabulary doesn't.
 _ODD = re.compile("[\x1c-\x1f]").search
 
 
@@ -278,7 +317,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 4096, end_id: int =
         packer = Packer(TaskContext.get().partitionId() << SEQUENCE_BITS, window, enders)
         end = np.array([end_id], "<u4").tobytes()
         for b in K.slices(batches, limit=BATCH_BYTES):
-            for doc, ids in zip(b.column("doc_id").to_pylist(), words.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), words.encode(b.column("text")), strict=True):
                 packer.add(doc, np.frombuffer(ids + end, "<u4"))
             if packer.rows:
                 yield packer.take()

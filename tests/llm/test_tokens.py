@@ -168,6 +168,15 @@ def test_packing(docs, texts, monkeypatch):
     assert padding < 0.02 * total
 
 
+def test_packing_remembers_words_without_marks(texts):
+    words = packing.WordIds(P.path("word_bpe_49k.json"))
+    odd = ["Word word, WORD. word!", "", " word  a.b 7? ?! É, é\u0301. ſ; K: ß,\x0bword\u3000x", "y\x1cz word.\x1f ", ".", ",,", "word..", None, *texts]
+    want = [words._encode(t or "") for t in odd]
+    assert words.encode(odd) == want == words.encode(odd)
+    words.cache = words.old_cache = {}
+    assert words.encode(odd[:1]) == want[:1] and set(words.cache) == {"word"}
+
+
 def test_packing_many_stretches():
     rng = np.random.default_rng(0)
     enders = np.zeros(100, bool)

@@ -406,18 +406,20 @@ def links(sets: DataFrame, space: Workspace) -> DataFrame:
     pairs = lookup(postings, pivots, "token", int(size[1]), int(size[0]), "members").filter((F.col("cid") != F.col("pivot")) & _possible("n", "m", "pos", "j"))
     edges = verified(space.save(pairs.select("cid", "pivot", "n").distinct(), "pairs0"), sets, space, "links0")
     labels = components(edges, space, "cc0")
-    done, width, turn = 1, 8, 1
+    open_, done, width, turn = postings, 1, 8, 1
     while True:
         own = labels.select(F.col("node").alias("cid"), "root")
-        open_ = postings.join(own, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        own = F.broadcast(own) if labels.count() <= BROADCAST_ROWS else own
+        open_ = open_.join(own, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         tokens = open_.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).filter(f"r0 <> r1 AND members > {done + 1}")
-        # a list keeps all its members, so a member's rank is the same in every turn
-        ranked = open_.join(tokens.select("token"), "token").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("n", "cid")))
+        ranked = open_.join(tokens.select("token"), "token")
+        if turn == 1:  # a list keeps all its members, so a member's rank is the same in every turn
+            ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("n", "cid")))
         ranked = space.save(ranked, f"open{turn}")
-        if turn > 1:
-            space.drop(f"open{turn - 1}", f"pairs{turn - 1}")
+        # what is closed stays so, as components only grow: the next turn needs nothing but these lists
+        open_ = ranked.drop("root")
+        space.drop(*(["postings", "pivots", "pairs0"] if turn == 1 else [f"open{turn - 1}", f"pairs{turn - 1}"]))
         if ranked.isEmpty():
-            space.drop("postings", "pivots", "pairs0")
             return labels
         sweep(spark)
         p = ranked.filter((F.col("rank") > done) & (F.col("rank") <= done + width))

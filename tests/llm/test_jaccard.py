@@ -74,6 +74,19 @@ def test_equals_brute_force(spark, seed):
     assert run(spark, range(len(texts)), texts) == brute(range(len(texts)), texts)
 
 
+def test_later_turns_read_the_open_lists_alone(spark, monkeypatch):
+    read, save = {}, jaccard.Workspace.save
+
+    def saved(self, frame, name):
+        read[name] = {f.split("/")[-2] for f in frame.inputFiles()}
+        return save(self, frame, name)
+
+    monkeypatch.setattr(jaccard.Workspace, "save", saved)
+    texts = _corpus(3)
+    assert run(spark, range(len(texts)), texts) == brute(range(len(texts)), texts)
+    assert "postings" in read["open1"] and "open1" in read["open2"] and "postings" not in read["open2"]
+
+
 def test_odd_ids_and_small_bounds(spark, monkeypatch):
     from ledgerline.llm import shared
 

@@ -8,8 +8,8 @@ Texts are parted into units before blanks, and before single line ends, that fol
 token across such a place: A's pattern always cuts there and no piece of B holds a blank or a line end after another character (checked when it is
 loaded, else a text is one unit). So units are tokenised and aligned once, many of them as one long text, and remembered.
 
-Two passes over the texts: the first counts in how many documents a pair of ids is linked, adding up within each task before
-anything is shuffled; the second looks the counts up. The most frequent pairs, LOOKUP_ROWS at most, go to each task; links of rarer
+Texts are tokenised once: each row's figures, its distinct pairs of ids and the links of each are written, counted by pair, and read
+again to look the counts up. The most frequent pairs, LOOKUP_ROWS at most, go to each task; links of rarer
 pairs, each of which few documents hold, are joined by shuffle.
 
 Defined results: a null or empty text, or one that either vocabulary doesn't give back byte by byte, has no tokens: zeros and an empty digest;
@@ -40,6 +40,8 @@ CACHE_UNITS, CACHE_PAIRS = 400_000, 1_000_000
 JOINED_BYTES = 1 << 17
 #: Most pairs whose counts go to each task, at 17 bytes each.
 LOOKUP_ROWS = 1_000_000
+#: Rows whose counts are looked up together.
+SUMMED_ROWS = 1000
 #: Groups with more pairs of tokens than this are expanded by distinct ids.
 WIDE_GROUP = 256
 
@@ -315,45 +317,59 @@ def by_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return upto[ends] - upto[ends - sizes]
 
 
-def aligner(a_path: str, b_path: str, strings: bool) -> Aligner:
-    return K.held(("aligner", a_path, b_path, strings), lambda: Aligner(a_path, b_path, strings))
+def aligner(a_path: str, b_path: str) -> Aligner:
+    return K.held(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
 
 
 def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def pair_counts(space: Workspace, docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """pair, n: in how many rows of docs a pair of ids is linked, and best: whether n is the highest of its A id."""
+TALLIED = "_row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, _pairs array<long>, _times array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al = aligner(a_path, b_path, False)
-        counts = np.zeros(0, np.int64)
 
-        def told() -> pa.RecordBatch:
-            some = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array(al.pair_keys.all[some]), pa.array(counts[some])], names=["pair", "n"])
+def tallied(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """The figures and digest of every row of docs, its distinct pairs of ids and the links of each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        al = aligner(a_path, b_path)
+        row = TaskContext.get().partitionId() << 40
+        names = [c.split()[0] for c in TALLIED.split(", ")]
         for b in K.slices(batches):
             if al.crowded():
-                if counts.any():
-                    yield told()
-                counts = np.zeros(0, np.int64)
                 al.clear()
             flat, sizes = al.batch(b.column("text").to_pylist())
             units, held = al.units, len(al.units.at) + 1
-            text, unit = np.divmod(np.unique(np.repeat(np.arange(len(sizes)), sizes) * held + flat), held)
+            figures = [by_text(f.all[flat], sizes) for f in units.figures]
+            ends, own = np.cumsum(sizes).tolist(), flat.tolist()
+            digests, start = [], 0
+            for end in ends:
+                digests.append(hashlib.sha256(";".join(map(units.strings.__getitem__, own[start:end])).encode()).hexdigest() if end > start else "")
+                start = end
+            key, often = np.unique(np.repeat(np.arange(len(sizes)), sizes) * held + flat, return_counts=True)
+            text, unit = np.divmod(key, held)
             first = units.first.all
             n = first[unit + 1] - first[unit]
+            p = runs(first[unit], n)
             held = al.pair_keys.n + 1
-            seen = np.unique(np.repeat(text, n) * held + units.pairs.all[runs(first[unit], n)]) % held
-            counts = np.concatenate([counts, np.zeros(al.pair_keys.n - len(counts), np.int64)])
-            counts += np.bincount(seen, minlength=len(counts))
-        if counts.any():
-            yield told()
-
-    told = _input(docs).mapInArrow(K.tidy(run), "pair long, n long")
-    counted = space.save(told.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+            key = np.repeat(text, n) * held + units.pairs.all[p]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            heads = np.flatnonzero(np.diff(key, prepend=-1))
+            times = np.add.reduceat((units.times.all[p] * np.repeat(often, n))[order], heads) if len(heads) else np.zeros(0, np.int64)
+            text, pair = np.divmod(key[heads], held)
+            at = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (al.pair_keys.all[pair], times)]
+            made = [pa.array(np.arange(row, row + len(sizes))), b.column("doc_id"), *map(pa.array, figures), pa.array(digests, pa.string()), *lists]
+            row += len(sizes)
+            yield pa.RecordBatch.from_arrays(made, names=names)
+
+    return _input(docs).mapInArrow(K.tidy(run), TALLIED)
+
+
+def pair_counts(space: Workspace, rows: DataFrame) -> DataFrame:
+    """pair, n: in how many of the tallied rows a pair of ids is linked, and best: whether n is the highest of its A id."""
+    counted = space.save(rows.select(F.explode("_pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "pairs")
     first = F.shiftright("pair", 32)
     best = counted.groupBy(first.alias("_a")).agg(F.max("n").alias("_n"))  # one row an id of A
     return counted.join(F.broadcast(best), first == F.col("_a")).select("pair", "n", (F.col("n") == F.col("_n")).alias("best"))
@@ -374,53 +390,33 @@ def least_frequent(counts: DataFrame, most: int) -> int:
 def align(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Counts of tokens, groups and links, the links' corpus-wide counts and a digest of the groups, for every row of docs."""
     space = Workspace(spark, "alignment")
-    counts = space.save(pair_counts(space, docs, a_path, b_path), "counts")
+    rows = space.save(tallied(docs, a_path, b_path), "tallied")
+    counts = space.save(pair_counts(space, rows), "counts")
     least = least_frequent(counts, lookup_rows)
     known = counts.filter(F.col("n") >= least).orderBy("pair").toArrow()  # lookup_rows rows at most
     known = spark.sparkContext.broadcast(tuple(known[c].to_numpy() for c in ("pair", "n", "best")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al = aligner(a_path, b_path, True)
+        K.held(("no aligner",), lambda: None)  # what the first pass remembered isn't needed any more
         pair, count, best = known.value
-        row = TaskContext.get().partitionId() << 40
         names = ["_row", "_pairs", "_times", *(c.split()[0] for c in SCHEMA.split(", "))]
-        for b in K.slices(batches):
-            if al.crowded():
-                al.clear()
-            texts = b.column("text").to_pylist()
-            flat, sizes = al.batch(texts)
-            keys, first, times = al.pair_keys.all, al.units.first.all, al.units.times.all
-            at = np.minimum(np.searchsorted(pair, keys), max(len(pair) - 1, 0))
-            has = pair[at] == keys if len(pair) else np.zeros(len(keys), bool)
-            of = al.units.pairs.all
-            value = np.where(has, count[at], 0) if len(pair) else np.zeros(len(keys), np.int64)
-            top = np.where(has, best[at], False) if len(pair) else has
-            unit_sizes = np.diff(first)
-            sums = [by_text(f.all[flat], sizes) for f in al.units.figures]
-            sums += [by_text(by_text(x[of] * times, unit_sizes)[flat], sizes) for x in (top.astype(np.int64), value)]
-            ends = np.cumsum(sizes).tolist()
-            units = flat.tolist()
-            digests, start = [], 0
-            for end in ends:
-                digests.append(hashlib.sha256(";".join(map(al.units.strings.__getitem__, units[start:end])).encode()).hexdigest() if end > start else "")
-                start = end
-            rest_pairs, rest_times = [None] * len(texts), [None] * len(texts)
-            if not has.all():
-                lacks = by_text((~has)[of].astype(np.int64), unit_sizes) > 0
-                for t in np.flatnonzero(by_text(lacks[flat].astype(np.int64), sizes)).tolist():
-                    u = flat[ends[t] - sizes[t] : ends[t]]
-                    u = u[lacks[u]]
-                    p = runs(first[u], unit_sizes[u])
-                    p = p[~has[of[p]]]
-                    distinct, inverse = np.unique(of[p], return_inverse=True)
-                    rest_pairs[t] = keys[distinct].tolist()
-                    rest_times[t] = np.bincount(inverse, weights=times[p]).astype(np.int64).tolist()
-            longs = pa.list_(pa.int64())
-            made = [pa.array(np.arange(row, row + len(texts))), pa.array(rest_pairs, longs), pa.array(rest_times, longs), b.column("doc_id"), *map(pa.array, sums), pa.array(digests, pa.string())]
-            row += len(texts)
-            yield pa.RecordBatch.from_arrays(made, names=names)
-
-    out = _input(docs).mapInArrow(K.tidy(run), f"_row long, _pairs array<long>, _times array<long>, {SCHEMA}")
+        for batch in batches:
+            for start in range(0, batch.num_rows, SUMMED_ROWS):
+                b = batch.slice(start, SUMMED_ROWS)
+                lists = b.column("_pairs")
+                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                keys, times = lists.flatten().to_numpy(), b.column("_times").flatten().to_numpy()
+                at = np.minimum(np.searchsorted(pair, keys), max(len(pair) - 1, 0))
+                has = pair[at] == keys if len(pair) else np.zeros(len(keys), bool)
+                value = np.where(has, count[at], 0) if len(pair) else np.zeros(len(keys), np.int64)
+                top = np.where(has, best[at], False) if len(pair) else has
+                sums = [by_text(x * times, sizes) for x in (top.astype(np.int64), value)]
+                ends = pa.array(np.concatenate([[0], np.cumsum(by_text((~has).astype(np.int64), sizes))]).astype(np.int32))
+                rest = [pa.ListArray.from_arrays(ends, pa.array(x[~has])) for x in (keys, times)]
+                figures = [b.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+                yield pa.RecordBatch.from_arrays([b.column("_row"), *rest, *figures, *map(pa.array, sums), b.column("groups_sha256")], names=names)
+
+    out = rows.mapInArrow(K.tidy(run), f"_row long, _pairs array<long>, _times array<long>, {SCHEMA}")
     if least == 1:  # every pair was at hand
         return out.drop("_row", "_pairs", "_times")
     out = space.save(out, "aligned")

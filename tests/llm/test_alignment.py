@@ -61,6 +61,13 @@ def test_alignment_equals_plain_loops(spark, texts, most):
     assert [got[i] for i in range(len(rows))] == plain(rows)
 
 
+def test_texts_are_tokenised_once(spark, tmp_path):
+    spark.createDataFrame([(1, "one two one"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/own")
+    out = alignment.align(spark, spark.read.parquet(f"{tmp_path}/own"), A, B)
+    assert not any("/own/" in f for f in out.inputFiles())
+    assert [r[1:] for r in sorted(map(tuple, out.collect()))] == plain(["one two one", None])
+
+
 def test_small_memories_change_nothing(spark, docs, texts, monkeypatch):
     want = plain(texts)
     for name, value in (("CACHE_UNITS", 50), ("CACHE_PAIRS", 300), ("JOINED_BYTES", 400), ("WIDE_GROUP", 1)):

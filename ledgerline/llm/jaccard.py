@@ -5,7 +5,7 @@ with equal sets form a class, and only classes are compared. What follows loses
 
 1. Screening. In the order of shingle hashes, two linked sets share a known number of their first half or so.
    Those parts are sent, packed by bucket of hash, to count for each class how many of its shingles some
-   other class also has there; a class with too few can't have a link.
+   other class also has there; a class with too few can't have a link. A class goes by 64 bits there, as a shingle does.
 2. Document frequencies. The full sets of the classes left are sent likewise. Shingles of one class only
    are dropped (the set's size is kept); the others are put in the order of (frequency, hash).
 3. Candidates. With required overlap T, a set's T - 1 most frequent shingles are its long lists; any partner
@@ -40,14 +40,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import BROADCAST_ROWS, Workspace, as_row, lookup, rows_of, sweep
+from .shared import BROADCAST_ROWS, Workspace, as_row, buckets_of, lookup, rows_of, sweep
 
 WORDS = 5
 #: The similarity asked for, as a fraction.
 NUM, DEN = 3, 4
 #: Shingles in a bucket or a block of the index, so that a task's memory is bounded.
-BUCKET = 4 << 20
+BUCKET = 2 << 20
 BLOCK = 1 << 20
+#: The last bytes of a digest, which name a class while it is screened.
+NAME = 8
 #: Bytes of text whose sets are packed together.
 PACK_BYTES = 2 << 20
 #: Classes whose counts meet in one group.
@@ -108,7 +110,7 @@ PACKED = "bucket int, cids binary, counts binary, tokens binary"
 
 
 def packed(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
-    """The sets (or their prefixes in hash order, as 32 bits a shingle) by bucket, a row for each bucket and batch; sets that a batch has twice go once."""
+    """The sets (or their prefixes in hash order, as 32 bits a shingle, by short names) by bucket, a row for each bucket and batch; sets that a batch has twice go once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches, limit=PACK_BYTES):
@@ -123,7 +125,7 @@ def packed(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             flat, doc = flat[order], doc[order]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            names = [cid[d] for d in own]
+            names = [cid[d] if whole else cid[d][-NAME:] for d in own]
             rows = []
             for k in range(buckets):
                 lo, hi = cuts[k], cuts[k + 1]
@@ -138,9 +140,9 @@ def packed(docs: DataFrame, buckets: int, whole: bool) -> DataFrame:
 
 
 def _unpacked(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct digests as pairs of numbers, class of each shingle, shingles) by class; of a class that came several times, the first."""
+    """(distinct digests as pairs of numbers, or short names, class of each shingle, shingles) by class; of a class that came several times, the first."""
     join = lambda c: b"".join(table.column(c).to_pylist())
-    ids = np.frombuffer(join("cids"), "<u8").reshape(-1, 2)
+    ids = np.frombuffer(join("cids"), "<u8").reshape(-1, 2 if kind == "<u8" else NAME // 8)
     distinct, first, inverse = np.unique(ids, axis=0, return_index=True, return_inverse=True)
     inverse, counts = inverse.ravel(), np.frombuffer(join("counts"), "<u4").astype(np.int64)
     starts = np.cumsum(counts) - counts
@@ -158,7 +160,7 @@ RETURNED = "grp int, cids binary, counts binary, tokens binary, df binary"
 
 def _group(ids: np.ndarray, groups: int) -> np.ndarray:
     """The group of classes in which a class's parts from all buckets meet again."""
-    return (ids[:, 1] % np.uint64(groups)).astype(np.int64)
+    return (ids[:, -1] % np.uint64(groups)).astype(np.int64)
 
 
 def _stretches(g: np.ndarray) -> list[tuple[int, int]]:
@@ -188,9 +190,9 @@ def _count_shared(groups: int) -> Callable:
 
 def _sum_shared(table: pa.Table) -> pa.Table:
     join = lambda c: b"".join(table.column(c).to_pylist())
-    distinct, inverse = np.unique(np.frombuffer(join("cids"), "<u8").reshape(-1, 2), axis=0, return_inverse=True)
-    shared = np.bincount(inverse.ravel(), np.frombuffer(join("counts"), "<u4"), len(distinct)).astype(np.int64)
-    return pa.table({"cid": pa.array([d.tobytes() for d in distinct], pa.binary()), "shared": pa.array(shared)})
+    distinct, inverse = np.unique(np.frombuffer(join("cids"), "<u8"), return_inverse=True)
+    shared = np.bincount(inverse, np.frombuffer(join("counts"), "<u4"), len(distinct)).astype(np.int64)
+    return pa.table({"name": pa.array([d.tobytes() for d in distinct], pa.binary()), "shared": pa.array(shared)})
 
 
 def _with_frequency(groups: int) -> Callable:
@@ -340,10 +342,12 @@ def verified(pairs: DataFrame, sets: DataFrame, space: Workspace, name: str) ->
     salts = F.greatest(F.lit(1), F.ceil(F.col("w") / BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("pivot"), F.lit(blocks)).alias("block")
     asked = lookup(pairs, weights, "pivot", int(total[2] or 0), int(total[0]), "pairs")
-    asked = asked.select(block, F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), "cid").distinct().join(sets, "cid").withColumn("role", F.lit(0))
-    held = weights.select(block, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("pivot").alias("cid")).join(sets, "cid").withColumn("role", F.lit(1))
-    columns = ["block", "salt", "role", "cid", "n", "tokens"]
-    return space.save(asked.select(columns).unionByName(held.select(columns)).groupBy("block", "salt").applyInArrow(K.tidy(_search), "a binary, b binary"), name)
+    asked = space.save(asked.select(block, F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"), "cid").distinct(), f"{name}-asked")
+    held = weights.select(block, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("pivot").alias("cid"))
+    # few are named to the sets where they lie; else the sets are shuffled
+    few = max(asked.count(), int(total[0]) + int((total[1] or 0) // BLOCK)) <= BROADCAST_ROWS
+    ask = lambda who, role: sets.join(F.broadcast(who) if few else who, "cid").select("block", "salt", F.lit(role).alias("role"), "cid", "n", "tokens")
+    return space.save(ask(asked, 0).unionByName(ask(held, 1)).groupBy("block", "salt").applyInArrow(K.tidy(_search), "a binary, b binary"), name)
 
 
 def spark_tasks(spark: SparkSession) -> int:
@@ -442,15 +446,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     n_classes, n_rows, n_tokens = (int(x or 0) for x in classes.agg(F.count("*"), F.sum("copies"), F.sum("n")).first())
     tasks = spark_tasks(spark)
     groups = int(max(tasks, n_classes // CLASSES))
-    shared = packed(docs, int(max(tasks, n_tokens // 2 // BUCKET)), whole=False).groupBy("bucket").applyInArrow(K.tidy(_count_shared(groups)), RETURNED)
-    shared = shared.groupBy("grp").applyInArrow(K.tidy(_sum_shared), "cid binary, shared long")
+    shared = packed(docs, buckets_of(spark, n_tokens // 2, BUCKET), whole=False).groupBy("bucket").applyInArrow(K.tidy(_count_shared(groups)), RETURNED)
+    shared = shared.groupBy("grp").applyInArrow(K.tidy(_sum_shared), "name binary, shared long")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / 4))
     sweep(spark)
-    left = space.save(classes.join(shared, "cid").filter(F.col("shared") >= least).select("cid", "n", "least"), "screened")
+    left = space.save(classes.withColumn("name", F.substring("cid", 17 - NAME, NAME)).join(shared, "name").filter(F.col("shared") >= least).select("cid", "n", "least"), "screened")
+    sweep(spark)
     n_left, n_tokens = (int(x or 0) for x in left.agg(F.count("*"), F.sum("n")).first())
     reps = left.select(F.col("least").alias("rep")).distinct()
     reps = F.broadcast(reps) if n_left <= BROADCAST_ROWS else reps
-    own = packed(docs.join(reps, docs.doc_id.eqNullSafe(reps["rep"]), "left_semi"), int(max(tasks, n_tokens // BUCKET)), whole=True)
+    own = packed(docs.join(reps, docs.doc_id.eqNullSafe(reps["rep"]), "left_semi"), buckets_of(spark, n_tokens, BUCKET), whole=True)
     groups = int(max(tasks, n_tokens // BLOCK))
     parts = own.groupBy("bucket").applyInArrow(K.tidy(_with_frequency(groups)), RETURNED)
     sets = space.save(parts.groupBy("grp").applyInArrow(K.tidy(_assemble), "cid binary, n long, tokens binary"), "sets")
@@ -468,22 +473,32 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, find: Callable = jaccard_components) -> DataFrame:
     """The rows with all their columns, of each group of linked rows exactly one: that of the least id, null last, then of the least hash.
 
-    Rows are numbered and the numbers linked, so repeated and null ids don't matter; rows without words link with nothing and stay.
+    Rows go by a hash of their columns and of which are null, so no copy of them is needed; rows that repeat one another go by the
+    same and are counted, and of those only one stays. Rows without words link with nothing and stay.
     """
     space = Workspace(spark, "keep")
-    rows = space.save(docs.select(F.monotonically_increasing_id().alias("r"), as_row(docs)), "rows")
-    plain = [F.col("_row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    id_ = F.col("_row.doc_id")
-    own = rows.select("r", F.struct(id_.isNull().alias("none"), id_.cast("long").alias("id"), F.xxhash64(*plain).alias("h"), F.col("r").alias("r")).alias("rank"))
-    found = find(spark, rows.select(F.col("r").alias("doc_id"), "_row.text")).select(F.col("doc_id").alias("r"), F.col("component_id").alias("group"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    r = F.xxhash64(*plain, *[c.isNull() for c in plain]).alias("r")
+    id_ = F.col("doc_id")
+    own = docs.select(r, F.struct(id_.isNull().alias("none"), id_.cast("long").alias("id"), F.xxhash64(*plain).alias("h"), r).alias("rank"))
+    own = own.groupBy("r").agg(F.min("rank").alias("rank"), F.count("*").alias("times"))
+    found = find(spark, docs.select(r.alias("doc_id"), "text")).filter("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("r")).agg(F.min("component_id").alias("group"))
     found = space.save(found.join(own, "r"), "found")
-    kept = found.groupBy("group").agg(F.min("rank").alias("first"), F.count("*").alias("members")).filter("members > 1")
-    kept = space.save(kept.select("group", F.col("first.r").alias("kept"), "members"), "kept")
-    n, linked = (int(x or 0) for x in kept.agg(F.count("*"), F.sum("members")).first())
+    kept = found.groupBy("group").agg(F.min(F.struct("rank", "times")).alias("first"), F.count("*").alias("members"))
+    kept = kept.select("group", F.col("first.rank.r").alias("kept"), F.col("first.times").alias("times"), "members").filter("members > 1 OR times > 1")
+    kept = space.save(kept, "kept")
+    n, linked, n_twice = (int(x or 0) for x in kept.agg(F.count("*"), F.sum("members"), F.count_if(F.col("times") > 1)).first())
     gone = space.save(lookup(found.select("r", "group"), kept, "group", linked, n, "members").filter("r <> kept").select("r"), "gone")
     if linked - n <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows_of(rows.join(gone, "r", "left_anti"), docs)
+    rows = docs.select(r, as_row(docs)).join(gone, "r", "left_anti")
+    if n_twice:
+        twice = kept.filter("times > 1").select(F.col("kept").alias("r"))
+        twice = F.broadcast(twice) if n_twice <= BROADCAST_ROWS else twice
+        one = rows.join(twice, "r", "left_semi").groupBy("r").agg(F.first("_row").alias("_row"))
+        rows = rows.join(twice, "r", "left_anti").unionByName(one)
+    return rows_of(rows, docs)
 
 
 ORACLE = r"""

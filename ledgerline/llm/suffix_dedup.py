@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import kernel as K
 from .bwt import repeated_places
-from .shared import Workspace, as_row, lookup, rows_of, sweep
+from .shared import Workspace, as_row, buckets_of, lookup, rows_of, sweep
 
 DEPTH, GRAM = 200, 48
 #: Minimizers in a bucket of the first step, bytes of pieces in one of the second.
@@ -209,9 +209,17 @@ def covered(starts: list[int], runs: list[bytes], depth: int) -> np.ndarray:
     return np.stack([all_[first, 0], reach[np.append(first[1:], len(all_)) - 1]], 1)
 
 
-def _joined(texts: DataFrame, side: DataFrame, size: int) -> DataFrame:
-    """texts with the side's columns by digest: the side is broadcast if its bytes are few, else both are shuffled."""
-    return texts.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "digest")
+def _named(texts: DataFrame, side: DataFrame, n: int, how: str) -> DataFrame:
+    """The texts that the side, of n rows, has (left_semi) or hasn't (left_anti); its digests alone are broadcast if their bytes are few."""
+    names = side.select("digest")
+    return texts.join(F.broadcast(names) if 24 * n <= BROADCAST_BYTES else names, "digest", how)
+
+
+def _joined(texts: DataFrame, side: DataFrame, n: int, size: int) -> DataFrame:
+    """texts with the side's columns by digest: the side is broadcast if its bytes are few, else it is shuffled with those texts that it has."""
+    if size <= BROADCAST_BYTES:
+        return texts.join(F.broadcast(side), "digest")
+    return (_named(texts, side, n, "left_semi") if 24 * n <= BROADCAST_BYTES else texts).join(side, "digest")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -230,12 +238,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, space: Workspace, depth
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = texts.filter(F.octet_length("text") >= depth).select("digest", "text")
-    found = _packed(own, int(max(tasks, n_bytes // 75 // MINIMIZERS)), depth).groupBy("bucket").applyInArrow(K.tidy(_repeated_minimizers), "digest binary, places binary, size long")
+    found = _packed(own, buckets_of(spark, n_bytes // 75, MINIMIZERS), depth).groupBy("bucket").applyInArrow(K.tidy(_repeated_minimizers), "digest binary, places binary, size long")
     found = space.save(found.groupBy("digest").agg(F.collect_list("places").alias("parts"), F.sum("size").alias("size")), "minimizers")
     sweep(spark)
     n, total = (int(x or 0) for x in found.agg(F.count("*"), F.sum("size")).first())
     # a place takes 12 bytes and stands for 60 bytes of pieces or more
-    pieces = _pieces(_joined(own, found.drop("size"), 32 * n + total // 5), int(max(tasks, total // PIECES)), depth)
+    pieces = _pieces(_joined(own, found.drop("size"), n, 32 * n + total // 5), int(max(tasks, total // PIECES)), depth)
     pieces.write.mode("overwrite").partitionBy("kind").parquet(space.path("pieces"))
     pieces = spark.read.schema(pieces.schema).parquet(space.path("pieces"))
     runs = pieces.filter("kind = 1").select("bucket", "piece", "count", "content").groupBy("bucket").applyInArrow(K.tidy(_find(depth)), "piece binary, runs binary")
@@ -259,8 +267,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
     empty = hashlib.sha256(b"").hexdigest()
     gone = rows.filter(whole).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"))
     n, size = (int(x or 0) for x in hits.agg(F.count("*"), F.sum("bytes")).first())
-    names = hits.select("digest")
-    kept = rows.filter(~whole).join(F.broadcast(names) if 24 * n <= BROADCAST_BYTES else names, "digest", "left_anti")
+    kept = _named(rows.filter(~whole), hits, n, "left_anti")
     kept = kept.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +286,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
 
     # texts that occur twice go as a whole; what is left of the others is cut here
     once = hits.join(_multiple(rows), "digest", "left_anti")
-    cut = _joined(_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), once.drop("bytes"), size).select("doc_id", "text", "hits").mapInArrow(K.tidy(run), RESULT)
+    cut = _joined(_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), once.drop("bytes"), n, size).select("doc_id", "text", "hits").mapInArrow(K.tidy(run), RESULT)
     return gone.unionByName(kept).unionByName(cut)
 
 
@@ -295,10 +302,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> Dat
     space = Workspace(spark, "cut")
     rows, hits = repeated_spans(spark, docs, space, depth)
     copied = rows.filter((F.col("copies") > 1) & (F.col("n_bytes") >= depth)).agg(F.count_distinct("digest")).first()[0]
-    size = int(hits.agg(F.sum("bytes")).first()[0] or 0) + 40 * copied
+    n, size = (int(x or 0) for x in hits.agg(F.count("*"), F.sum("bytes")).first())
+    n, size = n + copied, size + 40 * copied
     side = hits.select("digest", "hits").join(_multiple(rows.filter(F.col("n_bytes") >= depth)).withColumn("whole", F.lit(True)), "digest", "full")
     keyed = docs.select(as_row(docs), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("digest"))
-    joined = keyed.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "digest", "left")
+    few = 24 * n <= BROADCAST_BYTES
+    joined = _joined(keyed, side, n, size) if few else keyed.join(side, "digest", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, column in K.row_slices(batches):
@@ -317,6 +326,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> Dat
 
     columns = T.StructType([keyed.schema["_row"], T.StructField("cut", T.StringType())])
     done = joined.select("_row", "hits", "whole").mapInArrow(K.tidy(run), columns)
+    if few:  # the other rows stay where they are
+        done = done.unionByName(_named(keyed, side, n, "left_anti").select("_row", F.lit(None).cast("string").alias("cut")))
     text = F.coalesce("cut", F.col("_row.text"))
     new = {"text": text} | ({"n_chars": F.when(F.col("cut").isNull(), F.col("_row.n_chars")).otherwise(F.length("cut"))} if "n_chars" in docs.columns else {})
     return rows_of(done, docs, **new)

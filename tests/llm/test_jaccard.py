@@ -133,6 +133,37 @@ def test_keeping_one_row_where_ids_repeat_or_are_null(spark, monkeypatch, bound)
     assert got == sorted([(1, same), (2, near), (None, null), (None, None), (None, None), (7, other), (3, " ")], key=str)
 
 
+def test_keeping_one_writes_no_texts_and_names_classes_briefly(spark, monkeypatch):
+    written, buckets = [], []
+    save, packed = jaccard.Workspace.save, jaccard.packed
+
+    def saved(self, frame, name):
+        written.append((name, frame.columns))
+        return save(self, frame, name)
+
+    def counted(docs, n, whole):
+        out = packed(docs, n, whole)
+        if not whole:
+            buckets.append(n)
+            rows = [r for r in out.collect() if r.cids]
+            assert rows and all(len(r.cids) == 2 * len(r.counts) for r in rows)  # 8 bytes a class and bucket, a count has 4
+        return out
+
+    monkeypatch.setattr(jaccard.Workspace, "save", saved)
+    monkeypatch.setattr(jaccard, "packed", counted)
+    frame = spark.createDataFrame([(2, "a b c d e f"), (1, "a b c d e f"), (None, "other words")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            kept = jaccard.keep_one(spark, frame)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, None]
+    assert not [name for name, columns in written if {"text", "_row"} & set(columns)]
+    assert len(set(buckets)) == 1
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(4)
     for _ in range(50):

@@ -69,6 +69,28 @@ def test_cut_text_keeps_columns(spark):
             assert len((rows[i].text or "").encode()) <= want[i][0] - want[i][1]
 
 
+def test_texts_without_repeats_are_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    prose = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = prose(8000)
+    texts = [*[prose(400) for _ in range(30)], passage + prose(300), prose(300) + passage, passage[:400], texts_twice := prose(300), texts_twice]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    seen, joined = [], suffix_dedup._joined
+
+    def counted(left, side, *sizes):
+        assert sizes[-1] > suffix_dedup.BROADCAST_BYTES
+        seen.append((joined(left, side, *sizes), side.count()))
+        return seen[-1][0]
+
+    monkeypatch.setattr(suffix_dedup, "_joined", counted)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 24 * 6)
+    cut = {r.doc_id: r.text for r in suffix_dedup.cut_repeats(spark, frame).collect()}
+    removed = brute(texts, 200)
+    assert len(cut) == len(texts)
+    assert all((cut[i] == t) == (not r[1]) and len(cut[i]) == len(t) - r[1] for i, (t, r) in enumerate(zip(texts, removed, strict=True)))
+    assert seen and all(0 < n <= 6 and "LeftSemi" in out._jdf.queryExecution().toString() for out, n in seen)
+
+
 def test_blocks_of_any_size_give_the_same_minimizers_and_hashes(monkeypatch):
     from ledgerline.llm import kernel
 

@@ -6,6 +6,9 @@ only. Period, basis, statement and correction disclosures are held against all c
 
 Defined results: an answer without citations has no claims and the fault citation_required; a null answer has it too; repeated citations count
 once; passages of other requests are never looked at. A request's passages are as few as the evidence budget allows.
+
+All joins are merges: every side has rows for each request, and a plan guesses them from the compressed bytes of what they are made of, so that
+sides of any size would pass through the driver as broadcasts.
 """
 
 from __future__ import annotations
@@ -76,16 +79,16 @@ def abstains(answer: Column) -> Column:
     return out
 
 
-def claims_of(answers: DataFrame) -> DataFrame:
-    """request_id, answer -> request_id, claim_no, claim, citations (their texts)."""
+def claims_of(answers: DataFrame, *more: str) -> DataFrame:
+    """request_id, answer -> request_id, claim_no, claim, citations (their texts), more columns of the answer."""
     # citations are marked, neighbours joined, and the text parted at the marks: each step reads the text once
     text = F.regexp_replace(F.translate("answer", "\x02\x03\x04", ""), LINE_CITATION, "[근거: $1]")
     marked = F.regexp_replace(text, f"({CITATION})", "\x02$1\x03")
     joined = F.regexp_replace(marked, f"\x03{SEPARATOR}\x02", "\x04")
     parts = F.filter(F.split(joined, "\x03"), lambda x: F.contains(x, F.lit("\x02")))
-    rows = answers.select("request_id", F.posexplode(parts).alias("claim_no", "p"))
+    rows = answers.select("request_id", *more, F.posexplode(parts).alias("claim_no", "p"))
     raw = F.transform(F.split(F.substring_index("p", "\x02", -1), "\x04"), lambda x: F.trim(F.regexp_extract(x, r"^\[근거\s*:([^\]]*)\]$", 1)))
-    return rows.select("request_id", "claim_no", F.substring_index("p", "\x02", 1).alias("claim"), F.array_distinct(raw).alias("citations"))
+    return rows.select("request_id", "claim_no", F.substring_index("p", "\x02", 1).alias("claim"), F.array_distinct(raw).alias("citations"), *more)
 
 
 def cited_passages(claims: DataFrame, passages: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def cited_passages(claims: DataFrame, passages: DataFrame) -> DataFrame:
     known = passages.withColumnRenamed("request_id", "_request")
     meant = F.array_contains(F.array("rcept_no", "root_rcept_no", "latest_rcept_no"), F.col("receipt")) & _within(F.col("c_report"), F.col("report_nm"))
     meant = meant & ((F.col("c_section") == "") | F.col("c_section").isin(*ANY_SECTION) | _within(F.col("c_section"), F.col("section")))
-    return each.join(known, (F.col("request_id") == F.col("_request")) & meant, "left").drop("_request", "receipt", "c_report", "c_section")
+    return each.join(known.hint("merge"), (F.col("request_id") == F.col("_request")) & meant, "left").drop("_request", "receipt", "c_report", "c_section")
 
 
 def claim_faults(answers: DataFrame, passages: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ def claim_faults(answers: DataFrame, passages: DataFrame) -> DataFrame:
     A row per claim: whether all its citations mean a passage, its numbers and companies stand in those passages. A claim without numbers that only
     compares companies is fine if earlier claims have supported the numbers of each.
     """
-    claims = claims_of(answers).join(answers.select("request_id", "question"), "request_id")
+    claims = claims_of(answers, "question")
     found = cited_passages(claims, passages)
     said = F.concat_ws(" ", "corp_name", "report_nm", "section", "rcept_no", "rcept_dt", F.nullif(F.regexp_extract("report_nm", r"(?<![0-9])(20[0-9]{2})[./-](?:03|06|09|12)(?![0-9])", 1), F.lit("")))
     own = found.groupBy("request_id", "claim_no").agg(
@@ -116,7 +119,7 @@ def claim_faults(answers: DataFrame, passages: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_set(F.concat(numbers_of(F.col("text")), numbers_of(said))))).alias("grounds"), F.collect_set("corp_name").alias("cited_companies"),
     )
     names = passages.groupBy("request_id").agg(F.collect_set(F.nullif(F.trim("corp_name"), F.lit(""))).alias("companies"))
-    rows = claims.join(own, ["request_id", "claim_no"]).join(names, "request_id", "left")
+    rows = claims.join(own.hint("merge"), ["request_id", "claim_no"]).join(names.hint("merge"), "request_id", "left")
     numbers = numbers_of(F.regexp_replace("claim", LIST_NUMBER, " "))
     rows = rows.withColumns({"numbers": numbers, "named": F.filter(F.coalesce("companies", F.array().cast("array<string>")), lambda x: F.contains(F.col("claim"), x))})
     missing = F.array_except("numbers", F.concat("grounds", numbers_of(F.col("question"))))
@@ -174,7 +177,7 @@ def answer_faults(answers: DataFrame, passages: DataFrame) -> DataFrame:
         F.collect_set(month).alias("months"), F.collect_set(F.when(basis != "unknown", basis)).alias("bases"), F.collect_set(cited_statement(F.col("section"))).alias("statements"),
         F.collect_set(F.when(needs_disclosure(found), disclosure())).alias("due"), F.bool_or(F.col("correction_status").isin("ambiguous_candidate", "unresolved_external_root")).alias("unsure"),
     )
-    rows = answers.join(of_claims, "request_id", "left").join(cited, "request_id", "left")
+    rows = answers.join(of_claims.hint("merge"), "request_id", "left").join(cited.hint("merge"), "request_id", "left")
     answer = F.coalesce("answer", F.lit(""))
     unlike = lambda asked, got: F.coalesce(asked.isNotNull() & (F.size(got) > 0) & ~F.array_contains(F.col(got), asked), F.lit(False))
     tests = {

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import interim, investments, workflows
+from ledgerline.plans import registry
 from ledgerline.session import ROWS_A_TASK, dealt
 
 
@@ -51,3 +52,9 @@ def test_an_amounts_digits_are_read_once(spark):
     from ledgerline.functions.numbers import accounting_text
 
     assert plan(spark.range(1).select(accounting_text(F.col("id").cast("string")).alias("x"))).count("[^0-9.]") == 1
+
+
+def test_requests_are_never_broadcast(spark, sf):
+    """Their number is that of the answers, which the plan's guess by compressed bytes doesn't show."""
+    found = plan(registry.QUERIES["claims_grounded"](spark, sf))
+    assert "Broadcast" not in found and found.count("SortMergeJoin") > 3
